@@ -91,7 +91,8 @@ select doc_id as arrival, concat('{{"id": ', cast(doc_id as string),
   ', "full_name": "', case when doc_id % 10 = 7 then upper(source) else source end, '/r', cast(doc_id as string),
   case when doc_id % 15 = 2 then '-moved' else '' end, '"',
   ', "stargazers_count": ', cast((doc_id * 7919) % 120000 as string),
-  case when doc_id % 17 = 0 then ', "language": null' else concat(', "language": "', lang, '"') end,
+  case when doc_id % 17 = 0 then ', "language": null' else concat(', "language": "',
+    case lang when 'en' then 'Python' when 'fr' then 'Haskell' when 'de' then 'Zig' else 'Rust' end, '"') end,
   case when doc_id % 5 = 0 then ', "license": null' else concat(', "license": {{"key": "', case when doc_id % 5 = 1 then 'mit' else 'apache-2.0' end, '"}}') end,
   case when doc_id % 23 = 0 then '' else concat(', "size": ', cast(n_chars as string)) end,
   case when doc_id % 29 = 0 then '' else ', "default_branch": "main"' end,
