@@ -148,6 +148,35 @@ select e.event_id, e.ts,
 from {events} e left join {documents} d on d.doc_id = e.user_id
 """)
 
+# Blob table: content of each changed file at the commit, and (for two
+# thirds of the paths) at the parent commit.
+BLOBS = _fx("blobs", ["commits"], """
+select distinct repo, sha, path, content from (
+  select repo, sha, path, concat('v:', substr(sha, 1, 8), ':', path) as content
+  from (select repo, sha, path from {commits} lateral view explode(split(files_text, chr(10))) t as path) a
+  where path <> ''
+  union all
+  select repo, parent_sha as sha, path, concat('v:', substr(parent_sha, 1, 8), ':', path) as content
+  from (select repo, parent_sha, path from {commits} lateral view explode(split(files_text, chr(10))) t as path) b
+  where path <> '' and parent_sha is not null and length(path) % 3 <> 0) u
+""", """
+select distinct repo, sha, path, content from (
+  select repo, sha, path, concat('v:', substr(sha, 1, 8), ':', path) as content
+  from (select repo, sha, unnest(string_split(files_text, chr(10))) as path from {commits}) a
+  where path <> ''
+  union all
+  select repo, parent_sha as sha, path, concat('v:', substr(parent_sha, 1, 8), ':', path) as content
+  from (select repo, parent_sha, unnest(string_split(files_text, chr(10))) as path from {commits}) b
+  where path <> '' and parent_sha is not null and length(path) % 3 <> 0) u
+""")
+
+# Repository dimension of the commit corpus (language from the document of
+# the same id; conversations without one have no language).
+COMMIT_REPOS = _fx("commit_repos", ["conversations", "documents"], """
+select distinct concat('c/', cast(c.conv_id as string)) as full_name, d.lang as language
+from {conversations} c left join {documents} d on d.doc_id = c.conv_id
+""")
+
 # Outcome log of download attempts: each 'failed' status event carries an
 # error message, one text per branch of the classification ladder.
 DOWNLOAD_LOG = _fx("download_log", ["repo_events"], """
@@ -203,7 +232,7 @@ from {events}
 """)
 
 FIXTURES = {f.name: f for f in (
-    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, DOWNLOAD_LOG,
+    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, DOWNLOAD_LOG,
     FILE_INVENTORY, EVAL_PRED, STEP_METRIC,
 )}
 
