@@ -177,6 +177,35 @@ select distinct concat('c/', cast(c.conv_id as string)) as full_name, d.lang as
 from {conversations} c left join {documents} d on d.doc_id = c.conv_id
 """)
 
+# Memory store entries: one per document, addressed by a path-like id.
+MEMORY_ENTRIES = _fx("memory_entries", ["documents"], """
+select doc_id, concat('/', source, '/', lang, '/', cast(doc_id as string), '.txt') as path,
+  cast(1 as bigint) as version, n_chars, lang
+from {documents}
+""")
+
+# Updates to the store: new versions for a third of the documents (twice
+# for a sixth, the later version must win) and entries of new documents.
+MEMORY_UPDATES = _fx("memory_updates", ["documents"], """
+select doc_id, concat('/', source, '/', lang, '/', cast(doc_id as string), '.txt') as path,
+  cast(2 as bigint) as version, n_chars + 1 as n_chars, lang from {documents} where doc_id % 3 = 0
+union all
+select doc_id, concat('/', source, '/', lang, '/', cast(doc_id as string), '.txt') as path,
+  cast(3 as bigint) as version, n_chars + 2 as n_chars, lang from {documents} where doc_id % 6 = 0
+union all
+select doc_id + 1000000 as doc_id, concat('/new/', lang, '/', cast(doc_id as string), '.txt') as path,
+  cast(1 as bigint) as version, n_chars, lang from {documents} where doc_id % 10 = 1
+""")
+
+# The corpus as it was at the previous refresh: some texts changed since,
+# some documents are new since, some were deleted since.
+DOCUMENTS_PREV = _fx("documents_prev", ["documents"], """
+select doc_id, case when doc_id % 5 = 0 then concat(text, ' (earlier draft)') else text end as text
+from {documents} where doc_id % 11 <> 0
+union all
+select doc_id + 1000000 as doc_id, text from {documents} where doc_id % 13 = 0
+""")
+
 # Outcome log of download attempts: each 'failed' status event carries an
 # error message, one text per branch of the classification ladder.
 DOWNLOAD_LOG = _fx("download_log", ["repo_events"], """
@@ -232,7 +261,7 @@ from {events}
 """)
 
 FIXTURES = {f.name: f for f in (
-    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, DOWNLOAD_LOG,
+    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, MEMORY_ENTRIES, MEMORY_UPDATES, DOCUMENTS_PREV, DOWNLOAD_LOG,
     FILE_INVENTORY, EVAL_PRED, STEP_METRIC,
 )}
 
