@@ -206,6 +206,45 @@ union all
 select doc_id + 1000000 as doc_id, text from {documents} where doc_id % 13 = 0
 """)
 
+# Retrieval memory from the embedding table: each label is one group
+# (example); its vectors are the documents (value = reversed key), each
+# document has four token vectors (the key rotated by 16 * position), and
+# the group's query is the mean vector of its documents.
+RET_DOCS = _fx("ret_docs", ["embeddings"], """
+select label as group_id, vec_id as doc_id, cast(embedding as array<double>) as key,
+  reverse(cast(embedding as array<double>)) as value from {embeddings}
+""", """
+select label as group_id, vec_id as doc_id, cast(embedding as double[]) as key,
+  list_reverse(cast(embedding as double[])) as value from {embeddings}
+""")
+RET_TOKENS = _fx("ret_tokens", ["embeddings"], """
+select label as group_id, vec_id as doc_id, tok_pos,
+  concat(slice(cast(embedding as array<double>), 16 * tok_pos + 1, 64 - 16 * tok_pos),
+         slice(cast(embedding as array<double>), 1, 16 * tok_pos)) as key,
+  concat(slice(reverse(cast(embedding as array<double>)), 16 * tok_pos + 1, 64 - 16 * tok_pos),
+         slice(reverse(cast(embedding as array<double>)), 1, 16 * tok_pos)) as value
+from {embeddings} lateral view explode(sequence(0, 3)) t as tok_pos
+""", """
+select label as group_id, vec_id as doc_id, tok_pos,
+  list_concat(cast(embedding as double[])[16 * tok_pos + 1 : 64], cast(embedding as double[])[1 : 16 * tok_pos]) as key,
+  list_concat(list_reverse(cast(embedding as double[]))[16 * tok_pos + 1 : 64],
+              list_reverse(cast(embedding as double[]))[1 : 16 * tok_pos]) as value
+from {embeddings}, (select unnest(range(4)) as tok_pos) t
+""")
+RET_QUERIES = _fx("ret_queries", ["embeddings"], """
+select group_id, cast(group_id as bigint) as query_id, 0 as pos,
+  transform(array_sort(collect_list(struct(i, v))), x -> x.v) as q
+from (select label as group_id, i, avg(cast(e as double)) as v
+      from {embeddings} lateral view posexplode(embedding) t as i, e group by label, i) a
+group by group_id
+""", """
+select group_id, cast(group_id as bigint) as query_id, 0 as pos, list(v order by i) as q
+from (select label as group_id, i, avg(cast(e as double)) as v
+      from (select label, unnest(embedding) as e, generate_subscripts(embedding, 1) as i from {embeddings}) x
+      group by label, i) a
+group by group_id
+""")
+
 # Outcome log of download attempts: each 'failed' status event carries an
 # error message, one text per branch of the classification ladder.
 DOWNLOAD_LOG = _fx("download_log", ["repo_events"], """
@@ -261,7 +300,7 @@ from {events}
 """)
 
 FIXTURES = {f.name: f for f in (
-    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, MEMORY_ENTRIES, MEMORY_UPDATES, DOCUMENTS_PREV, DOWNLOAD_LOG,
+    REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, MEMORY_ENTRIES, MEMORY_UPDATES, DOCUMENTS_PREV, RET_DOCS, RET_TOKENS, RET_QUERIES, DOWNLOAD_LOG,
     FILE_INVENTORY, EVAL_PRED, STEP_METRIC,
 )}
 
