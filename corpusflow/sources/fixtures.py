@@ -282,8 +282,7 @@ from (select doc_id, source, unnest(string_split(text, chr(10))) as line,
 # Predictions to score: expected answer from the document, generated text
 # made to hit each match rule (prefix, case, substring, miss, empty).
 EVAL_PRED = _fx("eval_pred", ["documents"], """
-select doc_id as example_id, lang as category,
-  case when doc_id % 2 = 0 then 'with_memory' else 'without_memory' end as variant,
+select doc_id as example_id, lang as category, 'with_memory' as variant,
   case when doc_id % 37 = 0 then '' else split_part(text, ' ', 1) end as expected,
   case cast(doc_id % 5 as int)
     when 0 then concat(split_part(text, ' ', 1), ' and more')
@@ -292,10 +291,31 @@ select doc_id as example_id, lang as category,
     when 3 then split_part(text, ' ', 2)
     else concat('x', split_part(text, ' ', 1)) end as generated
 from {documents}
+union all
+select doc_id as example_id, lang as category, 'without_memory' as variant,
+  case when doc_id % 37 = 0 then '' else split_part(text, ' ', 1) end as expected,
+  case cast(doc_id % 3 as int)
+    when 0 then concat(' ', split_part(text, ' ', 1), ' ')
+    when 1 then split_part(text, ' ', 3)
+    else concat('(', split_part(text, ' ', 1), ')') end as generated
+from {documents} where lang <> 'es'
 """)
 
+# Logged training metrics: five events make one step; the event type names
+# the metric.
 STEP_METRIC = _fx("step_metric", ["events"], """
-select cast(day(ts) as int) as epoch, event_id as step, event_type as name, value
+select cast(day(ts) as int) as epoch, event_id div 5 as step,
+  case event_type when 'click' then 'loss' when 'view' then 'gate_value' when 'purchase' then 'grad_norm'
+    when 'signup' then 'learning_rate' else 'encoder_grad_norm' end as name,
+  case event_type when 'click' then value / 50.0 when 'view' then (value - 50.0) / 500.0
+    when 'purchase' then value / 10.0 when 'signup' then value / 1000000.0 else value / 100.0 end as value
+from {events}
+""", """
+select cast(day(ts) as int) as epoch, event_id // 5 as step,
+  case event_type when 'click' then 'loss' when 'view' then 'gate_value' when 'purchase' then 'grad_norm'
+    when 'signup' then 'learning_rate' else 'encoder_grad_norm' end as name,
+  case event_type when 'click' then value / 50.0 when 'view' then (value - 50.0) / 500.0
+    when 'purchase' then value / 10.0 when 'signup' then value / 1000000.0 else value / 100.0 end as value
 from {events}
 """)
 
