@@ -20,9 +20,9 @@ from corpusflow.operators.selection import _meta_with_defaults
 META_COLS = ("stars", "language", "license_key", "size_kb", "default_branch", "fork", "archived", "updated_at")
 
 
-def split_name(full_name: Column = F.col("full_name")) -> tuple[Column, Column]:
+def split_name(full_name: Column | None = None) -> tuple[Column, Column]:
     """``owner/name`` split; a name without ``/`` yields a NULL leaf."""
-    parts = F.split(full_name, "/")
+    parts = F.split(full_name if full_name is not None else F.col("full_name"), "/")
     return F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
 
 
@@ -87,9 +87,6 @@ def upsert(catalog: DataFrame, batch: DataFrame, now: Column | None = None) -> D
 
 # --- status transitions -------------------------------------------------
 
-_ORD = F.struct(F.col("ts"), F.col("event_id"))
-
-
 def apply_transitions(state: DataFrame, events: DataFrame) -> DataFrame:
     """CAT4-CAT8 in one set-based job (also the body of the STR1 stream).
 
@@ -106,7 +103,7 @@ def apply_transitions(state: DataFrame, events: DataFrame) -> DataFrame:
     for c, t in (("error", "string"), ("size_bytes", "bigint"), ("path", "string"), ("commit_count", "bigint")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast(t))
-    ev = events.dropDuplicates(["event_id"]).withColumn("_ord", _ORD)
+    ev = events.dropDuplicates(["event_id"]).withColumn("_ord", F.struct(F.col("ts"), F.col("event_id")))
     birth = (ev.filter(F.col("action") == "discovered").groupBy("full_name")
              .agg(F.min("_ord").alias("_birth")))
     known = state.select("full_name", F.lit(True).alias("_known"))

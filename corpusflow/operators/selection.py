@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 
 def _meta_with_defaults(df: DataFrame) -> DataFrame:
+    """RepoMetadata view of catalog rows; NULLs (or absent columns) take
+    the defaults: size 0, branch ``main``, fork/archived false."""
+    def c(name, typ):
+        return F.col(name) if name in df.columns else F.lit(None).cast(typ)
     return df.select(
-        "full_name", "stars", "language", "license_key",
-        F.coalesce(F.col("size_kb"), F.lit(0).cast("bigint")).alias("size_kb"),
-        F.coalesce(F.col("default_branch"), F.lit("main")).alias("default_branch"),
-        F.coalesce(F.col("fork"), F.lit(False)).alias("fork"),
-        F.coalesce(F.col("archived"), F.lit(False)).alias("archived"),
+        "full_name", c("stars", "int").alias("stars"), c("language", "string").alias("language"),
+        c("license_key", "string").alias("license_key"),
+        F.coalesce(c("size_kb", "bigint"), F.lit(0).cast("bigint")).alias("size_kb"),
+        F.coalesce(c("default_branch", "string"), F.lit("main")).alias("default_branch"),
+        F.coalesce(c("fork", "boolean"), F.lit(False)).alias("fork"),
+        F.coalesce(c("archived", "boolean"), F.lit(False)).alias("archived"),
     )
 
 
