@@ -423,3 +423,24 @@ def q_run_log(i):
     """CAT17: one run row per day of events, with config JSON."""
     cfg = {"target_repo_count": 100000, "max_concurrent_downloads": 10, "retry_attempts": 3}
     return cat.run_log(i["transition_events"], F.to_date("ts"), cfg)
+
+
+@register("snk_catalog_snapshot", ["repo_catalog", "discovered_batch"], """
+with b as (select * from (select *, row_number() over (partition by full_name order by arrival) as rn
+                          from discovered_batch) t where rn = 1)
+select coalesce(c.full_name, b.full_name) as full_name,
+  case when b.full_name is not null then b.stars else c.stars end as stars,
+  coalesce(c.status, 'pending') as status
+from repo_catalog c full outer join b on b.full_name = c.full_name
+""")
+def q_catalog_snapshot(i):
+    """SNK1: the upserted catalog written as a new versioned snapshot in the
+    shared checkpoint folder and read back from it."""
+    from corpusflow.sources.snapshot import read_snapshot, write_snapshot
+    from corpusflow.streaming.streams import scratch
+
+    root = scratch(i.spark, "catalog")
+    write_snapshot(i["repo_catalog"], root)
+    nxt = cat.upsert(read_snapshot(i.spark, root), i["discovered_batch"], now=F.lit(NOW_TS))
+    v = write_snapshot(nxt, root, sort_within=("status", "stars"))
+    return read_snapshot(i.spark, root, v).select("full_name", "stars", "status")

@@ -176,3 +176,23 @@ union all select repo, sha, 'imperative', concat('User: Modify `', string_split(
 def q_prompt_variants(i):
     """COM14: three prompt formulations per curated commit."""
     return com.prompt_variants(com.curate(i["commits"], None, CFG))
+
+
+def _word_counts(df):
+    """A user transform over Arrow batches (mapInPandas)."""
+    def run(it):
+        for pdf in it:
+            out = pdf[["repo", "sha"]].copy()
+            out["message_words"] = pdf["message"].str.split().str.len().fillna(0).astype("int64")
+            yield out
+
+    return df.mapInPandas(run, "repo string, sha string, message_words long")
+
+
+@register("udx_commit_transform", ["commits"], _REC + """
+select repo, sha, cast(len(list_filter(regexp_split_to_array(trim(message), '\\s+'), lambda w: w <> '')) as bigint)
+  as message_words from cur
+""")
+def q_commit_transform(i):
+    """UDX1/COM11: the curated corpus with a user transform applied."""
+    return com.curate(i["commits"], None, CFG, transform=_word_counts)

@@ -147,3 +147,19 @@ def q_shifted_loss(i):
                 (-F.log(1 + F.pmod(F.col("z.tok_id"), F.lit(97)) / 97.0)).alias("logp"))
     out = tok.shifted_loss(rows, ["doc_id"])
     return out.select("doc_id", F.round("loss", 6).alias("loss"), "n_tokens")
+
+
+def _md5_word_ids(text: str) -> list[int]:
+    import hashlib
+
+    return [2 + int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % (V - 2) for w in text.split(" ")]
+
+
+@register("udx_pandas_tokenizer", ["documents"], f"""
+select doc_id, {_DIDS.format(t='text')} as input_ids from documents
+""")
+def q_pandas_tokenizer(i):
+    """UDX3: a plain Python tokenizer plugged in as an Arrow-batched pandas
+    UDF (here the same hashed-word rule, so it must equal TOK1)."""
+    t = tok.pandas_tokenizer(_md5_word_ids)
+    return i["documents"].select("doc_id", t(F.col("text")).alias("input_ids"))

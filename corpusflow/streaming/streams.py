@@ -171,3 +171,33 @@ def attempt_sessions(log: DataFrame, gap: str, watermark: str) -> DataFrame:
             .select("full_name", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
                     F.date_format("s.end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"),
                     "attempts", "successes"))
+
+
+# --- UDX4: progress callbacks ------------------------------------------------------
+
+try:  # the listener API lives in pyspark.sql.streaming
+    from pyspark.sql.streaming import StreamingQueryListener
+except ImportError:  # pragma: no cover
+    StreamingQueryListener = object
+
+
+class ProgressCallback(StreamingQueryListener):
+    """UDX4: call ``fn(query_name, batch_id, input_rows)`` after every
+    micro-batch (the streaming counterpart of a progress callback).
+    Register with ``spark.streams.addListener(ProgressCallback(fn))``."""
+
+    def __init__(self, fn):
+        self.fn = fn
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.fn(p.name, p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

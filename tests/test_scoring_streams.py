@@ -81,3 +81,21 @@ def test_snapshots(spark):
     assert snapshot.write_snapshot(df.union(df), root) == 1
     assert snapshot.read_snapshot(spark, root).count() == 2
     assert snapshot.read_snapshot(spark, root, 0).count() == 1
+
+
+def test_progress_callback(spark):
+    import time
+
+    seen = []
+    cb = st.ProgressCallback(lambda name, batch, rows: seen.append((batch, rows)))
+    spark.streams.addListener(cb)
+    try:
+        s = st.read_table_stream(spark, SF_SMALL, "events")
+        st.run_append(s.select("event_id"), st.scratch(spark, "cb"))
+        for _ in range(50):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(cb)
+    assert sum(r for _, r in seen) == 1000
