@@ -23,10 +23,15 @@ HASH_DIM = 16
 
 
 def hashed_vector(token: Column) -> Column:
-    """Default token encoder: byte i of md5(token) -> (b - 127.5) / 127.5."""
+    """Default token encoder: byte i of md5(token) -> (b - 127.5) / 127.5.
+
+    Plain expressions (no lambda) so it stays inside whole-stage codegen:
+    four 32-bit words are parsed from the hex digest and the bytes taken
+    with shifts and masks."""
     h = F.md5(token)
-    return F.transform(F.sequence(F.lit(0), F.lit(HASH_DIM - 1)), lambda d: (
-        (F.conv(F.substring(h, d * 2 + 1, 2), 16, 10).cast("double") - 127.5) / 127.5))
+    words = [F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("bigint") for j in range(HASH_DIM // 4)]
+    return F.array(*[((F.shiftright(words[d // 4], 8 * (3 - d % 4)).bitwiseAND(255)).cast("double") - 127.5) / 127.5
+                     for d in range(HASH_DIM)])
 
 
 # --- MEM6/MEM7/MEM10: tokens and chunks -----------------------------------------
@@ -42,11 +47,16 @@ def chunk_tokens(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", tex
                     .alias("chunk_idx", "tokens")))
 
 
+def token_rows(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """MEM7: one row per real token with its position (no padding rows)."""
+    return chunks.select(*keys, F.posexplode("tokens").alias("pos", "token"))
+
+
 def token_table(chunks: DataFrame, keys: list[str], encoder: Column | None = None) -> DataFrame:
     """MEM6 + MEM7: one row per real token with its position and vector.
 
     ``encoder`` maps the ``token`` column to a vector (default hashed)."""
-    t = chunks.select(*keys, F.posexplode("tokens").alias("pos", "token"))
+    t = token_rows(chunks, keys)
     enc = encoder if encoder is not None else hashed_vector(F.col("token"))
     return t.withColumn("vec", enc)
 
@@ -69,9 +79,18 @@ def pandas_encoder(fn: Callable[[pd.Series], np.ndarray], dim: int) -> Callable:
     return apply
 
 
-def summaries(tokens: DataFrame, keys: list[str], pos: str = "pos", vec: str = "vec") -> DataFrame:
+def summaries(tokens: DataFrame, keys: list[str], pos: str = "pos", vec: str = "vec",
+              encoder=None, token: str = "token") -> DataFrame:
     """MEM8: document summary = vector of the last real token (by position);
-    a document without tokens has no row (masked out)."""
+    a document without tokens has no row (masked out).
+
+    With a per-token ``encoder`` (Column -> Column) the last token is found
+    first and only it is encoded: the aggregate shuffles one string per
+    partial group instead of one vector, and the encoder runs once per
+    document instead of once per token."""
+    if encoder is not None:
+        last = tokens.groupBy(*keys).agg(F.max_by(token, pos).alias("_t"), F.count(F.lit(1)).alias("n_tokens"))
+        return last.select(*keys, encoder(F.col("_t")).alias("summary"), "n_tokens")
     return tokens.groupBy(*keys).agg(F.max_by(vec, pos).alias("summary"), F.count(F.lit(1)).alias("n_tokens"))
 
 

@@ -75,11 +75,22 @@ def pad_to(ids: Column, length: int | Column, pad: int = PAD_ID, left: bool = Fa
     return F.concat(cut, pads), F.concat(ones, zeros)
 
 
-def assign_batches(df: DataFrame, batch_size: int, order: list[Column], partition: list[str] | None = None
-                   ) -> DataFrame:
+def assign_batches(df: DataFrame, batch_size: int, order: list[Column], partition: list[str] | None = None,
+                   key: list[str] | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """TOK3: ``batch_id = (row_number - 1) div batch_size`` per partition key
-    (e.g. split), numbered without a single-partition window."""
+    (e.g. split), numbered without a single-partition window.
+
+    With a unique row ``key`` only the key and ``order_cols`` are numbered
+    and the batch ids are joined back, so wide rows (token arrays) are not
+    range-shuffled and checkpointed by the numbering."""
     keys = partition or []
+    if key:
+        cols = list(dict.fromkeys(keys + key + (order_cols or [])))
+        n = seq_number(df.select(*cols), keys, order, name="_rn")
+        ids = n.select(*dict.fromkeys(keys + key),
+                       F.floor((F.col("_rn") - 1) / batch_size).cast("bigint").alias("batch_id"),
+                       ((F.col("_rn") - 1) % batch_size).cast("int").alias("batch_pos"))
+        return df.join(ids, list(dict.fromkeys(keys + key)))
     n = seq_number(df, keys, order, name="_rn")
     return n.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
             .withColumn("batch_pos", ((F.col("_rn") - 1) % batch_size).cast("int")).drop("_rn")

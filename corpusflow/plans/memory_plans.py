@@ -53,8 +53,8 @@ select doc_id, chunk_idx, len(tokens) as n_tokens, {_VEC.format(t='tokens[-1]')}
 """)
 def q_summaries(i):
     """MEM8: chunk summary = vector of its last real token."""
-    t = mem.token_table(_chunks(i), ["doc_id", "chunk_idx"])
-    s = mem.summaries(t, ["doc_id", "chunk_idx"])
+    t = mem.token_rows(_chunks(i), ["doc_id", "chunk_idx"])
+    s = mem.summaries(t, ["doc_id", "chunk_idx"], encoder=mem.hashed_vector)
     return s.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "n_tokens", "summary")
 
 

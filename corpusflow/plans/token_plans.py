@@ -101,7 +101,7 @@ from m
 """)
 def q_batches(i):
     """TOK3 + TOK4: batches of 4, questions left-padded, chunks padded."""
-    ex = tok.assign_batches(_examples(i), BATCH, [F.col("doc_id")])
+    ex = tok.assign_batches(_examples(i), BATCH, [F.col("doc_id")], key=["doc_id"])
     col = tok.collate(ex, ["batch_id"], question_side="left")
     return col.select(
         "doc_id", "batch_id",
@@ -120,7 +120,7 @@ select doc_id, len(q) + amax as n_input, len(q) + (amax - len(a)) as n_ignored,
 def q_teacher_forcing(i):
     """TOK5: inputs = question ++ padded answer; labels ignore the question
     and the answer padding."""
-    ex = tok.assign_batches(_examples(i), BATCH, [F.col("doc_id")])
+    ex = tok.assign_batches(_examples(i), BATCH, [F.col("doc_id")], key=["doc_id"])
     col = tok.collate(ex, ["batch_id"], question_side="left")
     q = F.col("question_ids")
     ids, labels = tok.teacher_forcing(q, F.col("answer_input_ids"), F.col("answer_mask"))
