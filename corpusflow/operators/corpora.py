@@ -198,6 +198,21 @@ def filler_sentence(*key) -> X:
     return X(f"replace({s}, '{{year}}', cast(1900 + {rint(125, *key, 'year')} as string))")
 
 
+def _draw(digest: X, i: int, n: int) -> X:
+    """Draw ``i`` (0..7) of a hex digest column as an integer in ``[0, n)``."""
+    return X(f"pmod(cast(conv(substring({digest}, {4 * i + 1}, 4), 16, 10) as int), {n})")
+
+
+def filler_from_digest(digest: X) -> X:
+    """GEN2 from one precomputed md5 digest column: eight 16-bit draws pick
+    the template, the six words and the year (one md5 per sentence)."""
+    s = X(f"element_at({arr(FILLER_TEMPLATES)}, {_draw(digest, 0, len(FILLER_TEMPLATES))} + 1)")
+    for i, (tag, opts) in enumerate((("adj1", ADJECTIVES), ("adj2", ADJECTIVES), ("noun1", NOUNS),
+                                     ("noun2", NOUNS), ("verb", VERBS), ("place", PLACES)), start=1):
+        s = X(f"replace({s}, '{{{tag}}}', element_at({arr(opts)}, {_draw(digest, i, len(opts))} + 1))")
+    return X(f"replace({s}, '{{year}}', cast(1900 + {_draw(digest, 7, 125)} as string))")
+
+
 def hard_negative(*key) -> X:
     """GEN3: a needle statement with fresh values."""
     return render_template(rint(len(NEEDLE_TEMPLATES), *key, "ht"), 1, *key, "hv")
@@ -241,33 +256,49 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
     sentence is a hard negative with probability 0.2 (GEN5).  ``ambiguous``
     flags subject-less needles whose template also appears as a hard
     negative in the same example.
+
+    Sentences are generated as rows and gathered back in two bounded
+    groupings: sentences per chunk (``sentences_per_chunk + 1`` rows), then
+    chunks per example (``num_chunks`` rows); arrays of structs are read
+    back by field, without lambdas.
     """
     spc = sentences_per_chunk
     n = num_chunks if isinstance(num_chunks, Column) else F.lit(num_chunks)
     df = ids.select(F.col(id_col).alias("example_id"), n.cast("int").alias("n_chunks"))
     nd = needle(seed, _EID)
-    df = df.select("*", *[col(x).alias(k) for k, x in nd.items()],
-                   col(X(f"cast({rint(X('n_chunks'), seed, _EID, 'nc')} as int)")).alias("needle_chunk_idx"),
-                   col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
-
-    def is_hn(c, s):
-        return X(f"({unit(seed, _EID, 'hn', c, s)} < {HARD_NEGATIVE_RATE})")
-
-    c, s = var(), var()
-    sentence = (f"case when {is_hn(c, s)} then {hard_negative(seed, _EID, c, s)} "
-                f"else {filler_sentence(seed, _EID, c, s)} end")
-    base = f"transform(sequence(0, {spc - 1}), {s} -> {sentence})"
-    chunk = (f"array_join(case when {c} = needle_chunk_idx then array_insert({base}, _pos + 1, needle_text) "
-             f"else {base} end, ' ')")
-    chunks = X(f"transform(sequence(0, n_chunks - 1), {c} -> {chunk})")
-    k = var()
-    kc, ks = X(f"cast(floor({k} / {spc}) as int)"), X(f"({k} % {spc})")
-    ambiguous = X(f"(template_category = 'simple' and exists(sequence(0, n_chunks * {spc} - 1), {k} -> "
-                  f"{is_hn(kc, ks)} and {rint(len(NEEDLE_TEMPLATES), seed, _EID, kc, ks, 'ht')} = template_idx))")
-    return df.select("example_id", col(chunks).alias("context_chunks"), "needle_chunk_idx", "needle_text",
-                     "question", "answer", "template_category", "template_idx", "n_chunks",
-                     col(ambiguous).alias("ambiguous"),
-                     F.lit(None).cast("string").alias("target_key"), F.lit(None).cast("int").alias("num_entries"))
+    base = df.select("*", *[col(x).alias(k) for k, x in nd.items()],
+                     col(X(f"cast({rint(X('n_chunks'), seed, _EID, 'nc')} as int)")).alias("needle_chunk_idx"),
+                     col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
+    c, s = X("_c"), X("_s")
+    hn = X(f"({unit(seed, _EID, 'hn', c, s)} < {HARD_NEGATIVE_RATE})")
+    sentence = X(f"case when {hn} then {hard_negative(seed, _EID, c, s)} else {filler_from_digest(X('_fd'))} end")
+    hn_tpl = X(f"case when {hn} then cast({rint(len(NEEDLE_TEMPLATES), seed, _EID, c, s, 'ht')} as int) end")
+    rows = (base.select("example_id", "needle_chunk_idx", "_pos",
+                        F.explode(F.sequence(F.lit(0), F.col("n_chunks") * spc - 1)).alias("_k"))
+            .withColumn("_c", F.floor(F.col("_k") / spc).cast("int"))
+            .withColumn("_s", (F.col("_k") % spc).cast("int"))
+            .withColumn("_fd", col(X(f"md5(concat_ws(':', {lit(str(seed))}, cast(example_id as string), 'f', "
+                                     f"cast(_c as string), cast(_s as string)))")))
+            .select("example_id", "_c",
+                    # slot inside the chunk: sentences at or after the needle move one down
+                    F.when((F.col("_c") == F.col("needle_chunk_idx")) & (F.col("_s") >= F.col("_pos")),
+                           F.col("_s") + 1).otherwise(F.col("_s")).alias("_slot"),
+                    col(sentence).alias("_text"), col(hn_tpl).alias("_hn_tpl")))
+    needles = base.select("example_id", F.col("needle_chunk_idx").alias("_c"), F.col("_pos").alias("_slot"),
+                          F.col("needle_text").alias("_text"), F.lit(None).cast("int").alias("_hn_tpl"))
+    per_chunk = (rows.unionByName(needles).groupBy("example_id", "_c")
+                 .agg(F.array_sort(F.collect_list(F.struct("_slot", "_text"))).alias("_p"),
+                      F.collect_set("_hn_tpl").alias("_hn"))
+                 .select("example_id", "_c", F.array_join(F.col("_p._text"), " ").alias("_chunk"), "_hn"))
+    per_ex = (per_chunk.groupBy("example_id")
+              .agg(F.array_sort(F.collect_list(F.struct("_c", "_chunk"))).alias("_chunks"),
+                   F.array_distinct(F.flatten(F.collect_list("_hn"))).alias("_hn_tpls")))
+    j = base.join(per_ex, "example_id")
+    ambiguous = (F.col("template_category") == "simple") & F.array_contains("_hn_tpls", F.col("template_idx"))
+    return j.select("example_id", F.col("_chunks._chunk").alias("context_chunks"), "needle_chunk_idx", "needle_text",
+                    "question", "answer", "template_category", "template_idx", "n_chunks",
+                    ambiguous.alias("ambiguous"),
+                    F.lit(None).cast("string").alias("target_key"), F.lit(None).cast("int").alias("num_entries"))
 
 
 # --- GEN8: lookup examples ------------------------------------------------------
