@@ -112,6 +112,15 @@ def band_matches(snapshot: DataFrame, bands: DataFrame, exclude_forks: bool = Tr
     return snap.join(b, cond, "inner").drop("_lang")
 
 
+def band_low(stars: Column, lows: list[int]) -> Column:
+    """Band of a star count for one fixed ladder (lows high to low): a CASE
+    expression, no join needed; NULL below the floor."""
+    expr = None
+    for low in sorted(lows, reverse=True):
+        expr = F.when(stars >= low, F.lit(low)) if expr is None else expr.when(stars >= low, F.lit(low))
+    return expr
+
+
 def cap_per_band(matches: DataFrame, cap: int = SEARCH_LIMIT, keys=BAND_KEY) -> DataFrame:
     """BND5 rows: the ``cap`` highest-starred rows of each band (ties by name)."""
     w = Window.partitionBy(*keys).orderBy(F.col("stars").desc(), F.col("full_name"))
@@ -232,7 +241,10 @@ def global_census(snapshot: DataFrame, min_stars: int = 100, target: int = 10000
     # Two scalars steer the plan, as in the reference's control flow.
     broad_total = snap.count()
     n_broad = min(broad_total, cap)
-    m = band_matches(snapshot.filter(F.col("stars") >= min_stars), bands, exclude_forks, by_language=False)
+    lows = [c for c in CUT_POINTS if c >= min_stars]
+    if not lows or lows[-1] > min_stars:
+        lows.append(min_stars)
+    m = snap.withColumn("star_range_low", band_low(F.col("stars"), lows))
     top = cap_per_band(m, cap, keys=("star_range_low",))
     extra = top.join(broad.select("full_name"), "full_name", "left_anti")
     per_band = extra.groupBy("star_range_low").agg(F.count(F.lit(1)).alias("new"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusflow.operators import bands as bnd
 from corpusflow.plans.registry import register
 from corpusflow.sources.repo_json import parse_repo_json
+from corpusflow.sources.snapshot import read_snapshot, write_snapshot
+from corpusflow.streaming.streams import scratch
 
 CAP = bnd.SEARCH_LIMIT
 
@@ -143,7 +145,11 @@ _RESUME_SQL = (_SNAP_SQL + _census_sql("a", _MAIN_ONLY, 100000) + _progress_sql(
 def _resume(i):
     snap, c = _snapshot(i), i["repo_catalog"]
     first, _ = bnd.census(snap, c, _tiers(i.spark, include_niche=False, include_emerging=False), cap=CAP)
-    prog1 = bnd.mark_complete(None, first)
+    # the progress table is persisted between runs (a written table in the
+    # shared folder), which also cuts the first run's lineage
+    root = scratch(i.spark, "band_progress")
+    write_snapshot(bnd.mark_complete(None, first), root)
+    prog1 = read_snapshot(i.spark, root)
     second, sel2 = bnd.census(snap, c, _tiers(i.spark), progress=prog1, cap=CAP)
     return prog1, second, sel2
 
