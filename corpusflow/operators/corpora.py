@@ -421,7 +421,8 @@ def passage_matches(documents: DataFrame, passages: DataFrame, k: int = 6) -> Da
 
 
 def chunk_words(text: Column, words_per_chunk: int) -> Column:
-    """Split text on single spaces into chunks of ``words_per_chunk`` words."""
+    """Split text on single spaces into chunks of ``words_per_chunk`` words
+    (pass a column holding the text, so the split is not re-run per chunk)."""
     w = F.split(text, " ")
     n = F.ceil(F.size(w) / words_per_chunk).cast("int")
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),

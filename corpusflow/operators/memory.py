@@ -40,11 +40,23 @@ def chunk_tokens(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", tex
     """MEM10: documents -> ``(doc_id, chunk_idx, tokens)`` with ``chunk_len``
     whitespace tokens per chunk; a document without tokens yields none."""
     words = F.filter(F.split(F.col(text), " "), lambda w: w != "")
+    w = docs.select(key, words.alias("_w")).filter(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(chunk_len))
-    return (docs.select(key, words.alias("_w"))
-            .filter(F.size("_w") > 0)
-            .select(key, F.posexplode(F.transform(starts, lambda s: F.slice(F.col("_w"), s + 1, chunk_len)))
-                    .alias("chunk_idx", "tokens")))
+    c = w.select(key, F.transform(starts, lambda s: F.slice(F.col("_w"), s + 1, chunk_len)).alias("_c"))
+    # keep the chunk array as its own column (referenced twice), so the
+    # generator explodes a computed value instead of re-running the lambda
+    c = c.select(key, "_c", F.size("_c").alias("_n"))
+    return c.select(key, F.posexplode("_c").alias("chunk_idx", "tokens"))
+
+
+def doc_token_rows(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """MEM7 straight from text: one row per real token with its chunk and
+    position in the chunk (the same layout as ``token_rows(chunk_tokens)``),
+    exploding words once instead of building chunk arrays first."""
+    words = F.filter(F.split(F.col(text), " "), lambda w: w != "")
+    t = docs.select(key, F.posexplode(words).alias("_p", "token"))
+    return t.select(key, (F.col("_p") / chunk_len).cast("int").alias("chunk_idx"),
+                    (F.col("_p") % chunk_len).cast("int").alias("pos"), "token")
 
 
 def token_rows(chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,6 +75,16 @@ def pad_to(ids: Column, length: int | Column, pad: int = PAD_ID, left: bool = Fa
     return F.concat(cut, pads), F.concat(ones, zeros)
 
 
+def chunk_rows(df: DataFrame, keys: list[str], ids: str, chunk_len: int) -> DataFrame:
+    """One row per ``chunk_len`` slice of an id array: explode the chunk
+    starts (plain generator) and slice in a following projection, so the
+    exploded value is never a lambda result."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)), F.lit(chunk_len))
+    return (df.select(*keys, ids, F.explode(starts).alias("_start"))
+            .select(*keys, (F.col("_start") / chunk_len).cast("bigint").alias("chunk_idx"),
+                    F.slice(F.col(ids), F.col("_start") + 1, chunk_len).alias("chunk")))
+
+
 def assign_batches(df: DataFrame, batch_size: int, order: list[Column], partition: list[str] | None = None,
                    key: list[str] | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """TOK3: ``batch_id = (row_number - 1) div batch_size`` per partition key

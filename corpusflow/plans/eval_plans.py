@@ -123,8 +123,7 @@ def _passage_ranks(i, chunk_len: int = 64):
     docs, bench = i["documents"], i["benchmark"]
     m = passage_matches(docs, bench)
     d = docs.join(m.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = mem.chunk_tokens(d, chunk_len)
-    toks = mem.token_table(chunks, ["doc_id", "chunk_idx"])
+    toks = mem.doc_token_rows(d, chunk_len).withColumn("vec", mem.hashed_vector(F.col("token")))
     el = toks.select("doc_id", "chunk_idx", F.posexplode("vec").alias("d", "v"))
     cvec = el.groupBy("doc_id", "chunk_idx", "d").agg(F.avg("v").alias("v"))
     pw = bench.select("item_id", F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("token"))
@@ -218,11 +217,11 @@ wt as (select doc_id, pos, (('0x' || substr(md5(token), 1, 4))::INT + 1) / 65536
 
 
 def _weights(i):
-    chunks = mem.chunk_tokens(i["documents"], 128)
-    toks = chunks.select("doc_id", "chunk_idx", F.posexplode("tokens").alias("p", "token"))
-    return toks.select(F.col("doc_id").alias("example_id"), (F.col("chunk_idx") * 128 + F.col("p")).alias("pos"),
-                       ((F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") + 1) / 65536.0).alias("weight")), \
-        chunks.select(F.col("doc_id").alias("example_id"), "chunk_idx", F.size("tokens").alias("n_tokens"))
+    toks = mem.doc_token_rows(i["documents"], 128)
+    weights = toks.select(F.col("doc_id").alias("example_id"), (F.col("chunk_idx") * 128 + F.col("pos")).alias("pos"),
+                          ((F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") + 1) / 65536.0).alias("weight"))
+    chunks = toks.groupBy(F.col("doc_id").alias("example_id"), "chunk_idx").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return weights, chunks
 
 
 @register("tel_needle_precision", ["documents"], _WEIGHTS + """

@@ -42,7 +42,7 @@ from v group by doc_id, chunk_idx
 """)
 def q_token_table(i):
     """MEM6 + MEM7: one row per real token with its hashed vector."""
-    t = mem.token_table(_chunks(i), ["doc_id", "chunk_idx"])
+    t = mem.doc_token_rows(i["documents"], CHUNK).withColumn("vec", mem.hashed_vector(F.col("token")))
     return (t.groupBy("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"))
             .agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum(F.col("vec")[0]), 6).alias("sum_dim0"),
                  F.round(F.sum(F.col("vec")[15]), 6).alias("sum_dim15")))
@@ -53,7 +53,7 @@ select doc_id, chunk_idx, len(tokens) as n_tokens, {_VEC.format(t='tokens[-1]')}
 """)
 def q_summaries(i):
     """MEM8: chunk summary = vector of its last real token."""
-    t = mem.token_rows(_chunks(i), ["doc_id", "chunk_idx"])
+    t = mem.doc_token_rows(i["documents"], CHUNK)
     s = mem.summaries(t, ["doc_id", "chunk_idx"], encoder=mem.hashed_vector)
     return s.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "n_tokens", "summary")
 

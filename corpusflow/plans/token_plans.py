@@ -44,11 +44,10 @@ from c
 """)
 def q_pad_chunks(i):
     """TOK2: 512-token chunks padded to 512 with attention masks."""
-    d = i["documents"].select("doc_id", _chunks(_ids(F.col("text")), CHUNK).alias("_c"))
-    c = d.select("doc_id", F.posexplode("_c").alias("chunk_idx", "_ids"))
-    ids, mask = tok.pad_to(F.col("_ids"), CHUNK)
-    return c.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), ids.alias("input_ids"),
-                    mask.alias("attention_mask"))
+    d = i["documents"].select("doc_id", _ids(F.col("text")).alias("_ids"))
+    c = tok.chunk_rows(d, ["doc_id"], "_ids", CHUNK)
+    ids, mask = tok.pad_to(F.col("chunk"), CHUNK)
+    return c.select("doc_id", "chunk_idx", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 @register("tok_vocab", ["documents"], """
@@ -74,12 +73,13 @@ def q_vocab_ids(i):
 
 
 def _examples(i):
-    d = i["documents"]
-    return d.select(
-        "doc_id",
-        _chunks(_ids(F.col("text")), CHUNK).alias("context_ids"),
+    # ids are materialised before chunking: the chunk lambda must slice a
+    # column, not re-evaluate the tokenizer expression once per chunk
+    d = i["documents"].select(
+        "doc_id", _ids(F.col("text")).alias("_ids"),
         _ids(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("question_ids"),
         _ids(F.element_at(F.split(F.col("text"), "\n"), -1)).alias("answer_ids"))
+    return d.select("doc_id", _chunks(F.col("_ids"), CHUNK).alias("context_ids"), "question_ids", "answer_ids")
 
 
 _EX_SQL = f"""
