@@ -97,7 +97,7 @@ def _census_sql(p: str, tier_rows: str, target: int | None, progress: str | None
 
 def _select_sql(p: str) -> str:
     return f"""
-select t.tier, t.language, t.low as star_range_low, t.full_name, t.stars, t.rk as rank
+select t.tier, t.language, t.low as star_range_low, t.full_name, t.stars, cast(t.rk as int) as rank
 from {p}_top t join {p}_s s on s.tier = t.tier and s.language = t.language and s.star_range_low = t.low
 where s.ran
 """

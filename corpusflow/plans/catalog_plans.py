@@ -412,7 +412,7 @@ def q_validate(i):
 
 
 @register("cat_run_log", ["transition_events"], """
-select cast(ts as date) as run_id, min(ts) as started_at, max(ts) as ended_at,
+select strftime(ts, '%Y-%m-%d') as run_id, min(ts) as started_at, max(ts) as ended_at,
   count(*) filter (where action = 'discovered') as repos_discovered,
   count(*) filter (where action = 'downloaded') as repos_downloaded,
   count(*) filter (where action = 'failed') as repos_failed,
@@ -422,7 +422,7 @@ from transition_events group by 1
 def q_run_log(i):
     """CAT17: one run row per day of events, with config JSON."""
     cfg = {"target_repo_count": 100000, "max_concurrent_downloads": 10, "retry_attempts": 3}
-    return cat.run_log(i["transition_events"], F.to_date("ts"), cfg)
+    return cat.run_log(i["transition_events"], F.date_format("ts", "yyyy-MM-dd"), cfg)
 
 
 @register("snk_catalog_snapshot", ["repo_catalog", "discovered_batch"], """

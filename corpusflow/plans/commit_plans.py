@@ -68,7 +68,7 @@ def q_records(i):
 
 
 @register("com_curated", ["commits", "commit_repos"], _REC + """
-select c.repo, c.sha, len(c.files_changed) as n_files, c.additions, c.deletions, r.language
+select c.repo, c.sha, cast(len(c.files_changed) as int) as n_files, c.additions, c.deletions, r.language
 from cur c left join commit_repos r on r.full_name = c.repo
 """)
 def q_curated(i):

@@ -57,7 +57,7 @@ def q_accuracy(i):
 
 
 @register("evl_failures", ["eval_pred"], _SCORED + """
-select variant, category, example_id, rank from (
+select variant, category, example_id, cast(rank as int) as rank from (
   select *, row_number() over (partition by variant, category order by example_id) as rank
   from scored where not exact) x where rank <= 3
 """)

@@ -24,7 +24,7 @@ def _chunks(i):
 
 
 @register("mem_chunks", ["documents"], _CHUNKS_SQL + """
-select doc_id, chunk_idx, len(tokens) as n_tokens, tokens[1] as first_token, tokens[-1] as last_token from ch
+select doc_id, chunk_idx, cast(len(tokens) as int) as n_tokens, tokens[1] as first_token, tokens[-1] as last_token from ch
 """)
 def q_chunks(i):
     """MEM10: 128-token chunks of every document."""
@@ -134,7 +134,8 @@ def q_refresh(i):
 
 
 @register("mem_quantize", ["embeddings"], """
-with s as (select vec_id, embedding as e, list_max(list_transform(embedding, lambda x: abs(x))) / 127.0 as scale
+with s as (select vec_id, cast(embedding as double[]) as e,
+  list_max(list_transform(cast(embedding as double[]), lambda x: abs(x))) / 127.0 as scale
            from embeddings),
 q as (select vec_id, e, scale, case when scale > 0 then scale else 1.0 end as sf from s),
 c as (select vec_id, e, scale, sf, list_transform(e, lambda x: cast(round_even(x / sf, 0) as int)) as codes from q)

@@ -30,14 +30,14 @@ def q_classify(i):
 
 
 @register("dlo_oversize", ["repo_catalog"], """
-select full_name, format('skipped: repo size {}KB exceeds limit {}KB', size_kb, 20000) as error
+select full_name, format('skipped: repo size {}KB exceeds limit {}KB', size_kb, 5000) as error
 from (select * from repo_catalog where status = 'pending' order by stars desc, full_name limit 100) t
-where size_kb > 20000
+where size_kb > 5000
 """)
 def q_oversize(i):
-    """DLO2: of the next 100 pending repositories, those refused as oversize."""
+    """DLO2: of the next 100 pending repositories, those over 5,000 KB are refused."""
     batch = pending_batch(i["repo_catalog"], batch_size=100)
-    return out.oversize_precheck(batch, 20000)
+    return out.oversize_precheck(batch, 5000)
 
 
 @register("dlo_retry_schedule", ["download_log"], f"""
@@ -82,7 +82,7 @@ def q_clone_path(i):
 
 
 @register("rpt_crawl_summary", ["download_log"], f"""
-select cast(ts as date) as run_id, count(distinct full_name) as repos_touched,
+select strftime(ts, '%Y-%m-%d') as run_id, count(distinct full_name) as repos_touched,
   count(*) filter (where success) as downloaded,
   count(*) filter (where not success and {_CLASSIFY.format(e='error')} <> 'skip') as failed,
   count(*) filter (where not success and {_CLASSIFY.format(e='error')} = 'skip') as skipped
@@ -90,4 +90,4 @@ from download_log group by 1
 """)
 def q_crawl_summary(i):
     """RPT7: per-day crawl summary."""
-    return out.crawl_summary(i["download_log"], F.to_date("ts"))
+    return out.crawl_summary(i["download_log"], F.date_format("ts", "yyyy-MM-dd"))

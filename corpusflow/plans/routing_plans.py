@@ -86,7 +86,8 @@ def q_context(i):
 
 @register("ret_top_docs", FX, _duck_round("a", "ret_queries") + """
 , t as (select *, row_number() over (partition by group_id, query_id order by score desc, doc_id) as rank from a_s)
-select group_id, query_id, doc_id, rank, round(score / sum(score) over (partition by group_id, query_id), 6) as renorm
+select group_id, query_id, doc_id, cast(rank as int) as rank,
+  round(score / sum(score) over (partition by group_id, query_id), 6) as renorm
 from t where rank <= 5
 """)
 def q_top_docs(i):
@@ -126,7 +127,7 @@ def q_fine_doc_mass(i):
 
 
 @register("ret_top_tokens", FX, _FINE_SQL + """
-select group_id, query_id, cast(head as int) as head, doc_id, tok_pos, rank from (
+select group_id, query_id, cast(head as int) as head, doc_id, cast(tok_pos as int) as tok_pos, cast(rank as int) as rank from (
   select *, row_number() over (partition by group_id, query_id, pos, head order by p desc, doc_id, tok_pos) as rank
   from fp) x where rank <= 6
 """)

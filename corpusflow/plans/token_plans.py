@@ -95,8 +95,9 @@ m as (select *, max(n_chunks) over (partition by batch_id) as cmax, max(len(q))
 
 
 @register("tok_batches", ["documents"], _EX_SQL + """
-select doc_id, batch_id, cmax as n_chunks, lmax as chunk_len, qmax as question_len, amax as answer_len,
-  len(ids) as context_tokens, case when len(q) < qmax then 0 else 1 end as question_first_mask
+select doc_id, batch_id, cast(cmax as int) as n_chunks, cast(lmax as int) as chunk_len, cast(qmax as int) as question_len,
+  cast(amax as int) as answer_len, cast(len(ids) as int) as context_tokens,
+  case when len(q) < qmax then 0 else 1 end as question_first_mask
 from m
 """)
 def q_batches(i):
@@ -114,7 +115,7 @@ def q_batches(i):
 
 
 @register("tok_teacher_forcing", ["documents"], _EX_SQL + """
-select doc_id, len(q) + amax as n_input, len(q) + (amax - len(a)) as n_ignored,
+select doc_id, cast(len(q) + amax as int) as n_input, cast(len(q) + (amax - len(a)) as int) as n_ignored,
   cast(list_sum(a) as bigint) as label_sum from m
 """)
 def q_teacher_forcing(i):
