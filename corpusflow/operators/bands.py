@@ -258,3 +258,19 @@ def global_census(snapshot: DataFrame, min_stars: int = 100, target: int = 10000
     picked = extra.join(F.broadcast(ran), "star_range_low", "left_semi").select("full_name", "stars")
     union = broad.unionByName(picked)
     return union.orderBy(F.col("stars").desc(), F.col("full_name")).limit(target)
+
+
+def refresh(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress: DataFrame | None,
+            cap: int = SEARCH_LIMIT, target: int | None = 100000) -> tuple[DataFrame, DataFrame]:
+    """BND11 refresh mode: clear all progress, re-run the whole census
+    without resume and upsert the returned rows into the catalog (new names
+    pending, known names get fresh metadata).  Returns ``(catalog, progress)``."""
+    from corpusflow.operators.catalog import upsert
+
+    cleared = None if progress is None else clear_progress(progress)[0]
+    summary, selected = census(snapshot, catalog, tiers, progress=cleared, cap=cap, target=target, resume=False)
+    meta = [c for c in ("stars", "language", "license_key", "size_kb", "default_branch", "fork", "archived",
+                        "updated_at") if c in snapshot.columns]
+    batch = (selected.select("full_name", "rank").join(snapshot.select("full_name", *meta), "full_name")
+             .withColumnRenamed("rank", "arrival"))
+    return upsert(catalog, batch), mark_complete(cleared, summary)

@@ -259,3 +259,20 @@ def q_ladder_used(i):
     lad = bnd.ladder(_tiers(i.spark))
     return lad.join(snap, "language", "left_semi").select(
         "tier", "language", "band_ord", "star_range_low", "star_range_high")
+
+
+@register("bnd_refresh", ["raw_repo_json", "repo_catalog"], _SNAP_SQL + _census_sql("a", _FULL, 100000) + """
+, sel as (select distinct t.full_name from a_top t join a_s s on s.tier = t.tier and s.language = t.language
+          and s.star_range_low = t.low where s.ran)
+select is_new, count(*) as n from (
+  select false as is_new from repo_catalog
+  union all select true from sel where full_name not in (select full_name from repo_catalog)) x
+group by is_new
+""")
+def q_refresh(i):
+    """BND11 refresh mode: progress cleared, full census re-run, results
+    upserted; catalog rows by new / existing."""
+    _, second, _ = _resume(i)
+    prog = bnd.mark_complete(None, second)
+    cat2, _ = bnd.refresh(_snapshot(i), i["repo_catalog"], _tiers(i.spark), prog, cap=CAP)
+    return cat2.groupBy("is_new").agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,10 @@ class Inputs:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict = {}
+        # event-time rules (windows, date keys, timestamp parsing) are
+        # defined in UTC, like the oracle
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getitem__(self, name: str) -> DataFrame:
         return fixture(self.spark, self.sf_dir, name, self._cache)
