@@ -396,24 +396,32 @@ def prompt_format(df: DataFrame) -> DataFrame:
 
 # --- GEN13: real text --------------------------------------------------------------
 
-def passage_matches(documents: DataFrame, passages: DataFrame, k: int = 6) -> DataFrame:
+def passage_matches(documents: DataFrame, passages: DataFrame, k: int = 6, bucket: int = 512) -> DataFrame:
     """Documents that contain a passage verbatim (``doc_id, item_id, offset``).
 
     Equi-join on the hash of a passage's first ``k`` words against the hash
     of every ``k``-word shingle of the documents (no cross product); the
-    candidates are then verified with ``instr`` on the whole texts.  Shingles
-    come from ``posexplode`` + ``lead`` over one document's words (the
-    window group is a single document row).  The passage side is small at
-    runtime, so AQE broadcasts it after measuring it.
+    candidates are then verified with ``instr`` on the whole texts.
+
+    Shingles come from ``lead`` over word positions inside buckets of
+    ``bucket`` words (the first ``k - 1`` words of a bucket are copied to the
+    previous one), so even a document holding a large share of the corpus
+    is spread over many window groups of bounded size.  The passage side is
+    small at runtime, so AQE broadcasts it after measuring it.
     """
     from pyspark.sql import Window
 
     p = passages.select("item_id", F.col("text").alias("passage"),
                         F.xxhash64(F.array_join(F.slice(F.split("text", " "), 1, k), " ")).alias("_h"))
     w = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("_pos", "_w"))
-    win = Window.partitionBy("doc_id").orderBy("_pos")
-    sh = w.select("doc_id", F.xxhash64(F.concat_ws(" ", "_w", *[F.lead("_w", i).over(win) for i in range(1, k)]))
-                  .alias("_h"))
+    own = w.withColumn("_b", F.floor(F.col("_pos") / bucket))
+    tail = (w.filter((F.col("_pos") % bucket < k - 1) & (F.col("_pos") >= bucket))
+            .withColumn("_b", F.floor(F.col("_pos") / bucket) - 1))
+    win = Window.partitionBy("doc_id", "_b").orderBy("_pos")
+    sh = (own.unionByName(tail)
+          .select("doc_id", "_b", "_pos",
+                  F.xxhash64(F.concat_ws(" ", "_w", *[F.lead("_w", i).over(win) for i in range(1, k)])).alias("_h"))
+          .filter(F.floor(F.col("_pos") / bucket) == F.col("_b")))
     cand = sh.join(p, "_h").select("doc_id", "item_id", "passage").distinct()
     full = cand.join(documents.select("doc_id", "text"), "doc_id")
     return (full.withColumn("offset", F.instr(F.col("text"), F.col("passage")))
