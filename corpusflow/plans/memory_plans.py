@@ -149,3 +149,32 @@ def q_quantize(i):
     codes, scale, deq = mem.quantize(F.col("embedding"), bits=8)
     mx, _ = mem.quantization_error(F.col("embedding"), deq)
     return e.select("vec_id", codes.alias("codes"), F.round(scale, 9).alias("scale"), F.round(mx, 9).alias("max_err"))
+
+
+def _md5_vectors(tokens):
+    """Python twin of the hashed encoder (one md5 per token)."""
+    import hashlib
+
+    import numpy as np
+
+    out = np.empty((len(tokens), mem.HASH_DIM))
+    for r, t in enumerate(tokens):
+        out[r] = (np.frombuffer(hashlib.md5(t.encode("utf-8")).digest(), dtype=np.uint8)[: mem.HASH_DIM] - 127.5) / 127.5
+    return out
+
+
+@register("udx_pandas_encoder", ["documents"], _CHUNKS_SQL + f"""
+, t as (select doc_id, chunk_idx, unnest(tokens) as token from ch)
+, v as (select doc_id, chunk_idx, {_VEC.format(t='token')} as vec from t)
+select doc_id, chunk_idx, count(*) as n_tokens, round(sum(vec[1]), 6) as sum_dim0, round(sum(vec[16]), 6) as sum_dim15
+from v group by doc_id, chunk_idx
+""")
+def q_pandas_encoder(i):
+    """UDX3 / MEM6: token vectors from a plugged-in encoder applied to Arrow
+    batches with mapInPandas (here the Python twin of the hashed encoder, so
+    it must equal MEM6/MEM7)."""
+    enc = mem.pandas_encoder(_md5_vectors, mem.HASH_DIM)
+    t = enc(mem.doc_token_rows(i["documents"], CHUNK))
+    return (t.groupBy("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"))
+            .agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum(F.col("vec")[0]), 6).alias("sum_dim0"),
+                 F.round(F.sum(F.col("vec")[15]), 6).alias("sum_dim15")))
