@@ -13,13 +13,26 @@ from pyspark.sql import functions as F
 LOG_EPS = 1e-8
 
 
-def epoch_means(metrics: DataFrame) -> DataFrame:
+def _rounded_ratio(units: Column, count: Column, unit_digits: int, digits: int) -> Column:
+    """``units / 10^unit_digits / count`` rounded half away from zero to
+    ``digits`` decimals with integer arithmetic (exact, order-independent)."""
+    d = count * (10 ** (unit_digits - digits))
+    q = F.floor((F.abs(units) * 2 + d) / (d * 2))
+    return F.signum(units) * q / float(10 ** digits)
+
+
+def epoch_means(metrics: DataFrame, digits: int = 6) -> DataFrame:
     """TEL1: per epoch and metric, the reference's mean over *all* steps of
-    the epoch and the mean over the steps that logged the metric."""
+    the epoch and the mean over the steps that logged the metric.
+
+    Values are summed as exact integers of 1e-8 units, so the means do not
+    depend on the order in which partitions are combined."""
+    units = F.round(F.col("value") * 1e8).cast("bigint")
     steps = metrics.groupBy("epoch").agg(F.countDistinct("step").alias("_steps"))
-    per = metrics.groupBy("epoch", "name").agg(F.sum("value").alias("_sum"), F.avg("value").alias("mean_over_logged"))
+    per = metrics.groupBy("epoch", "name").agg(F.sum(units).alias("_u"), F.count("value").alias("_n"))
     return per.join(steps, "epoch").select(
-        "epoch", "name", (F.col("_sum") / F.col("_steps")).alias("mean_over_steps"), "mean_over_logged")
+        "epoch", "name", _rounded_ratio(F.col("_u"), F.col("_steps"), 8, digits).alias("mean_over_steps"),
+        _rounded_ratio(F.col("_u"), F.col("_n"), 8, digits).alias("mean_over_logged"))
 
 
 def step_table(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -87,9 +100,12 @@ def routing_losses(scores: DataFrame, batch: list[str], doc_index: str, head: st
 
 def run_sanity(steps: DataFrame, loss: str = "loss", gate: str = "gate_value", grad: str = "grad_norm") -> DataFrame:
     """TEL7: first vs last loss and gate, mean gradient norm, NaN check, flags."""
+    def logged(c):  # order by step among the steps that logged the metric
+        return F.when(F.col(c).isNotNull(), F.col("step"))
+
     s = steps.agg(
-        F.min_by(loss, "step").alias("first_loss"), F.max_by(loss, "step").alias("last_loss"),
-        F.min_by(gate, "step").alias("first_gate"), F.max_by(gate, "step").alias("last_gate"),
+        F.min_by(loss, logged(loss)).alias("first_loss"), F.max_by(loss, logged(loss)).alias("last_loss"),
+        F.min_by(gate, logged(gate)).alias("first_gate"), F.max_by(gate, logged(gate)).alias("last_gate"),
         F.avg(grad).alias("mean_grad_norm"),
         F.bool_or(F.isnan(F.col(loss)) | F.isnan(F.col(grad))).alias("any_nan"))
     return s.withColumn("loss_decreased", F.col("last_loss") < F.col("first_loss")) \

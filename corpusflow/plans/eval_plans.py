@@ -160,15 +160,16 @@ def q_eval_report(i):
 
 @register("tel_epoch_means", ["step_metric"], """
 with s as (select epoch, count(distinct step) as steps from step_metric group by epoch)
-select m.epoch, m.name, round(sum(m.value) / max(s.steps), 6) as mean_over_steps,
-  round(avg(m.value), 6) as mean_over_logged
+select m.epoch, m.name,
+  sign(sum(cast(round(m.value * 1e8) as bigint))) * floor((abs(sum(cast(round(m.value * 1e8) as bigint))) * 2
+    + max(s.steps) * 100) / (max(s.steps) * 200)) / 1000000.0 as mean_over_steps,
+  sign(sum(cast(round(m.value * 1e8) as bigint))) * floor((abs(sum(cast(round(m.value * 1e8) as bigint))) * 2
+    + count(m.value) * 100) / (count(m.value) * 200)) / 1000000.0 as mean_over_logged
 from step_metric m join s using (epoch) group by m.epoch, m.name
 """)
 def q_epoch_means(i):
     """TEL1: per-epoch means over all steps and over logged steps."""
-    out = tel.epoch_means(i["step_metric"])
-    return out.select("epoch", "name", _r6(F.col("mean_over_steps")).alias("mean_over_steps"),
-                      _r6(F.col("mean_over_logged")).alias("mean_over_logged"))
+    return tel.epoch_means(i["step_metric"], digits=6)
 
 
 _STEPS = """

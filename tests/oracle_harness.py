@@ -21,6 +21,7 @@ import duckdb  # noqa: E402
 from corpusflow.sources.tables import TABLES  # noqa: E402
 
 FLOAT_DIGITS = 6
+STRICT = bool(os.environ.get("ORACLE_STRICT"))  # compare floats bit for bit
 
 
 def norm(v):
@@ -29,7 +30,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, FLOAT_DIGITS) + 0.0
+        return v + 0.0 if STRICT else round(v, FLOAT_DIGITS) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), FLOAT_DIGITS) + 0.0
     if isinstance(v, dt.datetime):
