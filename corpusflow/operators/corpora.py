@@ -228,6 +228,32 @@ def needle(seed, example_id: X, salt: str = "needle") -> dict[str, X]:
             "template_category": X(f"element_at({cats}, cast({t} + 1 as int))")}
 
 
+def with_needle(df: DataFrame, seed, id_col: str = "example_id", salt: str = "needle") -> DataFrame:
+    """GEN4 as columns: the slot values of the example are computed once
+    (one column per slot kind) and the statement, question and answer are
+    rendered from them, so the three fields share values and the plan
+    carries one copy of each value expression instead of three."""
+    eid = X(id_col)
+    key = (seed, eid, salt, "v")
+    t = rint(len(NEEDLE_TEMPLATES), seed, eid, salt, "t")
+    vals = df.select("*", col(X(f"cast({t} as int)")).alias("template_idx"),
+                     *[col(slot_value(k, *key)).alias(f"_v_{k}") for k in SLOT_KINDS])
+
+    def render_cols(field: int) -> X:
+        whens = []
+        for i, tpl in enumerate(NEEDLE_TEMPLATES):
+            parts = [p for p in re.split(r"(\{\w+\})", tpl[field]) if p]
+            body = "concat(" + ", ".join(f"_v_{p[1:-1]}" if p.startswith("{") else lit(p) for p in parts) + ")"
+            whens.append(f"when {i} then {body}")
+        return X(f"case template_idx {' '.join(whens)} end")
+
+    cats = arr([tpl[0] for tpl in NEEDLE_TEMPLATES])
+    out = vals.select("*", col(render_cols(1)).alias("needle_text"), col(render_cols(2)).alias("question"),
+                      col(render_cols(3)).alias("answer"),
+                      col(X(f"element_at({cats}, template_idx + 1)")).alias("template_category"))
+    return out.drop(*[f"_v_{k}" for k in SLOT_KINDS])
+
+
 # --- GEN7: curricula (UDX2: schedules are Column -> Column) --------------------
 
 def linear_curriculum(index: Column, total: int, lo: int, hi: int) -> Column:
@@ -265,10 +291,9 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
     spc = sentences_per_chunk
     n = num_chunks if isinstance(num_chunks, Column) else F.lit(num_chunks)
     df = ids.select(F.col(id_col).alias("example_id"), n.cast("int").alias("n_chunks"))
-    nd = needle(seed, _EID)
-    base = df.select("*", *[col(x).alias(k) for k, x in nd.items()],
-                     col(X(f"cast({rint(X('n_chunks'), seed, _EID, 'nc')} as int)")).alias("needle_chunk_idx"),
-                     col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
+    base = with_needle(df, seed).select(
+        "*", col(X(f"cast({rint(X('n_chunks'), seed, _EID, 'nc')} as int)")).alias("needle_chunk_idx"),
+        col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
     c, s = X("_c"), X("_s")
     hn = X(f"({unit(seed, _EID, 'hn', c, s)} < {HARD_NEGATIVE_RATE})")
     sentence = X(f"case when {hn} then {hard_negative(seed, _EID, c, s)} else {filler_from_digest(X('_fd'))} end")
@@ -462,8 +487,7 @@ def plant_facts(documents: DataFrame, seed: int, words_per_chunk: int = 64) -> D
     """GEN13 (planting): a generated needle statement is inserted between
     two chunks of a real document at a hashed chunk position."""
     chunks = chunk_words(F.col("text"), words_per_chunk)
-    nd = needle(seed, X("doc_id"), "plant")
-    df = documents.select("doc_id", chunks.alias("_c"), *[col(x).alias(k) for k, x in nd.items()])
+    df = with_needle(documents.select("doc_id", chunks.alias("_c")), seed, "doc_id", "plant")
     pos = col(X(f"cast({rint(X('size(_c)'), seed, X('doc_id'), 'plant_pos')} as int)"))
     df = df.withColumn("needle_chunk_idx", pos)
     planted = F.transform("_c", lambda c, i: F.when(i == F.col("needle_chunk_idx"),
