@@ -444,3 +444,20 @@ def q_catalog_snapshot(i):
     nxt = cat.upsert(read_snapshot(i.spark, root), i["discovered_batch"], now=F.lit(NOW_TS))
     v = write_snapshot(nxt, root, sort_within=("status", "stars"))
     return read_snapshot(i.spark, root, v).select("full_name", "stars", "status")
+
+
+@register("sel_pending_snapshot", ["repo_catalog"], f"""
+select {_META} from repo_catalog
+where status = 'pending' and (size_kb is null or size_kb <= 20000)
+order by stars desc, full_name limit 100
+""")
+def q_pending_snapshot(i):
+    """SEL1 on the stored catalog: the snapshot is partitioned by status and
+    sorted by stars inside files, so the status filter prunes partitions and
+    the size filter is pushed into the Parquet scan."""
+    from corpusflow.sources.snapshot import read_snapshot, write_snapshot
+    from corpusflow.streaming.streams import scratch
+
+    root = scratch(i.spark, "catalog_by_status")
+    write_snapshot(i["repo_catalog"], root, partition_by=("status",), sort_within=("stars",))
+    return sel.pending_batch(read_snapshot(i.spark, root), batch_size=100, max_size_kb=20000)
