@@ -11,23 +11,40 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.ordering import seq_number
 
-# Download job defaults.
+# --- fixed values ----------------------------------------------------------
+# Download job defaults.
 CLONE_TIMEOUT_SECONDS = 3600
 RETRY_ATTEMPTS = 3
 RETRY_DELAY_SECONDS = 60
+# Failure classification, first match wins: (action, any of, all of) over the
+# lower-cased error text; no match -> "retry".
+FAILURE_RULES = (
+    ("skip", ("repository not found", "404"), ()),
+    ("skip", ("repository moved", "301"), ()),
+    ("retry_extended", ("timeout",), ()),
+    ("retry_later", ("could not read", "ssl"), ()),
+    ("retry_later", (), ("remote: ", "error")),
+    ("skip", ("does not exist", "not found"), ()),
+)
+SKIP_PREFIX = "skipped: "
+OVERSIZE_MESSAGE = "skipped: repo size %dKB exceeds limit %dKB"
+# ---------------------------------------------------------------------------
 
 
 def classify_error(error: Column) -> Column:
-    """DLO1: first matching rule on the lower-cased message wins."""
+    """DLO1: first matching rule of FAILURE_RULES on the lower-cased message."""
     e = F.lower(F.coalesce(error, F.lit("")))
-    has = e.contains
-    return (F.when(has("repository not found") | has("404"), "skip")
-            .when(has("repository moved") | has("301"), "skip")
-            .when(has("timeout"), "retry_extended")
-            .when(has("could not read") | has("ssl"), "retry_later")
-            .when(has("remote: ") & has("error"), "retry_later")
-            .when(has("does not exist") | has("not found"), "skip")
-            .otherwise("retry"))
+    expr = None
+    for action, any_of, all_of in FAILURE_RULES:
+        cond = None
+        if any_of:
+            for t in any_of:
+                cond = e.contains(t) if cond is None else cond | e.contains(t)
+        else:
+            for t in all_of:
+                cond = e.contains(t) if cond is None else cond & e.contains(t)
+        expr = F.when(cond, action) if expr is None else expr.when(cond, action)
+    return expr.otherwise("retry")
 
 
 def oversize_precheck(repos: DataFrame, max_size_kb: int | None) -> DataFrame:
@@ -36,7 +53,7 @@ def oversize_precheck(repos: DataFrame, max_size_kb: int | None) -> DataFrame:
         return repos.limit(0).select("full_name", F.lit(None).cast("string").alias("error"))
     big = repos.filter(F.col("size_kb") > max_size_kb)
     return big.select("full_name", F.format_string(
-        "skipped: repo size %dKB exceeds limit %dKB", F.col("size_kb"), F.lit(max_size_kb)).alias("error"))
+        OVERSIZE_MESSAGE, F.col("size_kb"), F.lit(max_size_kb)).alias("error"))
 
 
 def retry_schedule(log: DataFrame, timeout: int = CLONE_TIMEOUT_SECONDS, attempts: int = RETRY_ATTEMPTS,
@@ -56,7 +73,7 @@ def retry_schedule(log: DataFrame, timeout: int = CLONE_TIMEOUT_SECONDS, attempt
         F.when(terminal, F.lit(None).cast("bigint"))
         .when(F.col("action") == "retry_extended", F.lit(delay).cast("bigint"))
         .otherwise(F.col("attempt") * delay).cast("bigint").alias("next_delay_s"),
-        F.when(F.col("action") == "skip", F.concat(F.lit("skipped: "), F.coalesce("error", F.lit("unknown"))))
+        F.when(F.col("action") == "skip", F.concat(F.lit(SKIP_PREFIX), F.coalesce("error", F.lit("unknown"))))
         .when(terminal & ~F.col("success"), F.coalesce("error", F.lit("unknown")))
         .alias("recorded_error"))
 
