@@ -56,14 +56,16 @@ def needle_precision(weights: DataFrame, chunks: DataFrame, needles: DataFrame,
                      ) -> DataFrame:
     """TEL4: attention mass on the needle chunk's token span.
 
-    Spans come from cumulative chunk lengths (a window over one example's
-    chunks); only the needle span is joined to the positions (one span per
-    example, no position x chunk pairs)."""
-    w = Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    spans = chunks.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))) \
-                  .withColumn("end", F.col("start") + F.col("n_tokens"))
-    span = spans.join(needles.select(key, F.col("needle_chunk_idx").alias("chunk_idx")), [key, "chunk_idx"]) \
-                .select(key, "start", "end")
+    The span starts after the tokens of all earlier chunks: a conditional
+    sum per example (an aggregate, so an example with very many chunks is
+    still combined map-side); only that one span is joined to the
+    positions (no position x chunk pairs)."""
+    nd = needles.select(key, F.col("needle_chunk_idx").alias("_nc"))
+    span = (chunks.join(nd, key)
+            .groupBy(key).agg(
+                F.coalesce(F.sum(F.when(F.col("chunk_idx") < F.col("_nc"), F.col("n_tokens"))), F.lit(0)).alias("start"),
+                F.sum(F.when(F.col("chunk_idx") == F.col("_nc"), F.col("n_tokens"))).alias("_len"))
+            .select(key, "start", (F.col("start") + F.col("_len")).alias("end")))
     j = weights.join(span, key)
     return j.groupBy(key).agg(
         (F.sum(F.when((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), F.col("weight"))

@@ -136,13 +136,44 @@ def _passage_ranks(i, chunk_len: int = 64):
         "doc_id", "item_id",
         F.floor(F.size(F.filter(F.split(F.substring(F.col("text"), F.lit(1), F.col("offset") - 1), " "),
                                 lambda w: w != "")) / chunk_len).cast("int").alias("needle_chunk"))
-    ranked = ret.top_k(scores.withColumnRenamed("chunk_idx", "doc_chunk"), 1 << 30, ["doc_id", "item_id"],
-                       score="score", tie="doc_chunk")
-    r = ranked.join(needle, ["doc_id", "item_id"]).filter(F.col("doc_chunk") == F.col("needle_chunk"))
-    return r.select("doc_id", "item_id", F.col("rank").alias("needle_rank"))
-
-
-@register("evl_hit_rate", ["documents", "benchmark"])
+    # rank of the needle chunk = 1 + chunks scored higher (ties by chunk
+    # index): a conditional count per (document, passage), no window
+    target = scores.join(needle, ["doc_id", "item_id"]).filter(F.col("chunk_idx") == F.col("needle_chunk")) \
+        .select("doc_id", "item_id", F.col("score").alias("_ns"), "needle_chunk")
+    better = (F.col("score") > F.col("_ns")) | ((F.col("score") == F.col("_ns")) & (F.col("chunk_idx") < F.col("needle_chunk")))
+    return scores.join(target, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(
+        (F.count_if(better) + 1).alias("needle_rank"))
+
+
+_V = ("list_transform(range(16), lambda d: (('0x' || substr(md5({t}), cast(d * 2 + 1 as int), 2))::INT - 127.5)"
+      " / 127.5)")
+
+
+@register("evl_hit_rate", ["documents", "benchmark"], f"""
+with m as (select d.doc_id, b.item_id, instr(d.text, b.text) as pos, d.text
+           from documents d join benchmark b on contains(d.text, b.text)),
+dw as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as words from documents
+       where doc_id in (select doc_id from m)),
+t as (select doc_id, unnest(words) as token, generate_subscripts(words, 1) - 1 as p from dw),
+tv as (select doc_id, p // 64 as chunk_idx, {_V.format(t='token')} as vec from t),
+el as (select doc_id, chunk_idx, unnest(vec) as v, generate_subscripts(vec, 1) as d from tv),
+cvec as (select doc_id, chunk_idx, d, avg(v) as v from el group by all),
+pw as (select item_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) as token from benchmark),
+pv as (select item_id, {_V.format(t='token')} as vec from pw),
+pel as (select item_id, unnest(vec) as v, generate_subscripts(vec, 1) as d from pv),
+qvec as (select item_id, d, avg(v) as qv from pel group by all),
+sc as (select m.doc_id, m.item_id, c.chunk_idx, sum(c.v * q.qv) as score
+       from m join cvec c on c.doc_id = m.doc_id join qvec q on q.item_id = m.item_id and q.d = c.d group by all),
+nd as (select doc_id, item_id,
+         len(list_filter(string_split(substr(text, 1, pos - 1), ' '), lambda x: x <> '')) // 64 as needle_chunk from m),
+tg as (select s.doc_id, s.item_id, s.score as ns, n.needle_chunk from sc s join nd n using (doc_id, item_id)
+       where s.chunk_idx = n.needle_chunk),
+rk as (select s.doc_id, s.item_id, count(*) filter (where s.score > g.ns or (s.score = g.ns and s.chunk_idx < g.needle_chunk))
+         + 1 as needle_rank from sc s join tg g using (doc_id, item_id) group by all)
+select avg(case when needle_rank <= 1 then 1.0 else 0.0 end) as hit_at_1,
+  avg(case when needle_rank <= 3 then 1.0 else 0.0 end) as hit_at_3,
+  avg(case when needle_rank <= 5 then 1.0 else 0.0 end) as hit_at_5, count(*) as queries from rk
+""")
 def q_hit_rate(i):
     """EVL9: rank of the passage's chunk among the document's chunks when
     scored with hashed bag-of-words vectors; hit rate at 1 / 3 / 5."""
