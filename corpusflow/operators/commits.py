@@ -44,7 +44,8 @@ def parse_log_lines(lines: DataFrame, col: str = "log_line") -> tuple[DataFrame,
         F.when(F.col("_p")[1] == "", F.lit(None)).otherwise(parents[0]).alias("parent_sha"),
         F.col("_p")[2].alias("author"),
         F.col("_p")[3].alias("authored_at"),
-        F.to_timestamp(F.col("_p")[3], "yyyy-MM-dd'T'HH:mm:ssXXX").alias("authored_ts"),
+        # a malformed date (e.g. fields shifted by a bar in the author) gives NULL, not a failed job
+        F.try_to_timestamp(F.col("_p")[3], F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")).alias("authored_ts"),
         F.col("_p")[4].alias("message"))
     bad = p.filter(~ok).drop("_p")
     return good, bad

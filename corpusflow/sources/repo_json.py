@@ -10,7 +10,7 @@ from corpusflow.schemas import RAW_REPO
 
 def _iso_ts(c):
     # API timestamps end in 'Z'; treat it as +00:00 (session zone is UTC).
-    return F.to_timestamp(F.regexp_replace(c, "Z$", "+00:00"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
 def parse_repo_json(df: DataFrame, col: str = "value") -> DataFrame:
