@@ -37,9 +37,22 @@ def q_status_fold(i):
         "commit_count", F.coalesce("is_new_unused", F.lit(True)).alias("is_new_unused"))
 
 
-@register("str_stuck_timeout", ["repo_catalog", "transition_events"])
+_STUCK_SQL = _TRANSITIONS_SQL.replace("select coalesce(c.full_name, a.full_name) as full_name,", """, folded as (
+select coalesce(c.full_name, a.full_name) as full_name,""") + """)
+select full_name,
+  case when status = 'downloading'
+        and download_started_at < (select max(ts) from transition_events) - interval 120 minute
+       then 'pending' else status end as status,
+  failure_count
+from folded
+"""
+
+
+@register("str_stuck_timeout", ["repo_catalog", "transition_events"], _STUCK_SQL)
 def q_stuck_timeout(i):
-    """STR2: the fold plus a 120-minute stuck-download reset per epoch."""
+    """STR2: the fold plus a 120-minute stuck-download reset per epoch; the
+    clock is the epoch's latest event time (the input lands as one file,
+    hence one epoch)."""
     events = _stream_fixture(i, "transition_events", "events")
     out = st.status_fold(events, i["repo_catalog"], st.scratch(i.spark, "stuck"), timeout_minutes=120)
     return out.select("full_name", "status", "failure_count")
