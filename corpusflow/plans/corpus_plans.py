@@ -141,7 +141,21 @@ def q_planted(i):
     return ex.select("example_id", "needle_chunk_idx", "template_category")
 
 
-@register("gen_negatives", ["documents", "benchmark"])
+@register("gen_negatives", ["documents", "benchmark"], f"""
+with docs as (select doc_id, row_number() over (order by doc_id) as didx from documents),
+nn as (select count(*) as n from documents),
+rel as (select distinct b.item_id as question_id, d.doc_id from documents d join benchmark b on contains(d.text, b.text)),
+rc as (select question_id, count(*) as r from rel group by all),
+q as (select b.item_id as question_id, coalesce(rc.r, 0) as r from benchmark b left join rc on rc.question_id = b.item_id),
+c as (select q.question_id, unnest(range(least(q.r + 5, nn.n))) as j,
+        {_duck_h("'42'", "cast(q.question_id as varchar)", "'neg'")} % nn.n as start,
+        2305843009213693951 % nn.n as step, nn.n as n from q, nn),
+cd as (select c.question_id, c.j, docs.doc_id from c join docs on docs.didx = (c.start + c.j * c.step) % c.n + 1),
+keep as (select * from cd where not exists (select 1 from rel where rel.question_id = cd.question_id
+                                            and rel.doc_id = cd.doc_id))
+select question_id, doc_id, cast(rank as int) as rank from (
+  select *, row_number() over (partition by question_id order by j) as rank from keep) x where rank <= 5
+""")
 def q_negatives(i):
     """GEN14: 5 documents without the passage for every benchmark item."""
     rel = gen.passage_matches(i["documents"], i["benchmark"]).select(
