@@ -254,6 +254,45 @@ def with_needle(df: DataFrame, seed, id_col: str = "example_id", salt: str = "ne
     return out.drop(*[f"_v_{k}" for k in SLOT_KINDS])
 
 
+POOL_SIZE = 4096
+
+
+def _slot_kinds(template: str) -> list[str]:
+    return [p[1:-1] for p in re.findall(r"\{\w+\}", template)]
+
+
+def value_pool(spark, seed: int, size: int = POOL_SIZE) -> DataFrame:
+    """Fixed-size pool of typed values for hard negatives: ``size`` values
+    per slot kind (20 kinds), a pure function of (seed, kind, index).  Its
+    size is a parameter, not data, so broadcasting it is bounded."""
+    kinds = arr(SLOT_KINDS)
+    rows = spark.range(size).select(F.col("id").alias("pool_idx"), F.explode(col(kinds)).alias("kind"))
+    whens = " ".join(f"when '{k}' then {slot_value(k, seed, 'pool', X('pool_idx'))}" for k in SLOT_KINDS)
+    return rows.select("kind", "pool_idx", col(X(f"case kind {whens} end")).alias("value"))
+
+
+def hard_negatives_from_pool(rows: DataFrame, pool: DataFrame, seed: int, size: int = POOL_SIZE) -> DataFrame:
+    """GEN3 for many sentences at once: template by hash, each slot value
+    drawn from the value pool by a hashed index (three broadcast equi-joins
+    on (kind, index)); rendering is plain ``replace`` (whole-stage codegen).
+    ``rows`` needs ``example_id, _c, _s``; adds ``_text`` and ``_hn_tpl``."""
+    kinds = [(_slot_kinds(t[1]) + [None, None, None])[:3] for t in NEEDLE_TEMPLATES]
+    t = X(f"cast({rint(len(NEEDLE_TEMPLATES), seed, _EID, X('_c'), X('_s'), 'ht')} as int)")
+    df = rows.withColumn("_hn_tpl", col(t))
+    for i in range(3):
+        opts = "array(" + ", ".join(lit(k[i]) if k[i] else "cast(null as string)" for k in kinds) + ")"
+        df = (df.withColumn(f"_k{i}", col(X(f"element_at({opts}, _hn_tpl + 1)")))
+              .withColumn(f"_i{i}", col(rint(size, seed, _EID, X('_c'), X('_s'), 'hp', i))))
+        p = F.broadcast(pool.select(F.col("kind").alias(f"_k{i}"), F.col("pool_idx").alias(f"_i{i}"),
+                                    F.col("value").alias(f"_v{i}")))
+        df = df.join(p, [f"_k{i}", f"_i{i}"], "left")
+    text = col(X(f"element_at({arr([t[1] for t in NEEDLE_TEMPLATES])}, _hn_tpl + 1)"))
+    for i in range(3):
+        text = F.when(F.col(f"_k{i}").isNull(), text).otherwise(
+            F.replace(text, F.concat(F.lit("{"), F.col(f"_k{i}"), F.lit("}")), F.col(f"_v{i}")))
+    return df.withColumn("_text", text).drop(*[f"_{a}{i}" for a in "kiv" for i in range(3)])
+
+
 # --- GEN7: curricula (UDX2: schedules are Column -> Column) --------------------
 
 def linear_curriculum(index: Column, total: int, lo: int, hi: int) -> Column:
@@ -279,9 +318,11 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
     ``num_chunks`` is an int or a Column (e.g. a curriculum of the id).  The
     needle is inserted as its own sentence at a hashed position of a hashed
     chunk, so ``needle_text`` occurs verbatim in that chunk.  Each haystack
-    sentence is a hard negative with probability 0.2 (GEN5).  ``ambiguous``
-    flags subject-less needles whose template also appears as a hard
-    negative in the same example.
+    sentence is a hard negative with probability 0.2 (GEN5); hard negatives
+    take their slot values from the fixed-size value pool (``POOL_SIZE`` per
+    kind, broadcast), the needle's own values are drawn fresh.
+    ``ambiguous`` flags subject-less needles whose template also appears as
+    a hard negative in the same example.
 
     Sentences are generated as rows and gathered back in two bounded
     groupings: sentences per chunk (``sentences_per_chunk + 1`` rows), then
@@ -296,19 +337,22 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
         col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
     c, s = X("_c"), X("_s")
     hn = X(f"({unit(seed, _EID, 'hn', c, s)} < {HARD_NEGATIVE_RATE})")
-    sentence = X(f"case when {hn} then {hard_negative(seed, _EID, c, s)} else {filler_from_digest(X('_fd'))} end")
-    hn_tpl = X(f"case when {hn} then cast({rint(len(NEEDLE_TEMPLATES), seed, _EID, c, s, 'ht')} as int) end")
-    rows = (base.select("example_id", "needle_chunk_idx", "_pos",
-                        F.explode(F.sequence(F.lit(0), F.col("n_chunks") * spc - 1)).alias("_k"))
-            .withColumn("_c", F.floor(F.col("_k") / spc).cast("int"))
-            .withColumn("_s", (F.col("_k") % spc).cast("int"))
+    slots = (base.select("example_id", "needle_chunk_idx", "_pos",
+                         F.explode(F.sequence(F.lit(0), F.col("n_chunks") * spc - 1)).alias("_k"))
+             .withColumn("_c", F.floor(F.col("_k") / spc).cast("int"))
+             .withColumn("_s", (F.col("_k") % spc).cast("int"))
+             # slot inside the chunk: sentences at or after the needle move one down
+             .withColumn("_slot", F.when((F.col("_c") == F.col("needle_chunk_idx")) & (F.col("_s") >= F.col("_pos")),
+                                         F.col("_s") + 1).otherwise(F.col("_s")))
+             .withColumn("_hn", col(hn)))
+    fill = (slots.filter(~F.col("_hn"))
             .withColumn("_fd", col(X(f"md5(concat_ws(':', {lit(str(seed))}, cast(example_id as string), 'f', "
                                      f"cast(_c as string), cast(_s as string)))")))
-            .select("example_id", "_c",
-                    # slot inside the chunk: sentences at or after the needle move one down
-                    F.when((F.col("_c") == F.col("needle_chunk_idx")) & (F.col("_s") >= F.col("_pos")),
-                           F.col("_s") + 1).otherwise(F.col("_s")).alias("_slot"),
-                    col(sentence).alias("_text"), col(hn_tpl).alias("_hn_tpl")))
+            .select("example_id", "_c", "_slot", col(filler_from_digest(X("_fd"))).alias("_text"),
+                    F.lit(None).cast("int").alias("_hn_tpl")))
+    negs = hard_negatives_from_pool(slots.filter(F.col("_hn")), value_pool(ids.sparkSession, seed), seed) \
+        .select("example_id", "_c", "_slot", "_text", "_hn_tpl")
+    rows = fill.unionByName(negs)
     needles = base.select("example_id", F.col("needle_chunk_idx").alias("_c"), F.col("_pos").alias("_slot"),
                           F.col("needle_text").alias("_text"), F.lit(None).cast("int").alias("_hn_tpl"))
     per_chunk = (rows.unionByName(needles).groupBy("example_id", "_c")
