@@ -43,6 +43,12 @@ def _version_path(root: str, v: int) -> str:
     return f"{root}/v={v}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def run_append(df: DataFrame, root: str) -> DataFrame:
     """Run a stream to the end of its input (``availableNow``) into the
     parquet file sink; return the sink as a batch DataFrame."""
@@ -66,10 +72,12 @@ def run_snapshots(df: DataFrame, root: str, step, initial: DataFrame | None, out
 
     def handle(batch: DataFrame, epoch: int):
         prev = _version_path(root, epoch - 1)
-        try:
+        if _exists(spark, prev):
             state = spark.read.parquet(prev)
-        except Exception:  # first epoch without an initial state
-            state = None
+        elif epoch == 0:
+            state = None  # first epoch, no initial state
+        else:  # a missing earlier version is an error, never a silent restart
+            raise FileNotFoundError(f"state version {epoch - 1} missing under {root}")
         nxt = step(state, batch)
         nxt.write.mode("overwrite").parquet(_version_path(root, epoch))
         done.append(epoch)
