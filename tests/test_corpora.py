@@ -120,3 +120,18 @@ def test_passage_matches_brute_force(spark, inputs):
     b = bench.collect()
     want = {(x.doc_id, y.item_id) for x in d for y in b if y.text in x.text}
     assert got == want
+
+
+def test_pool_hard_negatives_are_rendered(spark):
+    pool = gen.value_pool(spark, 9, size=64)
+    assert pool.count() == 64 * len(gen.SLOT_KINDS)
+    assert pool.filter(F.col("value").isNull() | (F.col("value") == "")).count() == 0
+    rows = spark.range(200).select(F.col("id").alias("example_id"), (F.col("id") % 3).cast("int").alias("_c"),
+                                   (F.col("id") % 5).cast("int").alias("_s"))
+    out = gen.hard_negatives_from_pool(rows, pool, 9, size=64).collect()
+    assert len(out) == 200
+    for r in out:
+        assert not any("{" + k + "}" in r._text for k in gen.SLOT_KINDS) and r._text.endswith(".")
+        assert 0 <= r._hn_tpl < len(gen.NEEDLE_TEMPLATES)
+    again = gen.hard_negatives_from_pool(rows.repartition(5), gen.value_pool(spark, 9, size=64), 9, size=64)
+    assert sorted((r.example_id, r._text) for r in again.collect()) == sorted((r.example_id, r._text) for r in out)
