@@ -1,0 +1,16 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from corpusflow.session import build_session, checkpoint_dir
+
+    s = build_session("local[*]", 8)
+    checkpoint_dir(s)
+    yield s
+    s.stop()
