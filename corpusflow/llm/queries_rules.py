@@ -22,12 +22,12 @@ m as (
     length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
     len(regexp_extract_all(t, '[!?]')) n_marks,
-    len(list_filter(w, x -> x in (__STOP__))) n_stop,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) lines
+    len(list_filter(w, lambda x: x in (__STOP__))) n_stop,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines
   from d left join cover using (rid)),
 r as (
   select *, len(lines) n_lines, len(lines) - len(list_distinct(lines)) n_dup_lines,
-    len(list_filter(lines, x -> regexp_matches(x, '\| *$'))) n_bars,
+    len(list_filter(lines, lambda x: regexp_matches(x, '\| *$'))) n_bars,
     n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
 select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols,
   n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
