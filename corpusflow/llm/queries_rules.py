@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusflow.llm import quality
+from corpusflow.llm import chat, leaks, quality
 from corpusflow.llm.common import table
 from corpusflow.llm.registry import query
 
@@ -43,3 +44,71 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     return quality.measure(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\x{80}-\x{10FFFF}]+') w from documents),
+b as (
+  select item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\x{80}-\x{10FFFF}]+') w from benchmark),
+bw as (
+  select distinct item_id, l, array_to_string(list_slice(w, i, i + l - 1), ' ') win
+  from (select item_id, w, least(len(w), 10) l, unnest(range(1, len(w) - least(len(w), 10) + 2)) i from b where len(w) > 0)),
+lens as (select distinct l from bw),
+dw as (
+  select rid, l, i, array_to_string(list_slice(w, i, i + l - 1), ' ') win
+  from (select rid, w, l, unnest(range(1, len(w) - l + 2)) i from d, lens where len(w) >= l)),
+hits as (select rid, l, i, win from dw semi join bw using (l, win)),
+cover as (select rid, count(distinct i + j) n from hits, (select unnest(range(10)) j) where j < l group by rid),
+found as (
+  select rid, count(distinct item_id) n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids
+  from hits join bw using (l, win) group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(cover.n, 0)::bigint n_hit, coalesce(found.n, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(cover.n, 0) > 0 contaminated
+from d left join cover using (rid) left join found using (rid)
+"""
+
+
+@query("op7_benchmark_decontamination", OP7_SQL)
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a window of a benchmark item."""
+    marked = leaks.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP10_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, length(regexp_replace(replace(x, '\', '\\'), '(<)(/?s>)|(\[)(/?INST\]|SEP\]|IMAGE\]|AUDIO\]|DOCUMENT\])', '\1\3\\\2\4', 'g')) c from t)
+select conv_id, count(*)::bigint n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x)) turns_sha256,
+  coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (r = 'assistant'), '')) loss_sha256,
+  sum(3 + length(r) + 5 + c + 4 + if(r = 'assistant', 0, 13))::bigint formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op10_chat_format", OP10_SQL)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from the formatted strings."""
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted = chat.format_conversations(turns.withColumn("parts", chat.text_parts(F.col("text"))))
+    back = chat.parse_conversations(formatted)
+    lost = F.array_join(F.filter("parsed", lambda p: p["loss"])["text"], "")
+    whole = F.array_join(F.transform("parsed", lambda p: F.concat(p["role"], F.lit("\n"), p["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("parsed").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
