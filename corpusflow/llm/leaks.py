@@ -33,6 +33,7 @@ WINDOW = 10
 GRAM = 5
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
+RUNS = "array<struct<length:int,fp:bigint,start:int,windows:array<bigint>>>"
 
 
 def item_words(text: Column) -> Column:
@@ -46,11 +47,11 @@ def _bind(value: Column, body) -> Column:
 
 
 def window_runs(hashes: Column, n: Column, length: int) -> Column:
-    """Runs of neighbouring windows with one fingerprint: ``array<struct<fp,
-    start, windows array<bigint>>>``; a window is the hash of its words."""
+    """Runs of neighbouring windows with one fingerprint: ``array<struct<length,
+    fp, start, windows array<bigint>>>``; a window is the hash of its words."""
     k = GRAM if length >= GRAM else 1
     span = length - k + 1  # k-grams in a window
-    none = F.array().cast("array<struct<fp:bigint,start:int,windows:array<bigint>>>")
+    none = F.array().cast(RUNS)
 
     def gram(h: Column, i: Column) -> Column:
         return F.xxhash64(*[F.get(h, i + j) for j in range(k)])
@@ -75,7 +76,7 @@ def window_runs(hashes: Column, n: Column, length: int) -> Column:
 
         cuts = _bind(least, cut)
         return _bind(whole, lambda w: F.transform(cuts, lambda c: F.struct(
-            c["fp"].alias("fp"), c["b"].alias("start"), F.slice(w, c["b"] + 1, c["e"] - c["b"]).alias("windows"))))
+            F.lit(length).alias("length"), c["fp"].alias("fp"), c["b"].alias("start"), F.slice(w, c["b"] + 1, c["e"] - c["b"]).alias("windows"))))
 
     def from_hashes(h: Column) -> Column:
         grams = h if k == 1 else F.transform(F.sequence(F.lit(0), n - k), lambda i: gram(h, i))
@@ -101,8 +102,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     runs = F.when(n >= WINDOW, window_runs(F.col("_h"), n, WINDOW))
     for length in range(1, WINDOW):
         runs = F.when(n == length, window_runs(F.col("_h"), n, length)).otherwise(runs)
-    return (h.select("item_id", F.least(n, F.lit(WINDOW)).alias("length"), F.explode(runs).alias("r"))
-            .select("item_id", "length", "r.fp", F.explode("r.windows").alias("win")).distinct())
+    return (h.select("item_id", F.inline(runs)).select("item_id", "length", "fp", F.explode("windows").alias("win"))
+            .distinct())
 
 
 def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -112,13 +113,8 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = {r[0]: r[1] for r in windows.groupBy("length").count().collect()}  # at most WINDOW rows
     n_windows = sum(sizes.values())
     own = _hashed(docs, [F.col("doc_id"), F.xxhash64("text").alias("text_hash")])
-    runs = F.array().cast("array<struct<length:int,run:struct<fp:bigint,start:int,windows:array<bigint>>>>")
-    for length in sorted(sizes):
-        part = F.transform(window_runs(F.col("_h"), F.col("n_words"), length),
-                           lambda r, length=length: F.struct(F.lit(length).alias("length"), r.alias("run")))
-        runs = part if len(sizes) == 1 else F.concat(runs, part)
-    rows = own.select("doc_id", "text_hash", F.explode(runs).alias("x")).select(
-        "doc_id", "text_hash", "x.length", "x.run.fp", "x.run.start", "x.run.windows")
+    runs = [window_runs(F.col("_h"), F.col("n_words"), length) for length in sorted(sizes)] or [F.array().cast(RUNS)]
+    rows = own.select("doc_id", "text_hash", F.inline(F.concat(*runs)))
     prints = windows.select("length", "fp").distinct()
     exact = windows.select("length", "win").distinct()
     near = rows.join(_small(prints, n_windows), ["length", "fp"], "left_semi")
