@@ -18,14 +18,15 @@ the blocks are taken in order while the pass's token budget lasts, and in the
 block where it runs out documents are taken in digest order while the tokens
 before them are below what is left.  Only block totals are summed in order (one
 row per block), and only the one block of a pass that is cut orders documents,
-so a source with a third of all rows stays spread over many tasks.
+so a source with a third of all rows stays spread over many tasks.  Texts are
+never shuffled but those of the cut blocks.
 
 Bisection runs over the table of sources (one row each), eight halvings for
 each pass over it.
 
 Defined cases: a null text has no tokens and such documents are never taken
-(they hold nothing); a null source is a source of its own; repeated rows are
-told apart by a running copy number; extra columns are carried unchanged; an
+(they hold nothing); a null source is a source of its own; equal rows have
+equal draws and stay together; extra columns are carried unchanged; an
 empty table, or one without tokens, gives no rows.
 """
 
@@ -40,6 +41,8 @@ HALVINGS = 8
 ROUNDS = 3  # 24 halvings: the exponent to 6e-8, then rounded
 DIGITS = 6
 BLOCK_TOKENS = 100_000
+#: the table of sources and passes is broadcast up to so many (counted) rows
+BROADCAST_ROWS = 100_000
 
 
 def draw(*parts: Column) -> Column:
@@ -105,12 +108,19 @@ def find_exponent(totals: DataFrame, budget: int, min_entropy: float, max_repeat
     return round(a, DIGITS)
 
 
+def _dealt(tagged: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Documents once for each pass over their source, with their block."""
+    plan = plan.withColumnRenamed("_source", "_plan")
+    joined = tagged.join(plan, tagged["_source"].eqNullSafe(plan["_plan"])).drop("_plan")
+    deal = draw(F.lit(seed), F.col("_source"), F.col("_pass"), F.col("_id"), F.lit("block"))
+    return joined.withColumn("_block", deal % F.col("n_blocks"))
+
+
 def mix(docs: DataFrame, budget: int | None = None, min_entropy: float = 0.95, max_repeats: float = 2.0,
         seed: int = 1, source: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The mixture as rows of ``docs`` with ``_pass`` (1 for the first copy),
     ``_block`` and ``_weight``.  ``budget``: tokens of the mixture, by default
     those of the corpus."""
-    spark = docs.sparkSession
     names = docs.columns
     tagged = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(source).alias("_source"),
@@ -134,21 +144,24 @@ def mix(docs: DataFrame, budget: int | None = None, min_entropy: float = 0.95, m
             F.sequence(F.lit(0).cast("bigint"), F.expr("(goal - 1) div total")),
             lambda k: F.least(F.col("total"), F.col("goal") - k * F.col("total")))).alias("_k", "left")
     ).withColumn("_pass", F.col("_k") + 1).where("left > 0").drop("_k")
-    # one row per source and pass; Spark broadcasts it by its size or shuffles
-    same = tagged["_source"].eqNullSafe(plan["_source"])
-    rows = (tagged.join(plan, same).drop(plan["_source"])
-            .withColumn("_block", draw(F.lit(seed), F.col("_source"), F.col("_pass"), F.col("_id"), F.lit("block")) % F.col("n_blocks")))
+    passes = plan.groupBy().agg(F.count(F.lit(1))).first()[0]
+    if passes <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    rows = _dealt(tagged, plan, seed)
     blocks = rows.groupBy("_source", "_pass", "left", "_block").agg(F.sum("_tokens").alias("size"))
     order = Window.partitionBy("_source", "_pass").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-              .where("before < left")
-              .select(F.col("_source").alias("_s"), F.col("_pass").alias("_p"), F.col("_block").alias("_b"),
-                      (F.col("left") - F.col("before")).alias("room"), "size"))
-    on = rows["_source"].eqNullSafe(F.col("_s")) & (rows["_pass"] == F.col("_p")) & (rows["_block"] == F.col("_b"))
-    taken = rows.join(blocks, on)
-    whole = taken.where("size <= room")
-    in_block = Window.partitionBy("_source", "_pass", "_block").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = (taken.where("size > room")
+    # the block in which a pass runs out of budget: one row per source and pass
+    cuts = (blocks.withColumn("room", F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0)))
+            .where("size > room").groupBy("_source", "_pass")
+            .agg(F.min(F.struct(F.col("_block").alias("cut"), "room")).alias("c"))
+            .select(F.col("_source").alias("_s"), F.col("_pass").alias("_p"), "c.cut", "c.room"))
+    plan = plan.join(cuts, plan["_source"].eqNullSafe(cuts["_s"]) & (plan["_pass"] == cuts["_p"]), "left").drop("_s", "_p")
+    if passes <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    taken = _dealt(tagged, plan, seed)
+    whole = taken.where("cut is null or _block < cut")
+    in_block = Window.partitionBy("_source", "_pass").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    part = (taken.where("_block = cut")
             .withColumn("_draw", draw(F.lit(seed), F.col("_source"), F.col("_pass"), F.col("_id"), F.lit("order")))
             .withColumn("_run", F.coalesce(F.sum("_tokens").over(in_block), F.lit(0)))
             .where("_run < room"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat, leaks, quality
+from corpusflow.llm import chat, leaks, mixing, quality
 from corpusflow.llm.common import table
 from corpusflow.llm.registry import query
 
@@ -112,3 +112,55 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("parsed").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+OP4_SQL = r"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) tok,
+    concat_ws('|', coalesce(doc_id::varchar, '~'), md5(coalesce(text, ''))) id, coalesce(source, '~') s
+  from documents),
+tot as materialized (select source, s, sum(tok)::bigint total from d where tok > 0 group by 1, 2),
+p as materialized (select s, total, total / (select sum(total) from tot) p, (select sum(total) from tot)::bigint budget,
+  (select count(*) from tot) n from tot),
+ent as (  -- bisection for the entropy
+  select 0 i, 0.0::double lo, 1.0::double hi
+  union all
+  select i + 1, if(e >= 0.95 - 1e-9, mid, lo), if(e >= 0.95 - 1e-9, hi, mid)
+  from (select i, lo, hi, mid, (ln(z) - ql / z) / ln(n) e
+        from (select i, lo, hi, (lo + hi) / 2 mid, any_value(n) n, sum(pow(p, (lo + hi) / 2)) z,
+                sum(pow(p, (lo + hi) / 2) * ln(pow(p, (lo + hi) / 2))) ql
+              from ent, p where i < 24 group by i, lo, hi))),
+plain as (select case when any_value(n) < 2 then 1 else -sum(p * ln(p)) / ln(any_value(n)) end e from p),
+a1 as (select if(e >= 0.95 - 1e-9, 1.0, (select lo from ent where i = 24)) a from plain),
+rep as (  -- bisection for the repeats
+  select 0 i, 0.0::double lo, 1.0::double hi
+  union all
+  select i + 1, if(r <= 2 + 1e-9, lo, mid), if(r <= 2 + 1e-9, mid, hi)
+  from (select i, lo, hi, (lo + hi) / 2 mid,
+          max(pow(p, (lo + hi) / 2) / total) / sum(pow(p, (lo + hi) / 2)) * any_value(budget) r
+        from rep, p where i < 24 group by i, lo, hi)),
+at1 as (select max(pow(p, a) / total) / sum(pow(p, a)) * any_value(budget) r, any_value(a) a from p, a1),
+alpha as (select round(if(r > 2 + 1e-9, greatest(a, (select hi from rep where i = 24)), a), 6) a from at1),
+w as (select s, total, budget, round(pow(p, a) / (select sum(pow(p, a)) from p, alpha), 9) weight from p, alpha),
+g as (select *, floor(weight * budget)::bigint goal, greatest(ceil(total / 100000), 1)::bigint nb from w),
+k as (select *, unnest(range(0, (goal - 1) // total + 1)) k from g where goal > 0),
+plan as (select s, weight, nb, k + 1 pass, least(total, goal - k * total)::bigint "left" from k),
+x as (
+  select d.doc_id, d.source, d.tok, d.id, plan.*,
+    ('0x' || substr(md5(concat_ws('|', '1', d.s, pass, d.id, 'block')), 1, 15))::bigint % nb block,
+    ('0x' || substr(md5(concat_ws('|', '1', d.s, pass, d.id, 'order')), 1, 15))::bigint drw
+  from d join plan using (s) where tok > 0),
+bs as (select s, pass, block, any_value("left") l, sum(tok) size from x group by 1, 2, 3),
+bb as (select *, l - coalesce(sum(size) over (partition by s, pass order by block rows between unbounded preceding and 1 preceding), 0) room from bs),
+y as (select x.*, bb.size, bb.room from x join bb using (s, pass, block) where room > 0),
+z as (select *, coalesce(sum(tok) over (partition by s, pass, block order by drw, id rows between unbounded preceding and 1 preceding), 0) run from y)
+select doc_id, source, pass::bigint pass, block::bigint block, tok::bigint n_tokens, weight from z where size <= room or run < room
+"""
+
+
+@query("op4_source_mixing", OP4_SQL)
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents: one row for each copy that is taken."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", F.col("_pass").cast("bigint").alias("pass"), F.col("_block").alias("block"),
+        F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"))
