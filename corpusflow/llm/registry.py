@@ -8,7 +8,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("queries_rules", "queries_tokens")
+MODULES = ("queries_rules", "queries_tokens", "queries_text")
 
 _QUERIES: dict[str, "LlmQuery"] = {}
 
