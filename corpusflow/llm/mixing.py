@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import words
+from corpusflow.llm.common import keep, words
 
 HALVINGS = 8
 ROUNDS = 3  # 24 halvings: the exponent to 6e-8, then rounded
@@ -51,17 +51,17 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def source_totals(docs: DataFrame, source: str = "source", tokens: str = "_tokens") -> DataFrame:
-    return (docs.groupBy(F.col(source).alias("_source")).agg(F.sum(tokens).alias("total"))
-            .where("total > 0"))
+def source_totals(counted: DataFrame) -> DataFrame:
+    """``_source, total, n, p``: tokens of every source, the number of sources, shares."""
+    totals = keep(counted.groupBy("_source").agg(F.sum("_tokens").alias("total")).where("total > 0"), "mix-totals")
+    whole = totals.agg(F.sum("total").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    return totals.withColumns({"n": F.lit(whole["n"]), "p": F.col("total") / F.lit(whole["t"])})
 
 
 def _measured(totals: DataFrame, exponents: list[float], budget: int) -> list:
     """Entropy fraction and largest repeat for each exponent: one row each."""
-    all_tokens = totals.agg(F.sum("total").alias("t"), F.count(F.lit(1)).alias("n"))
     grid = F.explode(F.array(*[F.lit(float(a)) for a in exponents]))
-    shares = totals.join(F.broadcast(all_tokens)).select(  # one row on the right
-        "total", "n", grid.alias("a"), (F.col("total") / F.col("t")).alias("p"))
+    shares = totals.select("total", "n", grid.alias("a"), "p")
     powers = shares.withColumn("q", F.pow("p", "a"))
     # entropy of q/z: ln z - sum(q ln q)/z ; repeats: q/z * budget / total
     return (powers.groupBy("a").agg(
@@ -127,16 +127,16 @@ def mix(docs: DataFrame, budget: int | None = None, min_entropy: float = 0.95, m
         F.size(words(F.col("text"))).cast("bigint").alias("_tokens"),
         F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.md5(F.coalesce("text", F.lit("")))).alias("_id"),
     ).where("_tokens > 0")
-    totals = source_totals(tagged, "_source")
+    # the texts are read twice: here for their digests and tokens, and for the rows at last
+    counted = keep(tagged.drop("_doc"), "mix-counted")
+    totals = source_totals(counted)
     if budget is None:
         budget = totals.agg(F.sum("total")).first()[0] or 0
     exponent = find_exponent(totals, budget, min_entropy, max_repeats)
-    all_tokens = totals.agg(F.sum("total").alias("t"))
-    weights = (totals.join(F.broadcast(all_tokens))
-               .select("_source", "total", F.pow(F.col("total") / F.col("t"), F.lit(exponent)).alias("q")))
-    z = weights.agg(F.sum("q").alias("z"))
-    plan = weights.join(F.broadcast(z)).select(
-        "_source", "total", F.round(F.col("q") / F.col("z"), 9).alias("_weight"),
+    weights = totals.select("_source", "total", F.pow("p", F.lit(exponent)).alias("q"))
+    z = weights.agg(F.sum("q")).first()[0] or 1.0
+    plan = weights.select(
+        "_source", "total", F.round(F.col("q") / F.lit(z), 9).alias("_weight"),
     ).withColumn("goal", F.floor(F.col("_weight") * F.lit(budget)).cast("bigint"))
     plan = plan.select(
         "_source", "_weight", F.greatest(F.ceil(F.col("total") / F.lit(block_tokens)), F.lit(1)).cast("bigint").alias("n_blocks"),
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, budget: int | None = None, min_entropy: float = 0.95, m
     passes = plan.groupBy().agg(F.count(F.lit(1))).first()[0]
     if passes <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    rows = _dealt(tagged, plan, seed)
+    rows = _dealt(counted, plan, seed)
     blocks = rows.groupBy("_source", "_pass", "left", "_block").agg(F.sum("_tokens").alias("size"))
     order = Window.partitionBy("_source", "_pass").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     # the block in which a pass runs out of budget: one row per source and pass
