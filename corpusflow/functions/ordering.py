@@ -24,20 +24,46 @@ from pyspark.sql import functions as F
 from corpusflow.session import checkpoint_dir
 
 
-def seq_number(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
-               n_parts: int | None = None) -> DataFrame:
+def _ranged(df: DataFrame, keys: list[str], order: list[Column], n_parts: int | None) -> DataFrame:
+    """Rows in range partitions of ``(keys, order)`` with ``_pid`` and ``_idx``, checkpointed."""
     spark = df.sparkSession
-    parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
-    ranged = (df.repartitionByRange(parts, *key_cols, *order)
-              .sortWithinPartitions(*key_cols, *order)
+    # without a given number the count follows the data (AQE merges small ranges)
+    dealt = df.repartitionByRange(n_parts, *key_cols, *order) if n_parts else df.repartitionByRange(*key_cols, *order)
+    ranged = (dealt.sortWithinPartitions(*key_cols, *order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
     checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    return ranged.checkpoint(eager=True)
+
+
+def seq_number(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
+               n_parts: int | None = None) -> DataFrame:
+    ranged = _ranged(df, keys, order, n_parts)
     runs = ranged.groupBy("_pid", *keys).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     return (ranged.join(runs.select("_pid", *keys, "_first", "_off"), ["_pid", *keys])
             .withColumn(name, F.col("_idx") - F.col("_first") + F.col("_off") + 1)
             .drop("_pid", "_idx", "_first", "_off"))
+
+
+def seq_since(df: DataFrame, keys: list[str], order: list[Column], mark: Column, name: str,
+              n_parts: int | None = None) -> DataFrame:
+    """Number rows of a key from 1, anew after every row that ``mark`` holds for.
+
+    Built like :func:`seq_number`: each task numbers its own stretch of a key,
+    and one row per (partition, key) carries the last mark into the next."""
+    ranged = _ranged(df.withColumn("_mark", F.coalesce(mark, F.lit(False))), keys, order, n_parts)
+    runs = ranged.groupBy("_pid", *keys).agg(
+        F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_mark"), F.col("_idx"))).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    runs = runs.withColumn("_carried", F.coalesce(
+        F.max(F.col("_last") - F.col("_first") + F.col("_off") + 1).over(w), F.lit(0)))
+    rn = F.col("_idx") - F.col("_first") + F.col("_off") + 1
+    inside = Window.partitionBy("_pid", *keys).orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(runs.select("_pid", *keys, "_first", "_off", "_carried"), ["_pid", *keys])
+            .withColumn("_rn", rn)
+            .withColumn(name, F.col("_rn") - F.coalesce(F.max(F.when(F.col("_mark"), F.col("_rn"))).over(inside), F.col("_carried")))
+            .drop("_pid", "_idx", "_first", "_off", "_carried", "_mark", "_rn"))

@@ -4,12 +4,12 @@ The remote search is re-aimed as a range-partitioned census: every band of
 the ladder is an equi (language) + range (stars) predicate.  The ladder is a
 fixed-size dimension (at most 57 languages x 14 bands), so it is broadcast;
 the snapshot is never shuffled for the band join.  Per-band totals are
-partial aggregates; the per-band cap is a ``row_number() <= cap`` filter
-that Spark plans as a partial WindowGroupLimit, so at most ``cap`` rows per
-band and task are shuffled even when one band holds most of the data.
+partial aggregates; the optional per-band cap is a filter on sequence numbers
+that are dealt over ranges of rows (:mod:`corpusflow.functions.ordering`).
 The sequential rules of the reference (stop at the first empty band, stop
 at the target, skip completed bands) become windows over the *band summary*
-(one row per band): tiny by construction.
+(one row per band): tiny by construction.  The limits of the remote search
+(cap, target, early stop) are options that are off by default.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.ordering import seq_number
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for identical band plans).
 # Result cap of one search query.
@@ -121,10 +123,12 @@ def band_low(stars: Column, lows: list[int]) -> Column:
     return expr
 
 
-def cap_per_band(matches: DataFrame, cap: int = SEARCH_LIMIT, keys=BAND_KEY) -> DataFrame:
-    """BND5 rows: the ``cap`` highest-starred rows of each band (ties by name)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("stars").desc(), F.col("full_name"))
-    return matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+def cap_per_band(matches: DataFrame, cap: int, keys=BAND_KEY) -> DataFrame:
+    """BND5 rows: the ``cap`` highest-starred rows of each band with their
+    ``rank`` (ties by name).  Ranks are numbered over ranges of rows, so a band
+    that holds most of the table is spread over many tasks whatever the cap."""
+    ranked = seq_number(matches, list(keys), [F.col("stars").desc(), F.col("full_name")], name="rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).filter(F.col("rank") <= cap)
 
 
 def band_totals(matches: DataFrame, keys=BAND_KEY) -> DataFrame:
@@ -132,19 +136,25 @@ def band_totals(matches: DataFrame, keys=BAND_KEY) -> DataFrame:
 
 
 def census(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress: DataFrame | None = None,
-           cap: int = SEARCH_LIMIT, target: int | None = 100000, resume: bool = True,
-           exclude_forks: bool = True) -> tuple[DataFrame, DataFrame]:
+           cap: int | None = None, target: int | None = None, resume: bool = True,
+           exclude_forks: bool = True, early_stop: bool = False) -> tuple[DataFrame, DataFrame]:
     """BND11: the whole tiered census.  Returns ``(summary, selected)``.
 
-    ``summary`` has one row per ladder band with ``completed`` (skipped by
+    A metadata snapshot is complete, so by default every eligible row of every
+    band is returned.  ``cap`` (rows for each band), ``target`` (stop after so
+    many new rows) and ``early_stop`` (leave a language at its first empty band)
+    restate the limits of a remote search and are off unless asked for.
+
+    ``selected`` has a ``rank`` where a cap is given.  ``summary`` has one row per ladder band with ``completed`` (skipped by
     resume), ``ran``, ``total``, ``returned``, ``truncated`` and ``new``
     (returned names not yet in ``catalog``); ``selected`` holds the returned
     rows of the bands that ran.
     """
     bands = ladder(tiers)
     if progress is not None and resume:
-        done = progress.select(*BAND_KEY).distinct().withColumn("completed", F.lit(True))
-        bands = bands.join(F.broadcast(done), list(BAND_KEY), "left")
+        done = (progress.select(*BAND_KEY).join(F.broadcast(bands.select(*BAND_KEY)), list(BAND_KEY), "left_semi")
+                .distinct().withColumn("completed", F.lit(True)))
+        bands = bands.join(F.broadcast(done), list(BAND_KEY), "left")  # no more rows than the ladder
         # a language whose floor band is complete is skipped as a whole
         floor_done = (bands.filter(F.col("completed") & (F.col("star_range_low") == F.col("floor")))
                       .select("tier", "language", F.lit(True).alias("lang_done")).distinct())
@@ -156,7 +166,7 @@ def census(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress:
 
     matches = band_matches(snapshot, bands.filter(~F.col("completed")), exclude_forks)
     totals = band_totals(matches)
-    top = cap_per_band(matches, cap)
+    top = matches if cap is None else cap_per_band(matches, cap)
     known = catalog.select("full_name").distinct()
     news = (top.join(known, "full_name", "left_anti").select(*BAND_KEY, "full_name").distinct()
             .groupBy(*BAND_KEY).agg(F.count(F.lit(1)).alias("new")))
@@ -164,11 +174,12 @@ def census(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress:
     s = (bands.join(totals, list(BAND_KEY), "left").join(news, list(BAND_KEY), "left")
          .withColumn("total", F.coalesce("total", F.lit(0)).cast("bigint"))
          .withColumn("new", F.coalesce("new", F.lit(0)).cast("bigint")))
-    # BND6: stop after the first empty band of a language that ran.
-    lang_w = (Window.partitionBy("tier", "language").orderBy("band_ord")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    empty_before = F.max(F.when(~F.col("completed") & (F.col("total") == 0), 1).otherwise(0)).over(lang_w)
-    s = s.withColumn("candidate", ~F.col("completed") & (F.coalesce(empty_before, F.lit(0)) == 0))
+    s = s.withColumn("candidate", ~F.col("completed"))
+    if early_stop:  # BND6: nothing after the first empty band of a language that ran
+        lang_w = (Window.partitionBy("tier", "language").orderBy("band_ord")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        empty_before = F.max(F.when(~F.col("completed") & (F.col("total") == 0), 1).otherwise(0)).over(lang_w)
+        s = s.withColumn("candidate", F.col("candidate") & (F.coalesce(empty_before, F.lit(0)) == 0))
     # BND7: run while the new rows stored so far stay under the target.
     if target:
         glob_w = (Window.orderBy("tier_ord", "lang_ord", "band_ord")
@@ -180,13 +191,14 @@ def census(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress:
     s = s.withColumn("total", F.when(F.col("ran"), F.col("total")).otherwise(F.lit(0).cast("bigint"))) \
          .withColumn("new", F.when(F.col("ran"), F.col("new")).otherwise(F.lit(0).cast("bigint"))) \
          .withColumn("returned", F.least(F.col("total"), F.lit(cap).cast("bigint"))) \
-         .withColumn("truncated", F.col("total") > cap) \
+         .withColumn("truncated", F.coalesce(F.col("total") > F.lit(cap).cast("bigint"), F.lit(False))) \
          .drop("candidate")
     summary = s.select("tier", "tier_ord", "language", "lang_ord", "band_ord", "star_range_low",
                        "star_range_high", "completed", "ran", "total", "returned", "truncated", "new")
     ran = summary.filter("ran").select(*BAND_KEY)
-    selected = top.join(F.broadcast(ran), list(BAND_KEY), "left_semi").select(
-        *BAND_KEY, "full_name", "stars", "rank")
+    ranks = [] if cap is None else ["rank"]
+    selected = top.join(F.broadcast(ran), list(BAND_KEY), "left_semi").select(  # one row per ladder band at most
+        *BAND_KEY, "full_name", "stars", *ranks)
     return summary, selected
 
 
@@ -223,45 +235,42 @@ def tier_progress(progress: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("repos_found"), F.lit(0)).cast("bigint").alias("repos_found")))
 
 
-def global_census(snapshot: DataFrame, min_stars: int = 100, target: int = 100000,
-                  cap: int = SEARCH_LIMIT, exclude_forks: bool = True) -> DataFrame:
-    """BND3: census without a language: one broad query, then (if it was
-    truncated and short of the target) the star ladder; the broad result is
-    kept (union, first seen), ranges run while the collected count is under
-    the target, the union is cut to the ``target`` highest-starred rows."""
-    spark = snapshot.sparkSession
-    one = spark.createDataFrame([("all", 0, "*", 0, min_stars, max(CUT_POINTS))],
-                                "tier string, tier_ord int, language string, lang_ord int, floor int, start int")
-    bands = ladder(one)
+def global_census(snapshot: DataFrame, min_stars: int = 100, target: int | None = None,
+                  cap: int | None = None, exclude_forks: bool = True) -> DataFrame:
+    """BND3: census without a language.  By default every eligible row.  With
+    ``cap`` a broad query returns the ``cap`` highest-starred rows, and so does
+    every band of the ladder (union, first seen); with ``target`` bands run while
+    fewer rows are collected, and the ``target`` highest-starred rows stay."""
     snap = snapshot
     if exclude_forks:
         snap = snap.filter(~F.coalesce(F.col("fork"), F.lit(False)))
     snap = snap.filter(F.col("stars") >= min_stars).select("full_name", "stars")
-    broad = snap.orderBy(F.col("stars").desc(), F.col("full_name")).limit(cap)
-    # Two scalars steer the plan, as in the reference's control flow.
-    broad_total = snap.count()
-    n_broad = min(broad_total, cap)
-    lows = [c for c in CUT_POINTS if c >= min_stars]
-    if not lows or lows[-1] > min_stars:
-        lows.append(min_stars)
-    m = snap.withColumn("star_range_low", band_low(F.col("stars"), lows))
-    top = cap_per_band(m, cap, keys=("star_range_low",))
-    extra = top.join(broad.select("full_name"), "full_name", "left_anti")
-    per_band = extra.groupBy("star_range_low").agg(F.count(F.lit(1)).alias("new"))
-    bw = Window.orderBy(F.col("star_range_low").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    subdivide = broad_total > cap and n_broad < target
-    plan = (bands.select("star_range_low").join(per_band, "star_range_low", "left")
-            .withColumn("new", F.coalesce("new", F.lit(0)))
-            .withColumn("before", F.lit(n_broad) + F.coalesce(F.sum("new").over(bw), F.lit(0)))
-            .withColumn("ran", F.lit(subdivide) & (F.col("before") < target)))
-    ran = plan.filter("ran").select("star_range_low")
-    picked = extra.join(F.broadcast(ran), "star_range_low", "left_semi").select("full_name", "stars")
-    union = broad.unionByName(picked)
-    return union.orderBy(F.col("stars").desc(), F.col("full_name")).limit(target)
+    best = [F.col("stars").desc(), F.col("full_name")]
+    union = snap
+    if cap is not None:
+        lows = [c for c in CUT_POINTS if c >= min_stars]
+        if not lows or lows[-1] > min_stars:
+            lows.append(min_stars)
+        broad = snap.orderBy(*best).limit(cap)
+        banded = snap.withColumn("star_range_low", band_low(F.col("stars"), lows))
+        extra = (cap_per_band(banded, cap, keys=("star_range_low",)).drop("rank")
+                 .join(broad.select("full_name"), "full_name", "left_anti"))
+        if target is not None:
+            n_broad = broad.count()  # at most ``cap``
+            per_band = extra.groupBy("star_range_low").agg(F.count(F.lit(1)).alias("new"))
+            bw = Window.orderBy(F.col("star_range_low").desc()).rowsBetween(Window.unboundedPreceding, -1)
+            ran = (per_band.withColumn("before", F.lit(n_broad) + F.coalesce(F.sum("new").over(bw), F.lit(0)))
+                   .filter(F.col("before") < target).select("star_range_low"))  # at most one row per cut point
+            extra = extra.join(F.broadcast(ran), "star_range_low", "left_semi")
+        union = broad.unionByName(extra.select("full_name", "stars"))
+    if target is None:
+        return union
+    ranked = seq_number(union.withColumn("_all", F.lit(0)), ["_all"], best, name="_rank")
+    return ranked.filter(F.col("_rank") <= target).drop("_all", "_rank")
 
 
 def refresh(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress: DataFrame | None,
-            cap: int = SEARCH_LIMIT, target: int | None = 100000) -> tuple[DataFrame, DataFrame]:
+            cap: int | None = None, target: int | None = None) -> tuple[DataFrame, DataFrame]:
     """BND11 refresh mode: clear all progress, re-run the whole census
     without resume and upsert the returned rows into the catalog (new names
     pending, known names get fresh metadata).  Returns ``(catalog, progress)``."""
@@ -271,6 +280,6 @@ def refresh(snapshot: DataFrame, catalog: DataFrame, tiers: DataFrame, progress:
     summary, selected = census(snapshot, catalog, tiers, progress=cleared, cap=cap, target=target, resume=False)
     meta = [c for c in ("stars", "language", "license_key", "size_kb", "default_branch", "fork", "archived",
                         "updated_at") if c in snapshot.columns]
-    batch = (selected.select("full_name", "rank").join(snapshot.select("full_name", *meta), "full_name")
-             .withColumnRenamed("rank", "arrival"))
+    batch = (selected.select("full_name").distinct().join(snapshot.select("full_name", *meta), "full_name")
+             .withColumn("arrival", F.lit(1)))
     return upsert(catalog, batch), mark_complete(cleared, summary)

@@ -87,73 +87,78 @@ def upsert(catalog: DataFrame, batch: DataFrame, now: Column | None = None) -> D
 
 # --- status transitions -------------------------------------------------
 
+# state column of each per-action field: (event action, event column)
+_FIELDS = {
+    "last_error": ("failed", "error"), "download_started_at": ("downloading", "ts"),
+    "download_completed_at": ("downloaded", "ts"), "actual_size_bytes": ("downloaded", "size_bytes"),
+    "local_path": ("downloaded", "path"), "processed_at": ("processed", "ts"),
+    "commit_count": ("processed", "commit_count"),
+}
+
+
 def apply_transitions(state: DataFrame, events: DataFrame) -> DataFrame:
-    """CAT4-CAT8 in one set-based job (also the body of the STR1 stream).
+    """CAT4-CAT8 in one set-based job: the whole next catalog.
 
     ``events``: ``event_id, ts, full_name, action`` plus optional ``error``,
     ``size_bytes``, ``path``, ``commit_count``.  Actions: ``discovered``,
     ``downloading``, ``downloaded``, ``processing``, ``processed``,
-    ``failed``.  Replay order is ``(ts, event_id)``.  A name that is not in
-    ``state`` exists from its first ``discovered`` event on; earlier events
-    for it are no-ops (an UPDATE of a missing row).  The latest status event
-    wins, ``failure_count`` adds one per failure, the latest value of each
-    per-action field wins.  Re-applying the same events to the same state is
-    idempotent because every column is a function of (state, event set).
+    ``failed``.  Replay order is ``(ts, event_id)`` and an ``event_id`` counts
+    once, so the result is a function of the state and the *set* of events.  A
+    name that is not in ``state`` exists from its first ``discovered`` event on;
+    earlier events for it are no-ops (an UPDATE of a missing row).  The latest
+    status event wins, ``failure_count`` adds one per failure, the latest event
+    of an action sets that action's fields (a null error keeps the old one).  All other columns of the
+    state are carried.
+
+    Events are aggregated per name before anything is joined, so a busy name
+    is combined inside the map tasks.  The latest event of an action counts if
+    it is not before the name's birth; only failures have to be counted again,
+    for new names that failed before they were born.
     """
     for c, t in (("error", "string"), ("size_bytes", "bigint"), ("path", "string"), ("commit_count", "bigint")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast(t))
     ev = events.dropDuplicates(["event_id"]).withColumn("_ord", F.struct(F.col("ts"), F.col("event_id")))
-    birth = (ev.filter(F.col("action") == "discovered").groupBy("full_name")
-             .agg(F.min("_ord").alias("_birth")))
-    known = state.select("full_name", F.lit(True).alias("_known"))
-    eff = (ev.join(birth, "full_name", "left").join(known, "full_name", "left")
-           .filter(F.col("_known") | (F.col("_ord") >= F.col("_birth"))))
-
-    def last(col: str, when: Column) -> Column:
-        return F.max_by(F.when(when, F.col(col)), F.when(when, F.col("_ord")))
-
-    st = F.col("action") != "discovered"
-    agg = eff.groupBy("full_name").agg(
-        last("action", st).alias("_e_status"),
-        F.max(F.when(st, F.col("ts"))).alias("_e_status_ts"),
-        F.count_if(F.col("action") == "failed").alias("_e_failures"),
-        last("error", F.col("action") == "failed").alias("_e_error"),
-        last("ts", F.col("action") == "downloading").alias("_e_started"),
-        last("ts", F.col("action") == "downloaded").alias("_e_completed"),
-        last("size_bytes", F.col("action") == "downloaded").alias("_e_size"),
-        last("path", F.col("action") == "downloaded").alias("_e_path"),
-        last("ts", F.col("action") == "processed").alias("_e_processed"),
-        last("commit_count", F.col("action") == "processed").alias("_e_commits"),
-        F.count_if(F.col("action") == "downloaded").alias("_n_dl"),
-        F.count_if(F.col("action") == "processed").alias("_n_pr"),
-    )
-    s = state.withColumn("_known", F.lit(True))
-    j = s.join(agg, "full_name", "full_outer")
-
-    def pick(event_col: str, state_col: str, when: Column | None = None) -> Column:
-        cur = F.col(state_col) if state_col in state.columns else F.lit(None)
-        take = F.col(event_col).isNotNull() if when is None else when
-        return F.when(take, F.col(event_col)).otherwise(cur)
-
-    fc = F.col("failure_count") if "failure_count" in state.columns else F.lit(0)
-    out = j.select(
-        "full_name",
-        F.coalesce(F.col("_e_status"), F.col("status") if "status" in state.columns else F.lit(None),
-                   F.lit("pending")).alias("status"),
-        (F.coalesce(fc, F.lit(0)) + F.coalesce(F.col("_e_failures"), F.lit(0))).cast("int").alias("failure_count"),
-        pick("_e_error", "last_error").alias("last_error"),
-        pick("_e_started", "download_started_at").alias("download_started_at"),
-        pick("_e_completed", "download_completed_at").alias("download_completed_at"),
-        pick("_e_size", "actual_size_bytes", F.col("_n_dl") > 0).cast("bigint").alias("actual_size_bytes"),
-        pick("_e_path", "local_path", F.col("_n_dl") > 0).alias("local_path"),
-        pick("_e_processed", "processed_at").alias("processed_at"),
-        pick("_e_commits", "commit_count", F.col("_n_pr") > 0).cast("bigint").alias("commit_count"),
-        F.coalesce(F.col("_e_status_ts"), F.col("status_updated_at") if "status_updated_at" in state.columns
-                   else F.lit(None)).alias("status_updated_at"),
-        F.col("_known").isNull().alias("is_new"),
-    )
-    return out
+    is_a = lambda a: F.col("action") == a
+    status = F.col("action") != "discovered"
+    aggs = [F.min(F.when(is_a("discovered"), F.col("_ord"))).alias("_birth"),
+            F.max(F.when(status, F.struct("_ord", F.col("action").alias("v"), F.col("ts").alias("t")))).alias("_status"),
+            F.count_if(is_a("failed")).alias("_failures"),
+            F.min(F.when(is_a("failed"), F.col("_ord"))).alias("_first_failure")]
+    for col, (action, value) in _FIELDS.items():
+        hit = is_a(action) & (F.col(value).isNotNull() if action == "failed" else F.lit(True))
+        aggs.append(F.max(F.when(hit, F.struct("_ord", F.col(value).alias("v")))).alias(f"_e_{col}"))
+    per_name = ev.groupBy("full_name").agg(*aggs)
+    j = state.withColumn("_known", F.lit(True)).join(per_name, "full_name", "full_outer")
+    j = j.filter(F.col("_known") | F.col("_birth").isNotNull())
+    # failures before the birth of a new name, counted from the failed events of such names alone
+    late = j.filter(F.col("_known").isNull() & (F.col("_first_failure") < F.col("_birth"))).select("full_name", "_birth")
+    early = (ev.filter(is_a("failed")).select("full_name", "_ord").join(late, "full_name")
+             .filter(F.col("_ord") < F.col("_birth")).groupBy("full_name").agg(F.count(F.lit(1)).alias("_early")))
+    j = j.join(early, "full_name", "left")
+
+    def counts(event: str) -> Column:
+        found = F.col(event)
+        return found.isNotNull() & (F.coalesce(F.col("_known"), F.lit(False)) | (found["_ord"] >= F.col("_birth")))
+
+    def of_state(col: str) -> Column:
+        return F.col(col) if col in state.columns else F.lit(None)
+
+    owner, leaf = split_name()
+    new = {
+        "status": F.coalesce(F.when(counts("_status"), F.col("_status.v")), of_state("status"), F.lit("pending")),
+        "failure_count": (F.coalesce(of_state("failure_count"), F.lit(0)) + F.coalesce("_failures", F.lit(0))
+                          - F.coalesce("_early", F.lit(0))).cast("int"),
+        "status_updated_at": F.coalesce(F.when(counts("_status"), F.col("_status.t")), of_state("status_updated_at")),
+    }
+    for col in _FIELDS:
+        value = F.when(counts(f"_e_{col}"), F.col(f"_e_{col}.v")).otherwise(of_state(col))
+        new[col] = value.cast("bigint") if col in ("actual_size_bytes", "commit_count") else value
+    for col, part in (("owner", owner), ("name", leaf)):
+        if col in state.columns:
+            new[col] = F.when(F.col("_known"), F.col(col)).otherwise(part)
+    cols = [c for c in state.columns if c != "is_new"] + [c for c in new if c not in state.columns]
+    return j.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in cols], F.col("_known").isNull().alias("is_new"))
 
 
 # --- set-wide commands (conditional projections) --------------------------

@@ -13,11 +13,12 @@ key-value render formats.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.hashrand import X, arr, col, lit, pick, rint, unit, var
+from corpusflow.functions.hashrand import X, arr, col, lit, pick, rint, var
 
 # --- fixed values ----------------------------------------------------------
 # Category names; the category code is the position in this list.
@@ -50,55 +51,63 @@ FILLER_TEMPLATES = (
     "Someone {verb} a {noun1} and left it {adj1}.",
     "By {year} the {noun2} had become {adj2} and {adj1}.",
 )
-# (category, statement, question, answer)
+# (category, statement, question, answer, kind of {a}, kind of {b})
 NEEDLE_TEMPLATES = (
-    ("simple", "The access phrase for the vault is {code}.", "What is the access phrase for the vault?", "{code}"),
-    ("simple", "Remember that the pass token equals {code}.", "What does the pass token equal?", "{code}"),
-    ("simple", "The hidden word chosen today is {code}.", "Which hidden word was chosen today?", "{code}"),
-    ("entity", "{person} moved to the city of {city} last spring.", "Where did {person} move?", "{city}"),
-    ("entity", "The headquarters of {company} stand in {country}.",
-     "In which country are the headquarters of {company}?", "{country}"),
-    ("entity", "{person} founded the firm {company}.", "Which firm did {person} found?", "{company}"),
-    ("entity", "The mayor of {city} is named {person}.", "What is the name of the mayor of {city}?", "{person}"),
-    ("code", "The function {function} returns {literal}.", "What does {function} return?", "{literal}"),
-    ("code", "Set the variable {variable} before calling {method}.",
-     "Which variable must be set before calling {method}?", "{variable}"),
-    ("code", "Class {class} extends {base_class}.", "Which class does {class} extend?", "{base_class}"),
-    ("code", "The method {method} takes the arguments {params}.", "Which arguments does {method} take?", "{params}"),
-    ("code", "Configuration key {key} lives in the file {filename}.",
-     "In which file does configuration key {key} live?", "{filename}"),
-    ("code", "The flag {feature} is set to {flag} in production.",
-     "What is the flag {feature} set to in production?", "{flag}"),
-    ("temporal", "The archive was sealed on {date}.", "On what date was the archive sealed?", "{date}"),
-    ("temporal", "{person} signed the contract on {date}.", "When did {person} sign the contract?", "{date}"),
-    ("temporal", "Release {version} shipped on {date}.", "When did release {version} ship?", "{date}"),
-    ("numeric", "The warehouse holds exactly {number} crates.", "How many crates does the warehouse hold?",
-     "{number}"),
-    ("numeric", "The current release of {company} is version {version}.",
-     "What is the current release version of {company}?", "{version}"),
-    ("numeric", "Room {number} is reserved for {person}.", "Which room is reserved for {person}?", "{number}"),
-    ("definition", "A {feature} is defined as {description}.", "How is a {feature} defined?", "{description}"),
-    ("definition", "In this project the word {code} means {description}.",
-     "What does the word {code} mean in this project?", "{description}"),
-    ("definition", "The term {variable} refers to {description}.", "What does the term {variable} refer to?",
-     "{description}"),
-    ("assertion", "It is {flag} that {person} approved the budget.", "Is it true that {person} approved the budget?",
-     "{flag}"),
-    ("assertion", "The claim that {city} hosts the summit is {flag}.", "Is the claim that {city} hosts the summit true?",
-     "{flag}"),
+    ("simple", "The locker in the hall opens with {a}.", "What opens the locker in the hall?", "{a}", "badge", None),
+    ("simple", "Tonight the guards expect the signal {a}.", "Which signal do the guards expect tonight?", "{a}", "badge", None),
+    ("simple", "The parrot on the stairs only answers to {a}.", "To what does the parrot on the stairs answer?", "{a}",
+     "word", None),
+    ("entity", "{a} keeps a bakery in {b}.", "Where does {a} keep a bakery?", "{b}", "person", "town"),
+    ("entity", "The ferry {a} is steered by {b}.", "Who steers the ferry {a}?", "{b}", "ship", "person"),
+    ("entity", "Through {a} runs the river {b}.", "Which river runs through {a}?", "{b}", "town", "river"),
+    ("entity", "{a} learned the violin from {b}.", "From whom did {a} learn the violin?", "{b}", "person", "person"),
+    ("code", "Queue {a} retries every job {b} times.", "How often does queue {a} retry a job?", "{b}", "ident", "number"),
+    ("code", "Service {a} appends its log to {b}.", "Where does service {a} append its log?", "{b}", "ident", "path"),
+    ("code", "Node {a} answers on port {b}.", "On which port does node {a} answer?", "{b}", "host", "port"),
+    ("code", "Table {a} is partitioned by {b}.", "By which column is table {a} partitioned?", "{b}", "ident", "ident"),
+    ("code", "Job {a} waits until job {b} is done.", "For which job does job {a} wait?", "{b}", "ident", "ident"),
+    ("code", "Build {a} pins the parser at {b}.", "At what does build {a} pin the parser?", "{b}", "badge", "version"),
+    ("temporal", "The lighthouse of {a} went dark on {b}.", "When did the lighthouse of {a} go dark?", "{b}", "town", "day"),
+    ("temporal", "{a} rings the bell at {b}.", "At what time does {a} ring the bell?", "{b}", "person", "clock"),
+    ("temporal", "The ferry {a} was launched in {b}.", "In which year was the ferry {a} launched?", "{b}", "ship", "year"),
+    ("numeric", "The stairs to the tower of {a} have {b} steps.", "How many steps lead to the tower of {a}?", "{b}",
+     "town", "number"),
+    ("numeric", "{a} pulled a pike of {b} out of the pond.", "How heavy was the pike of {a}?", "{b}", "person", "measure"),
+    ("numeric", "On the ferry {a} there is room for {b} barrels.", "For how many barrels is there room on the ferry {a}?",
+     "{b}", "ship", "number"),
+    ("definition", "Among weavers {a} means a {b} thread.", "What colour is a thread that weavers call {a}?", "{b}",
+     "word", "colour"),
+    ("definition", "Old maps call the river {b} by the name {a}.", "Which river do old maps call {a}?", "{b}", "word", "river"),
+    ("definition", "A {a} is what fishers call a {b}.", "What do fishers mean by a {a}?", "{b}", "word", "craft"),
+    ("assertion", "Does {a} own a boat? {b}, by all accounts.", "Does {a} own a boat?", "{b}", "person", "yesno"),
+    ("assertion", "Is there a theatre in {a}? {b}, says the guide.", "Is there a theatre in {a}?", "{b}", "town", "yesno"),
 )
-
-SLOT_KINDS = ("code", "city", "country", "person", "company", "function", "literal", "variable", "key", "class",
-              "base_class", "method", "params", "date", "number", "version", "filename", "description",
-              "feature", "flag")
+SLOT_KINDS = ("badge", "word", "person", "town", "ship", "river", "firm", "ident", "host", "path", "number", "port", "day",
+              "year", "clock", "measure", "version", "craft", "colour", "yesno")
+COLOURS = ("red", "ochre", "teal", "violet", "white", "green", "grey", "rose")
+CRAFTS = ("net", "hook", "oar", "lantern", "rope", "basket", "anchor", "sail")
 
 # Syllables by rule: consonant x vowel.
 SYLLABLES = tuple(c + v for c in "bdfgklmnprstvz" for v in "aeiou")
-CODE_ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 TOKEN_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 # --- GEN1: typed values (SQL text, see functions.hashrand) -------------------
+# A value is read off a digest: eight 16-bit draws, of which it uses three.
+
+def digest(*parts) -> X:
+    inner = ", ".join(f"cast({p} as string)" if isinstance(p, X) else lit(str(p)) for p in parts)
+    return X(f"md5(concat_ws(':', {inner}))")
+
+
+def _draw(digest: X, i: int, n: int) -> X:
+    """Draw ``i`` (0..7) of a hex digest as an integer in ``[0, n)``."""
+    return X(f"pmod(cast(conv(substring({digest}, {4 * i + 1}, 4), 16, 10) as int), {n})")
+
+
+def _pick(options, d: X, i: int) -> X:
+    return X(f"element_at({arr(options)}, {_draw(d, i, len(options))} + 1)")
+
 
 def _chars(options, length: X, *key) -> X:
     j = var()
@@ -106,85 +115,61 @@ def _chars(options, length: X, *key) -> X:
              f"element_at({arr(options)}, cast({rint(len(options), *key, j)} + 1 as int))), '')")
 
 
-def word(*key, lo: int = 2, hi: int = 3, cap: bool = False) -> X:
-    n = X(f"({lo} + {rint(hi - lo + 1, *key, 'n')})")
-    w = _chars(SYLLABLES, n, *key)
-    return X(f"initcap({w})") if cap else w
-
-
-def _ident(sep: str, camel: bool, *key) -> X:
-    j = var()
-    n = X(f"(1 + {rint(3, *key, 'k')})")
-    w = word(*key, j, lo=1, hi=2)
-    body = f"case when {j} > 1 then initcap({w}) else {w} end" if camel else w
-    return X(f"array_join(transform(sequence(1, cast({n} as int)), {j} -> {body}), {lit(sep)})")
-
-
-def slot_value(kind: str, *key) -> X:
-    """One typed value; ``key`` = (seed, example, salt, ...)."""
-    k = (*key, kind)
-    if kind == "code":
-        return _chars(CODE_ALPHABET, X(f"(4 + {rint(5, *k, 'len')})"), *k)
-    if kind in ("city", "person"):
-        return word(*k, cap=True)
-    if kind == "country":
-        return X(f"concat({word(*k, lo=1, hi=2, cap=True)}, {pick(('ia', 'land', 'stan', 'ora', 'esh'), *k, 'sfx')})")
-    if kind == "company":
-        return X(f"concat({word(*k, cap=True)}, ' ', "
-                 f"{pick(('Works', 'Systems', 'Group', 'Dynamics', 'Partners'), *k, 'sfx')})")
-    if kind in ("function", "method"):
-        return _ident("", True, *k)
-    if kind in ("variable", "key", "feature"):
-        return _ident("_", False, *k)
-    if kind == "class":
-        return X(f"concat({word(*k, cap=True)}, "
-                 f"{pick(('Controller', 'Adapter', 'Builder', 'Registry', 'Resolver'), *k, 'sfx')})")
-    if kind == "base_class":
-        return X(f"concat('Abstract', {word(*k, cap=True)})")
-    if kind == "params":
-        j = var()
-        return X(f"array_join(transform(sequence(1, cast(1 + {rint(3, *k, 'n')} as int)), {j} -> "
-                 f"{_ident('_', False, *k, j)}), ', ')")
-    if kind == "date":
-        return X(f"format_string('%04d-%02d-%02d', cast(1960 + {rint(71, *k, 'y')} as int), "
-                 f"cast(1 + {rint(12, *k, 'm')} as int), cast(1 + {rint(28, *k, 'd')} as int))")
+def slot_value(kind: str, d: X, at: int) -> X:
+    """A value of ``kind`` from the draws ``at .. at + 2`` of digest ``d``."""
+    one, two, three = (_pick(SYLLABLES, d, at + i) for i in range(3))
+    plain = X(f"concat({one}, {two}, {three})")
+    if kind == "badge":
+        return X(f"upper(concat(substring({d}, {4 * at + 1}, 4), '-', substring({d}, {4 * at + 5}, 6)))")
+    if kind == "word":
+        return plain
+    if kind == "person":
+        return X(f"concat(initcap(concat({one}, {two})), ' ', initcap(concat({three}, {two}, 'n')))")
+    if kind == "town":
+        return X(f"concat(initcap({plain}), 'by')")
+    if kind == "ship":
+        return X(f"concat('Lady ', initcap({plain}))")
+    if kind == "river":
+        return X(f"initcap(concat({plain}, 'l'))")
+    if kind == "firm":
+        return X(f"concat(initcap(concat({one}, {two})), ' & ', initcap(concat({three}, {one})))")
+    if kind == "ident":
+        return X(f"concat({one}, {two}, '_', {three}, cast({_draw(d, at, 97)} as string))")
+    if kind == "host":
+        return X(f"concat({one}, {two}, '-', lpad(cast({_draw(d, at + 2, 1000)} as string), 3, '0'))")
+    if kind == "path":
+        return X(f"concat('/var/', {one}, {two}, '/', {three}, '-', cast({_draw(d, at, 1000)} as string), '.log')")
     if kind == "number":
-        return X(f"cast(1 + {rint(99999, *k)} as string)")
+        return X(f"cast(2 + {_draw(d, at, 50000)} as string)")
+    if kind == "port":
+        return X(f"cast(1024 + {_draw(d, at, 64000)} as string)")
+    if kind == "day":
+        return X(f"date_format(date_add(date'1950-01-01', {_draw(d, at, 30000)}), 'd MMMM yyyy')")
+    if kind == "year":
+        return X(f"cast(1700 + {_draw(d, at, 320)} as string)")
+    if kind == "clock":
+        return X(f"concat(lpad(cast({_draw(d, at, 24)} as string), 2, '0'), ':', lpad(cast({_draw(d, at + 1, 60)} as string), 2, '0'))")
+    if kind == "measure":
+        return X(f"concat(cast(1 + {_draw(d, at, 400)} as string), '.', cast({_draw(d, at + 1, 10)} as string), ' kg')")
     if kind == "version":
-        return X(f"format_string('%d.%d.%d', cast({rint(10, *k, 'a')} as int), cast({rint(50, *k, 'b')} as int), "
-                 f"cast({rint(100, *k, 'c')} as int))")
-    if kind == "filename":
-        return X(f"concat({_ident('_', False, *k)}, {pick(('.py', '.rs', '.go', '.java', '.rb', '.ts'), *k, 'ext')})")
-    if kind == "description":
-        return X(f"concat_ws(' ', {word(*k, 1)}, {word(*k, 2)}, {word(*k, 3)})")
-    if kind == "flag":
-        return pick(("true", "false"), *k)
-    if kind == "literal":
-        form = rint(10, *k, "form")
-        a, b = f"cast({rint(100, *k, 'a')} as int)", f"cast({rint(100, *k, 'b')} as int)"
-        return X(f"case cast({form} as int) when 0 then 'null' when 1 then 'true' when 2 then 'false' "
-                 f"when 3 then cast({rint(19999, *k, 'i')} - 9999 as string) "
-                 f"when 4 then format_string('[%d, %d]', {a}, {b}) "
-                 f"when 5 then concat('\"', {word(*k, 'w')}, '\"') "
-                 f"when 6 then format_string('(%d, %d)', {a}, {b}) "
-                 f"when 7 then format_string('%d.%02d', {a}, {b}) "
-                 f"when 8 then format_string('0x%04X', cast({rint(65536, *k, 'x')} as int)) "
-                 f"else format_string('{{\"id\": %d}}', {a}) end")
+        return X(f"concat('r', cast({_draw(d, at, 400)} as string), '.', cast({_draw(d, at + 1, 100)} as string))")
+    if kind == "craft":
+        return X(f"concat({_pick(COLOURS, d, at + 1)}, ' ', {_pick(CRAFTS, d, at)})")
+    if kind == "colour":
+        return _pick(COLOURS, d, at)
+    if kind == "yesno":
+        return _pick(("Yes", "No"), d, at)
     raise ValueError(kind)
 
 
-def _render_static(template: str, *key) -> X:
+def _render(template: str, a: X, b: X | None) -> X:
     """Literal pieces and slot values of one template, concatenated."""
-    parts = [p for p in re.split(r"(\{\w+\})", template) if p]
-    return X("concat(" + ", ".join(slot_value(p[1:-1], *key) if p.startswith("{") else lit(p) for p in parts) + ")")
+    parts = [p for p in re.split(r"(\{[ab]\})", template) if p]
+    return X("concat(" + ", ".join({"{a}": a, "{b}": b}.get(p) or lit(p) for p in parts) + ")")
 
 
-def render_template(idx: X, field: int, *key) -> X:
-    """Field ``field`` (1 statement, 2 question, 3 answer) of needle
-    template ``idx`` with its slots filled from ``key``; a CASE over the
-    templates keeps the expression linear in the template count."""
-    whens = " ".join(f"when {i} then {_render_static(t[field], *key)}" for i, t in enumerate(NEEDLE_TEMPLATES))
-    return X(f"case cast({idx} as int) {whens} end")
+def _slots(t: tuple, d: X) -> tuple[X, X | None]:
+    return slot_value(t[4], d, 1), slot_value(t[5], d, 4) if t[5] else None
 
 
 # --- GEN2, GEN3, GEN4: sentences ---------------------------------------------------
@@ -198,11 +183,6 @@ def filler_sentence(*key) -> X:
     return X(f"replace({s}, '{{year}}', cast(1900 + {rint(125, *key, 'year')} as string))")
 
 
-def _draw(digest: X, i: int, n: int) -> X:
-    """Draw ``i`` (0..7) of a hex digest column as an integer in ``[0, n)``."""
-    return X(f"pmod(cast(conv(substring({digest}, {4 * i + 1}, 4), 16, 10) as int), {n})")
-
-
 def filler_from_digest(digest: X) -> X:
     """GEN2 from one precomputed md5 digest column: eight 16-bit draws pick
     the template, the six words and the year (one md5 per sentence)."""
@@ -213,84 +193,36 @@ def filler_from_digest(digest: X) -> X:
     return X(f"replace({s}, '{{year}}', cast(1900 + {_draw(digest, 7, 125)} as string))")
 
 
-def hard_negative(*key) -> X:
-    """GEN3: a needle statement with fresh values."""
-    return render_template(rint(len(NEEDLE_TEMPLATES), *key, "ht"), 1, *key, "hv")
+def hard_negative(d: X) -> X:
+    """GEN3: a needle statement with fresh values, all from one digest."""
+    whens = " ".join(f"when {i} then {_render(t[1], *_slots(t, d))}" for i, t in enumerate(NEEDLE_TEMPLATES))
+    return X(f"case {_draw(d, 0, len(NEEDLE_TEMPLATES))} {whens} end")
 
 
-def needle(seed, example_id: X, salt: str = "needle") -> dict[str, X]:
-    """GEN4: statement, question, answer and category sharing slot values."""
-    t = rint(len(NEEDLE_TEMPLATES), seed, example_id, salt, "t")
-    key = (seed, example_id, salt, "v")
-    cats = arr([tpl[0] for tpl in NEEDLE_TEMPLATES])
-    return {"template_idx": X(f"cast({t} as int)"), "needle_text": render_template(t, 1, *key),
-            "question": render_template(t, 2, *key), "answer": render_template(t, 3, *key),
-            "template_category": X(f"element_at({cats}, cast({t} + 1 as int))")}
+def is_hard(d: X) -> X:
+    """GEN5: whether the sentence of digest ``d`` is a hard negative."""
+    return X(f"({_draw(d, 7, 65536)} < {round(HARD_NEGATIVE_RATE * 65536)})")
 
 
 def with_needle(df: DataFrame, seed, id_col: str = "example_id", salt: str = "needle") -> DataFrame:
-    """GEN4 as columns: the slot values of the example are computed once
-    (one column per slot kind) and the statement, question and answer are
-    rendered from them, so the three fields share values and the plan
-    carries one copy of each value expression instead of three."""
+    """GEN4 as columns: the two slot values of the example are computed once,
+    and the statement, question and answer are rendered from them."""
     eid = X(id_col)
-    key = (seed, eid, salt, "v")
     t = rint(len(NEEDLE_TEMPLATES), seed, eid, salt, "t")
-    vals = df.select("*", col(X(f"cast({t} as int)")).alias("template_idx"),
-                     *[col(slot_value(k, *key)).alias(f"_v_{k}") for k in SLOT_KINDS])
-
-    def render_cols(field: int) -> X:
-        whens = []
-        for i, tpl in enumerate(NEEDLE_TEMPLATES):
-            parts = [p for p in re.split(r"(\{\w+\})", tpl[field]) if p]
-            body = "concat(" + ", ".join(f"_v_{p[1:-1]}" if p.startswith("{") else lit(p) for p in parts) + ")"
-            whens.append(f"when {i} then {body}")
-        return X(f"case template_idx {' '.join(whens)} end")
-
-    cats = arr([tpl[0] for tpl in NEEDLE_TEMPLATES])
-    out = vals.select("*", col(render_cols(1)).alias("needle_text"), col(render_cols(2)).alias("question"),
-                      col(render_cols(3)).alias("answer"),
-                      col(X(f"element_at({cats}, template_idx + 1)")).alias("template_category"))
-    return out.drop(*[f"_v_{k}" for k in SLOT_KINDS])
-
-
-POOL_SIZE = 4096
-
-
-def _slot_kinds(template: str) -> list[str]:
-    return [p[1:-1] for p in re.findall(r"\{\w+\}", template)]
-
-
-def value_pool(spark, seed: int, size: int = POOL_SIZE) -> DataFrame:
-    """Fixed-size pool of typed values for hard negatives: ``size`` values
-    per slot kind (20 kinds), a pure function of (seed, kind, index).  Its
-    size is a parameter, not data, so broadcasting it is bounded."""
-    kinds = arr(SLOT_KINDS)
-    rows = spark.range(size).select(F.col("id").alias("pool_idx"), F.explode(col(kinds)).alias("kind"))
-    whens = " ".join(f"when '{k}' then {slot_value(k, seed, 'pool', X('pool_idx'))}" for k in SLOT_KINDS)
-    return rows.select("kind", "pool_idx", col(X(f"case kind {whens} end")).alias("value"))
-
-
-def hard_negatives_from_pool(rows: DataFrame, pool: DataFrame, seed: int, size: int = POOL_SIZE) -> DataFrame:
-    """GEN3 for many sentences at once: template by hash, each slot value
-    drawn from the value pool by a hashed index (three broadcast equi-joins
-    on (kind, index)); rendering is plain ``replace`` (whole-stage codegen).
-    ``rows`` needs ``example_id, _c, _s``; adds ``_text`` and ``_hn_tpl``."""
-    kinds = [(_slot_kinds(t[1]) + [None, None, None])[:3] for t in NEEDLE_TEMPLATES]
-    t = X(f"cast({rint(len(NEEDLE_TEMPLATES), seed, _EID, X('_c'), X('_s'), 'ht')} as int)")
-    df = rows.withColumn("_hn_tpl", col(t))
-    for i in range(3):
-        opts = "array(" + ", ".join(lit(k[i]) if k[i] else "cast(null as string)" for k in kinds) + ")"
-        df = (df.withColumn(f"_k{i}", col(X(f"element_at({opts}, _hn_tpl + 1)")))
-              .withColumn(f"_i{i}", col(rint(size, seed, _EID, X('_c'), X('_s'), 'hp', i))))
-        p = F.broadcast(pool.select(F.col("kind").alias(f"_k{i}"), F.col("pool_idx").alias(f"_i{i}"),
-                                    F.col("value").alias(f"_v{i}")))
-        df = df.join(p, [f"_k{i}", f"_i{i}"], "left")
-    text = col(X(f"element_at({arr([t[1] for t in NEEDLE_TEMPLATES])}, _hn_tpl + 1)"))
-    for i in range(3):
-        text = F.when(F.col(f"_k{i}").isNull(), text).otherwise(
-            F.replace(text, F.concat(F.lit("{"), F.col(f"_k{i}"), F.lit("}")), F.col(f"_v{i}")))
-    return df.withColumn("_text", text).drop(*[f"_{a}{i}" for a in "kiv" for i in range(3)])
+    df = df.select("*", col(X(f"cast({t} as int)")).alias("template_idx"), col(digest(seed, eid, salt, "v")).alias("_nd"))
+
+    def by_template(of) -> X:
+        whens = " ".join(f"when {i} then {of(t)}" for i, t in enumerate(NEEDLE_TEMPLATES))
+        return X(f"case template_idx {whens} end")
+
+    d = X("_nd")
+    df = df.select("*", col(by_template(lambda t: _slots(t, d)[0])).alias("_va"),
+                   col(by_template(lambda t: _slots(t, d)[1] or lit(""))).alias("_vb"))
+    texts = [col(by_template(lambda t, f=f: _render(t[f], X("_va"), X("_vb")))).alias(n)
+             for f, n in ((1, "needle_text"), (2, "question"), (3, "answer"))]
+    cats = arr([t[0] for t in NEEDLE_TEMPLATES])
+    return df.select("*", *texts, col(X(f"element_at({cats}, template_idx + 1)")).alias("template_category")).drop(
+        "_nd", "_va", "_vb")
 
 
 # --- GEN7: curricula (UDX2: schedules are Column -> Column) --------------------
@@ -318,16 +250,12 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
     ``num_chunks`` is an int or a Column (e.g. a curriculum of the id).  The
     needle is inserted as its own sentence at a hashed position of a hashed
     chunk, so ``needle_text`` occurs verbatim in that chunk.  Each haystack
-    sentence is a hard negative with probability 0.2 (GEN5); hard negatives
-    take their slot values from the fixed-size value pool (``POOL_SIZE`` per
-    kind, broadcast), the needle's own values are drawn fresh.
-    ``ambiguous`` flags subject-less needles whose template also appears as
-    a hard negative in the same example.
-
-    Sentences are generated as rows and gathered back in two bounded
-    groupings: sentences per chunk (``sentences_per_chunk + 1`` rows), then
-    chunks per example (``num_chunks`` rows); arrays of structs are read
-    back by field, without lambdas.
+    sentence is a hard negative with probability 0.2 (GEN5), with values drawn
+    anew for every sentence.  ``ambiguous`` flags subject-less needles whose
+    template also appears as a hard negative in the same example.
+
+    A whole example is one projection over its row (sentences and chunks by
+    ``transform``), so generation is map-only.
     """
     spc = sentences_per_chunk
     n = num_chunks if isinstance(num_chunks, Column) else F.lit(num_chunks)
@@ -335,39 +263,28 @@ def needle_examples(ids: DataFrame, seed: int, num_chunks=10, sentences_per_chun
     base = with_needle(df, seed).select(
         "*", col(X(f"cast({rint(X('n_chunks'), seed, _EID, 'nc')} as int)")).alias("needle_chunk_idx"),
         col(X(f"cast({rint(spc + 1, seed, _EID, 'np')} as int)")).alias("_pos"))
-    c, s = X("_c"), X("_s")
-    hn = X(f"({unit(seed, _EID, 'hn', c, s)} < {HARD_NEGATIVE_RATE})")
-    slots = (base.select("example_id", "needle_chunk_idx", "_pos",
-                         F.explode(F.sequence(F.lit(0), F.col("n_chunks") * spc - 1)).alias("_k"))
-             .withColumn("_c", F.floor(F.col("_k") / spc).cast("int"))
-             .withColumn("_s", (F.col("_k") % spc).cast("int"))
-             # slot inside the chunk: sentences at or after the needle move one down
-             .withColumn("_slot", F.when((F.col("_c") == F.col("needle_chunk_idx")) & (F.col("_s") >= F.col("_pos")),
-                                         F.col("_s") + 1).otherwise(F.col("_s")))
-             .withColumn("_hn", col(hn)))
-    fill = (slots.filter(~F.col("_hn"))
-            .withColumn("_fd", col(X(f"md5(concat_ws(':', {lit(str(seed))}, cast(example_id as string), 'f', "
-                                     f"cast(_c as string), cast(_s as string)))")))
-            .select("example_id", "_c", "_slot", col(filler_from_digest(X("_fd"))).alias("_text"),
-                    F.lit(None).cast("int").alias("_hn_tpl")))
-    negs = hard_negatives_from_pool(slots.filter(F.col("_hn")), value_pool(ids.sparkSession, seed), seed) \
-        .select("example_id", "_c", "_slot", "_text", "_hn_tpl")
-    rows = fill.unionByName(negs)
-    needles = base.select("example_id", F.col("needle_chunk_idx").alias("_c"), F.col("_pos").alias("_slot"),
-                          F.col("needle_text").alias("_text"), F.lit(None).cast("int").alias("_hn_tpl"))
-    per_chunk = (rows.unionByName(needles).groupBy("example_id", "_c")
-                 .agg(F.array_sort(F.collect_list(F.struct("_slot", "_text"))).alias("_p"),
-                      F.collect_set("_hn_tpl").alias("_hn"))
-                 .select("example_id", "_c", F.array_join(F.col("_p._text"), " ").alias("_chunk"), "_hn"))
-    per_ex = (per_chunk.groupBy("example_id")
-              .agg(F.array_sort(F.collect_list(F.struct("_c", "_chunk"))).alias("_chunks"),
-                   F.array_distinct(F.flatten(F.collect_list("_hn"))).alias("_hn_tpls")))
-    j = base.join(per_ex, "example_id")
-    ambiguous = (F.col("template_category") == "simple") & F.array_contains("_hn_tpls", F.col("template_idx"))
-    return j.select("example_id", F.col("_chunks._chunk").alias("context_chunks"), "needle_chunk_idx", "needle_text",
-                    "question", "answer", "template_category", "template_idx", "n_chunks",
-                    ambiguous.alias("ambiguous"),
-                    F.lit(None).cast("string").alias("target_key"), F.lit(None).cast("int").alias("num_entries"))
+
+    def bound(c: X, k: X, body) -> X:
+        """``body`` of the digest of sentence ``k`` in chunk ``c``, made once."""
+        d = var()
+        return X(f"element_at(transform(array({digest(seed, _EID, 'f', c, k)}), {d} -> {body(d)}), 1)")
+
+    c, s = var(), var()
+    sentence = lambda k: bound(c, k, lambda d: X(
+        f"case when {is_hard(d)} then {hard_negative(d)} else {filler_from_digest(d)} end"))
+    shifted = X(f"({s} - if({c} = needle_chunk_idx and {s} > _pos, 1, 0))")
+    slot = X(f"case when {c} = needle_chunk_idx and {s} = _pos then needle_text "
+             f"when {c} = needle_chunk_idx or {s} < {spc} then {sentence(shifted)} end")
+    chunks = X(f"transform(sequence(0, n_chunks - 1), {c} -> "
+               f"array_join(transform(sequence(0, {spc}), {s} -> {slot}), ' '))")
+    c2, k2 = var(), var()
+    same = bound(c2, k2, lambda d: X(f"({is_hard(d)} and {_draw(d, 0, len(NEEDLE_TEMPLATES))} = template_idx)"))
+    ambiguous = X(f"case when template_category = 'simple' then exists(sequence(0, n_chunks - 1), {c2} -> "
+                  f"exists(sequence(0, {spc - 1}), {k2} -> {same})) else false end")
+    return base.select("example_id", col(chunks).alias("context_chunks"), "needle_chunk_idx", "needle_text",
+                       "question", "answer", "template_category", "template_idx", "n_chunks",
+                       col(ambiguous).alias("ambiguous"),
+                       F.lit(None).cast("string").alias("target_key"), F.lit(None).cast("int").alias("num_entries"))
 
 
 # --- GEN8: lookup examples ------------------------------------------------------
@@ -465,36 +382,60 @@ def prompt_format(df: DataFrame) -> DataFrame:
 
 # --- GEN13: real text --------------------------------------------------------------
 
-def passage_matches(documents: DataFrame, passages: DataFrame, k: int = 6, bucket: int = 512) -> DataFrame:
-    """Documents that contain a passage verbatim (``doc_id, item_id, offset``).
+INNER_WORDS = 4
+SHORT_CHARS = 3
 
-    Equi-join on the hash of a passage's first ``k`` words against the hash
-    of every ``k``-word shingle of the documents (no cross product); the
-    candidates are then verified with ``instr`` on the whole texts.
 
-    Shingles come from ``lead`` over word positions inside buckets of
-    ``bucket`` words (the first ``k - 1`` words of a bucket are copied to the
-    previous one), so even a document holding a large share of the corpus
-    is spread over many window groups of bounded size.  The passage side is
-    small at runtime, so AQE broadcasts it after measuring it.
-    """
-    from pyspark.sql import Window
+def _passage_keys(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs ``(doc_id, item_id)`` that share a key every containing document has.
+
+    A passage's inner words (without the first and the last, which may be parts
+    of longer words of the document) stand in the document as whole words: up
+    to ``INNER_WORDS`` of them, hashed, are the key.  Passages of one or two
+    words are keyed by their first characters instead.  Keys are hashed inside
+    the map task and only ids are shuffled."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    p = passages.where(F.length("text") > 0).select("item_id", F.col("text"), words.alias("_w"))
+    p = p.withColumn("_k", F.least(F.size("_w") - 2, F.lit(INNER_WORDS)))
+    inner = p.where("_k >= 1 and text = trim(text) and not text rlike '^\\\\s|\\\\s$'").select(
+        "item_id", F.col("_k").alias("_n"), F.xxhash64(F.array_join(F.slice("_w", 2, F.col("_k")), " ")).alias("_h"))
+    short = p.join(inner.select("item_id"), "item_id", "left_anti").select(
+        "item_id", F.least(F.length("text"), F.lit(SHORT_CHARS)).alias("_m"), "text").select(
+        "item_id", (-F.col("_m")).alias("_n"), F.xxhash64(F.substr("text", F.lit(1), F.col("_m"))).alias("_h"))
+    keys = inner.unionByName(short)
+    sizes = sorted(r[0] for r in keys.select("_n").distinct().collect())  # at most INNER_WORDS + SHORT_CHARS values
+    d = documents.where(F.length("text") > 0).select("doc_id", words.alias("_w"), "text")
+
+    def grams_of(n: int) -> DataFrame:
+        count = F.size("_w") if n > 0 else F.length("text")
+
+        def gram(i: Column) -> Column:
+            return F.xxhash64(F.array_join(F.slice("_w", i + 1, n), " ") if n > 0
+                              else F.substr(F.col("text"), i + 1, F.lit(-n)))
+
+        hashes = F.when(count >= abs(n), F.array_distinct(F.transform(F.sequence(F.lit(0), count - abs(n)), gram)))
+        return d.select("doc_id", F.lit(n).alias("_n"), F.explode(hashes).alias("_h"))
+
+    if not sizes:
+        kind = passages.schema["item_id"].dataType
+        return documents.select("doc_id", F.lit(None).cast(kind).alias("item_id")).limit(0)
+    grams = reduce(DataFrame.unionByName, map(grams_of, sizes))
+    return grams.join(keys, ["_n", "_h"]).select("doc_id", "item_id").distinct()
+
+
+def _matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``doc_id, item_id, offset, text, passage`` of the documents that contain a passage."""
+    cand = _passage_keys(documents, passages)
+    full = (cand.join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
+            .join(documents.select("doc_id", "text"), "doc_id"))
+    return full.withColumn("offset", F.instr(F.col("text"), F.col("passage"))).filter(F.col("offset") > 0)
+
 
-    p = passages.select("item_id", F.col("text").alias("passage"),
-                        F.xxhash64(F.array_join(F.slice(F.split("text", " "), 1, k), " ")).alias("_h"))
-    w = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("_pos", "_w"))
-    own = w.withColumn("_b", F.floor(F.col("_pos") / bucket))
-    tail = (w.filter((F.col("_pos") % bucket < k - 1) & (F.col("_pos") >= bucket))
-            .withColumn("_b", F.floor(F.col("_pos") / bucket) - 1))
-    win = Window.partitionBy("doc_id", "_b").orderBy("_pos")
-    sh = (own.unionByName(tail)
-          .select("doc_id", "_b", "_pos",
-                  F.xxhash64(F.concat_ws(" ", "_w", *[F.lead("_w", i).over(win) for i in range(1, k)])).alias("_h"))
-          .filter(F.floor(F.col("_pos") / bucket) == F.col("_b")))
-    cand = sh.join(p, "_h").select("doc_id", "item_id", "passage").distinct()
-    full = cand.join(documents.select("doc_id", "text"), "doc_id")
-    return (full.withColumn("offset", F.instr(F.col("text"), F.col("passage")))
-            .filter(F.col("offset") > 0).select("doc_id", "item_id", "offset"))
+def passage_matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """Documents that contain a passage verbatim (``doc_id, item_id, offset``),
+    whatever its length and white space: an equi-join on keys (see
+    :func:`_passage_keys`), then ``instr`` on the whole texts."""
+    return _matches(documents, passages).select("doc_id", "item_id", "offset")
 
 
 def chunk_words(text: Column, words_per_chunk: int) -> Column:
@@ -512,9 +453,7 @@ def real_passage_examples(documents: DataFrame, passages: DataFrame, words_per_c
     becomes an example; the question quotes the passage's first words, the
     answer is the next ``prompt_words`` words; the needle chunk is the chunk
     holding the passage start."""
-    m = passage_matches(documents, passages)
-    d = documents.select("doc_id", "text")
-    j = m.join(d, "doc_id").join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
+    j = _matches(documents, passages)
     start_word = F.size(F.split(F.substring(F.col("text"), 1, F.col("offset") - 1), " ")) - 1
     pw = F.split(F.col("passage"), " ")
     return j.select(

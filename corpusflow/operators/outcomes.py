@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.ordering import seq_number
+from corpusflow.functions.ordering import seq_since
 
 # --- fixed values ----------------------------------------------------------
 # Download job defaults.
@@ -58,12 +58,15 @@ def oversize_precheck(repos: DataFrame, max_size_kb: int | None) -> DataFrame:
 
 def retry_schedule(log: DataFrame, timeout: int = CLONE_TIMEOUT_SECONDS, attempts: int = RETRY_ATTEMPTS,
                    delay: int = RETRY_DELAY_SECONDS) -> DataFrame:
-    """DLO3: attempt number per repository (log order), the timeout that
-    attempt used, the action, whether it is terminal and the wait before the
-    next attempt.  Numbering is skew-safe (see :mod:`functions.ordering`)."""
-    numbered = seq_number(log, ["full_name"], [F.col("ts"), F.col("event_id")], name="attempt")
+    """DLO3: attempt number, the timeout that attempt used, the action, whether
+    it is terminal and the wait before the next attempt.  Attempts of a
+    repository (log order) form chains: a chain ends with a success, a skip or
+    its ``attempts``-th failure, and the next attempt is number 1 again.
+    Numbering is skew-safe (see :mod:`functions.ordering`)."""
     action = F.when(F.col("success"), F.lit("done")).otherwise(classify_error(F.col("error")))
-    out = numbered.withColumn("action", action)
+    since = seq_since(log.withColumn("action", action), ["full_name"], [F.col("ts"), F.col("event_id")],
+                      F.col("action").isin("done", "skip"), name="_since")
+    out = since.withColumn("attempt", (F.col("_since") - 1) % attempts + 1)
     terminal = (F.col("action") == "done") | (F.col("action") == "skip") | (F.col("attempt") >= attempts)
     return out.select(
         "event_id", "full_name", "attempt", "action",

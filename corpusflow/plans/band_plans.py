@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from corpusflow.operators import bands as bnd
 from corpusflow.plans.registry import register
 from corpusflow.sources.repo_json import parse_repo_json
-from corpusflow.sources.snapshot import read_snapshot, write_snapshot
-from corpusflow.streaming.streams import scratch
 
-CAP = bnd.SEARCH_LIMIT
+# a small cap, so that bands of the test inputs exceed it
+CAP = 20
 
 
 def _snapshot(i):
@@ -52,7 +51,8 @@ _SNAP_SQL = """
 """.format(cuts=_CUTS)
 
 
-def _census_sql(p: str, tier_rows: str, target: int | None, progress: str | None = None) -> str:
+def _census_sql(p: str, tier_rows: str, target: int | None = None, progress: str | None = None,
+                cap: int | None = None, early: bool = False) -> str:
     """CTE chain computing a census summary named ``{p}_s``."""
     done = ""
     if progress:
@@ -65,6 +65,10 @@ def _census_sql(p: str, tier_rows: str, target: int | None, progress: str | None
         done = f"\n, {p}_done as (select b.*, false as completed from {p}_b0 b)"
     tgt = (f"coalesce(sum(case when candidate then new else 0 end) over (order by tier_ord, lang_ord, band_ord "
            f"rows between unbounded preceding and 1 preceding), 0) < {target}") if target else "true"
+    cap_at = "true" if cap is None else f"rk <= {cap}"
+    cap_n = "9223372036854775807" if cap is None else str(cap)
+    stop = f"""and coalesce(max(case when not completed and total = 0 then 1 else 0 end)
+    over (partition by tier, language order by band_ord rows between unbounded preceding and 1 preceding), 0) = 0""" if early else ""
     return f"""
 , {p}_t(tier, tier_ord, language, lang_ord, floor, start) as (values {tier_rows})
 , {p}_lows as (select t.*, c.c as low from {p}_t t join cuts c on c.c >= t.floor and c.c <= t.start
@@ -77,27 +81,25 @@ def _census_sql(p: str, tier_rows: str, target: int | None, progress: str | None
     where not s.fork and not b.completed)
 , {p}_tot as (select tier, language, low, count(*) as total from {p}_m group by all)
 , {p}_top as (select * from (select *, row_number() over (partition by tier, language, low
-    order by stars desc, full_name) as rk from {p}_m) x where rk <= {CAP})
+    order by stars desc, full_name) as rk from {p}_m) x where {cap_at})
 , {p}_new as (select tier, language, low, count(distinct full_name) as new from {p}_top
     where full_name not in (select full_name from repo_catalog) group by all)
 , {p}_s1 as (select b.*, coalesce(t.total, 0) as total, coalesce(n.new, 0) as new
     from {p}_done b left join {p}_tot t using (tier, language, low) left join {p}_new n using (tier, language, low))
-, {p}_s2 as (select *, not completed and coalesce(max(case when not completed and total = 0 then 1 else 0 end)
-    over (partition by tier, language order by band_ord rows between unbounded preceding and 1 preceding), 0) = 0
-    as candidate from {p}_s1)
+, {p}_s2 as (select *, not completed {stop} as candidate from {p}_s1)
 , {p}_s3 as (select *, candidate and {tgt} as ran from {p}_s2)
 , {p}_s as (select tier, tier_ord, language, lang_ord, band_ord, low as star_range_low,
     high as star_range_high, completed, ran,
     case when ran then total else 0 end as total,
-    least(case when ran then total else 0 end, {CAP}) as returned,
-    case when ran then total else 0 end > {CAP} as truncated,
+    least(case when ran then total else 0 end, {cap_n}) as returned,
+    case when ran then total else 0 end > {cap_n} as truncated,
     case when ran then new else 0 end as new from {p}_s3)
 """
 
 
-def _select_sql(p: str) -> str:
+def _select_sql(p: str, rank: bool) -> str:
     return f"""
-select t.tier, t.language, t.low as star_range_low, t.full_name, t.stars, cast(t.rk as int) as rank
+select t.tier, t.language, t.low as star_range_low, t.full_name, t.stars{", cast(t.rk as int) as rank" if rank else ""}
 from {p}_top t join {p}_s s on s.tier = t.tier and s.language = t.language and s.star_range_low = t.low
 where s.ran
 """
@@ -110,27 +112,38 @@ _MAIN_ONLY = _tier_rows(niche=False, emerging=False)
 
 
 @register("bnd_census", ["raw_repo_json", "repo_catalog"],
-          _SNAP_SQL + _census_sql("a", _FULL, 100000) + " select * from a_s")
+          _SNAP_SQL + _census_sql("a", _FULL) + " select * from a_s")
 def q_census(i):
-    """BND1-BND7, BND11: tiered census summary, one row per ladder band."""
-    summary, _ = bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), cap=CAP, target=100000)
-    return summary
+    """BND1, BND2, BND4, BND11: census summary over the whole snapshot, one row per band."""
+    return bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark))[0]
 
 
 @register("bnd_selected", ["raw_repo_json", "repo_catalog"],
-          _SNAP_SQL + _census_sql("a", _FULL, 100000) + _select_sql("a"))
+          _SNAP_SQL + _census_sql("a", _FULL) + _select_sql("a", False))
 def q_selected(i):
-    """BND4+BND5: rows returned by the bands that ran (top 1000 per band)."""
-    _, selected = bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), cap=CAP, target=100000)
-    return selected
+    """BND4: every eligible row with its band."""
+    return bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark))[1]
+
+
+@register("bnd_capped", ["raw_repo_json", "repo_catalog"],
+          _SNAP_SQL + _census_sql("a", _FULL, cap=CAP) + _select_sql("a", True))
+def q_capped(i):
+    """BND5: the 20 highest-starred rows of each band."""
+    return bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), cap=CAP)[1]
+
+
+@register("bnd_early_stop", ["raw_repo_json", "repo_catalog"],
+          _SNAP_SQL + _census_sql("a", _FULL, cap=CAP, early=True) + " select * from a_s")
+def q_early_stop(i):
+    """BND6: capped census that leaves a language at its first empty band."""
+    return bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), cap=CAP, early_stop=True)[0]
 
 
 @register("bnd_census_target", ["raw_repo_json", "repo_catalog"],
           _SNAP_SQL + _census_sql("a", _FULL, 40) + " select * from a_s")
 def q_census_target(i):
     """BND7: the census stops once 40 new repositories are stored."""
-    summary, _ = bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), cap=CAP, target=40)
-    return summary
+    return bnd.census(_snapshot(i), i["repo_catalog"], _tiers(i.spark), target=40)[0]
 
 
 def _progress_sql(p: str) -> str:
@@ -138,19 +151,16 @@ def _progress_sql(p: str) -> str:
       from {p}_s where ran)"""
 
 
-_RESUME_SQL = (_SNAP_SQL + _census_sql("a", _MAIN_ONLY, 100000) + _progress_sql("a")
-               + _census_sql("b", _FULL, 100000, progress="a_prog"))
+_RESUME_SQL = (_SNAP_SQL + _census_sql("a", _MAIN_ONLY) + _progress_sql("a")
+               + _census_sql("b", _FULL, progress="a_prog"))
 
 
 def _resume(i):
+    """Progress of a census of the mainstream tier, and the full census after it."""
     snap, c = _snapshot(i), i["repo_catalog"]
-    first, _ = bnd.census(snap, c, _tiers(i.spark, include_niche=False, include_emerging=False), cap=CAP)
-    # the progress table is persisted between runs (a written table in the
-    # shared folder), which also cuts the first run's lineage
-    root = scratch(i.spark, "band_progress")
-    write_snapshot(bnd.mark_complete(None, first), root)
-    prog1 = read_snapshot(i.spark, root)
-    second, sel2 = bnd.census(snap, c, _tiers(i.spark), progress=prog1, cap=CAP)
+    first, _ = bnd.census(snap, c, _tiers(i.spark, include_niche=False, include_emerging=False))
+    prog1 = bnd.mark_complete(None, first)
+    second, sel2 = bnd.census(snap, c, _tiers(i.spark), progress=prog1)
     return prog1, second, sel2
 
 
@@ -217,16 +227,23 @@ def q_tier_progress(i):
 
 
 @register("bnd_custom", ["raw_repo_json", "repo_catalog"],
-          _SNAP_SQL + _census_sql("a", _tier_rows(min_stars=30, languages=["Rust", "Zig", "Lua"]), 100000)
+          _SNAP_SQL + _census_sql("a", _tier_rows(min_stars=30, languages=["Rust", "Zig", "Lua"]))
           + " select * from a_s")
 def q_custom(i):
     """BND11 custom-language mode: Rust, Zig, Lua down to 30 stars."""
     tiers = _tiers(i.spark, min_stars=30, languages=["Rust", "Zig", "Lua"])
-    summary, _ = bnd.census(_snapshot(i), i["repo_catalog"], tiers, cap=CAP)
-    return summary
+    return bnd.census(_snapshot(i), i["repo_catalog"], tiers)[0]
+
+
+@register("bnd_global", ["raw_repo_json"], _SNAP_SQL + """
+select full_name, stars from snap where not fork and stars >= 100
+""")
+def q_global(i):
+    """BND3: language-free census of every eligible row."""
+    return bnd.global_census(_snapshot(i), min_stars=100)
 
 
-@register("bnd_global", ["raw_repo_json"], _SNAP_SQL + f"""
+@register("bnd_global_capped", ["raw_repo_json"], _SNAP_SQL + f"""
 , g as (select full_name, stars from snap where not fork and stars >= 100)
 , broad as (select * from g order by stars desc, full_name limit {CAP})
 , gl as (select c.c as low from cuts c where c.c >= 100)
@@ -236,20 +253,20 @@ def q_custom(i):
            where rk <= {CAP})
 , gextra as (select * from gtop where full_name not in (select full_name from broad))
 , gnew as (select b.low, coalesce(count(e.full_name), 0) as new from gb b left join gextra e using (low) group by b.low)
-, gplan as (select low, (select count(*) from g) > {CAP} and (select count(*) from broad) < 100000
-    and (select count(*) from broad) + coalesce(sum(new) over (order by low desc rows between unbounded preceding
-      and 1 preceding), 0) < 100000 as ran from gnew)
-select full_name, stars from broad
-union all
-select e.full_name, e.stars from gextra e join gplan p using (low) where p.ran
-order by stars desc, full_name limit 100000
+, gplan as (select low, (select count(*) from broad) + coalesce(sum(new) over (order by low desc rows between
+      unbounded preceding and 1 preceding), 0) < 70 as ran from gnew)
+select full_name, stars from (
+  select full_name, stars from broad
+  union all
+  select e.full_name, e.stars from gextra e join gplan p using (low) where p.ran) x
+order by stars desc, full_name limit 70
 """)
-def q_global(i):
-    """BND3: language-free census with the broad first query kept (union)."""
-    return bnd.global_census(_snapshot(i), min_stars=100, target=100000, cap=CAP)
+def q_global_capped(i):
+    """BND3 with the search limits: broad query, ladder, target of 70 rows."""
+    return bnd.global_census(_snapshot(i), min_stars=100, target=70, cap=CAP)
 
 
-@register("bnd_ladder_used", ["raw_repo_json"], _SNAP_SQL + _census_sql("z", _FULL, None).split(", z_m")[0] + """
+@register("bnd_ladder_used", ["raw_repo_json"], _SNAP_SQL + _census_sql("z", _FULL).split(", z_m")[0] + """
 select b.tier, b.language, b.band_ord, b.low as star_range_low, b.high as star_range_high
 from z_b0 b where b.language in (select distinct lang from snap)
 """)
@@ -261,7 +278,7 @@ def q_ladder_used(i):
         "tier", "language", "band_ord", "star_range_low", "star_range_high")
 
 
-@register("bnd_refresh", ["raw_repo_json", "repo_catalog"], _SNAP_SQL + _census_sql("a", _FULL, 100000) + """
+@register("bnd_refresh", ["raw_repo_json", "repo_catalog"], _SNAP_SQL + _census_sql("a", _FULL) + """
 , sel as (select distinct t.full_name from a_top t join a_s s on s.tier = t.tier and s.language = t.language
           and s.star_range_low = t.low where s.ran)
 select is_new, count(*) as n from (
@@ -272,7 +289,7 @@ group by is_new
 def q_refresh(i):
     """BND11 refresh mode: progress cleared, full census re-run, results
     upserted; catalog rows by new / existing."""
-    _, second, _ = _resume(i)
-    prog = bnd.mark_complete(None, second)
-    cat2, _ = bnd.refresh(_snapshot(i), i["repo_catalog"], _tiers(i.spark), prog, cap=CAP)
+    stale = bnd.ladder(_tiers(i.spark)).select(
+        "tier", "language", "star_range_low", "star_range_high", F.lit(0).cast("bigint").alias("repos_found"))
+    cat2, _ = bnd.refresh(_snapshot(i), i["repo_catalog"], _tiers(i.spark), stale)
     return cat2.groupBy("is_new").agg(F.count(F.lit(1)).alias("n"))

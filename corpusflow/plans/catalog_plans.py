@@ -292,7 +292,11 @@ agg as (select full_name,
   arg_max(action, ord) filter (where action <> 'discovered') as e_status,
   count(*) filter (where action = 'failed') as e_fail,
   arg_max(error, ord) filter (where action = 'failed') as e_error,
+  max(ts) filter (where action <> 'discovered') as e_status_ts,
   arg_max(ts, ord) filter (where action = 'downloading') as e_started,
+  arg_max(ts, ord) filter (where action = 'downloaded') as e_completed,
+  arg_max(path, ord) filter (where action = 'downloaded') as e_path,
+  arg_max(ts, ord) filter (where action = 'processed') as e_processed,
   arg_max(size_bytes, ord) filter (where action = 'downloaded') as e_size,
   count(*) filter (where action = 'downloaded') as n_dl,
   arg_max(commit_count, ord) filter (where action = 'processed') as e_commits,
@@ -305,6 +309,11 @@ select coalesce(c.full_name, a.full_name) as full_name,
   coalesce(a.e_started, c.download_started_at) as download_started_at,
   cast(case when a.n_dl > 0 then a.e_size else c.actual_size_bytes end as bigint) as actual_size_bytes,
   cast(case when a.n_pr > 0 then a.e_commits else c.commit_count end as bigint) as commit_count,
+  a.e_completed as download_completed_at, a.e_processed as processed_at, a.e_status_ts as status_updated_at,
+  case when a.n_dl > 0 then a.e_path else c.local_path end as local_path,
+  c.id, c.stars, c.language, c.license_key, c.size_kb, c.default_branch, c.fork, c.archived, c.metadata_updated_on,
+  case when c.full_name is null then split_part(a.full_name, '/', 1) else c.owner end as owner,
+  case when c.full_name is null then split_part(a.full_name, '/', 2) else c.name end as name,
   c.full_name is null as is_new
 from repo_catalog c full outer join agg a on a.full_name = c.full_name
 """
@@ -312,10 +321,8 @@ from repo_catalog c full outer join agg a on a.full_name = c.full_name
 
 @register("cat_apply_transitions", ["repo_catalog", "transition_events"], _TRANSITIONS_SQL)
 def q_apply_transitions(i):
-    """CAT4-CAT8: replay status events onto the catalog."""
-    out = cat.apply_transitions(i["repo_catalog"], i["transition_events"])
-    return out.select("full_name", "status", "failure_count", "last_error", "download_started_at",
-                      "actual_size_bytes", "commit_count", "is_new")
+    """CAT4-CAT8: replay status events onto the catalog; all columns."""
+    return cat.apply_transitions(i["repo_catalog"], i["transition_events"])
 
 
 @register("cat_reset_stuck", ["repo_catalog"], """

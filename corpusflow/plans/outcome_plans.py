@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.operators import outcomes as out
-from corpusflow.operators.selection import pending_batch
 from corpusflow.plans.registry import register
 
 _CLASSIFY = """case
@@ -31,18 +30,18 @@ def q_classify(i):
 
 @register("dlo_oversize", ["repo_catalog"], """
 select full_name, format('skipped: repo size {}KB exceeds limit {}KB', size_kb, 5000) as error
-from (select * from repo_catalog where status = 'pending' order by stars desc, full_name limit 100) t
-where size_kb > 5000
+from repo_catalog where status = 'pending' and size_kb > 5000
 """)
 def q_oversize(i):
-    """DLO2: of the next 100 pending repositories, those over 5,000 KB are refused."""
-    batch = pending_batch(i["repo_catalog"], batch_size=100)
-    return out.oversize_precheck(batch, 5000)
+    """DLO2: of all pending repositories, those over 5,000 KB are refused."""
+    return out.oversize_precheck(i["repo_catalog"].filter(F.col("status") == "pending"), 5000)
 
 
 @register("dlo_retry_schedule", ["download_log"], f"""
-with a as (select *, row_number() over (partition by full_name order by ts, event_id) as attempt,
-             case when success then 'done' else {_CLASSIFY.format(e='error')} end as action from download_log),
+with e as (select *, case when success then 'done' else {_CLASSIFY.format(e='error')} end as action from download_log),
+g as (select *, count(*) filter (where action in ('done', 'skip')) over (partition by full_name order by ts, event_id
+        rows between unbounded preceding and 1 preceding) as ended from e),
+a as (select *, (row_number() over (partition by full_name, ended order by ts, event_id) - 1) % 3 + 1 as attempt from g),
 b as (select *, action in ('done', 'skip') or attempt >= 3 as terminal from a)
 select event_id, full_name, attempt, action,
   cast(case when attempt > 1 then floor(3600 * 1.5) else 3600 end as bigint) as timeout_s,

@@ -27,14 +27,12 @@ def _stream_fixture(i, name: str, stream_table: str):
 @register("str_status_fold", ["repo_catalog", "transition_events"], _TRANSITIONS_SQL.replace(
     "  c.full_name is null as is_new\n", "  c.full_name is null as is_new_unused\n"))
 def q_status_fold(i):
-    """STR1: status events folded into the catalog by a foreachBatch stream."""
+    """STR1: status events landed by a stream and folded into the catalog; all columns."""
     events = _stream_fixture(i, "transition_events", "events")
     cat0 = i["repo_catalog"]
     out = st.status_fold(events, cat0, st.scratch(i.spark, "fold"))
     known = cat0.select("full_name", F.lit(False).alias("is_new_unused"))
-    return out.join(known, "full_name", "left").select(
-        "full_name", "status", "failure_count", "last_error", "download_started_at", "actual_size_bytes",
-        "commit_count", F.coalesce("is_new_unused", F.lit(True)).alias("is_new_unused"))
+    return out.join(known, "full_name", "left").withColumn("is_new_unused", F.coalesce("is_new_unused", F.lit(True)))
 
 
 _STUCK_SQL = _TRANSITIONS_SQL.replace("select coalesce(c.full_name, a.full_name) as full_name,", """, folded as (
@@ -50,9 +48,8 @@ from folded
 
 @register("str_stuck_timeout", ["repo_catalog", "transition_events"], _STUCK_SQL)
 def q_stuck_timeout(i):
-    """STR2: the fold plus a 120-minute stuck-download reset per epoch; the
-    clock is the epoch's latest event time (the input lands as one file,
-    hence one epoch)."""
+    """STR2: the fold plus a 120-minute stuck-download reset; the clock is the
+    latest event time of the log."""
     events = _stream_fixture(i, "transition_events", "events")
     out = st.status_fold(events, i["repo_catalog"], st.scratch(i.spark, "stuck"), timeout_minutes=120)
     return out.select("full_name", "status", "failure_count")
@@ -77,8 +74,7 @@ where action = 'discovered' and full_name not in (select full_name from repo_cat
 def q_first_seen(i):
     """STR4: discoveries of names new to the catalog, de-duplicated."""
     ev = _stream_fixture(i, "transition_events", "events").filter(F.col("action") == "discovered")
-    out = st.first_seen_stream(ev.select("full_name", "ts"), i["repo_catalog"], "40 days")
-    return st.run_append(out.select("full_name"), st.scratch(i.spark, "seen"))
+    return st.first_seen_stream(ev.select("full_name"), i["repo_catalog"], st.scratch(i.spark, "seen"))
 
 
 @register("str_memory_refresh", ["documents", "documents_prev"], """

@@ -140,11 +140,12 @@ select e.event_id, e.ts,
   case when e.user_id % 3 = 0 or d.doc_id is null then concat('u/', cast(e.user_id as string))
        else concat(d.source, '/r', cast(d.doc_id as string)) end as full_name,
   case e.event_type when 'signup' then 'discovered' when 'click' then 'downloading'
-    when 'purchase' then 'downloaded' when 'view' then 'processed' else 'failed' end as action,
+    when 'purchase' then 'downloaded' when 'view' then case when e.event_id % 3 = 0 then 'processing' else 'processed' end
+    else 'failed' end as action,
   case when e.event_type = 'error' then concat('error at ', cast(e.event_id % 8 as string)) end as error,
   case when e.event_type = 'purchase' then cast(floor(e.value * 1000) as bigint) end as size_bytes,
   case when e.event_type = 'purchase' then concat('/data/repos/u', cast(e.user_id as string)) end as path,
-  case when e.event_type = 'view' then cast(floor(e.value) as bigint) end as commit_count
+  case when e.event_type = 'view' and e.event_id % 3 <> 0 then cast(floor(e.value) as bigint) end as commit_count
 from {events} e left join {documents} d on d.doc_id = e.user_id
 """)
 

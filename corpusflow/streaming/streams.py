@@ -1,9 +1,12 @@
 """Structured Streaming operators (STR1-STR6).
 
 Sources are file streams over the landing folder; sinks are exactly-once:
-either the append-only parquet file sink, or ``foreachBatch`` writing a new
-versioned snapshot per epoch (version = epoch id, so a replayed epoch
-rewrites the same version and the result is idempotent).  Event time is
+the append-only parquet file sink, or ``foreachBatch`` writing one folder per
+epoch (named by the epoch id, so a replayed epoch rewrites its own folder).  A
+run that finds no new input returns what earlier runs left in the folder.
+Status events are kept as such a log and folded when they are read, so the
+catalog depends on the set of events and not on how files were cut into
+epochs, nor on their order.  Event time is
 cast from ``timestamp_ntz`` to ``timestamp`` before any watermark.
 """
 
@@ -43,10 +46,25 @@ def _version_path(root: str, v: int) -> str:
     return f"{root}/v={v}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Epochs whose folder was written to the end, in order."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = []
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
+            found.append(int(name[2:]))
+    return sorted(found)
+
+
+def _run(df: DataFrame, root: str, handle, output_mode: str = "append") -> None:
+    q = (df.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_ckpt")
+         .outputMode(output_mode).trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def run_append(df: DataFrame, root: str) -> DataFrame:
@@ -55,38 +73,31 @@ def run_append(df: DataFrame, root: str) -> DataFrame:
     q = (df.writeStream.format("parquet").option("checkpointLocation", f"{root}/_ckpt")
          .option("path", f"{root}/data").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.read.parquet(f"{root}/data")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/data")
 
 
 def run_snapshots(df: DataFrame, root: str, step, initial: DataFrame | None, output_mode: str = "append"
                   ) -> DataFrame:
     """Run a stream with ``foreachBatch``: ``step(state, batch) -> state``.
 
-    The state of epoch ``e`` is read from version ``e - 1`` (or
-    ``initial``) and written as version ``e``; the last version is returned.
+    The state of an epoch is the last version before it (or ``initial``), its
+    result is written as the version of that epoch; the last version in the
+    folder is returned, whichever run wrote it.
     """
     spark = df.sparkSession
-    done: list[int] = []
-    if initial is not None:
-        initial.write.mode("overwrite").parquet(_version_path(root, -1))
 
     def handle(batch: DataFrame, epoch: int):
-        prev = _version_path(root, epoch - 1)
-        if _exists(spark, prev):
-            state = spark.read.parquet(prev)
-        elif epoch == 0:
-            state = None  # first epoch, no initial state
-        else:  # a missing earlier version is an error, never a silent restart
+        before = [v for v in _versions(spark, root) if v < epoch]
+        if epoch > 0 and (not before or before[-1] != epoch - 1):  # never a silent restart
             raise FileNotFoundError(f"state version {epoch - 1} missing under {root}")
-        nxt = step(state, batch)
-        nxt.write.mode("overwrite").parquet(_version_path(root, epoch))
-        done.append(epoch)
+        state = spark.read.parquet(_version_path(root, before[-1])) if before else initial
+        step(state, batch).write.mode("overwrite").parquet(_version_path(root, epoch))
 
-    q = (df.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_ckpt")
-         .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = max(done) if done else -1
-    return spark.read.parquet(_version_path(root, last))
+    _run(df, root, handle, output_mode)
+    done = _versions(spark, root)
+    if done:
+        return spark.read.parquet(_version_path(root, done[-1]))
+    return initial if initial is not None else spark.createDataFrame([], df.schema)
 
 
 def upsert_step(keys: list[str]):
@@ -103,24 +114,22 @@ def upsert_step(keys: list[str]):
 # --- STR1 / STR2 -------------------------------------------------------------------
 
 def status_fold(events: DataFrame, initial: DataFrame, root: str, timeout_minutes: int | None = None) -> DataFrame:
-    """STR1: fold status events into the catalog (batch job per epoch);
-    STR2: optionally reset downloads stuck longer than ``timeout_minutes``
-    relative to the batch's latest event time (event-time clock)."""
-
-    def step(state, batch):
-        st = state if state is not None else initial
-        nxt = cat.apply_transitions(st, batch).drop("is_new")
-        if timeout_minutes is not None:
-            # event-time clock of this epoch: one scalar
-            now = batch.agg(F.max("ts")).first()[0]
-            if now is not None:
-                cutoff = F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(timeout_minutes), F.lit(0))
-                hit = (F.col("status") == "downloading") & (F.col("download_started_at") < cutoff)
-                nxt = nxt.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), F.lit("pending"))
-                                     .otherwise(F.col("status")))
-        return nxt
-
-    return run_snapshots(events, root, step, initial.drop("is_new") if "is_new" in initial.columns else initial)
+    """STR1: land status events in a log and fold the whole log into the catalog.
+
+    Late, repeated and shuffled events give the catalog that one batch of all
+    of them gives, since the fold is a function of the set of events.  STR2:
+    optionally reset downloads that are stuck longer than ``timeout_minutes``
+    before the latest event time of the log."""
+    log = run_append(events, root)
+    out = cat.apply_transitions(initial, log).drop("is_new")
+    if timeout_minutes is not None:
+        now = log.agg(F.max("ts")).first()[0]  # the event-time clock: one scalar
+        if now is not None:
+            cutoff = F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(timeout_minutes), F.lit(0))
+            hit = (F.col("status") == "downloading") & (F.col("download_started_at") < cutoff)
+            out = out.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), F.lit("pending"))
+                                 .otherwise(F.col("status")))
+    return out
 
 
 # --- STR3 --------------------------------------------------------------------------
@@ -135,11 +144,21 @@ def window_counts(events: DataFrame, window: str, watermark: str, key: str = "ac
 
 # --- STR4 --------------------------------------------------------------------------
 
-def first_seen_stream(discoveries: DataFrame, catalog: DataFrame, watermark: str) -> DataFrame:
-    """STR4: names seen for the first time (de-duplicated within the
-    watermark) and not already in the static catalog."""
-    d = event_time(discoveries).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["full_name"])
-    return d.join(catalog.select("full_name"), "full_name", "left_anti")
+def first_seen_stream(discoveries: DataFrame, catalog: DataFrame, root: str) -> DataFrame:
+    """STR4: names seen for the first time, whenever that was.  Each epoch
+    writes the names that neither the catalog nor an earlier epoch has."""
+    spark = discoveries.sparkSession
+
+    def handle(batch: DataFrame, epoch: int):
+        new = batch.select("full_name").distinct().join(catalog.select("full_name"), "full_name", "left_anti")
+        earlier = [_version_path(root, v) for v in _versions(spark, root) if v < epoch]
+        if earlier:
+            new = new.join(spark.read.parquet(*earlier), "full_name", "left_anti")
+        new.write.mode("overwrite").parquet(_version_path(root, epoch))
+
+    _run(discoveries, root, handle)
+    done = [_version_path(root, v) for v in _versions(spark, root)]
+    return spark.read.parquet(*done) if done else spark.createDataFrame([], "full_name string")
 
 
 # --- STR5 --------------------------------------------------------------------------

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 KEYS = {
     "sel_pending_snapshot": "partition pruning on status, size filter pushed to Parquet, top-k without a global sort",
     "cat_apply_transitions": "per-key latest event by max_by aggregates (partial), joins on the key",
-    "bnd_census": "broadcast ladder joined on language with a star-range residual; per-band cap as WindowGroupLimit",
+    "bnd_census": "broadcast ladder joined on language with a star-range residual; no rank without a cap",
     "dlo_retry_schedule": "skew-safe attempt numbers: range exchange + local numbering + offsets",
     "ret_doc_scores": "queries join documents on the group key; softmax as max/sum aggregates",
     "gen_real_passages": "shingle-hash equi-join; lead windows over bounded word buckets",

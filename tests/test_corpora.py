@@ -122,16 +122,31 @@ def test_passage_matches_brute_force(spark, inputs):
     assert got == want
 
 
-def test_pool_hard_negatives_are_rendered(spark):
-    pool = gen.value_pool(spark, 9, size=64)
-    assert pool.count() == 64 * len(gen.SLOT_KINDS)
-    assert pool.filter(F.col("value").isNull() | (F.col("value") == "")).count() == 0
-    rows = spark.range(200).select(F.col("id").alias("example_id"), (F.col("id") % 3).cast("int").alias("_c"),
-                                   (F.col("id") % 5).cast("int").alias("_s"))
-    out = gen.hard_negatives_from_pool(rows, pool, 9, size=64).collect()
-    assert len(out) == 200
-    for r in out:
-        assert not any("{" + k + "}" in r._text for k in gen.SLOT_KINDS) and r._text.endswith(".")
-        assert 0 <= r._hn_tpl < len(gen.NEEDLE_TEMPLATES)
-    again = gen.hard_negatives_from_pool(rows.repartition(5), gen.value_pool(spark, 9, size=64), 9, size=64)
-    assert sorted((r.example_id, r._text) for r in again.collect()) == sorted((r.example_id, r._text) for r in out)
+def test_passage_matches_of_any_length_and_white_space(spark):
+    docs = [(1, "one two three four"), (2, "start\nof the line\nhere"), (3, "xtwo wordsy"), (4, "a"), (5, None), (6, "")]
+    items = [(1, "two three"), (2, "of the line"), (3, "two words"), (4, "a"), (5, "line\nhere"), (6, " the "), (7, "ne two three f"),
+             (8, ""), (9, None), (10, "absent words in none"), (11, "tart\nof the line\nh")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in gen.passage_matches(d, p).collect()}
+    assert got == {(x, y) for x, t in docs for y, q in items if t and q and q in t}
+    assert gen.passage_matches(d, p.limit(0)).count() == 0
+
+
+def test_hard_negatives_have_fresh_values(spark):
+    d = gen.X("md5(cast(id as string))")
+    rows = spark.range(3000).select(gen.col(gen.hard_negative(d)).alias("t"), gen.col(gen.is_hard(d)).alias("hard")).collect()
+    assert len({r.t for r in rows}) > 2500 and all(r.t and "{" not in r.t for r in rows)
+    assert 0.15 < sum(r.hard for r in rows) / 3000 < 0.25
+
+
+def test_every_kind_has_a_value(spark):
+    assert len(gen.SLOT_KINDS) == 20
+    for kind in gen.SLOT_KINDS:
+        got = {r.v for r in spark.range(200).select(gen.col(gen.slot_value(kind, gen.X("md5(cast(id as string))"), 1)).alias("v")).collect()}
+        assert None not in got and "" not in got and len(got) > 1
+
+
+def test_generation_is_map_only(spark):
+    plan = gen.needle_examples(_ids(spark, 10), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

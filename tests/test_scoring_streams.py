@@ -51,27 +51,74 @@ def test_report_json(spark, inputs):
     assert "overall" in rep["delta"]
 
 
+def _land(folder, frames):
+    """One file per frame, in the order of the list."""
+    os.makedirs(folder, exist_ok=True)
+    for k, df in enumerate(frames):
+        part = tempfile.mkdtemp(prefix="part-", dir="/tmp")
+        df.coalesce(1).write.mode("overwrite").parquet(part)
+        f = next(x for x in os.listdir(part) if x.endswith(".parquet"))
+        os.rename(os.path.join(part, f), os.path.join(folder, f"{len(os.listdir(folder)):03d}.parquet"))
+
+
+def _stream(spark, folder, schema):
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet")
+            .parquet(folder))
+
+
 def test_stream_fold_equals_batch(spark, inputs):
-    ev = inputs["transition_events"]
-    land = tempfile.mkdtemp(prefix="land-", dir="/tmp")
-    # two landing files written one after the other (two micro-batches)
-    ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).coalesce(1) \
-        .write.parquet(os.path.join(land, "part1"))
-    for f in os.listdir(os.path.join(land, "part1")):
-        if f.endswith(".parquet"):
-            os.rename(os.path.join(land, "part1", f), os.path.join(land, "a.parquet"))
-    ev.filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).coalesce(1) \
-        .write.parquet(os.path.join(land, "part2"))
-    for f in os.listdir(os.path.join(land, "part2")):
-        if f.endswith(".parquet"):
-            os.rename(os.path.join(land, "part2", f), os.path.join(land, "b.parquet"))
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet") \
-        .parquet(land)
-    c = inputs["repo_catalog"]
-    got = st.status_fold(stream, c, st.scratch(spark, "t"))
+    """Shuffled and repeated events over several epochs and a restart give the one-batch catalog."""
+    ev, c = inputs["transition_events"], inputs["repo_catalog"]
     want = cat.apply_transitions(c, ev).drop("is_new")
-    cols = ["full_name", "status", "failure_count", "last_error", "actual_size_bytes", "commit_count"]
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    cols = want.columns
+    folder, root = tempfile.mkdtemp(prefix="land-", dir="/tmp"), st.scratch(spark, "t")
+    odd = F.abs(F.hash("event_id")) % 3
+    _land(folder, [ev.filter(odd == 2), ev.filter(odd != 1)])
+    st.status_fold(_stream(spark, folder, ev.schema), c, root)
+    _land(folder, [ev.filter(odd != 0)])
+    for _ in range(2):  # the second run finds nothing new
+        got = st.status_fold(_stream(spark, folder, ev.schema), c, root)
+        assert sorted(map(repr, got.select(cols).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_transitions_before_birth_and_repeats(spark):
+    state = spark.createDataFrame([("o/a", "pending", 1, 5)], "full_name string, status string, failure_count int, stars int")
+    ts = lambda h: f"2024-01-01 0{h}:00:00"
+    rows = [(1, ts(5), "o/a", "downloaded"), (2, ts(1), "o/a", "failed"), (2, ts(1), "o/a", "failed"),
+            (3, ts(1), "n/b", "failed"), (4, ts(2), "n/b", "discovered"), (5, ts(3), "n/b", "failed"),
+            (6, ts(1), "n/c", "downloaded"), (7, ts(2), "n/c", "discovered"), (8, ts(1), "n/d", "failed"),
+            (9, ts(4), "o/a", "processing")]
+    ev = spark.createDataFrame(rows, "event_id long, ts string, full_name string, action string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.full_name: (r.status, r.failure_count, r.stars, r.is_new) for r in cat.apply_transitions(state, ev).collect()}
+    assert got == {"o/a": ("downloaded", 2, 5, False), "n/b": ("failed", 1, None, True), "n/c": ("pending", 0, None, True)}
+
+
+def test_restart_keeps_earlier_versions(spark, inputs):
+    ev = inputs["repo_events"].select("full_name", "action")
+    folder, root = tempfile.mkdtemp(prefix="land-", dir="/tmp"), st.scratch(spark, "t")
+
+    def counts():
+        agg = _stream(spark, folder, ev.schema).groupBy("action").count()
+        return sorted(map(tuple, st.run_snapshots(agg, root, st.upsert_step(["action"]), None, output_mode="update").collect()))
+
+    _land(folder, [ev.limit(0)])
+    assert counts() == []
+    _land(folder, [ev, ev])
+    want = sorted((a, 2 * n) for a, n in ev.groupBy("action").count().collect())
+    assert counts() == want and counts() == want
+
+
+def test_first_seen_over_epochs(spark):
+    folder, root = tempfile.mkdtemp(prefix="land-", dir="/tmp"), st.scratch(spark, "t")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "full_name string")
+    _land(folder, [names("a", "b", "b"), names("b", "c", "k")])
+    for _ in range(2):
+        got = st.first_seen_stream(_stream(spark, folder, names("a").schema), names("k"), root)
+        assert sorted(r.full_name for r in got.collect()) == ["a", "b", "c"]
+    _land(folder, [names("d", "a")])
+    got = st.first_seen_stream(_stream(spark, folder, names("a").schema), names("k"), root)
+    assert sorted(r.full_name for r in got.collect()) == ["a", "b", "c", "d"]
 
 
 def test_snapshots(spark):
