@@ -84,7 +84,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         rank = np.full(len(seq) + 1, none, np.int64)  # shifted by one: rank[i + 1] is of place i
         rank[at + 1] = np.where(count[which] >= MIN_COUNT, rank_of[which], none)
         mine = rank[1:-1]
-        taken = (mine < none) & (mine < rank[:-2]) & (mine <= np.append(rank[2:-1], none))
+        before, after = rank[:-2], np.append(rank[2:-1], none)
+        # in a run of one symbol every other place is taken
+        first = np.maximum.accumulate(np.where(mine != before, np.arange(len(mine)), 0))
+        offset = np.arange(len(mine)) - first
+        taken = (mine < none) & (offset % 2 == 0) & ((offset > 0) | (mine < before)) & (mine <= after)
         used = np.bincount(mine[taken], minlength=none + 1)
         taken &= used[np.minimum(mine, none)] >= MIN_COUNT // 2
         place = np.flatnonzero(taken)
