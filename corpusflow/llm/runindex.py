@@ -40,6 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,7 +160,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array by doubling; only places that are still tied are sorted on."""
     n = len(text)
     wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = text
+    wide[:n] = text + 1  # the end is less than any symbol
     word = np.zeros(n, np.uint64)
     for j in range(7):  # nine bits for each of seven symbols
         word = (word << np.uint64(9)) | wide[j:j + n]
@@ -266,6 +268,7 @@ def mark_chunk(frags: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 # ---- Spark ----
 
 DOC = ["key_id", "text_hash"]
+FRAG = ["key", "print", "size", "seen", "start", "n"]
 PLACE = "key_id string, text_hash bigint, start bigint, n bigint"
 
 
@@ -363,20 +366,21 @@ def _grouped(frags: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 def _bytes_of(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """The chosen fragments with their bytes; a text is met once for all of its fragments."""
-    lists = chosen.groupBy(*DOC).agg(F.collect_list(F.struct("key", "print", "size", "seen", "start", "n")).alias("frags"))
+    lists = chosen.groupBy(*DOC).agg(F.collect_list(F.struct(*FRAG)).alias("frags"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key_id, text_hash, frags, data in zip(b["key_id"], b["text_hash"], b["frags"], b["data"]):
-                out = pd.DataFrame(list(map(dict, frags)))
-                out["data"] = [data[a:a + n + length - 1] for a, n in zip(out["start"], out["n"])]
-                out["key_id"], out["text_hash"] = key_id, text_hash
-                yield out[["key", "print", "size", "seen", "key_id", "text_hash", "start", "n", "data"]]
+            owner = pc.list_parent_indices(b.column("frags"))
+            flat = dict(zip(FRAG, pc.list_flatten(b.column("frags")).flatten()))
+            data = b.column("data").to_pylist()
+            bits = [data[d][s:s + n + length - 1] for d, s, n in zip(*(x.to_pylist() for x in (owner, flat["start"], flat["n"])))]
+            yield pa.RecordBatch.from_arrays(
+                [*(flat[c] for c in FRAG), *(b.column(c).take(owner) for c in DOC), pa.array(bits, pa.binary())],
+                names=[*FRAG, *DOC, "data"])
 
-    # equal rows hold the same bytes: one of them will do
     same = docs.join(lists, DOC).select(*DOC, "frags", "data")
-    return same.mapInPandas(run, f"key bigint, print binary, size bigint, seen boolean, {PLACE}, data binary").where(
-        F.col("data").isNotNull())
+    return same.mapInArrow(run, "key bigint, print binary, size bigint, seen boolean, start bigint, n bigint, "
+                                "key_id string, text_hash bigint, data binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
