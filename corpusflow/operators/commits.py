@@ -193,6 +193,7 @@ def prompt_variants(df: DataFrame) -> DataFrame:
     leaf = F.element_at(F.split(path, "/"), -1)
     first = F.lower(F.substring(_strip(F.col("message")), 1, 1))
     rest = F.substring(_strip(F.col("message")), 2, 1 << 20)
+    # fixed values: the wording of the three prompts
     variants = F.array(
         F.struct(F.lit("raw").alias("variant"), F.concat(F.lit("User: "), F.col("message")).alias("prompt")),
         F.struct(F.lit("path_hint").alias("variant"),

@@ -91,6 +91,7 @@ def reconcile_missing(catalog: DataFrame, dir_sizes: DataFrame) -> DataFrame:
     size_mb = F.bround(F.coalesce(F.col("size_kb"), F.lit(0)) / 1024.0, 0).cast("bigint")
     return missing.select(
         "full_name", F.col("status").alias("previous_status"), F.lit("failed").alias("status"),
+        # fixed value: the text must match
         F.format_string("reconciled: local directory missing (was %s, ~%d MB)", F.col("status"), size_mb)
         .alias("last_error"))
 

@@ -49,14 +49,30 @@ def coarse_logits(queries: DataFrame, docs: DataFrame, n_heads: int, head_dim: i
     return pairs.select(group, "query_id", "pos", "doc_id", F.posexplode(logits).alias("head", "logit"))
 
 
-def softmax(df: DataFrame, keys: list[str], logit: str = "logit", out: str = "p") -> DataFrame:
-    """RET3: softmax of ``logit`` within ``keys`` via two aggregates.
+#: parts that a softmax group is dealt to, so that a hot one spans many tasks
+SOFTMAX_PARTS = 16
+
+
+def softmax(df: DataFrame, keys: list[str], logit: str = "logit", out: str = "p",
+            parts: int = SOFTMAX_PARTS) -> DataFrame:
+    """RET3: softmax of ``logit`` within ``keys``.
+
+    Masked entries are simply absent rows.  Maximum and sum of a group are
+    aggregates; rows meet them in ``parts`` parts of their group (dealt by a hash
+    of the row), and each part sums on its own first, so a group that holds
+    most of the rows is never one task.  The small side has ``parts`` rows per
+    group."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    on = [*keys, "_part"]
+
+    def spread(t: DataFrame) -> DataFrame:
+        return t.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
 
-    Masked entries are simply absent rows."""
     mx = df.groupBy(*keys).agg(F.max(logit).alias("_m"))
-    e = df.join(mx, keys).withColumn("_e", F.exp(F.col(logit) - F.col("_m")))
-    s = e.groupBy(*keys).agg(F.sum("_e").alias("_s"))
-    return e.join(s, keys).withColumn(out, F.col("_e") / F.col("_s")).drop("_m", "_e", "_s")
+    e = (df.withColumn("_part", part).join(spread(mx), on)
+         .withColumn("_e", F.exp(F.col(logit) - F.col("_m"))))
+    s = e.groupBy(*on).agg(F.sum("_e").alias("_s")).groupBy(*keys).agg(F.sum("_s").alias("_s"))
+    return e.join(spread(s), on).withColumn(out, F.col("_e") / F.col("_s")).drop("_m", "_e", "_s", "_part")
 
 
 def doc_scores(probs: DataFrame, group: str = "group_id") -> DataFrame:

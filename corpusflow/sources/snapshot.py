@@ -1,7 +1,7 @@
 """SNK1: versioned Parquet snapshots of keyed tables.
 
 Each write goes to a fresh ``v=<n>`` folder and only then the ``_CURRENT``
-pointer file is replaced, so a reader never sees a half-written table and a
+pointer file is replaced by an overwriting rename (one writer at a time), so a reader never sees a half-written table and a
 job never overwrites the path it reads from.  Re-running a failed write just
 writes the same version folder again (``mode=overwrite`` on that folder).
 """
@@ -52,9 +52,13 @@ def write_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = (),
     stream.write(bytearray(str(nxt).encode()))
     stream.close()
     ptr = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{_POINTER}")
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    # one rename that overwrites: a reader finds the old pointer or the new one
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(
+        fs.makeQualified(tmp), fs.makeQualified(ptr), options)
     return nxt
 
 
