@@ -6,7 +6,8 @@ encodes its documents, cuts them into shards of about ``SHARD_IDS`` ids and
 compresses each by itself: the frequent pairs of neighbouring ids are replaced
 by new symbols, again and again, until no pair is frequent; a pair never
 reaches over a document's end.  In one round every frequent pair gets its rule,
-and where pairs overlap the more frequent one is taken.
+and where pairs overlap the more frequent one is taken; rounds end when one
+shortens the sequence by less than a hundredth.
 
 A shard file holds, little-endian::
 
@@ -37,7 +38,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,10 +51,12 @@ from corpusflow.llm.files import read_file, write_file
 
 SHARD_IDS = 1 << 20
 MIN_COUNT = 8
-MAX_ROUNDS = 24
+MAX_ROUNDS = 12
 HEAD = struct.Struct("<4sIQQQ")
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("symbol", "<u8"), ("start", "<u8"), ("n", "<u8")])
 _BUCKET_BITS = 20
+_NO_PAIR = 1 << _BUCKET_BITS
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,45 +67,44 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     rules: list[np.ndarray] = []
     lengths = np.ones(first_rule, np.uint64)
     n_rules = 0
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         if len(seq) < 2:
             break
+        # pairs are counted in buckets of a hash that differs in every round; a bucket
+        # stands for one of its pairs, and the others get their turn later
         code = (seq[:-1] << 32) | seq[1:]
-        # buckets of a hash bound a pair's count from above: most pairs drop out unsorted
-        bucket = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-        bucket[ends[:-1]] = 1 << _BUCKET_BITS
-        often = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1) >= MIN_COUNT
-        often[1 << _BUCKET_BITS] = False
-        at = np.flatnonzero(often[bucket])
-        if not len(at):
-            break
-        pairs, which, count = np.unique(code[at], return_inverse=True, return_counts=True)
-        rank_of = np.empty(len(pairs), np.int64)
-        rank_of[np.lexsort((pairs, -count))] = np.arange(len(pairs))
-        none = len(pairs)
-        rank = np.full(len(seq) + 1, none, np.int64)  # shifted by one: rank[i + 1] is of place i
-        rank[at + 1] = np.where(count[which] >= MIN_COUNT, rank_of[which], none)
-        mine = rank[1:-1]
-        before, after = rank[:-2], np.append(rank[2:-1], none)
+        hashed = code.view(np.uint64) * np.uint64(_ODD[turn % len(_ODD)])
+        bucket = (hashed >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        bucket[ends[:-1]] = _NO_PAIR
+        pair_of = np.empty(_NO_PAIR + 1, np.int64)
+        pair_of[bucket] = code
+        bucket[pair_of[bucket] != code] = _NO_PAIR
+        count = np.bincount(bucket, minlength=_NO_PAIR + 1)
+        count[_NO_PAIR] = 0
+        # the more frequent pair comes first
+        rank = np.zeros(len(seq) + 1, np.int64)  # shifted by one: rank[i + 1] is of place i
+        found = count[bucket]
+        rank[1:-1] = np.where(found >= MIN_COUNT, (found << _BUCKET_BITS) | bucket, 0)
+        mine, before, after = rank[1:-1], rank[:-2], np.append(rank[2:-1], 0)
         # in a run of one symbol every other place is taken
-        first = np.maximum.accumulate(np.where(mine != before, np.arange(len(mine)), 0))
-        offset = np.arange(len(mine)) - first
-        taken = (mine < none) & (offset % 2 == 0) & ((offset > 0) | (mine < before)) & (mine <= after)
-        used = np.bincount(mine[taken], minlength=none + 1)
-        taken &= used[np.minimum(mine, none)] >= MIN_COUNT // 2
+        place = np.arange(len(mine))
+        offset = place - np.maximum.accumulate(np.where(mine != before, place, 0))
+        taken = (mine > 0) & (offset % 2 == 0) & ((offset > 0) | (mine > before)) & (mine >= after)
+        used = np.bincount(bucket[taken], minlength=_NO_PAIR + 1)
         place = np.flatnonzero(taken)
-        if not len(place):
+        place = place[used[bucket[place]] >= MIN_COUNT // 2]
+        if len(place) * 100 < len(seq):
             break
-        symbols, new = np.unique(rank[place + 1], return_inverse=True)
-        by_rank = np.empty(len(pairs), np.int64)
-        by_rank[rank_of] = pairs
-        made = by_rank[symbols]
-        rule = np.stack([made >> 32, made & 0xFFFFFFFF], 1)
+        used[:] = 0
+        used[bucket[place]] = 1
+        made = np.flatnonzero(used)
+        number = np.cumsum(used) - 1
+        rule = np.stack([pair_of[made] >> 32, pair_of[made] & 0xFFFFFFFF], 1)
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]])
-        seq[place] = first_rule + n_rules + new
+        seq[place] = first_rule + n_rules + number[bucket[place]]
         ends[place] = ends[place + 1]
-        n_rules += len(symbols)
+        n_rules += len(made)
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
         seq, ends = seq[stay], ends[stay]
@@ -202,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
 
         for b in batches:
             for doc_id, has_id, text in zip(b["doc_id"], b["has_id"], b["text"]):
-                ids = np.fromiter(chain(chain.from_iterable(known.of(text)), (end_id,)), np.uint32)
+                ids = np.append(known.ids(text), np.uint32(end_id))
                 if held and size + len(ids) > shard_ids:
                     yield shard()
                     seq, held_ids, held, size = seq + 1, [], [], 0
@@ -230,7 +231,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             for file, base in zip(b["file"], b["base"]):
                 shard = Shard.parse(read_file(file))
                 docs = shard.docs
-                ids = [shard.doc(k) for k in range(len(docs))]
+                ids = np.split(shard.expand(shard.symbols), docs["start"][1:].astype(np.int64))
+                if [len(x) for x in ids] != docs["n"].tolist():
+                    raise ValueError("shard file: lengths do not match")
                 yield pd.DataFrame({
                     "doc_id": docs["doc_id"].astype(np.int64),
                     "has_id": docs["has_id"] == 1,

@@ -15,7 +15,7 @@ from corpusflow.llm.common import shared_path
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-ODD = st.text(st.sampled_from(list("ab'sT 0\n\t\r\x0b\x0c\x1c\x1d\x85\xa0 　é́İßﬁ你!?<|>")) | st.characters(exclude_categories=["Cs"]), max_size=60)
+ODD = st.text(st.sampled_from(list("ab'sT.,! 0\n\t\r\x0b\x0c\x1c\x1d\x85\xa0 　é́İßﬁ你!?<|>")) | st.characters(exclude_categories=["Cs"]), max_size=60)
 
 
 @settings(max_examples=400, deadline=None)
@@ -23,27 +23,36 @@ ODD = st.text(st.sampled_from(list("ab'sT 0\n\t\r\x0b\x0c\x1c\x1d\x85\xa0 　
 def test_pieces_encode_as_the_whole(text):
     known = encoding.counter(BYTES)
     assert "".join(encoding.pieces(text)) == text
-    assert sum(known.of(text)) == len(known.tok.encode(text, add_special_tokens=False).ids)
+    assert known.count(text) == len(known.tok.encode(text, add_special_tokens=False).ids)
     known = encoding.word_encoder(WORDS)
-    assert [i for p in known.of(text) for i in p] == known.tok.encode(text, add_special_tokens=False).ids
+    assert known.ids(text).tolist() == known.tok.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|>\n\n b", "x<|endoftext|><|endoftext|> ", "<|startoftext|>a"])
 def test_special_strings_stay_whole(text):
-    for make, path in ((encoding.counter, BYTES), (encoding.word_encoder, WORDS)):
-        known = make(path)
-        want = known.tok.encode(text, add_special_tokens=False).ids
-        got = known.of(text)
-        assert (sum(got) == len(want)) if make is encoding.counter else [i for p in got for i in p] == want
+    known = encoding.counter(BYTES)
+    assert known.count(text) == len(known.tok.encode(text, add_special_tokens=False).ids)
+    known = encoding.word_encoder(WORDS)
+    assert known.ids(text).tolist() == known.tok.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("table", ["documents", "pages"])
+def test_all_texts_of_a_table(spark, table):
+    df = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet")
+    for text in [r[0] for r in df.select("text" if table == "documents" else "html").collect()]:
+        known = encoding.counter(BYTES)
+        assert known.count(text) == len(known.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        known = encoding.word_encoder(WORDS)
+        assert known.ids(text).tolist() == known.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def test_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(encoding, "PIECES", 50)
-    known = encoding._Memory(WORDS, encoding._WORD.findall, tuple)
+    monkeypatch.setattr(encoding, "PIECES", 200)
+    known = encoding.Words(WORDS)
     for seed in range(20):
         text = prose(seed, 30)
-        assert [i for p in known.of(text) for i in p] == known.tok.encode(text, add_special_tokens=False).ids
-        assert len(known) <= 50
+        assert known.ids(text).tolist() == known.tok.encode(text, add_special_tokens=False).ids
+        assert len(known) <= 200
 
 
 def test_token_counts_and_the_cache(spark):
