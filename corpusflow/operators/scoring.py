@@ -7,6 +7,8 @@ per-category accuracy come from one ROLLUP.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,15 @@ def accuracy(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scored.rollup("category").agg(*agg)
 
 
+def evaluate(preds: DataFrame, evaluation: Callable[[DataFrame], DataFrame] | None = None,
+             by: list[str] | None = None) -> DataFrame:
+    """UDX5: the caller's evaluation of a prediction table; by default the
+    accuracy of the scored rows.  ``evaluation`` gets the scored rows and
+    returns any aggregate of them, planned by Spark like the rest."""
+    scored = score(preds)
+    return accuracy(scored, by) if evaluation is None else evaluation(scored)
+
+
 def first_failures(scored: DataFrame, n: int = 3, by: list[str] | None = None) -> DataFrame:
     """EVL5: the first ``n`` non-exact rows per category (by example id)."""
     part = (by or []) + ["category"]

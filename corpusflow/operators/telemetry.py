@@ -131,5 +131,11 @@ def round_diversity(topk: DataFrame, keys: list[str], round_col: str = "round")
     return distinct.join(overlap, round_col, "left").fillna(0, ["overlap_with_previous"])
 
 
-def gate_mean(values: Column) -> Column:
-    return F.avg(values)
+def gate_means(metrics: DataFrame, digits: int = 6) -> DataFrame:
+    """TEL2: mean gate value and mean absolute gate value of each epoch, summed
+    as exact integers like :func:`epoch_means`."""
+    units = F.round(F.col("value") * 1e8).cast("bigint")
+    g = metrics.filter(F.col("name") == "gate_value").groupBy("epoch").agg(
+        F.sum(units).alias("_u"), F.sum(F.abs(units)).alias("_a"), F.count("value").alias("_n"))
+    return g.select("epoch", _rounded_ratio(F.col("_u"), F.col("_n"), 8, digits).alias("avg_gate"),
+                    _rounded_ratio(F.col("_a"), F.col("_n"), 8, digits).alias("avg_abs_gate"), F.col("_n").alias("steps"))

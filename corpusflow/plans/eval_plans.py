@@ -56,6 +56,22 @@ def q_accuracy(i):
                     _r6(F.col("substring_acc")).alias("substring_acc"), _r6(F.col("strict_acc")).alias("strict_acc"))
 
 
+def _answer_length(scored):
+    """An evaluation a caller could bring along: answer length and exact rate per category."""
+    return scored.groupBy("variant", "category").agg(
+        F.avg(F.length("generated")).alias("mean_chars"), F.count_if(F.col("exact")).alias("n_exact"))
+
+
+@register("udx_evaluation", ["eval_pred"], _SCORED + """
+select variant, category, round(avg(length(generated)), 6) as mean_chars, count(*) filter (where exact) as n_exact
+from scored join eval_pred using (example_id, category, variant) group by variant, category
+""")
+def q_evaluation(i):
+    """UDX5: a caller's evaluation function over the prediction table."""
+    r = sc.evaluate(i["eval_pred"], _answer_length)
+    return r.select("variant", "category", _r6(F.col("mean_chars")).alias("mean_chars"), "n_exact")
+
+
 @register("evl_failures", ["eval_pred"], _SCORED + """
 select variant, category, example_id, cast(rank as int) as rank from (
   select *, row_number() over (partition by variant, category order by example_id) as rank
@@ -228,6 +244,16 @@ def q_derived(i):
                     _r6(F.col("grad_ratio")).alias("grad_ratio"))
 
 
+@register("tel_gate_means", ["step_metric"], """
+select epoch, round(avg(round(value * 1e8)) / 1e8, 6) as avg_gate, round(avg(abs(round(value * 1e8))) / 1e8, 6) as avg_abs_gate,
+  count(value) as steps
+from step_metric where name = 'gate_value' group by epoch
+""")
+def q_gate_means(i):
+    """TEL2: gate averages per epoch."""
+    return tel.gate_means(i["step_metric"])
+
+
 @register("tel_attention_entropy", FX, _duck_round("a", "ret_queries") + """
 select query_id, round(avg(h), 6) as entropy from (
   select query_id, pos, head, -sum(p * ln(p + 1e-8)) as h from a_p group by all) x group by query_id
