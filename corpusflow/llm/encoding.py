@@ -13,9 +13,9 @@ no token can reach across:
   and runs of signs apart).
 
 Special strings hold no white space, and a piece with one goes to the library
-whole.  New pieces of plain ASCII letters, on which normalisers and byte
-alphabets do nothing else, go straight to the library's model, others through
-its whole chain.  Tests hold both classes against the library's own encoding of
+whole.  New pieces of plain Latin letters, on which normalisers do nothing but
+lower the case, go straight to the library's model in its byte alphabet, others
+through the library's whole chain.  Tests hold both classes against the library's own encoding of
 whole texts.
 """
 
@@ -24,11 +24,15 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
-#: pieces remembered by a worker before it starts anew
-PIECES = 700_000
+#: pieces remembered by a worker: half of them new, half of an older generation
+PIECES = 1_000_000
+#: texts whose pieces are looked up together
+BLOCK = 64
 _DOUBLE = re.compile(r"\s[ \t-\r]")
 _SIMPLE = re.compile(r"[ \t-\r]?[^ \t-\r]+|[ \t-\r]")
 _BORDER = re.compile(r"(?<=\S)(?=[ \t-\r])")
@@ -37,20 +41,37 @@ _SIGNS = ".,!?;:"
 #: white space for Python but not for the tokenizers
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
+# The byte alphabet of byte-level BPE: printable bytes stand for themselves, the
+# others for the code points from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def latin(word: str) -> str | None:
+    """A word of Latin letters in the byte alphabet; None for anything else."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word
+    if max(word) >= "\u0180" or "\u0130" in word:  # beyond, forms and cases are not so plain
+        return None
+    return word.encode().decode("latin-1").translate(_BYTES)
+
 
 def pieces(text: str) -> list[str]:
     """Cuts a text at white space; the pieces joined are the text."""
     return _BORDER.split(text) if _DOUBLE.search(text) else _SIMPLE.findall(text)
 
 
-class _Memory(dict):
+class _Memory:
     """piece -> what ``take`` makes of its ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict = {}
+        self.old: dict = {}
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
 
@@ -58,43 +79,51 @@ class _Memory(dict):
         """The model's input for a piece of plain letters."""
         raise NotImplementedError
 
-    def learn(self, found: list[str]) -> None:
-        """Encode the pieces that are not in the memory."""
-        new = {p for p in found if p not in self}
-        if len(self) + 2 * len(new) > PIECES:
-            self.clear()
-            new = set(found)
+    def learn(self, wanted: set[str]) -> dict:
+        """The memory with all wanted pieces in it."""
+        new = wanted.difference(self.known)
+        if len(self.known) + 2 * len(new) > PIECES // 2:
+            self.old, self.known, new = self.known, {}, wanted
+        known, old = self.known, self.old
+        known.update({p: old[p] for p in new if p in old})
+        new = new.difference(known)
         parts = {p: (p[:-1], p[-1]) for p in new if len(p) > 1 and p[-1] in _SIGNS and p[-2].isalpha()}
-        whole = {q for p in new for q in parts.get(p, (p,)) if q not in self}
         rest = []
-        for p in whole:
+        for p in {q for p in new for q in parts.get(p, (p,))}.difference(known):
             plain = self.plain(p)
             if plain is None:
                 rest.append(p)
             else:
-                self[p] = self.take([t.id for t in self.model.tokenize(plain)])
+                known[p] = self.take([t.id for t in self.model.tokenize(plain)])
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            self[p] = self.take(e.ids)
+            known[p] = self.take(e.ids)
         for p, (a, b) in parts.items():
-            self[p] = self[a] + self[b]
+            known[p] = known[a] + known[b]
+        return known
+
+    def looked_up(self, texts: list[str]) -> Iterator[Iterator]:
+        """What the memory has for the pieces of each text, a block of texts at a time."""
+        for i in range(0, len(texts), BLOCK):
+            found = [self.cut(t) for t in texts[i:i + BLOCK]]
+            get = self.learn(set().union(*found)).__getitem__
+            for f in found:
+                yield map(get, f)
 
 
 class Counts(_Memory):
     """Token counts, for vocabularies that keep white space."""
 
     take = staticmethod(len)
+    cut = staticmethod(pieces)
 
     def plain(self, piece: str) -> str | None:
-        word = piece[1:] if piece[0] == " " else piece
-        return ("Ġ" + word if piece[0] == " " else word) if word.isascii() and word.isalpha() else None
+        if piece[0] != " ":
+            return latin(piece)
+        word = latin(piece[1:])
+        return word and chr(_BYTES[32]) + word
 
-    def count(self, text: str) -> int:
-        found = pieces(text)
-        try:
-            return sum(map(self.__getitem__, found))
-        except KeyError:
-            self.learn(found)
-            return sum(map(self.__getitem__, found))
+    def counts(self, texts: list[str]) -> list[int]:
+        return list(map(sum, self.looked_up(texts)))
 
 
 class Words(_Memory):
@@ -102,18 +131,18 @@ class Words(_Memory):
 
     @staticmethod
     def take(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        return _WORD.findall(text) if any(c in text for c in _ODD) else text.split()
 
     def plain(self, piece: str) -> str | None:
-        return piece.lower() if piece.isascii() and piece.isalpha() else None
-
-    def ids(self, text: str) -> np.ndarray:
-        found = _WORD.findall(text) if any(c in text for c in _ODD) else text.split()
-        try:
-            return np.frombuffer(b"".join(map(self.__getitem__, found)), "<u4")
-        except KeyError:
-            self.learn(found)
-            return np.frombuffer(b"".join(map(self.__getitem__, found)), "<u4")
+        return latin(piece.lower())
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for found in self.looked_up(texts):
+            yield np.frombuffer(b"".join(found), "<u4")
 
 
 @functools.lru_cache(maxsize=2)

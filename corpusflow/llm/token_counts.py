@@ -54,7 +54,7 @@ def encode_misses(texts: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = counter(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": list(map(known.count, b["text"]))})
+            yield pd.DataFrame({"digest": b["digest"], "n_tokens": known.counts(b["text"].tolist())})
 
     return texts.mapInPandas(encode, "digest binary, n_tokens bigint")
 

@@ -50,6 +50,7 @@ from corpusflow.llm.encoding import word_encoder
 from corpusflow.llm.files import read_file, write_file
 
 SHARD_IDS = 1 << 20
+READ_TASKS = 10_000
 MIN_COUNT = 8
 MAX_ROUNDS = 12
 HEAD = struct.Struct("<4sIQQQ")
@@ -202,8 +203,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
             return pd.DataFrame({"part": [part], "seq": [seq], "file": [file], "n_docs": [len(held)], "n_ids": [size]})
 
         for b in batches:
-            for doc_id, has_id, text in zip(b["doc_id"], b["has_id"], b["text"]):
-                ids = np.append(known.ids(text), np.uint32(end_id))
+            for doc_id, has_id, ids in zip(b["doc_id"], b["has_id"], known.ids(b["text"].tolist())):
+                ids = np.append(ids, np.uint32(end_id))
                 if held and size + len(ids) > shard_ids:
                     yield shard()
                     seq, held_ids, held, size = seq + 1, [], [], 0
@@ -241,7 +242,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     "n_tokens": [len(x) for x in ids],
                     "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
 
-    rows = placed.repartition("file").mapInPandas(
+    # file names are small rows: without a number, all of them would be merged into one task
+    rows = placed.repartition(min(max(manifest.count(), 1), READ_TASKS)).mapInPandas(
         read, "doc_id bigint, has_id boolean, start bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

@@ -47,6 +47,7 @@ DICT_SAMPLES = 256
 DICT_SAMPLE_BYTES = 16_384
 DICT_BYTES = 16_384
 FILE_BYTES = 16 << 20
+READ_TASKS = 10_000
 #: the archive's date; records of this job have no fetch time of their own
 DATE = "1970-01-01T00:00:00Z"
 ID = "<urn:x-page:{}>"
@@ -222,7 +223,9 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file").repartition("file").mapInArrow(read, SCHEMA)
+    # file names are small rows: without a number, all of them would be merged into one task
+    tasks = min(max(files.count(), 1), READ_TASKS)
+    return files.select("file").repartition(tasks).mapInArrow(read, SCHEMA)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
