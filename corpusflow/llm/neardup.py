@@ -4,17 +4,21 @@ A document is its set of distinct word shingles.  Equal sets are one node of
 the join, so copies cost nothing further.  Independent random trees branch the
 documents: a tree node picks one or two minwise coordinates (on average 1 /
 threshold, as the chosen-path method does) and sends each document to the child
-named by its minimal shingle there.  Nodes of at most ``NODE`` documents are compared
-exhaustively; larger ones branch on.  A pair at the threshold stays together in
-one tree with probability ``p(depth)``, and :func:`trees_for` repeats trees until
-the target recall is met.
-
-Groups of near copies never become small by branching, since all their members
-choose the same shingles.  So a large node first compares all members with one
-pivot.  Links are confirmed on the full sets; linked members share a label, the
-pivot leaves (all its links here are known), and a node whose members have one
-label is done: whatever links are left in it join what is joined already.  No
-pair with two labels is skipped, so components lose nothing.
+named by its minimal shingle there.  Small nodes are compared exhaustively, larger
+ones branch on.  A pair at the threshold stays together in one tree with
+probability ``p(depth)``, and :func:`trees_for` repeats trees until the target
+recall is met.
+
+Nodes of at most ``NODE`` documents are joined with themselves over sketches, and
+what passes is confirmed on the full sets.  Nodes of at most ``GROUP`` documents and
+``SHINGLES`` shingles are compared in one task by their full sets.  Only beyond that
+a node branches.  Groups of near copies never become small by branching, since
+all their members choose the same shingles.  So a large node first compares all
+members with ``PIVOTS`` of them.  Links are confirmed on the full sets; linked
+members share a label, the pivots leave (all their links here are known), and a
+node whose members have one label is done: whatever links are left in it join
+what is joined already.  No pair with two labels is skipped, so components lose
+nothing.
 
 Candidates pass a one-bit minwise sketch of 128 bits first (five standard
 deviations below the threshold).  Candidate pairs of small nodes are confirmed
@@ -50,7 +54,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import keep
 
 POOL = 128
-NODE = 32
+NODE = 64
+GROUP = 2_000
+SHINGLES = 2_000_000
+PIVOTS = 8
 MAX_DEPTH = 16
 RECALL = 0.99999
 RECALL_DEPTH = 3
@@ -189,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         def get(key, text):
             if key not in held:
                 held[key] = shingles(text, width)
-                if len(held) > 64:
+                if len(held) > 256:
                     held.popitem(last=False)
             return held[key]
 
@@ -197,7 +204,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             ok = []
             for i, j, ti, tj in zip(b["a"], b["b"], b["ta"], b["tb"]):
                 x, y = get(bytes(i), ti), get(bytes(j), tj)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                short, long = (x, y) if len(x) < len(y) else (y, x)
+                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+                both = int((long[at] == short).sum())
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[np.array(ok, bool), ["a", "b"]]
 
@@ -214,13 +223,13 @@ def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> D
             if not len(b):
                 continue
             node = b["node"].to_numpy(np.int64).astype(np.uint64)
-            own = {i: minima(shingles(t, width)) for i, t in dict(zip(b["id"], b["text"])).items()}
-            low = np.stack([own[i] for i in b["id"]])
+            own = {i: shingles(t, width) for i, t in dict(zip(b["id"], b["text"])).items()}
             first, second, two = chosen(node, threshold)
-            at = np.arange(len(b))
+            low1 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], first)], np.uint64)
+            low2 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], second)], np.uint64)
             out = b[["id", "n", "b0", "b1", "label"]]
-            again = out[two].assign(node=child(node, second, low[at, second]).astype(np.int64)[two])
-            out = out.assign(node=child(node, first, low[at, first]).astype(np.int64))
+            again = out[two].assign(node=child(node, second, low2).astype(np.int64)[two])
+            out = out.assign(node=child(node, first, low1).astype(np.int64))
             yield pd.concat([out, again])[["node", "id", "n", "b0", "b1", "label"]]
 
     return rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "text").mapInPandas(
@@ -236,41 +245,95 @@ def _small_pairs(rows: DataFrame, threshold: float, labelled: bool) -> DataFrame
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Nodes compared by the full sets of all members: every member with the
+    root of its component inside the node."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.drop_duplicates("id")
+        sets = [shingles(t, width) for t in b["text"]]
+        n = np.array([len(x) for x in sets])
+        _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[which] > 1  # a shingle of one member adds to no intersection
+        row, which = np.repeat(np.arange(len(sets)), n)[shared], which[shared]
+        order = np.argsort(which, kind="stable")
+        row, which = row[order], np.unique(which[order], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for begin in range(0, int(which.max(initial=-1)) + 1, 4096):
+            a, z = np.searchsorted(which, [begin, begin + 4096])
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[row[a:z], which[a:z] - begin] = 1
+            both += x @ x.T
+        near = np.empty(both.shape, bool)
+        for i in range(0, len(sets), 256):
+            inter = both[i:i + 256].astype(np.int64)
+            near[i:i + 256] = 100 * inter >= percent * (n[i:i + 256, None] + n[None, :] - inter)
+        np.fill_diagonal(near, True)
+        root = np.arange(len(sets))
+        while True:
+            new = np.array([root[r].min() for r in near])
+            new = np.minimum(new, new[new])
+            if (new == root).all():
+                break
+            root = new
+        ids = b["id"].to_numpy()
+        at = np.flatnonzero(root != np.arange(len(sets)))
+        return pd.DataFrame({"a": ids[at], "b": ids[root[at]]})
+
+    return rows.select("node", "id").join(texts, "id").groupBy("node").applyInPandas(run, "a binary, b binary")
+
+
 def _impure(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that still hold two labels, with the node's size."""
-    stats = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-             .where("size > 1 and l0 <> l1").select("node", "size"))
+    """Rows of nodes that still hold two labels, with the node's size and shingles."""
+    stats = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk"),
+                                      F.min("label").alias("l0"), F.max("label").alias("l1"))
+             .where("size > 1 and l0 <> l1").select("node", "size", "bulk"))
     return rows.join(stats, "node")
 
 
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Small, middle and large nodes."""
+    fits = (F.col("size") <= GROUP) & (F.col("bulk") <= SHINGLES)
+    small = F.col("size") <= NODE
+    return tuple(rows.where(c).drop("size", "bulk") for c in (small, ~small & fits, ~small & ~fits))
+
+
 def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int):
     """Work off large nodes: confirmed links, and candidate pairs of what became small."""
     links, pairs, depth = [], [], 0
     rows = keep(rows.withColumn("label", F.col("id")), "near-large")
     while rows.take(1):
         if depth >= MAX_DEPTH:
-            pairs.append(keep(_small_pairs(rows, threshold, True).distinct(), "near-rest"))
+            pairs.append(keep(_small_pairs(rows, threshold, True).distinct(), "near-left"))
             break
-        pivot = rows.groupBy("node").agg(F.min_by(
-            F.struct("id", "n", "b0", "b1", "label"), F.struct(F.col("label") != F.col("id"), F.xxhash64("id"), "id")).alias("p"))
-        pivot = pivot.select("node", "p.*")
+        best = [F.min_by(F.struct("id", "n", "b0", "b1", "label"),
+                         F.struct(F.col("label") != F.col("id"), F.xxhash64(F.lit(k), "id"), "id")) for k in range(PIVOTS)]
+        pivot = rows.groupBy("node").agg(F.array_distinct(F.array(*best)).alias("p"))
+        pivot = keep(pivot.select("node", F.inline("p")), "near-pivot")
         near = (rows.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node"))
                                      & (F.col("x.label") != F.col("y.label")) & _close(threshold, "x", "y"))
                 .select("x.node", "x.id", "x.label", F.col("y.id").alias("pivot"), F.col("y.label").alias("other")))
         near = keep(near, "near-pivots")
         linked = keep(confirm(near.select(*_ordered(F.col("id"), F.col("pivot"))).distinct(), texts, width, percent), "near-links")
         links.append(linked)
-        hit = near.select("node", "label", "other", *_ordered(F.col("id"), F.col("pivot"))).join(linked, ["a", "b"], "left_semi")
-        least = hit.groupBy("node").agg(F.least(F.min("label"), F.min("other")).alias("to"))
-        moved = (hit.select("node", "label").union(hit.select("node", "other")).distinct().join(least, "node"))
-        rest = rows.join(pivot.select("node", F.col("id").alias("pid")), "node").where("id <> pid").drop("pid")
-        rest = (rest.join(moved, ["node", "label"], "left")
-                .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label")))
-        rest = keep(_impure(rest), "near-rest")
-        pairs.append(keep(_small_pairs(rest.where(F.col("size") <= NODE), threshold, True).distinct(), "near-small"))
-        down = keep(_impure(branch(rest.where(F.col("size") > NODE), texts, width, threshold)), "near-down")
-        pairs.append(keep(_small_pairs(down.where(F.col("size") <= NODE), threshold, True).distinct(), "near-small"))
-        rows = keep(down.where(F.col("size") > NODE).drop("size"), "near-large")
+        hit = (near.select("node", "label", "other", "pivot", *_ordered(F.col("id"), F.col("pivot")))
+               .join(linked, ["a", "b"], "left_semi"))
+        # labels that met at one pivot are one; two hops join those that met at several
+        least = hit.groupBy("node", "pivot").agg(F.least(F.min("label"), F.min("other")).alias("to"))
+        met = hit.join(least, ["node", "pivot"])
+        hop = met.select("node", "label", "to").union(met.select("node", "other", "to")).groupBy("node", "label").agg(F.min("to").alias("to"))
+        hop = keep(hop, "near-labels")
+        next_hop = hop.select("node", F.col("label").alias("to"), F.col("to").alias("to2"))
+        moved = hop.join(next_hop, ["node", "to"], "left").select("node", "label", F.least("to", F.coalesce("to2", "to")).alias("to"))
+        rest = rows.join(pivot.select("node", "id"), ["node", "id"], "left_anti")
+        rest = keep(rest.join(moved, ["node", "label"], "left")
+                    .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label")), "near-rest")
+        small, middle, large = _by_size(_impure(rest))
+        down = keep(branch(large, texts, width, threshold), "near-down")
+        small2, middle2, large = _by_size(_impure(down))
+        pairs.append(keep(_small_pairs(small.union(small2), threshold, True).distinct(), "near-small"))
+        links.append(keep(exact_links(middle.union(middle2), texts, width, percent), "near-links"))
+        rows = keep(large, "near-large")
         depth += 1
     return links, pairs
 
@@ -304,15 +367,16 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
         F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("b0").alias("b0"),
         F.any_value("b1").alias("b1"), F.any_value("nodes").alias("nodes")), "near-sets")
     rows = sets.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1")
-    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = keep(rows.join(size, "node"), "near-nodes")
-    pairs = keep(_small_pairs(shared.where(F.col("size") <= NODE), threshold, False).distinct(), "near-pairs")
-    large = shared.where(F.col("size") > NODE).drop("size")
+    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
+    small, middle, large = _by_size(keep(rows.join(size, "node"), "near-nodes"))
+    pairs = keep(_small_pairs(small, threshold, False).distinct(), "near-pairs")
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    wanted = functools.reduce(DataFrame.union, [pairs.select(F.col("a").alias("id")), pairs.select("b"), middle.select("id"),
+                                                large.select("id")]).distinct()
     texts = keep(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts")
 
     links, more = _large_nodes(large, texts, width, threshold, percent)
+    links.append(keep(exact_links(middle, texts, width, percent), "near-links"))
     for p in more:
         pairs = pairs.union(p)
     pairs = keep(pairs.distinct(), "near-pairs")
