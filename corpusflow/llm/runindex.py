@@ -25,8 +25,10 @@ Burrows-Wheeler transform over a chunk of whole keys:
 Windows whose statistic reaches ``length`` are marked.  A key with more than
 ``GROUP`` fragments (a common passage in a third of all documents) is keyed
 anew by the least hashes of 4, then 16 parts of the window, at last by the whole
-window, where equal keys mean equal fragments and nothing is left to index.  So
-no task holds more than ``GROUP`` fragments of a key, whatever the skew.
+window, where a fragment is one window, or that window several times over (a run
+of one byte): its print is the window's, its windows are counted, and nothing is
+left to index.  So no task holds more than ``GROUP`` fragments of a key, whatever
+the skew.
 
 Defined cases: null text is empty; texts shorter than ``length`` have no window;
 equal rows are documents of their own, so all their windows repeat; a null
@@ -273,7 +275,8 @@ PLACE = "key_id string, text_hash bigint, start bigint, n bigint"
 
 
 def cut_texts(rows: DataFrame, length: int, parts: int, carry: bool) -> DataFrame:
-    """``rows(key_id, text_hash, at, seen, data)`` to fragments; ``carry`` keeps their bytes."""
+    """``rows(key_id, text_hash, at, seen, data)`` to fragments; ``carry`` keeps their bytes.
+    Whole windows (no ``parts``) have the print of one window, however long the run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -285,7 +288,7 @@ def cut_texts(rows: DataFrame, length: int, parts: int, carry: bool) -> DataFram
                 bits = [texts[d][a:a + m + length - 1] for d, a, m in zip(doc, first, n)]
                 of = b.iloc[block[doc]] if len(doc) else b.iloc[:0]
                 out = pd.DataFrame({
-                    "key": key.astype(np.int64), "print": [xxhash.xxh3_128_digest(x) for x in bits],
+                    "key": key.astype(np.int64), "print": [xxhash.xxh3_128_digest(x if parts else x[:length]) for x in bits],
                     "key_id": of["key_id"].to_numpy(), "text_hash": of["text_hash"].to_numpy(),
                     "start": of["at"].to_numpy(np.int64) + first, "n": n, "seen": of["seen"].to_numpy(),
                     "twice": twice})
@@ -348,11 +351,12 @@ def index_groups(rows: DataFrame, length: int) -> DataFrame:
         run, "key_id string, text_hash bigint, s bigint, e bigint")
 
 
-def _grouped(frags: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(frags: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Spans of fragments that are repeated whole, and one representative of
     every fragment of the keys that need an index (``seen``: repeated whole)."""
+    copies = F.count(F.lit(1)) if parts else F.sum("n")  # a run of whole windows repeats in itself
     first = F.min(F.struct("key_id", "text_hash", "start", "n")).alias("at")
-    prints = frags.groupBy("key", "print").agg(F.count(F.lit(1)).alias("copies"), F.max("seen").alias("met"),
+    prints = frags.groupBy("key", "print").agg(copies.alias("copies"), F.max("seen").alias("met"),
                                              F.max("twice").alias("twice"), first)
     prints = prints.withColumn("seen", F.col("met") | (F.col("copies") > 1))
     whole = prints.where("seen").select("key", "print")
@@ -388,7 +392,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs`` has ``key_id, text_hash, data``."""
     whole_docs = docs.select(*DOC, F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("seen"), "data")
     frags = keep(cut_texts(whole_docs, length, LEVELS[0], False), "runs-frags")
-    spans, chosen = _grouped(frags, length)
+    spans, chosen = _grouped(frags, length, LEVELS[0])
     spans = [spans]
     chosen = keep(_bytes_of(docs, chosen, length), "runs-chosen")
     for parts in LEVELS[1:]:
@@ -398,9 +402,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             break
         again = large.select(*DOC, F.col("start").alias("at"), "seen", "data")
         frags = keep(cut_texts(again, length, parts, True), "runs-frags")
-        more, chosen = _grouped(frags, length)
+        more, chosen = _grouped(frags, length, parts)
         spans.append(more)
-        if not parts:  # equal keys are equal windows
+        if not parts:  # every window is counted
             break
         chosen = keep(chosen.join(frags.select("key", "print", *DOC, "start", "data"), ["key", "print", *DOC, "start"]),
                       "runs-chosen")

@@ -92,6 +92,15 @@ def test_repeats_against_brute_force(spark, monkeypatch, group):
     assert repeats(spark, texts, 100) == removed([t.encode() for t in texts], 100)
 
 
+def test_runs_of_one_byte_beyond_the_group(spark, monkeypatch):
+    monkeypatch.setattr(runindex, "GROUP", 3)
+    lengths = [100, 101, 103, 107, 112, 118, 125, 133, 142, 152, 250, 2400]
+    texts = [prose(300 + i, 8) + f"<{i}" + "-" * n + f"{i}>" + prose(400 + i, 9) for i, n in enumerate(lengths)]
+    texts += [prose(500 + i, 6) + " " * (99 + i) + prose(600 + i, 6) for i in range(8)]  # the first has no whole window
+    texts += ["0" * 130, prose(520, 5) + "=" * 101]
+    assert repeats(spark, texts, 100) == removed([t.encode() for t in texts], 100)
+
+
 def test_repeats_of_awkward_documents(spark):
     got = runindex.remove_repeats(documents(spark)).collect()
     want = removed([(r[1] or "").encode() for r in rows()], 400)
