@@ -7,7 +7,8 @@ threshold, as the chosen-path method does) and sends each document to the child
 named by its minimal shingle there.  Small nodes are compared exhaustively, larger
 ones branch on.  A pair at the threshold stays together in one tree with
 probability ``p(depth)``, and :func:`trees_for` repeats trees until the target
-recall is met.
+recall is met at ``RECALL_DEPTH``.  Where nodes branch deeper, their members get
+the trees that the depth reached asks for, with the labels found so far.
 
 Nodes of at most ``NODE`` documents are joined with themselves over sketches, and
 what passes is confirmed on the full sets.  Nodes of at most ``GROUP`` documents and
@@ -114,8 +115,9 @@ def survival(threshold: float, depth: int) -> float:
     return p
 
 
-def trees_for(threshold: float, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, RECALL_DEPTH)))
+def trees_for(threshold: float, recall: float = RECALL, depth: int | None = None) -> int:
+    """Trees that find a pair at the threshold when no node is deeper than ``depth``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, RECALL_DEPTH if depth is None else depth)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -236,6 +238,25 @@ def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> D
         run, "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary")
 
 
+def more_trees(rows: DataFrame, texts: DataFrame, width: int, threshold: float, begin: int, trees: int) -> DataFrame:
+    """The rows in the first nodes of the trees from ``begin`` on."""
+    first = roots(trees, threshold)
+    tree = np.array([t for t, _ in first if t >= begin], np.uint64)
+    coordinate = np.array([c for t, c in first if t >= begin])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            nodes = []
+            for text in b["text"]:
+                s = shingles(text, width)
+                nodes.append(child(tree, coordinate, np.array([(s * m).min() for m in _MULT[coordinate]], np.uint64)).astype(np.int64))
+            yield b.drop(columns="text").assign(nodes=nodes)
+
+    out = rows.join(texts, "id").select("id", "n", "b0", "b1", "label", "text").mapInPandas(
+        run, "id binary, n bigint, b0 bigint, b1 bigint, label binary, nodes array<bigint>")
+    return out.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1", "label")
+
+
 def _small_pairs(rows: DataFrame, threshold: float, labelled: bool) -> DataFrame:
     """Candidate pairs of small nodes: an equi-join of nodes of at most NODE rows."""
     x, y = rows.alias("x"), rows.alias("y")
@@ -298,10 +319,11 @@ def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(rows.where(c).drop("size", "bulk") for c in (small, ~small & fits, ~small & ~fits))
 
 
-def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int):
-    """Work off large nodes: confirmed links, and candidate pairs of what became small."""
-    links, pairs, depth = [], [], 0
-    rows = keep(rows.withColumn("label", F.col("id")), "near-large")
+def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int, covered: int):
+    """Work off large nodes: confirmed links, candidate pairs of what became small,
+    ids met in nodes deeper than ``covered``, and the greatest depth of a node."""
+    links, pairs, deep, depth = [], [], [], 0
+    rows = keep(rows, "near-large")
     while rows.take(1):
         if depth >= MAX_DEPTH:
             pairs.append(keep(_small_pairs(rows, threshold, True).distinct(), "near-left"))
@@ -333,9 +355,11 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
         small2, middle2, large = _by_size(_impure(down))
         pairs.append(keep(_small_pairs(small.union(small2), threshold, True).distinct(), "near-small"))
         links.append(keep(exact_links(middle.union(middle2), texts, width, percent), "near-links"))
+        if depth + 2 > covered and down.take(1):  # the first nodes have depth 1
+            deep.append((down.select("id").distinct(), depth + 2))
         rows = keep(large, "near-large")
         depth += 1
-    return links, pairs
+    return links, pairs, [ids for ids, _ in deep], max((d for _, d in deep), default=covered)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -375,10 +399,23 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
                                                 large.select("id")]).distinct()
     texts = keep(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts")
 
-    links, more = _large_nodes(large, texts, width, threshold, percent)
-    links.append(keep(exact_links(middle, texts, width, percent), "near-links"))
-    for p in more:
-        pairs = pairs.union(p)
+    links = [keep(exact_links(middle, texts, width, percent), "near-links")]
+    large, trees, covered = large.withColumn("label", F.col("id")), trees_for(threshold, recall), RECALL_DEPTH
+    while True:
+        found, more, deep, reached = _large_nodes(large, texts, width, threshold, percent, covered)
+        links += found
+        for p in more:
+            pairs = pairs.union(p)
+        begin, trees, covered = trees, trees_for(threshold, recall, reached), reached
+        if not deep or trees <= begin:
+            break
+        label = components(functools.reduce(DataFrame.union, links)).withColumnRenamed("root", "label")
+        members = functools.reduce(DataFrame.union, deep).distinct().join(sets.select("id", "n", "b0", "b1"), "id")
+        members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = keep(more_trees(members, texts, width, threshold, begin, trees), "near-nodes")
+        small, middle, large = _by_size(_impure(rows))
+        pairs = pairs.union(keep(_small_pairs(small, threshold, True).distinct(), "near-small"))
+        links.append(keep(exact_links(middle, texts, width, percent), "near-links"))
     pairs = keep(pairs.distinct(), "near-pairs")
     # first turn: everyone with the least candidate partner
     ends = pairs.union(pairs.select("b", "a"))

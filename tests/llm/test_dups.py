@@ -186,6 +186,30 @@ def test_recall_of_the_trees():
         assert (1 - neardup.survival(threshold, neardup.RECALL_DEPTH)) ** trees <= 1 - neardup.RECALL
 
 
+def test_trees_for_the_depth_reached(spark, monkeypatch):
+    for threshold in (0.8, 0.85):
+        for depth in range(1, neardup.MAX_DEPTH + 2):
+            trees = neardup.trees_for(threshold, neardup.RECALL, depth)
+            assert (1 - neardup.survival(threshold, depth)) ** trees <= 1 - neardup.RECALL
+        used = [c for _, c in neardup.roots(trees, threshold)]
+        assert len(set(used)) == len(used)
+    for name, value in {"NODE": 4, "GROUP": 70, "RECALL_DEPTH": 1}.items():
+        monkeypatch.setattr(neardup, name, value)
+    asked, more_trees = [], neardup.more_trees
+    monkeypatch.setattr(neardup, "more_trees", lambda *a: asked.append(a[-2:]) or more_trees(*a))
+    template = [f"t{i}" for i in range(70)]  # in all documents, links none of them
+    texts = []
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(30)]
+        texts += [" ".join(template + own), " ".join(template + own[8:] + [f"g{g}y{i}" for i in range(8)])]
+    want, _ = linked(texts, 1, 85)
+    assert want == [i - i % 2 for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link_documents(df, 1, 0.85).collect()}
+    assert [got[i] for i in range(120)] == want
+    assert asked and asked[-1][1] > neardup.trees_for(0.85)
+
+
 def test_stars_find_long_chains(spark):
     edges = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(0, 100) if i % 33] + [(b"900", b"905"), (b"901", b"905")]
     got = {bytes(r["id"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
