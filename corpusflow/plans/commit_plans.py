@@ -121,6 +121,18 @@ def q_file_at_parent(i):
     return com.file_at(i["blobs"], wanted)
 
 
+@register("src_files_at_parent", ["commits", "blobs"], _REC + """
+select w.repo, w.sha, w.path, b.content
+from (select distinct repo, parent_sha as sha, unnest(files_changed) as path from rec where parent_sha is not null) w
+left join blobs b on b.repo = w.repo and b.sha = w.sha and b.path = w.path
+""")
+def q_files_at_parent(i):
+    """SRC5: content of every changed file of each commit at its parent."""
+    recs = com.full_records(i["commits"]).filter(F.col("parent_sha").isNotNull())
+    wanted = recs.select("repo", F.col("parent_sha").alias("sha"), F.explode("files_changed").alias("path")).distinct()
+    return com.file_at(i["blobs"], wanted)
+
+
 @register("com_shuffled", ["commits"], """
 select repo, sha, md5(concat('11', ':', repo)) as repo_key,
   row_number() over (partition by repo order by md5(concat('11', ':', sha)), sha) as position

@@ -85,3 +85,18 @@ def test_partition_independence(spark):
             assert runs[0] == runs[1] == runs[2], k
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_every_changed_file_is_looked_up_at_the_parent(spark, inputs):
+    from conftest import SF_SMALL
+    from corpusflow.plans.registry import all_queries
+    from oracle_harness import check, duck_con
+
+    blobs = {(r["repo"], r["sha"], r["path"]): r["content"] for r in inputs["blobs"].collect()}
+    want = {(r["repo"], r["parent_sha"], path) for r in inputs["commits"].collect() if r["parent_sha"]
+            for path in (r["files_text"] or "").split("\n") if path}
+    query = all_queries()["src_files_at_parent"]
+    got = query.fn(spark, SF_SMALL).collect()
+    assert sorted((r["repo"], r["sha"], r["path"]) for r in got) == sorted(want)
+    assert all(r["content"] == blobs.get((r["repo"], r["sha"], r["path"])) for r in got)
+    assert check(spark, duck_con(SF_SMALL), "src_files_at_parent", query, SF_SMALL)["status"] == "ok"
