@@ -8,7 +8,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("queries_rules", "queries_tokens", "queries_text", "queries_dups")
+MODULES = ("queries_rules", "queries_tokens", "queries_text", "queries_dups", "queries_vectors")
 
 _QUERIES: dict[str, "LlmQuery"] = {}
 
