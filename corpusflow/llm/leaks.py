@@ -9,7 +9,11 @@ runs of fingerprints per word.  One row per run goes to the join with the
 fingerprints of the test items; the windows of the runs that hit are then
 extended to whole windows by the hash of all their words.
 
-Fingerprints and windows of the items are distinct tables: a passage in many
+A window is named by two 64-bit hashes together, its fingerprint and the hash of all its words:
+two windows are taken for equal only if they agree in both, that is if they
+share their least k-gram and collide besides.
+
+Fingerprints and windows of the items are distinct tables, kept once: a passage in many
 items or many documents multiplies nothing.  Documents that hit the same set
 of windows are named once.  The item side is broadcast only after its rows
 were counted against ``BROADCAST_ROWS``; above it the joins shuffle.
@@ -29,6 +33,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.common import keep
+
 WINDOW = 10
 GRAM = 5
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,30 +112,32 @@ def item_windows(items: DataFrame) -> DataFrame:
             .distinct())
 
 
-def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Every occurrence of an item's window in a document: ``doc_id, text_hash,
-    length, win, start`` (distinct)."""
-    windows = item_windows(items)
+    length, fp, win, start`` (distinct)."""
+    windows = item_windows(items) if windows is None else windows
     sizes = {r[0]: r[1] for r in windows.groupBy("length").count().collect()}  # at most WINDOW rows
     n_windows = sum(sizes.values())
     own = _hashed(docs, [F.col("doc_id"), F.xxhash64("text").alias("text_hash")])
     runs = [window_runs(F.col("_h"), F.col("n_words"), length) for length in sorted(sizes)] or [F.array().cast(RUNS)]
     rows = own.select("doc_id", "text_hash", F.inline(F.concat(*runs)))
     prints = windows.select("length", "fp").distinct()
-    exact = windows.select("length", "win").distinct()
+    exact = windows.select("length", "fp", "win").distinct()
     near = rows.join(_small(prints, n_windows), ["length", "fp"], "left_semi")
-    places = near.select("doc_id", "text_hash", "length", "start", F.posexplode("windows").alias("j", "win"))
-    hits = places.join(_small(exact, n_windows), ["length", "win"], "left_semi")
-    return hits.select("doc_id", "text_hash", "length", "win", (F.col("start") + F.col("j")).alias("start"))
+    places = near.select("doc_id", "text_hash", "length", "fp", "start", F.posexplode("windows").alias("j", "win"))
+    hits = places.join(_small(exact, n_windows), ["length", "fp", "win"], "left_semi")
+    return hits.select("doc_id", "text_hash", "length", "fp", "win", (F.col("start") + F.col("j")).alias("start"))
 
 
 def mark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_hash, n_words, n_hit, items
     array<string>, contaminated``."""
-    hits = find_hits(docs, items)
+    windows = keep(item_windows(items), "leak-windows")
+    # read by two branches: the winnowing of all documents is planned once
+    hits = keep(find_hits(docs, items, windows), "leak-hits")
     by_doc = hits.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
-        F.sort_array(F.collect_set(F.struct("length", "win"))).alias("wins"))
+        F.sort_array(F.collect_set(F.struct("length", "fp", "win"))).alias("wins"))
     walked = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, s: F.struct(
@@ -139,9 +147,8 @@ def mark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                            F.sha2(F.to_json("wins"), 256).alias("sig"))
     # one row per distinct set of windows, however many documents have it
     sets = by_doc.groupBy("sig").agg(F.any_value("wins").alias("wins"))
-    names = item_windows(items).select("length", "win", "item_id").distinct()
-    named = (sets.select("sig", F.explode("wins").alias("w")).select("sig", "w.length", "w.win")
-             .join(names, ["length", "win"]).groupBy("sig").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+    named = (sets.select("sig", F.explode("wins").alias("w")).select("sig", "w.length", "w.fp", "w.win")
+             .join(windows, ["length", "fp", "win"]).groupBy("sig").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     found = by_doc.join(named, "sig").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "n_hit", "items")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                       F.size(item_words(F.col("text"))).cast("bigint").alias("n_words"))
@@ -154,7 +161,8 @@ def mark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a hit, with the columns they came with."""
-    hit = find_hits(docs, items).select("doc_id", "text_hash").distinct()
+    windows = keep(item_windows(items), "leak-windows")
+    hit = find_hits(docs, items, windows).select("doc_id", "text_hash").distinct()
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     same = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_th"))
