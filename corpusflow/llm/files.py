@@ -7,9 +7,16 @@ import re
 from pyarrow import fs as pafs
 
 
+#: fixed values: Hadoop's names of object stores that Arrow knows by another
+ALIASES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def filesystem(uri: str):
-    """``(filesystem, path)`` of a path with or without a scheme."""
+    """``(filesystem, path)`` of a path with or without a scheme, under Hadoop's or Arrow's name of it."""
     uri = re.sub(r"^file:/+", "/", uri)
+    scheme, colon, rest = uri.partition("://")
+    if colon:
+        uri = f"{ALIASES.get(scheme, scheme)}://{rest}"
     if "://" in uri:
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri

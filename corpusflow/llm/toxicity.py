@@ -21,7 +21,8 @@ Everything is learned here from labelled rows that the caller allows, at most
   and toxic ones hardly do;
 * the curve: a logistic fit over the evidence of the training rows.
 
-Defined cases: null and empty texts have no evidence and get the score of none;
+Defined cases: null and empty texts have no evidence and get the score of none; training rows
+without a word or without a match add nothing to the lexicon or the exceptions;
 labels that are null or disagree count as toxic if any is 1; without toxic or
 without other training rows every score is the share of toxic rows; repeated
 rows are scored one by one; other columns are ignored; an empty table gives no
@@ -127,6 +128,14 @@ def _score(curve: tuple[float, ...], total: np.ndarray, density: np.ndarray) ->
     return 1 / (1 + np.exp(-np.clip(_features(total, density) @ np.array(curve), -30, 30)))
 
 
+def _counted(column: str, by: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
+    """The counts of both classes as one frame; nothing where nothing was counted
+    (a frame of empty lists has no string column)."""
+    keys = list(by[0].keys() | by[1].keys())
+    if keys:
+        yield pd.DataFrame({column: keys, "neg": [by[0][k] for k in keys], "pos": [by[1][k] for k in keys]})
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """``text, y`` of the labelled documents, at most ``TRAIN_ROWS`` label rows."""
     y = labels.groupBy("doc_id").agg(F.max(label).alias("y")).where("y is not null and doc_id is not null")
@@ -142,8 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
             by = (Counter(), Counter())
             for text, y in zip(b["text"], b["y"]):
                 by[int(y > 0)].update(set(fold(text)))
-            words = list(by[0].keys() | by[1].keys())
-            yield pd.DataFrame({"word": words, "neg": [by[0][w] for w in words], "pos": [by[1][w] for w in words]})
+            yield from _counted("word", by)
 
     counts = (rows.mapInPandas(count, "word string, neg bigint, pos bigint")
               .groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
@@ -178,8 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
                 tokens = fold(text)
                 if hit := matched(found, tokens):
                     by[int(y > 0)].update({f"{u} {v}" for u, v in zip(tokens, tokens[1:]) if u in hit or v in hit})
-            pairs = list(by[0].keys() | by[1].keys())
-            yield pd.DataFrame({"pair": pairs, "neg": [by[0][w] for w in pairs], "pos": [by[1][w] for w in pairs]})
+            yield from _counted("pair", by)
 
     spared = (rows.mapInPandas(phrases, "pair string, neg bigint, pos bigint")
               .groupBy("pair").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))

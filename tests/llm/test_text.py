@@ -145,3 +145,80 @@ def test_held_out_accuracy(spark):
     got = op6_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit / (got.toxic == 1).sum() > 0.9 and hit / (got.predicted == 1).sum() > 0.88
+
+
+def plain_matches(lexicon, text):
+    """Distinct matched words by looking at every place of the folded text."""
+    line = f" {' '.join(toxicity.fold(text))} "
+    shielded = [(i, i + len(p) + 2) for p in lexicon.exceptions for i in range(len(line)) if line.startswith(f" {p} ", i)]
+    out = {}
+    for i in range(len(line)):
+        for entry, weight in lexicon.weights.items():
+            if line.startswith(entry, i) and not any(a <= i and i + len(entry) <= b for a, b in shielded):
+                word = line[i:].split()[0]
+                out[word] = max(out.get(word, 0.0), weight)
+    return out
+
+
+def test_matches_equal_plain_search():
+    lexicon = toxicity.Lexicon({" wi ": 1.0, " wi": 0.5, " wi2": 2.0, " wi2e ": 4.0, " trash ": 3.0, " tras": 1.5, " a ": 0.25},
+                               ["trash can", "wi w2", "wi2 wi"])
+    found = lexicon.automaton()
+    texts = [prose(i, 60, 300) for i in range(40)] + ["tr@sh can trash cans trash", "w1 w2 w1 w12 w1 w1", "a a a", "w123", "", None, "!?"]
+    assert any(plain_matches(lexicon, t) for t in texts[:40])
+    for t in texts:
+        assert toxicity.matched(found, toxicity.fold(t)) == plain_matches(lexicon, t)
+
+
+def test_training_batches_without_words_or_matches(spark):
+    docs, labels = corpus(spark)
+    # one partition without any word, one without any match, one with both, and an empty one
+    blank = docs.select((F.col("doc_id") + 1000).alias("doc_id"), F.lit(" .,\n").alias("text"), "score").limit(5).repartition(1)
+    clean = docs.select((F.col("doc_id") + 2000).alias("doc_id"), F.lit("plain words only").alias("text"), "score").limit(50).repartition(1)
+    more = labels.select((F.col("doc_id") + 1000).alias("doc_id"), F.lit(0).alias("toxic")).union(
+        labels.select((F.col("doc_id") + 2000).alias("doc_id"), F.lit(0).alias("toxic")))
+    lexicon = toxicity.learn(docs.union(blank).union(clean).union(docs.limit(0)), labels.union(more))
+    assert " moron " in lexicon.weights
+    # no match anywhere: toxic and other texts of the same words
+    same = docs.select("doc_id", F.lit("the same few words").alias("text"))
+    assert toxicity.learn(same, labels).weights == {}
+
+
+def test_toxicity_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    docs, labels = corpus(spark)
+    twice = docs.union(docs.limit(100)).withColumns({"toxic": F.lit(0), "y": F.lit("y"), "word": F.lit("w"), "neg": F.lit(1), "key": F.lit("k")})
+    marked = labels.union(labels).withColumns({"text": F.lit("moron"), "score": F.lit(1)})
+    lexicon = toxicity.learn(twice, marked)
+    long = spark.createDataFrame([(1, "moron " + "x" * 3_000_000, 7), (2, prose(9, 200_000), 7), (3, "moron " * 50, 7)] * 2,
+                                 "doc_id bigint, text string, evidence int")
+    got = toxicity.score(long, lexicon).groupBy("doc_id").agg(F.count("score").alias("n"), F.countDistinct("score").alias("d")).collect()
+    assert sorted((r["doc_id"], r["n"], r["d"]) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    data = [(1, "u", "<p>" + prose(2, 400_000) + "</p>"), (2, "v", "y" * 3_000_000), (3, "w", None), (2, "v", "y" * 3_000_000)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    df = df.withColumns({c: F.lit("clash") for c in ("payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "part", "seq")})
+    got = warc.round_trip(df, 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected(data, 0), key=str)
+
+
+def test_hadoop_names_of_object_stores():
+    from corpusflow.llm import files
+
+    asked = []
+
+    class Known:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return None, uri
+
+    real, files.pafs.FileSystem = files.pafs.FileSystem, Known
+    try:
+        for uri in ("s3a://b/k", "s3n://b/k", "gs://b/k", "hdfs://n:8020/p", "abfss://c@a/p"):
+            files.filesystem(uri)
+    finally:
+        files.pafs.FileSystem = real
+    assert asked == ["s3://b/k", "s3://b/k", "gs://b/k", "hdfs://n:8020/p", "abfss://c@a/p"]
+    assert files.filesystem("file:///tmp/x")[1] == files.filesystem("/tmp/x")[1] == "/tmp/x"
