@@ -25,12 +25,15 @@ import functools
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 
 #: pieces remembered by a worker: half of them new, half of an older generation
 PIECES = 1_000_000
+#: characters of the longest piece that is remembered, which bounds the memory in bytes
+LONGEST = 128
 #: texts whose pieces are looked up together
 BLOCK = 64
 _DOUBLE = re.compile(r"\s[ \t-\r]")
@@ -79,14 +82,9 @@ class _Memory:
         """The model's input for a piece of plain letters."""
         raise NotImplementedError
 
-    def learn(self, wanted: set[str]) -> dict:
-        """The memory with all wanted pieces in it."""
-        new = wanted.difference(self.known)
-        if len(self.known) + 2 * len(new) > PIECES // 2:
-            self.old, self.known, new = self.known, {}, wanted
-        known, old = self.known, self.old
-        known.update({p: old[p] for p in new if p in old})
-        new = new.difference(known)
+    def fresh(self, new: set[str]) -> dict:
+        """The new pieces, and the parts that some of them were cut into."""
+        known, out = self.known, {}
         parts = {p: (p[:-1], p[-1]) for p in new if len(p) > 1 and p[-1] in _SIGNS and p[-2].isalpha()}
         rest = []
         for p in {q for p in new for q in parts.get(p, (p,))}.difference(known):
@@ -94,12 +92,25 @@ class _Memory:
             if plain is None:
                 rest.append(p)
             else:
-                known[p] = self.take([t.id for t in self.model.tokenize(plain)])
+                out[p] = self.take([t.id for t in self.model.tokenize(plain)])
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            known[p] = self.take(e.ids)
+            out[p] = self.take(e.ids)
         for p, (a, b) in parts.items():
-            known[p] = known[a] + known[b]
-        return known
+            out[p] = (out[a] if a in out else known[a]) + (out[b] if b in out else known[b])
+        return out
+
+    def learn(self, wanted: set[str]) -> Mapping:
+        """What the wanted pieces are looked up in.  Pieces of more than ``LONGEST``
+        characters are forgotten with their block of texts."""
+        long = {p for p in wanted if len(p) > LONGEST}
+        wanted = wanted.difference(long) if long else wanted
+        new = wanted.difference(self.known)
+        if len(self.known) + 2 * len(new) > PIECES // 2:
+            self.old, self.known, new = self.known, {}, wanted
+        known, old = self.known, self.old
+        known.update({p: old[p] for p in new if p in old})
+        known.update(self.fresh(new.difference(known)))
+        return ChainMap(self.fresh(long), known) if long else known
 
     def looked_up(self, texts: list[str]) -> Iterator[Iterator]:
         """What the memory has for the pieces of each text, a block of texts at a time."""

@@ -16,8 +16,9 @@ Weights become rows by permuted blocks: in every pass over a source its
 documents are dealt by a digest of (seed, source, pass, document) to blocks,
 the blocks are taken in order while the pass's token budget lasts, and in the
 block where it runs out documents are taken in digest order while the tokens
-before them are below what is left.  Only block totals are summed in order (one
-row per block), and only the one block of a pass that is cut orders documents,
+before them are below what is left.  Only block totals are summed in order, first those of
+chunks of ``CHUNK`` blocks, then inside the chunk where the budget ends, and only the
+one block of a pass that is cut orders documents,
 so a source with a third of all rows stays spread over many tasks.  Texts are
 never shuffled but those of the cut blocks.
 
@@ -41,6 +42,8 @@ HALVINGS = 8
 ROUNDS = 3  # 24 halvings: the exponent to 6e-8, then rounded
 DIGITS = 6
 BLOCK_TOKENS = 100_000
+#: blocks whose sizes are summed in order by one task
+CHUNK = 10_000
 #: the table of sources and passes is broadcast up to so many (counted) rows
 BROADCAST_ROWS = 100_000
 
@@ -149,12 +152,20 @@ def mix(docs: DataFrame, budget: int | None = None, min_entropy: float = 0.95, m
         plan = F.broadcast(plan)
     rows = _dealt(counted, plan, seed)
     blocks = rows.groupBy("_source", "_pass", "left", "_block").agg(F.sum("_tokens").alias("size"))
-    order = Window.partitionBy("_source", "_pass").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # the block in which a pass runs out of budget: one row per source and pass
-    cuts = (blocks.withColumn("room", F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-            .where("size > room").groupBy("_source", "_pass")
-            .agg(F.min(F.struct(F.col("_block").alias("cut"), "room")).alias("c"))
-            .select(F.col("_source").alias("_s"), F.col("_pass").alias("_p"), "c.cut", "c.room"))
+    blocks = keep(blocks.withColumn("_chunk", F.expr(f"_block div {CHUNK}")), "mix-blocks")
+    # the block in which a pass runs out of budget, in two levels: first among chunks of
+    # blocks, then among the blocks of one chunk, so no task sorts all blocks of a hot source
+    key = ["_source", "_pass"]
+
+    def first_beyond(sizes: DataFrame, step: str, size: str, left: str) -> DataFrame:
+        before = F.coalesce(F.sum(size).over(Window.partitionBy(*key).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return (sizes.withColumn("_room", F.col(left) - before).where(F.col(size) > F.col("_room"))
+                .groupBy(*key).agg(F.min(F.struct(F.col(step).alias("at"), F.col("_room").alias("room"))).alias("c"))
+                .select(F.col("_source").alias("_s"), F.col("_pass").alias("_p"), "c.at", "c.room"))
+
+    chunk = first_beyond(blocks.groupBy(*key, "left", "_chunk").agg(F.sum("size").alias("bulk")), "_chunk", "bulk", "left")
+    inside = blocks.join(chunk, blocks["_source"].eqNullSafe(chunk["_s"]) & (blocks["_pass"] == chunk["_p"]) & (blocks["_chunk"] == chunk["at"]))
+    cuts = first_beyond(inside.select(*key, "_block", "size", "room"), "_block", "size", "room").withColumnRenamed("at", "cut")
     plan = plan.join(cuts, plan["_source"].eqNullSafe(cuts["_s"]) & (plan["_pass"] == cuts["_p"]), "left").drop("_s", "_p")
     if passes <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
