@@ -4,10 +4,9 @@ Documents are ranged by ``(doc_id, digest of the text)`` over partitions and
 sorted inside them, so the files taken in order hold ascending ids.  A task
 encodes its documents, cuts them into shards of about ``SHARD_IDS`` ids and
 compresses each by itself: the frequent pairs of neighbouring ids are replaced
-by new symbols, again and again, until no pair is frequent; a pair never
+by new symbols, again and again, until no pair occurs ``MIN_COUNT`` times; a pair never
 reaches over a document's end.  In one round every frequent pair gets its rule,
-and where pairs overlap the more frequent one is taken; rounds end when one
-shortens the sequence by less than a hundredth.
+and where pairs overlap the more frequent one is taken.
 
 A shard file holds, little-endian::
 
@@ -52,63 +51,86 @@ from corpusflow.llm.files import read_file, write_file
 SHARD_IDS = 1 << 20
 READ_TASKS = 10_000
 MIN_COUNT = 8
-MAX_ROUNDS = 12
+#: up to so many pairs are counted exactly, more of them in buckets
+EXACT = 1 << 14
 HEAD = struct.Struct("<4sIQQQ")
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("symbol", "<u8"), ("start", "<u8"), ("n", "<u8")])
 _BUCKET_BITS = 20
-_NO_PAIR = 1 << _BUCKET_BITS
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+def _counted(code: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(name, count, known)`` of every pair: a number for its kind, how often it is there, and
+    whether the count holds.  Many pairs are counted in buckets of a hash that differs in
+    every round; a bucket stands for one of its pairs, the others get their turn later."""
+    if len(code) <= EXACT:
+        _, name, count = np.unique(code, return_inverse=True, return_counts=True)
+        return name, count[name], np.ones(len(code), bool)
+    hashed = code.view(np.uint64) * np.uint64(_ODD[turn % len(_ODD)])
+    bucket = (hashed >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+    pair_of = np.empty(1 << _BUCKET_BITS, np.int64)
+    pair_of[bucket] = code
+    known = pair_of[bucket] == code
+    count = np.bincount(bucket[known], minlength=1 << _BUCKET_BITS)
+    return bucket, np.where(known, count[bucket], 0), known
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard.  ``ends`` marks the last id of a document.
     Returns rules (n, 2), their lengths, the symbols and the marks of the
-    symbols that end a document."""
+    symbols that end a document.
+
+    Pairs of old symbols only get fewer, so a place whose pair is known to be rare is
+    never looked at again: after the first rounds the work is on the places next to new
+    symbols and on frequent pairs that lost to an overlapping one."""
     seq, ends = ids.astype(np.int64), ends.copy()
     rules: list[np.ndarray] = []
     lengths = np.ones(first_rule, np.uint64)
-    n_rules = 0
-    for turn in range(MAX_ROUNDS):
-        if len(seq) < 2:
-            break
-        # pairs are counted in buckets of a hash that differs in every round; a bucket
-        # stands for one of its pairs, and the others get their turn later
-        code = (seq[:-1] << 32) | seq[1:]
-        hashed = code.view(np.uint64) * np.uint64(_ODD[turn % len(_ODD)])
-        bucket = (hashed >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-        bucket[ends[:-1]] = _NO_PAIR
-        pair_of = np.empty(_NO_PAIR + 1, np.int64)
-        pair_of[bucket] = code
-        bucket[pair_of[bucket] != code] = _NO_PAIR
-        count = np.bincount(bucket, minlength=_NO_PAIR + 1)
-        count[_NO_PAIR] = 0
-        # the more frequent pair comes first
-        rank = np.zeros(len(seq) + 1, np.int64)  # shifted by one: rank[i + 1] is of place i
-        found = count[bucket]
-        rank[1:-1] = np.where(found >= MIN_COUNT, (found << _BUCKET_BITS) | bucket, 0)
-        mine, before, after = rank[1:-1], rank[:-2], np.append(rank[2:-1], 0)
+    n_rules = turn = 0
+    active = np.flatnonzero(~ends[:-1])
+    while True:
+        code = (seq[active] << 32) | seq[active + 1]
+        name, count, known = _counted(code, turn)
+        turn += 1
+        often = count >= MIN_COUNT
+        if not often.any():
+            if known.all():
+                break
+            active = active[~known]
+            continue
+        # the more frequent pair comes first; rank[i + 1] is of place i
+        rank = np.zeros(len(seq) + 1, np.int64)
+        rank[active[often] + 1] = (count[often] << _BUCKET_BITS) | name[often]
+        at = active[often]
+        mine, before, after = rank[at + 1], rank[at], np.append(rank, 0)[at + 2]
         # in a run of one symbol every other place is taken
-        place = np.arange(len(mine))
-        offset = place - np.maximum.accumulate(np.where(mine != before, place, 0))
-        taken = (mine > 0) & (offset % 2 == 0) & ((offset > 0) | (mine > before)) & (mine >= after)
-        used = np.bincount(bucket[taken], minlength=_NO_PAIR + 1)
-        place = np.flatnonzero(taken)
-        place = place[used[bucket[place]] >= MIN_COUNT // 2]
-        if len(place) * 100 < len(seq):
-            break
-        used[:] = 0
-        used[bucket[place]] = 1
-        made = np.flatnonzero(used)
-        number = np.cumsum(used) - 1
-        rule = np.stack([pair_of[made] >> 32, pair_of[made] & 0xFFFFFFFF], 1)
+        head = mine != before
+        start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        offset = at - at[start]
+        taken = (offset % 2 == 0) & ((offset > 0) | (mine > before)) & (mine >= after)
+        kind = name[often]
+        used = np.bincount(kind[taken], minlength=int(name.max()) + 1)
+        taken &= used[kind] >= MIN_COUNT // 2
+        place, kind = at[taken], kind[taken]
+        made, first, number = np.unique(kind, return_index=True, return_inverse=True)
+        rule = np.stack([seq[place[first]], seq[place[first] + 1]], 1)
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]])
-        seq[place] = first_rule + n_rules + number[bucket[place]]
+        seq[place] = first_rule + n_rules + number
         ends[place] = ends[place + 1]
         n_rules += len(made)
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        seq, ends = seq[stay], ends[stay]
+        look = np.zeros(len(seq), bool)
+        look[active[often | ~known]] = True
+        look[place], look[place + 1] = True, False
+        next_to = place[place > 0] - 1
+        next_to -= ~stay[next_to]  # the symbol before is itself new
+        look[next_to] = True
+        seq, ends, look = seq[stay], ends[stay], look[stay]
+        look[-1] = False
+        look &= ~ends
+        active = np.flatnonzero(look)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     return table.astype("<u4"), lengths[first_rule:].astype("<u8"), seq.astype("<u4"), ends
 

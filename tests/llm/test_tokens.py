@@ -130,3 +130,46 @@ def test_token_files_against_the_library(spark, shard_ids):
 
 def test_token_files_of_an_empty_table(spark):
     assert token_files.token_files(empty(spark), WORDS).count() == 0
+
+
+def test_long_pieces_are_not_remembered():
+    from corpusflow.llm import encoding
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, mine = Tokenizer.from_file(path), encoding.Words(path)
+    texts = ["x" * 5000 + " short words", "é" * 300 + ", " + "ab1" * 400 + "."]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in mine.ids(texts)] == want
+    assert mine.known and max(map(len, mine.known)) <= encoding.LONGEST
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=400), st.integers(1, 40), st.booleans())
+def test_no_frequent_pair_is_left(ids, doc, exact):
+    """Also where pairs are counted in buckets."""
+    flat = np.array(ids * 3, np.uint32)
+    ends = np.zeros(len(flat), bool)
+    ends[doc - 1::doc] = ends[-1] = True
+    bound, token_files.EXACT = token_files.EXACT, token_files.EXACT if exact else 8
+    try:
+        rules, lengths, seq, marks = token_files.compress(flat, ends, 6)
+    finally:
+        token_files.EXACT = bound
+    shard = token_files.Shard(6, rules, lengths, seq, None)
+    assert (shard.expand(seq) == flat).all() and len(shard.expand(seq)) == shard.sizes(seq).sum()
+    assert (np.cumsum(shard.sizes(seq))[marks].astype(int) - 1 == np.flatnonzero(ends)).all()
+    left = {}
+    at = 0
+    while at < len(seq) - 1:  # occurrences that do not overlap
+        if not marks[at]:
+            pair = (seq[at], seq[at + 1])
+            run = 1
+            while at + run < len(seq) and seq[at + run] == seq[at] and not marks[at + run - 1]:
+                run += 1
+            if run > 2:
+                left[(seq[at], seq[at])] = left.get((seq[at], seq[at]), 0) + run - 1
+                at += run - 1
+                continue
+            left[pair] = left.get(pair, 0) + 1
+        at += 1
+    assert all(n < token_files.MIN_COUNT for n in left.values())
