@@ -11,24 +11,30 @@ recall is met at ``RECALL_DEPTH``.  Where nodes branch deeper, their members get
 the trees that the depth reached asks for, with the labels found so far.
 
 Nodes of at most ``NODE`` documents are joined with themselves over sketches, and
-what passes is confirmed on the full sets.  Nodes of at most ``GROUP`` documents and
-``SHINGLES`` shingles are compared in one task by their full sets.  Only beyond that
+what passes is confirmed on the full sets.  In nodes of at most ``GROUP`` documents and
+``SHINGLES`` shingles, one task sorts out by sketches who has a possible partner at all,
+and only those are compared by their full sets.  Only beyond that
 a node branches.  Groups of near copies never become small by branching, since
 all their members choose the same shingles.  So a large node first compares all
-members with ``PIVOTS`` of them.  Links are confirmed on the full sets; linked
+members with ``PIVOTS`` of them, in two turns: every label with its closest pivot, then what
+still has two labels.  Links are confirmed on the full sets; linked
 members share a label, the pivots leave (all their links here are known), and a
 node whose members have one label is done: whatever links are left in it join
 what is joined already.  No pair with two labels is skipped, so components lose
 nothing.
 
+Trees are worked off in ``ROUNDS``: the first tree finds most links, so the nodes of the later
+ones mostly hold one label and are dropped before a text is moved.
+
 Candidates pass a one-bit minwise sketch of 128 bits first (five standard
 deviations below the threshold).  Candidate pairs of small nodes are confirmed
 in two turns: each document with its least candidate partner, then only pairs
 that the first turn has not connected.  Texts are fetched once, for candidate
 documents alone.  Every step is an equi-join or an aggregate; a hot node is
-joined with one row, so AQE may split it.  Steps are cut by tables in the shared
-folder.  After ``MAX_DEPTH`` levels what is left is compared pairwise where
-labels differ: exact, however unlikely.
+joined with few rows, so AQE may split it.  Steps are cut by tables in the shared
+folder.  Nodes still large after ``MAX_DEPTH`` levels are joined on their rarest
+shingles: sets at the threshold share one of the first ``n - ceil(threshold * n) + 1`` in any order, so
+nothing is lost, and what all members share is never joined on.
 
 Components are found by alternating large and small stars over the links.
 
@@ -49,8 +55,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.llm.common import keep
 
@@ -60,6 +67,8 @@ GROUP = 2_000
 SHINGLES = 2_000_000
 PIVOTS = 8
 MAX_DEPTH = 16
+#: trees worked off together: the first, the next two, all others
+ROUNDS = (1, 3)
 RECALL = 0.99999
 RECALL_DEPTH = 3
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -175,14 +184,20 @@ def sketch(docs: DataFrame, width: int, threshold: float, trees: int) -> DataFra
     return rows.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)).drop("key")
 
 
+def _differ(x: str, y: str) -> Column:
+    return F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))) + F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1")))
+
+
 def _close(threshold: float, x: str, y: str) -> Column:
     """Sizes allow the threshold, and the bits do not rule it out."""
-    c = lambda t, n: F.col(f"{t}.{n}")
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (100 * F.least(n, m) >= round(100 * threshold) * F.greatest(n, m)) & (_differ(x, y) <= _most_differing(threshold))
+
+
+def _most_differing(threshold: float) -> int:
+    """Sketch bits in which sets at the threshold may differ: five standard deviations."""
     same = (1 + threshold) / 2
-    most = math.floor(POOL * (1 - same) + 5 * math.sqrt(POOL * same * (1 - same)))
-    differ = F.bit_count(c(x, "b0").bitwiseXOR(c(y, "b0"))) + F.bit_count(c(x, "b1").bitwiseXOR(c(y, "b1")))
-    smaller, larger = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
-    return (100 * smaller >= round(100 * threshold) * larger) & (differ <= most)
+    return math.floor(POOL * (1 - same) + 5 * math.sqrt(POOL * same * (1 - same)))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -266,6 +281,50 @@ def _small_pairs(rows: DataFrame, threshold: float, labelled: bool) -> DataFrame
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def close_members(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of middle nodes that have a possible partner with another label, by their sketches."""
+    percent, most = round(100 * threshold), _most_differing(threshold)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        n, bits_ = b["n"].to_numpy(np.int64), b[["b0", "b1"]].to_numpy(np.int64).view(np.uint64)
+        label = pd.factorize(b["label"])[0]
+        keep_ = np.zeros(len(b), bool)
+        for i in range(0, len(b), 256):
+            own = slice(i, i + 256)
+            differ = sum(np.bitwise_count(bits_[own, None, k] ^ bits_[None, :, k]) for k in (0, 1))
+            small, large = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
+            near = (differ <= most) & (100 * small >= percent * large) & (label[own, None] != label)
+            keep_[own] = near.any(1)
+        return b[keep_]
+
+    return rows.groupBy("node").applyInPandas(run, rows.schema)
+
+
+def _rare_pairs(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Candidate pairs of nodes of any size: an equi-join on the rarest shingles of each set."""
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                s = shingles(row.text, width).view(np.int64)
+                yield pd.DataFrame({"node": row.node, "id": [row.id] * len(s), "n": row.n, "b0": row.b0, "b1": row.b1,
+                                    "label": [row.label] * len(s), "s": s})
+
+    fields = "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary"
+    own = keep(rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "text").mapInPandas(run, f"{fields}, s bigint"), "near-left")
+    often = own.groupBy("node", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    first = Window.partitionBy("node", "id").orderBy(F.coalesce("often", F.lit(1)), "s")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # shingles of one member count for the order but meet nobody
+    ranked = own.join(often, ["node", "s"], "left").withColumn("at", F.row_number().over(first))
+    ranked = keep(ranked.where((F.col("at") <= prefix) & F.col("often").isNotNull()).drop("often", "at"), "near-rare")
+    x, y = ranked.alias("x"), ranked.alias("y")
+    on = ((F.col("x.node") == F.col("y.node")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id"))
+          & (F.col("x.label") != F.col("y.label")) & _close(threshold, "x", "y"))
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Nodes compared by the full sets of all members: every member with the
     root of its component inside the node."""
@@ -319,6 +378,18 @@ def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(rows.where(c).drop("size", "bulk") for c in (small, ~small & fits, ~small & ~fits))
 
 
+def _moved(near: DataFrame, linked: DataFrame) -> DataFrame:
+    """``node, label, to``: labels of a node that confirmed links join, with the label they take.
+    Labels that met at one pivot's label are one; the second hop joins those that met at several."""
+    hit = near.join(linked, ["a", "b"], "left_semi")
+    least = hit.groupBy("node", "other").agg(F.least(F.min("label"), F.first("other")).alias("to"))
+    met = hit.join(least, ["node", "other"])
+    hop = met.select("node", "label", "to").union(met.select("node", "other", "to")).groupBy("node", "label").agg(F.min("to").alias("to"))
+    hop = keep(hop, "near-labels")
+    ahead = hop.select("node", F.col("label").alias("to"), F.col("to").alias("next"))
+    return hop.join(ahead, ["node", "to"], "left").select("node", "label", F.least("to", F.coalesce("next", "to")).alias("to"))
+
+
 def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int, covered: int):
     """Work off large nodes: confirmed links, candidate pairs of what became small,
     ids met in nodes deeper than ``covered``, and the greatest depth of a node."""
@@ -326,7 +397,7 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
     rows = keep(rows, "near-large")
     while rows.take(1):
         if depth >= MAX_DEPTH:
-            pairs.append(keep(_small_pairs(rows, threshold, True).distinct(), "near-left"))
+            pairs.append(keep(_rare_pairs(rows, texts, width, threshold), "near-left"))
             break
         best = [F.min_by(F.struct("id", "n", "b0", "b1", "label"),
                          F.struct(F.col("label") != F.col("id"), F.xxhash64(F.lit(k), "id"), "id")) for k in range(PIVOTS)]
@@ -334,27 +405,28 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
         pivot = keep(pivot.select("node", F.inline("p")), "near-pivot")
         near = (rows.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node"))
                                      & (F.col("x.label") != F.col("y.label")) & _close(threshold, "x", "y"))
-                .select("x.node", "x.id", "x.label", F.col("y.id").alias("pivot"), F.col("y.label").alias("other")))
+                .select("x.node", "x.label", F.col("y.label").alias("other"), _differ("x", "y").alias("differ"),
+                        *_ordered(F.col("x.id"), F.col("y.id"))))
         near = keep(near, "near-pivots")
-        linked = keep(confirm(near.select(*_ordered(F.col("id"), F.col("pivot"))).distinct(), texts, width, percent), "near-links")
-        links.append(linked)
-        hit = (near.select("node", "label", "other", "pivot", *_ordered(F.col("id"), F.col("pivot")))
-               .join(linked, ["a", "b"], "left_semi"))
-        # labels that met at one pivot are one; two hops join those that met at several
-        least = hit.groupBy("node", "pivot").agg(F.least(F.min("label"), F.min("other")).alias("to"))
-        met = hit.join(least, ["node", "pivot"])
-        hop = met.select("node", "label", "to").union(met.select("node", "other", "to")).groupBy("node", "label").agg(F.min("to").alias("to"))
-        hop = keep(hop, "near-labels")
-        next_hop = hop.select("node", F.col("label").alias("to"), F.col("to").alias("to2"))
-        moved = hop.join(next_hop, ["node", "to"], "left").select("node", "label", F.least("to", F.coalesce("to2", "to")).alias("to"))
+        # first every label with its closest pivot, then what still has two labels
+        turn = near.groupBy("node", "label").agg(F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        linked = keep(confirm(turn, texts, width, percent), "near-links")
+        moved = _moved(near, linked)
+        again = near.join(turn, ["a", "b"], "left_anti")
+        for side, to in (("label", "to"), ("other", "to2")):
+            again = again.join(moved.select("node", F.col("label").alias(side), F.col("to").alias(to)), ["node", side], "left")
+        again = again.where(F.coalesce("to", "label") != F.coalesce("to2", "other")).select("a", "b").distinct()
+        second = keep(confirm(again, texts, width, percent), "near-links")
+        links += [linked, second]
+        moved = _moved(near, linked.union(second))
         rest = rows.join(pivot.select("node", "id"), ["node", "id"], "left_anti")
         rest = keep(rest.join(moved, ["node", "label"], "left")
                     .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label")), "near-rest")
-        small, middle, large = _by_size(_impure(rest))
+        small, middle, large = _by_size(keep(_impure(rest), "near-impure"))
         down = keep(branch(large, texts, width, threshold), "near-down")
-        small2, middle2, large = _by_size(_impure(down))
+        small2, middle2, large = _by_size(keep(_impure(down), "near-impure"))
         pairs.append(keep(_small_pairs(small.union(small2), threshold, True).distinct(), "near-small"))
-        links.append(keep(exact_links(middle.union(middle2), texts, width, percent), "near-links"))
+        links.append(keep(exact_links(close_members(middle.union(middle2), threshold), texts, width, percent), "near-links"))
         if depth + 2 > covered and down.take(1):  # the first nodes have depth 1
             deep.append((down.select("id").distinct(), depth + 2))
         rows = keep(large, "near-large")
@@ -362,10 +434,18 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
     return links, pairs, [ids for ids, _ in deep], max((d for _, d in deep), default=covered)
 
 
+def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows with their component so far; their own id where nothing is linked."""
+    if label is None:
+        return rows.withColumn("label", F.col("id"))
+    named = label.withColumnRenamed("root", "label")
+    return rows.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, root`` for every id of the links ``(a, b)``: alternating stars."""
-    edges = keep(links.select("a", "b").distinct(), "stars")
-    while True:
+    edges, before = keep(links.select("a", "b").distinct(), "stars"), None
+    while edges.take(1):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour to the least of the neighbourhood
@@ -374,10 +454,14 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(down.select("a", F.col("m").alias("b"))).distinct())
-        new = keep(small, "stars")
-        if new.count() == edges.count() and not new.join(edges, ["a", "b"], "left_anti").take(1):
+        # count and digest of the edges come with the write
+        seen = Observation()
+        h = F.xxhash64("a", "b")
+        edges = keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")), "stars")
+        now = tuple(seen.get.get(k) for k in ("n", "x", "s"))
+        if now == before:
             break
-        edges = new
+        before = now
     members = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return members.union(edges.select(F.col("b"), F.col("b")).distinct())
 
@@ -390,32 +474,45 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
     sets = keep(base.where("n > 0").groupBy("id").agg(
         F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("b0").alias("b0"),
         F.any_value("b1").alias("b1"), F.any_value("nodes").alias("nodes")), "near-sets")
-    rows = sets.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1")
+    tree = F.array(*[F.lit(t) for t, _ in roots(trees_for(threshold, recall), threshold)])
+    rows = sets.select(F.posexplode("nodes").alias("at", "node"), "id", "n", "b0", "b1")
+    rows = rows.select(F.get(tree, F.col("at")).alias("tree"), "node", "id", "n", "b0", "b1")
     size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
     small, middle, large = _by_size(keep(rows.join(size, "node"), "near-nodes"))
     pairs = keep(_small_pairs(small, threshold, False).distinct(), "near-pairs")
+    middle = keep(close_members(middle.withColumn("label", F.col("id")), threshold).drop("label"), "near-middle")
 
     wanted = functools.reduce(DataFrame.union, [pairs.select(F.col("a").alias("id")), pairs.select("b"), middle.select("id"),
                                                 large.select("id")]).distinct()
     texts = keep(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts")
 
-    links = [keep(exact_links(middle, texts, width, percent), "near-links")]
-    large, trees, covered = large.withColumn("label", F.col("id")), trees_for(threshold, recall), RECALL_DEPTH
-    while True:
-        found, more, deep, reached = _large_nodes(large, texts, width, threshold, percent, covered)
-        links += found
+    links, deep, covered, reached = [], [], RECALL_DEPTH, RECALL_DEPTH
+    label = None
+    for begin, end in zip((0, *ROUNDS), (*ROUNDS, None)):
+        now = F.col("tree") >= begin if end is None else F.col("tree").between(begin, end - 1)
+        some = _labelled(middle.where(now).drop("tree"), label)
+        links.append(keep(exact_links(close_members(_impure(some).drop("size", "bulk"), threshold), texts, width, percent), "near-links"))
+        heavy = _impure(_labelled(large.where(now).drop("tree"), label)).drop("size", "bulk")
+        found, more, ids, depth = _large_nodes(heavy, texts, width, threshold, percent, covered)
+        links, deep, reached = links + found, deep + ids, max(reached, depth)
         for p in more:
             pairs = pairs.union(p)
+        if end is not None:
+            label = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
+    trees = trees_for(threshold, recall)
+    # nodes deeper than the trees were sized for: their members get the trees that the depth asks for
+    while deep and trees_for(threshold, recall, reached) > trees:
         begin, trees, covered = trees, trees_for(threshold, recall, reached), reached
-        if not deep or trees <= begin:
-            break
-        label = components(functools.reduce(DataFrame.union, links)).withColumnRenamed("root", "label")
+        label = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
         members = functools.reduce(DataFrame.union, deep).distinct().join(sets.select("id", "n", "b0", "b1"), "id")
-        members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        rows = keep(more_trees(members, texts, width, threshold, begin, trees), "near-nodes")
-        small, middle, large = _by_size(_impure(rows))
+        rows = keep(more_trees(_labelled(members, label), texts, width, threshold, begin, trees), "near-nodes")
+        small, middle, large = _by_size(keep(_impure(rows), "near-impure"))
         pairs = pairs.union(keep(_small_pairs(small, threshold, True).distinct(), "near-small"))
-        links.append(keep(exact_links(middle, texts, width, percent), "near-links"))
+        links.append(keep(exact_links(close_members(middle, threshold), texts, width, percent), "near-links"))
+        found, more, deep, reached = _large_nodes(large, texts, width, threshold, percent, covered)
+        links += found
+        for p in more:
+            pairs = pairs.union(p)
     pairs = keep(pairs.distinct(), "near-pairs")
     # first turn: everyone with the least candidate partner
     ends = pairs.union(pairs.select("b", "a"))

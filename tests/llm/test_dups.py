@@ -275,3 +275,17 @@ def test_oracles(spark, key):
     sf = "/root/testdata/sf0.001"
     r = check(spark, duck_con(sf), key, all_queries()[key], sf)
     assert r["status"] == "ok", r
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for frame in (documents(spark), empty(spark)):
+        columns = frame.columns
+        for name, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, sf)
+            if name != "token_output":
+                assert frame.columns == columns
+        assert frame.columns[:3] == ["doc_id", "start", "n_tokens"]
+        assert frame.count() >= 0
