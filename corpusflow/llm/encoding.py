@@ -100,25 +100,29 @@ class _Memory:
         return out
 
     def learn(self, wanted: set[str]) -> Mapping:
-        """What the wanted pieces are looked up in.  Pieces of more than ``LONGEST``
+        """What the wanted pieces, none of them known, are.  Pieces of more than ``LONGEST``
         characters are forgotten with their block of texts."""
         long = {p for p in wanted if len(p) > LONGEST}
-        wanted = wanted.difference(long) if long else wanted
-        new = wanted.difference(self.known)
-        if len(self.known) + 2 * len(new) > PIECES // 2:
-            self.old, self.known, new = self.known, {}, wanted
+        short = wanted.difference(long) if long else wanted
+        if len(self.known) + 2 * len(short) > PIECES // 2:
+            self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        known.update({p: old[p] for p in new if p in old})
-        known.update(self.fresh(new.difference(known)))
+        known.update({p: old[p] for p in short if p in old})
+        known.update(self.fresh(short.difference(known)))
         return ChainMap(self.fresh(long), known) if long else known
 
-    def looked_up(self, texts: list[str]) -> Iterator[Iterator]:
+    def looked_up(self, texts: list[str]) -> Iterator[list]:
         """What the memory has for the pieces of each text, a block of texts at a time."""
         for i in range(0, len(texts), BLOCK):
             found = [self.cut(t) for t in texts[i:i + BLOCK]]
-            get = self.learn(set().union(*found)).__getitem__
-            for f in found:
-                yield map(get, f)
+            get = self.known.get
+            got = [list(map(get, f)) for f in found]
+            open_ = [k for k, g in enumerate(got) if None in g]
+            if open_:
+                made = self.learn({p for k in open_ for p, x in zip(found[k], got[k]) if x is None})
+                for k in open_:
+                    got[k] = [made[p] if x is None else x for p, x in zip(found[k], got[k])]
+            yield from got
 
 
 class Counts(_Memory):
@@ -134,7 +138,7 @@ class Counts(_Memory):
         return word and chr(_BYTES[32]) + word
 
     def counts(self, texts: list[str]) -> list[int]:
-        return list(map(sum, self.looked_up(texts)))
+        return [sum(found) for found in self.looked_up(texts)]
 
 
 class Words(_Memory):

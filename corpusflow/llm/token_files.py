@@ -83,13 +83,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     Pairs of old symbols only get fewer, so a place whose pair is known to be rare is
     never looked at again: after the first rounds the work is on the places next to new
     symbols and on frequent pairs that lost to an overlapping one."""
-    seq, ends = ids.astype(np.int64), ends.copy()
+    seq, ends = ids.astype(np.int32), ends.copy()
     rules: list[np.ndarray] = []
     lengths = np.ones(first_rule, np.uint64)
     n_rules = turn = 0
     active = np.flatnonzero(~ends[:-1])
     while True:
-        code = (seq[active] << 32) | seq[active + 1]
+        code = (seq[active].astype(np.int64) << 32) | seq[active + 1]
         name, count, known = _counted(code, turn)
         turn += 1
         often = count >= MIN_COUNT
@@ -99,10 +99,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
             active = active[~known]
             continue
         # the more frequent pair comes first; rank[i + 1] is of place i
-        rank = np.zeros(len(seq) + 1, np.int64)
+        rank = np.zeros(len(seq) + 2, np.int64)
         rank[active[often] + 1] = (count[often] << _BUCKET_BITS) | name[often]
         at = active[often]
-        mine, before, after = rank[at + 1], rank[at], np.append(rank, 0)[at + 2]
+        mine, before, after = rank[at + 1], rank[at], rank[at + 2]
         # in a run of one symbol every other place is taken
         head = mine != before
         start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
@@ -176,14 +176,18 @@ class Shard:
         return cls(first_rule, parts[0].reshape(-1, 2), *parts[1:])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        out = symbols.astype(np.int64)
-        while len(deep := np.flatnonzero(out >= self.first_rule)):
-            rule = out[deep] - self.first_rule
-            wide = np.repeat(out, 1 + (out >= self.first_rule))
-            to = deep + np.arange(len(deep))
-            wide[to], wide[to + 1] = self.rules[rule, 0], self.rules[rule, 1]
-            out = wide
-        return out.astype("<u4")
+        """The ids of symbols: every rule writes its two halves to their places."""
+        size = self.sizes(symbols).astype(np.int64)
+        end = np.cumsum(size)
+        out = np.empty(int(end[-1]) if len(end) else 0, "<u4")
+        symbol, at = symbols, end - size
+        while len(symbol):
+            rule = symbol >= self.first_rule
+            out[at[~rule]] = symbol[~rule]
+            number, at = symbol[rule] - self.first_rule, at[rule]
+            left, right = self.rules[number, 0], self.rules[number, 1]
+            symbol, at = np.concatenate([left, right]), np.concatenate([at, at + self.sizes(left).astype(np.int64)])
+        return out
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
