@@ -15,7 +15,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.selection import _meta_with_defaults
+from corpusflow.operators.renames import resolve
 
 META_COLS = ("stars", "language", "license_key", "size_kb", "default_branch", "fork", "archived", "updated_at")
 
@@ -96,13 +96,54 @@ _FIELDS = {
 }
 
 
+#: state column that says how old a field is (a stored catalog's rows carry them)
+_AGE = {"download_started_at": "download_started_at", "download_completed_at": "download_completed_at",
+        "actual_size_bytes": "download_completed_at", "local_path": "download_completed_at",
+        "processed_at": "processed_at", "commit_count": "processed_at"}
+
+
+def _is(action: str) -> Column:
+    return F.col("action") == action
+
+
+def with_order(events: DataFrame) -> DataFrame:
+    """Events with all optional columns and their replay order ``_ord`` = (ts, event_id)."""
+    for c, t in (("error", "string"), ("size_bytes", "bigint"), ("path", "string"), ("commit_count", "bigint")):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast(t))
+    return events.withColumn("_ord", F.struct(F.col("ts"), F.col("event_id")))
+
+
+def partial_states(events: DataFrame) -> DataFrame:
+    """Mergeable row of every name: its birth, latest status and the latest value of each
+    field, each with its order key.  Combined inside the map tasks, so a busy name is no hot key."""
+    ev = with_order(events)
+    aggs = [F.min(F.when(_is("discovered"), F.col("_ord"))).alias("_birth"),
+            F.max(F.when(F.col("action") != "discovered", F.struct("_ord", F.col("action").alias("v"), F.col("ts").alias("t")))).alias("_status")]
+    for col, (action, value) in _FIELDS.items():
+        hit = _is(action) & (F.col(value).isNotNull() if action == "failed" else F.lit(True))
+        aggs.append(F.max(F.when(hit, F.struct("_ord", F.col(value).alias("v")))).alias(f"_e_{col}"))
+    return ev.groupBy("full_name").agg(*aggs)
+
+
+def merge_states(partials: DataFrame) -> DataFrame:
+    """Partial rows of any batches, in any order and any number of times, as one row for each name."""
+    return partials.groupBy("full_name").agg(F.min("_birth").alias("_birth"), *[
+        F.max(c).alias(c) for c in ("_status", *[f"_e_{col}" for col in _FIELDS])])
+
+
+def failed_events(events: DataFrame) -> DataFrame:
+    """``full_name, _ord`` of the failures, each event once."""
+    return with_order(events).where(_is("failed")).select("full_name", "_ord").distinct()
+
+
 def apply_transitions(state: DataFrame, events: DataFrame) -> DataFrame:
     """CAT4-CAT8 in one set-based job: the whole next catalog.
 
     ``events``: ``event_id, ts, full_name, action`` plus optional ``error``,
     ``size_bytes``, ``path``, ``commit_count``.  Actions: ``discovered``,
     ``downloading``, ``downloaded``, ``processing``, ``processed``,
-    ``failed``.  Replay order is ``(ts, event_id)`` and an ``event_id`` counts
+    ``failed``.  Replay order is ``(ts, event_id)`` and a repeated event counts
     once, so the result is a function of the state and the *set* of events.  A
     name that is not in ``state`` exists from its first ``discovered`` event on;
     earlier events for it are no-ops (an UPDATE of a missing row).  The latest
@@ -110,49 +151,54 @@ def apply_transitions(state: DataFrame, events: DataFrame) -> DataFrame:
     of an action sets that action's fields (a null error keeps the old one).  All other columns of the
     state are carried.
 
+    A stored catalog (one with ``status_updated_at``) keeps a status or field that is newer
+    than the events' one.  It does not know which events it has seen: batches that may
+    repeat events of earlier ones go through :func:`corpusflow.streaming.streams.status_fold`.
+
     Events are aggregated per name before anything is joined, so a busy name
-    is combined inside the map tasks.  The latest event of an action counts if
-    it is not before the name's birth; only failures have to be counted again,
-    for new names that failed before they were born.
+    is combined inside the map tasks; only failures are told apart by event.
     """
-    for c, t in (("error", "string"), ("size_bytes", "bigint"), ("path", "string"), ("commit_count", "bigint")):
-        if c not in events.columns:
-            events = events.withColumn(c, F.lit(None).cast(t))
-    ev = events.dropDuplicates(["event_id"]).withColumn("_ord", F.struct(F.col("ts"), F.col("event_id")))
-    is_a = lambda a: F.col("action") == a
-    status = F.col("action") != "discovered"
-    aggs = [F.min(F.when(is_a("discovered"), F.col("_ord"))).alias("_birth"),
-            F.max(F.when(status, F.struct("_ord", F.col("action").alias("v"), F.col("ts").alias("t")))).alias("_status"),
-            F.count_if(is_a("failed")).alias("_failures"),
-            F.min(F.when(is_a("failed"), F.col("_ord"))).alias("_first_failure")]
-    for col, (action, value) in _FIELDS.items():
-        hit = is_a(action) & (F.col(value).isNotNull() if action == "failed" else F.lit(True))
-        aggs.append(F.max(F.when(hit, F.struct("_ord", F.col(value).alias("v")))).alias(f"_e_{col}"))
-    per_name = ev.groupBy("full_name").agg(*aggs)
-    j = state.withColumn("_known", F.lit(True)).join(per_name, "full_name", "full_outer")
+    return apply_states(state, partial_states(events), failed_events(events))
+
+
+def apply_states(state: DataFrame, partials: DataFrame, failed: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """The next catalog from one partial row for each name and the distinct failures;
+    ``counted``: ``full_name, failures`` that were counted before."""
+    per = failed.groupBy("full_name").agg(F.count(F.lit(1)).alias("_failures"), F.min("_ord").alias("_first_failure"))
+    partials = partials.join(per, "full_name", "left")
+    j = state.withColumn("_known", F.lit(True)).join(partials, "full_name", "full_outer")
     j = j.filter(F.col("_known") | F.col("_birth").isNotNull())
     # failures before the birth of a new name, counted from the failed events of such names alone
     late = j.filter(F.col("_known").isNull() & (F.col("_first_failure") < F.col("_birth"))).select("full_name", "_birth")
-    early = (ev.filter(is_a("failed")).select("full_name", "_ord").join(late, "full_name")
-             .filter(F.col("_ord") < F.col("_birth")).groupBy("full_name").agg(F.count(F.lit(1)).alias("_early")))
+    early = (failed.join(late, "full_name").filter(F.col("_ord") < F.col("_birth"))
+             .groupBy("full_name").agg(F.count(F.lit(1)).alias("_early")))
     j = j.join(early, "full_name", "left")
+    before = F.lit(0)
+    if counted is not None:
+        j = j.join(counted.select("full_name", F.col("failures").alias("_before")), "full_name", "left")
+        before = F.coalesce("_before", F.lit(0))
+    stored = "status_updated_at" in state.columns
 
-    def counts(event: str) -> Column:
+    def counts(event: str, age: str | None) -> Column:
         found = F.col(event)
-        return found.isNotNull() & (F.coalesce(F.col("_known"), F.lit(False)) | (found["_ord"] >= F.col("_birth")))
+        ok = found.isNotNull() & (F.coalesce(F.col("_known"), F.lit(False)) | (found["_ord"] >= F.col("_birth")))
+        if stored and age in state.columns:
+            ok = ok & (F.col(age).isNull() | (found["_ord"]["ts"] >= F.col(age)))
+        return ok
 
     def of_state(col: str) -> Column:
         return F.col(col) if col in state.columns else F.lit(None)
 
     owner, leaf = split_name()
+    now = counts("_status", "status_updated_at")
     new = {
-        "status": F.coalesce(F.when(counts("_status"), F.col("_status.v")), of_state("status"), F.lit("pending")),
-        "failure_count": (F.coalesce(of_state("failure_count"), F.lit(0)) + F.coalesce("_failures", F.lit(0))
+        "status": F.coalesce(F.when(now, F.col("_status.v")), of_state("status"), F.lit("pending")),
+        "failure_count": (F.coalesce(of_state("failure_count"), F.lit(0)) + before + F.coalesce("_failures", F.lit(0))
                           - F.coalesce("_early", F.lit(0))).cast("int"),
-        "status_updated_at": F.coalesce(F.when(counts("_status"), F.col("_status.t")), of_state("status_updated_at")),
+        "status_updated_at": F.coalesce(F.when(now, F.col("_status.t")), of_state("status_updated_at")),
     }
     for col in _FIELDS:
-        value = F.when(counts(f"_e_{col}"), F.col(f"_e_{col}.v")).otherwise(of_state(col))
+        value = F.when(counts(f"_e_{col}", _AGE.get(col)), F.col(f"_e_{col}.v")).otherwise(of_state(col))
         new[col] = value.cast("bigint") if col in ("actual_size_bytes", "commit_count") else value
     for col, part in (("owner", owner), ("name", leaf)):
         if col in state.columns:
@@ -214,28 +260,17 @@ def reset_for_reprocessing(catalog: DataFrame, names: DataFrame | None = None) -
 
 
 def rename(catalog: DataFrame, renames: DataFrame) -> DataFrame:
-    """CAT13: apply ``(old_name, new_name)``; a rename onto an existing
-    different row is refused (the key is unique) and reported in
-    ``rename_refused``."""
-    r = first_seen(renames.withColumn("arrival", F.lit(0)), key="old_name").drop("arrival")
-    taken = catalog.select(F.col("full_name").alias("new_name"), F.lit(True).alias("_taken"))
-    r = r.join(taken, "new_name", "left").select(
-        "old_name", "new_name", F.coalesce(F.col("_taken"), F.lit(False)).alias("_refused"))
+    """CAT13: apply a batch of ``(old_name, new_name)``: chains, swaps and redirects as
+    :mod:`corpusflow.operators.renames` decides them; a rename onto a name that another row
+    keeps is refused (the key is unique) and reported in ``rename_refused``."""
+    r = resolve(catalog.select("full_name"), renames)
     j = catalog.join(r, catalog["full_name"] == r["old_name"], "left")
-    ok = F.col("new_name").isNotNull() & ~F.col("_refused")
+    ok = F.col("new_name").isNotNull() & ~F.col("refused")
     owner, leaf = split_name(F.col("new_name"))
-    cols = []
-    for c in catalog.columns:
-        if c == "full_name":
-            cols.append(F.when(ok, F.col("new_name")).otherwise(F.col("full_name")).alias("full_name"))
-        elif c == "owner":
-            cols.append(F.when(ok, owner).otherwise(F.col("owner")).alias("owner"))
-        elif c == "name":
-            cols.append(F.when(ok, leaf).otherwise(F.col("name")).alias("name"))
-        else:
-            cols.append(F.col(c))
+    moved = {"full_name": F.col("new_name"), "owner": owner, "name": leaf}
+    cols = [F.when(ok, moved[c]).otherwise(F.col(c)).alias(c) if c in moved else F.col(c) for c in catalog.columns]
     return j.select(*cols, F.when(ok, F.col("old_name")).alias("renamed_from"),
-                    F.coalesce(F.col("_refused"), F.lit(False)).alias("rename_refused"))
+                    F.coalesce(F.col("refused"), F.lit(False)).alias("rename_refused"))
 
 
 def detect_renames(catalog: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -263,7 +298,3 @@ def run_log(events: DataFrame, run_key: Column, config: dict) -> DataFrame:
                  F.count_if(F.col("action") == "downloaded").alias("repos_downloaded"),
                  F.count_if(F.col("action") == "failed").alias("repos_failed"))
             .withColumn("config_json", cfg))
-
-
-def meta_with_defaults(df: DataFrame) -> DataFrame:
-    return _meta_with_defaults(df)

@@ -12,15 +12,15 @@ from corpusflow.sources.fixtures import FIXTURES
 from corpusflow.streaming import streams as st
 
 
-def _stream_fixture(i, name: str, stream_table: str):
+def _stream_fixture(i, name: str, stream_table: str, stream=None):
     """Apply fixture ``name`` with ``stream_table`` read as a file stream
     (nested fixtures follow; other inputs stay static)."""
     if name == stream_table:
-        return st.read_table_stream(i.spark, i.sf_dir, name)
+        return stream if stream is not None else st.read_table_stream(i.spark, i.sf_dir, name)
     if name not in FIXTURES:
         return i[name]
     fx = FIXTURES[name]
-    frames = {d: _stream_fixture(i, d, stream_table) for d in fx.deps}
+    frames = {d: _stream_fixture(i, d, stream_table, stream) for d in fx.deps}
     return i.spark.sql(fx.spark_sql, **frames)
 
 
@@ -28,13 +28,33 @@ def _stream_fixture(i, name: str, stream_table: str):
     "  c.full_name is null as is_new\n", "  c.full_name is null as is_new_unused\n"))
 def q_status_fold(i):
     """STR1: status events landed by a stream and folded into the catalog; all columns."""
-    events = _stream_fixture(i, "transition_events", "events")
+    return _folded(i, _stream_fixture(i, "transition_events", "events"))
+
+
+def _folded(i, events, **more):
     cat0 = i["repo_catalog"]
-    out = st.status_fold(events, cat0, st.scratch(i.spark, "fold"))
+    out = st.status_fold(events, cat0, st.scratch(i.spark, "fold"), **more)
     known = cat0.select("full_name", F.lit(False).alias("is_new_unused"))
     return out.join(known, "full_name", "left").withColumn("is_new_unused", F.coalesce("is_new_unused", F.lit(True)))
 
 
+def _landed(i, table: str, files: int, order):
+    """A table of the driver as a stream of several files, one for each micro-batch."""
+    folder = st.scratch(i.spark, f"landed-{table}")
+    rows = i[table]
+    rows.withColumn("_file", order).repartition(files, "_file").sortWithinPartitions("_file").write.partitionBy("_file").parquet(folder)
+    return i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+@register("str_status_fold_epochs", ["repo_catalog", "transition_events"], _TRANSITIONS_SQL.replace(
+    "  c.full_name is null as is_new\n", "  c.full_name is null as is_new_unused\n"))
+def q_status_fold_epochs(i):
+    """STR1 over ten micro-batches: events dealt to files by a hash, so they come in no order; the
+    base is merged every four epochs."""
+    events = _stream_fixture(i, "transition_events", "events", _landed(i, "events", 10, F.pmod(F.xxhash64("event_id"), F.lit(10))))
+    return _folded(i, events, compact_every=4)
+
+
 _STUCK_SQL = _TRANSITIONS_SQL.replace("select coalesce(c.full_name, a.full_name) as full_name,", """, folded as (
 select coalesce(c.full_name, a.full_name) as full_name,""") + """)
 select full_name,
@@ -48,10 +68,10 @@ from folded
 
 @register("str_stuck_timeout", ["repo_catalog", "transition_events"], _STUCK_SQL)
 def q_stuck_timeout(i):
-    """STR2: the fold plus a 120-minute stuck-download reset; the clock is the
-    latest event time of the log."""
-    events = _stream_fixture(i, "transition_events", "events")
-    out = st.status_fold(events, i["repo_catalog"], st.scratch(i.spark, "stuck"), timeout_minutes=120)
+    """STR2: the fold, with downloads reset whose event-time timer (120 minutes) went off."""
+    cat0, events = i["repo_catalog"], _stream_fixture(i, "transition_events", "events")
+    fired = st.stuck_downloads(events, cat0, st.scratch(i.spark, "timers"), 120)
+    out = st.reset_stuck(st.status_fold(events, cat0, st.scratch(i.spark, "stuck")), fired)
     return out.select("full_name", "status", "failure_count")
 
 
@@ -134,3 +154,20 @@ def q_attempt_sessions(i):
     log = _stream_fixture(i, "download_log", "events")
     agg = st.attempt_sessions(log, "2 hours", "1 hour")
     return st.run_append(agg, st.scratch(i.spark, "sess"))
+
+
+@register("str_all_sessions", ["download_log"], """
+with o as (select *, lag(ts) over (partition by full_name order by ts, event_id) as prev from download_log),
+g as (select *, sum(case when prev is null or ts >= prev + interval 2 hour then 1 else 0 end)
+        over (partition by full_name order by ts, event_id) as sid from o),
+s as (select full_name, min(ts) as s0, max(ts) + interval 2 hour as s1,
+        count(*) as attempts, count(*) filter (where success) as successes from g group by full_name, sid)
+select full_name, strftime(s0, '%Y-%m-%d %H:%M:%S.%f') as session_start,
+  strftime(s1, '%Y-%m-%d %H:%M:%S.%f') as session_end, attempts, successes,
+  s1 > (select max(ts) from download_log) - interval 1 hour as open
+from s
+""")
+def q_all_sessions(i):
+    """STR6: all attempt chains as 2-hour sessions, those still open at the end with a flag."""
+    log = _stream_fixture(i, "download_log", "events")
+    return st.all_sessions(log, i["download_log"], "2 hours", "1 hour", st.scratch(i.spark, "sessions"))

@@ -4,18 +4,23 @@ Sources are file streams over the landing folder; sinks are exactly-once:
 the append-only parquet file sink, or ``foreachBatch`` writing one folder per
 epoch (named by the epoch id, so a replayed epoch rewrites its own folder).  A
 run that finds no new input returns what earlier runs left in the folder.
-Status events are kept as such a log and folded when they are read, so the
+Status events are folded into mergeable rows, one for each name and epoch, so the
 catalog depends on the set of events and not on how files were cut into
-epochs, nor on their order.  Event time is
+epochs, nor on their order, and a run reads only new events.  Event time is
 cast from ``timestamp_ntz`` to ``timestamp`` before any watermark.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import uuid
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from corpusflow.operators import catalog as cat
 from corpusflow.operators import memory as mem
@@ -113,23 +118,199 @@ def upsert_step(keys: list[str]):
 
 # --- STR1 / STR2 -------------------------------------------------------------------
 
-def status_fold(events: DataFrame, initial: DataFrame, root: str, timeout_minutes: int | None = None) -> DataFrame:
-    """STR1: land status events in a log and fold the whole log into the catalog.
-
-    Late, repeated and shuffled events give the catalog that one batch of all
-    of them gives, since the fold is a function of the set of events.  STR2:
-    optionally reset downloads that are stuck longer than ``timeout_minutes``
-    before the latest event time of the log."""
-    log = run_append(events, root)
-    out = cat.apply_transitions(initial, log).drop("is_new")
-    if timeout_minutes is not None:
-        now = log.agg(F.max("ts")).first()[0]  # the event-time clock: one scalar
-        if now is not None:
-            cutoff = F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(timeout_minutes), F.lit(0))
-            hit = (F.col("status") == "downloading") & (F.col("download_started_at") < cutoff)
-            out = out.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), F.lit("pending"))
-                                 .otherwise(F.col("status")))
-    return out
+def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """Append an epoch's rows; a replayed epoch replaces its own partition alone."""
+    (df.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch").parquet(path))
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:  # nothing was written yet
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+class StatusFold:
+    """STR1: status events folded epoch by epoch into mergeable rows.
+
+    An epoch reads its own events alone and appends one partial row for each name it
+    touched (order key and value of every field) and its failures.  Merging takes the
+    greatest order key of each field, so a late event never overrides a newer one and an
+    event that comes twice changes nothing.  Every ``compact_every`` epochs the rows are merged
+    into a base, and reading starts from the last base.
+
+    ``lateness`` bounds what is remembered: failures older than the newest event time less
+    ``lateness`` are counted into the base and forgotten, and events that come later
+    than that are dropped.  Without it every failure is remembered and no event is too late."""
+
+    def __init__(self, spark: SparkSession, root: str, initial: DataFrame, lateness: str | None = None, compact_every: int = 8):
+        self.spark, self.root, self.initial = spark, root, initial
+        self.lateness, self.compact_every = lateness, compact_every
+
+    def _read(self, what: str, after: int | None, base: int | None) -> DataFrame | None:
+        """Base rows of epoch ``base`` and the rows of later epochs."""
+        found = []
+        old = read_epochs(self.spark, f"{self.root}/{what}-base") if base is not None else None
+        new = read_epochs(self.spark, f"{self.root}/{what}")
+        if old is not None:
+            found.append(old.where(F.col("epoch") == base).drop("epoch"))
+        if new is not None:
+            found.append((new.where(F.col("epoch") > base) if base is not None else new).where(
+                F.lit(True) if after is None else F.col("epoch") <= after).drop("epoch"))
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
+
+    def _base(self) -> int | None:
+        done = read_epochs(self.spark, f"{self.root}/clock-base")
+        return done.agg(F.max("epoch")).first()[0] if done is not None else None
+
+    def clock(self):
+        """Newest event time of all epochs."""
+        seen = self._read("clock", None, self._base())
+        return seen.agg(F.max("clock")).first()[0] if seen is not None else None
+
+    def _horizon(self, clock):
+        return F.lit(clock) - F.expr(f"interval {self.lateness}") if self.lateness and clock is not None else None
+
+    def add(self, batch: DataFrame, epoch: int) -> None:
+        """One epoch; a replay writes the same rows again."""
+        horizon = self._horizon(self.clock())
+        batch = batch.where(F.col("ts") >= horizon) if horizon is not None else batch
+        batch = batch.persist()
+        write_epoch(cat.partial_states(batch), f"{self.root}/rows", epoch)
+        write_epoch(cat.failed_events(batch), f"{self.root}/failed", epoch)
+        write_epoch(batch.agg(F.max("ts").alias("clock")), f"{self.root}/clock", epoch)
+        batch.unpersist()
+        if epoch % self.compact_every == self.compact_every - 1:
+            self.compact(epoch)
+
+    def compact(self, epoch: int) -> None:
+        rows, failed, counted = self.parts(epoch)
+        horizon = self._horizon(self.clock())
+        old = failed.where(F.col("_ord.ts") < horizon) if horizon is not None else failed.limit(0)
+        # old failures count from the birth of a name on, or from ever if the catalog had it
+        known = self.initial.select("full_name", F.lit(True).alias("_known"))
+        done = old.join(rows.select("full_name", "_birth"), "full_name", "left").join(known, "full_name", "left").where(
+            F.col("_known") | (F.col("_ord") >= F.col("_birth"))).groupBy("full_name").agg(F.count(F.lit(1)).alias("failures"))
+        counted = counted.unionByName(done).groupBy("full_name").agg(F.sum("failures").alias("failures"))
+        write_epoch(counted, f"{self.root}/counted-base", epoch)
+        write_epoch(failed.where(F.col("_ord.ts") >= horizon) if horizon is not None else failed, f"{self.root}/failed-base", epoch)
+        write_epoch(rows, f"{self.root}/rows-base", epoch)
+        # the clock is written last: readers take an epoch for a base only when all its parts are there
+        write_epoch(self._read("clock", epoch, self._base()).agg(F.max("clock").alias("clock")), f"{self.root}/clock-base", epoch)
+
+    def parts(self, upto: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Merged rows, remembered failures and counted failures of all epochs."""
+        base = self._base()
+        rows, failed = self._read("rows", upto, base), self._read("failed", upto, base)
+        counted = read_epochs(self.spark, f"{self.root}/counted-base") if base is not None else None
+        none = self.spark.createDataFrame([], "full_name string, failures bigint")
+        return (cat.merge_states(rows), failed.distinct(),
+                counted.where(F.col("epoch") == base).drop("epoch") if counted is not None else none)
+
+    def catalog(self) -> DataFrame:
+        if read_epochs(self.spark, f"{self.root}/rows") is None:
+            return self.initial
+        return cat.apply_states(self.initial, *self.parts()).drop("is_new")
+
+
+def status_fold(events: DataFrame, initial: DataFrame, root: str, lateness: str | None = None, compact_every: int = 8) -> DataFrame:
+    """STR1: the catalog after all landed status events; see :class:`StatusFold`.
+
+    Late, repeated and shuffled events give the catalog that one batch of all of
+    them gives, however files are cut into epochs; a run reads only what is new."""
+    fold = StatusFold(events.sparkSession, root, initial, lateness, compact_every)
+    _run(events, root, fold.add)
+    return fold.catalog()
+
+
+class StuckTimer(StatefulProcessor):
+    """STR2: an event-time timer for every download; it goes off when the watermark has
+    passed its start by ``timeout_minutes`` and nothing newer happened to the name."""
+
+    def __init__(self, timeout_minutes: int):
+        self.timeout_ms = timeout_minutes * 60_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "action string, ms bigint, event_id bigint, started bigint")
+
+    def _set(self, action: str, ms: int, event_id: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        started = ms if action == "downloading" else None
+        self.latest.update((action, ms, event_id, started))
+        if started is not None:
+            self.handle.registerTimer(started + self.timeout_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        if row["ms"] == row["ms"]:  # not missing
+            self._set(row["action"], int(row["ms"]), -1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for b in rows:
+            if len(b):
+                at = b.sort_values(["ms", "event_id"]).iloc[-1]
+                new = (int(at["ms"]), int(at["event_id"]), str(at["action"]))
+                best = new if best is None or new[:2] > best[:2] else best
+        seen = self.latest.get() if self.latest.exists() else None
+        if best and (seen is None or seen[2] == -1 or best[:2] > (seen[1], seen[2])):
+            self._set(best[2], best[0], best[1])
+        yield pd.DataFrame({"full_name": [], "started_ms": []}).astype({"full_name": object, "started_ms": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seen = self.latest.get() if self.latest.exists() else None
+        if seen and seen[3] is not None and seen[3] + self.timeout_ms == expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame({"full_name": [key[0]], "started_ms": [int(seen[3])]})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the queries started inside, put back afterwards."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stuck_downloads(events: DataFrame, initial: DataFrame, root: str, timeout_minutes: int, delay: str = "0 seconds") -> DataFrame:
+    """STR2: ``full_name, started_ms`` of the downloads whose timer went off.  The clock is the
+    watermark, that is the newest event time less ``delay``; it also moves on in epochs without
+    events, and downloads of the initial catalog have timers too."""
+    spark = events.sparkSession
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    rows = (event_time(events).where(F.col("action") != "discovered").withWatermark("ts", delay)
+            .select("full_name", "ts", "event_id", "action", ms("ts").alias("ms")))
+    start = initial.where((F.col("status") == "downloading") & F.col("download_started_at").isNotNull()).select(
+        "full_name", F.col("status").alias("action"), ms("download_started_at").alias("ms")).groupBy("full_name")
+    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKS}):
+        out = rows.groupBy("full_name").transformWithStateInPandas(
+            StuckTimer(timeout_minutes), "full_name string, started_ms bigint", "append", "eventTime", initialState=start)
+        return run_append(out, root)
+
+
+def reset_stuck(catalog: DataFrame, fired: DataFrame) -> DataFrame:
+    """STR2: downloads whose timer went off are pending again; a timer of an earlier start of
+    the name, or one that a late event has overtaken, changes nothing."""
+    hit = fired.select("full_name", F.col("started_ms").alias("_ms")).distinct()
+    same = (catalog["full_name"] == hit["full_name"]) & (F.unix_millis(catalog["download_started_at"].cast("timestamp")) == hit["_ms"])
+    j = catalog.join(hit.withColumn("_fired", F.lit(True)), same, "left").select(*[catalog[c] for c in catalog.columns], "_fired")
+    stuck = (F.col("status") == "downloading") & F.col("_fired").isNotNull()
+    return j.withColumn("status", F.when(stuck, "pending").otherwise(F.col("status"))).drop("_fired")
 
 
 # --- STR3 --------------------------------------------------------------------------
@@ -192,7 +373,10 @@ def failure_share(log: DataFrame, window: str, slide: str, watermark: str) -> Da
 
 def attempt_sessions(log: DataFrame, gap: str, watermark: str) -> DataFrame:
     """STR6: attempt chains per repository as session windows."""
-    df = event_time(log).withWatermark("ts", watermark)
+    return _sessions(event_time(log).withWatermark("ts", watermark), gap)
+
+
+def _sessions(df: DataFrame, gap: str) -> DataFrame:
     return (df.groupBy("full_name", F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("success")).alias("successes"))
             .select("full_name", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
@@ -200,6 +384,26 @@ def attempt_sessions(log: DataFrame, gap: str, watermark: str) -> DataFrame:
                     "attempts", "successes"))
 
 
+#: sessions are merged inside map partitions before the shuffle, so a busy repository sends a
+#: row for each of its sessions and partitions, not one for each attempt
+LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+def all_sessions(log: DataFrame, landed: DataFrame, gap: str, watermark: str, root: str) -> DataFrame:
+    """STR6 with a closing flush: the sessions that the stream has closed, and those still
+    open at the end of its input (``open`` true) from a batch fold of the tail.
+
+    The tail of a repository are its attempts from the end of its last closed session on
+    (sessions of a repository follow each other), so closed ones are not folded again.
+    ``landed`` is the same log as a batch."""
+    spark = log.sparkSession
+    with _settings(spark, LOCAL_SESSIONS):
+        closed = run_append(attempt_sessions(log, gap, watermark), root)
+        end = closed.groupBy("full_name").agg(F.max(F.to_timestamp("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("_end"))
+        tail = event_time(landed).join(end, "full_name", "left").where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end")))
+        return closed.withColumn("open", F.lit(False)).unionByName(_sessions(tail.drop("_end"), gap).withColumn("open", F.lit(True)))
+
+
 # --- UDX4: progress callbacks ------------------------------------------------------
 
 try:  # the listener API lives in pyspark.sql.streaming
