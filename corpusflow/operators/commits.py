@@ -115,15 +115,12 @@ def file_states(records: DataFrame, blobs: DataFrame) -> DataFrame:
     when a parent exists; files missing at a revision are omitted.  Groups
     are one commit's files (bounded by the file-count filter)."""
     files = records.select("repo", "sha", "parent_sha", F.explode("files_changed").alias("path"))
-    b = blobs.select("repo", F.col("sha").alias("_rev"), "path", "content")
-    after = files.join(b, (files.repo == b.repo) & (files.sha == b._rev) & (files.path == b.path), "inner") \
-        .select(files.repo, files.sha, F.struct(files.path.alias("key"), b.content.alias("value")).alias("kv"),
-                F.lit("after").alias("side"))
-    before = files.filter(F.col("parent_sha").isNotNull()) \
-        .join(b, (files.repo == b.repo) & (files.parent_sha == b._rev) & (files.path == b.path), "inner") \
-        .select(files.repo, files.sha, F.struct(files.path.alias("key"), b.content.alias("value")).alias("kv"),
-                F.lit("before").alias("side"))
-    g = after.unionByName(before).groupBy("repo", "sha").agg(
+    want = files.select("repo", "sha", "path", F.col("sha").alias("_rev"), F.lit("after").alias("side")).unionByName(
+        files.filter(F.col("parent_sha").isNotNull()).select("repo", "sha", "path", F.col("parent_sha").alias("_rev"), F.lit("before").alias("side")))
+    # contents are the large side: one join serves both revisions of a file
+    held = blobs.select("repo", F.col("sha").alias("_rev"), "path", "content")
+    both = want.join(held, ["repo", "_rev", "path"]).select("repo", "sha", "side", F.struct(F.col("path").alias("key"), F.col("content").alias("value")).alias("kv"))
+    g = both.groupBy("repo", "sha").agg(
         F.map_from_entries(F.array_distinct(F.collect_list(
             F.when(F.col("side") == "before", F.col("kv"))))).alias("parent_files"),
         F.map_from_entries(F.array_distinct(F.collect_list(
@@ -143,7 +140,9 @@ def shuffled_order(df: DataFrame, cfg: CommitFilter) -> DataFrame:
     ckey = F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), F.col("sha")))
     out = df.withColumn("repo_key", rkey if cfg.shuffle_repos else F.col("repo"))
     corder = [ckey, F.col("sha")] if cfg.shuffle_commits else [F.col("seq").desc(), F.col("sha")]
-    return seq_number(out, ["repo"], corder, name="position")
+    # only the keys are ranged, numbered and checkpointed; whole rows (diffs) meet their number once
+    numbers = seq_number(df.select("repo", "sha", "seq").distinct(), ["repo"], corder, name="position")
+    return out.join(numbers.select("repo", "sha", "seq", "position"), ["repo", "sha", "seq"])
 
 
 def attach_language(df: DataFrame, repos: DataFrame) -> DataFrame:

@@ -386,55 +386,88 @@ INNER_WORDS = 4
 SHORT_CHARS = 3
 
 
-def _passage_keys(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """Pairs ``(doc_id, item_id)`` that share a key every containing document has.
+#: bits of the filter of passage keys for each key, and its greatest size (beyond, more rows pass it)
+FILTER_BITS_PER_KEY, MAX_FILTER_BITS = 16, 1 << 22
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def _gram(hashes: Column, i: Column | int, n: int) -> Column:
+    """Hash of ``n`` neighbouring words from their hashes."""
+    return F.xxhash64(*[F.get(hashes, F.lit(i) + j if isinstance(i, int) else i + j) for j in range(n)])
+
+
+def passage_keys(passages: DataFrame) -> DataFrame:
+    """``item_id, _n, _h``: for each passage one key that every document containing it has.
 
     A passage's inner words (without the first and the last, which may be parts
     of longer words of the document) stand in the document as whole words: up
     to ``INNER_WORDS`` of them, hashed, are the key.  Passages of one or two
-    words are keyed by their first characters instead.  Keys are hashed inside
-    the map task and only ids are shuffled."""
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    p = passages.where(F.length("text") > 0).select("item_id", F.col("text"), words.alias("_w"))
+    words are keyed by their first characters instead (``_n`` below zero)."""
+    p = passages.where(F.length("text") > 0).select("item_id", "text", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
     p = p.withColumn("_k", F.least(F.size("_w") - 2, F.lit(INNER_WORDS)))
-    inner = p.where("_k >= 1 and text = trim(text) and not text rlike '^\\\\s|\\\\s$'").select(
-        "item_id", F.col("_k").alias("_n"), F.xxhash64(F.array_join(F.slice("_w", 2, F.col("_k")), " ")).alias("_h"))
+    key = reduce(lambda old, n: F.when(F.col("_k") == n, _gram(F.col("_w"), 1, n)).otherwise(old), range(1, INNER_WORDS + 1), F.lit(None).cast("bigint"))
+    inner = p.where("_k >= 1 and text = trim(text) and not text rlike '^\\\\s|\\\\s$'").select("item_id", F.col("_k").alias("_n"), key.alias("_h"))
     short = p.join(inner.select("item_id"), "item_id", "left_anti").select(
         "item_id", F.least(F.length("text"), F.lit(SHORT_CHARS)).alias("_m"), "text").select(
         "item_id", (-F.col("_m")).alias("_n"), F.xxhash64(F.substr("text", F.lit(1), F.col("_m"))).alias("_h"))
-    keys = inner.unionByName(short)
-    sizes = sorted(r[0] for r in keys.select("_n").distinct().collect())  # at most INNER_WORDS + SHORT_CHARS values
-    d = documents.where(F.length("text") > 0).select("doc_id", words.alias("_w"), "text")
+    return inner.unionByName(short)
 
-    def grams_of(n: int) -> DataFrame:
-        count = F.size("_w") if n > 0 else F.length("text")
 
-        def gram(i: Column) -> Column:
-            return F.xxhash64(F.array_join(F.slice("_w", i + 1, n), " ") if n > 0
-                              else F.substr(F.col("text"), i + 1, F.lit(-n)))
+def key_filter(keys: DataFrame, n_keys: int) -> tuple[list[int], int]:
+    """Bits of a filter with one hash of each key, as longs: a bit-or aggregate of at
+    most ``MAX_FILTER_BITS / 64`` rows."""
+    bits = 64
+    while bits < min(FILTER_BITS_PER_KEY * n_keys, MAX_FILTER_BITS):
+        bits *= 2
+    place = F.pmod(F.col("_h"), F.lit(bits))
+    rows = keys.select(F.floor(place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))").alias("bit"))
+    longs = [0] * (bits // 64)
+    for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bit")).collect():
+        longs[r["at"]] = r["bit"]
+    return longs, bits
 
-        hashes = F.when(count >= abs(n), F.array_distinct(F.transform(F.sequence(F.lit(0), count - abs(n)), gram)))
-        return d.select("doc_id", F.lit(n).alias("_n"), F.explode(hashes).alias("_h"))
 
+def _matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``doc_id, item_id, offset, text, passage`` of the documents that contain a passage.
+
+    One pass over the documents: grams of all key lengths are hashed, tested against the
+    filter of the keys and only then exploded, with their text, so few rows
+    leave the scan and no text is read twice."""
+    keys = passage_keys(passages)
+    sizes = {r["_n"]: r["n"] for r in keys.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most INNER_WORDS + SHORT_CHARS rows
     if not sizes:
         kind = passages.schema["item_id"].dataType
-        return documents.select("doc_id", F.lit(None).cast(kind).alias("item_id")).limit(0)
-    grams = reduce(DataFrame.unionByName, map(grams_of, sizes))
-    return grams.join(keys, ["_n", "_h"]).select("doc_id", "item_id").distinct()
+        return documents.select("doc_id", F.lit(None).cast(kind).alias("item_id"), F.lit(1).alias("offset"), "text",
+                                F.col("text").alias("passage")).limit(0)
+    longs, bits = key_filter(keys, sum(sizes.values()))
+    longs = F.lit(longs)
 
+    def passes(h: Column) -> Column:
+        word = F.get(longs, F.floor(F.pmod(h, F.lit(bits)) / 64).cast("int"))
+        return F.getbit(word, F.pmod(h, F.lit(64)).cast("int")) == 1
 
-def _matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """``doc_id, item_id, offset, text, passage`` of the documents that contain a passage."""
-    cand = _passage_keys(documents, passages)
-    full = (cand.join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
-            .join(documents.select("doc_id", "text"), "doc_id"))
-    return full.withColumn("offset", F.instr(F.col("text"), F.col("passage"))).filter(F.col("offset") > 0)
+    def found(n: int) -> Column:
+        count = F.size("_w") if n > 0 else F.length("text")
+
+        def gram(i: Column) -> Column:
+            return _gram(F.col("_w"), i, n) if n > 0 else F.xxhash64(F.substr(F.col("text"), i + 1, F.lit(-n)))
+
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(count - abs(n), F.lit(0))), gram)
+        return F.transform(F.array_distinct(F.filter(hashes, passes)), lambda h: F.struct(F.lit(n).alias("_n"), h.alias("_h")))
+
+    d = documents.where(F.length("text") > 0).select("doc_id", "text", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
+    grams = d.select("doc_id", "text", F.inline(F.concat(*[found(n) for n in sorted(sizes)])))
+    cand = grams.join(keys, ["_n", "_h"]).join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
+    return cand.select("doc_id", "item_id", F.instr(F.col("text"), F.col("passage")).alias("offset"), "text", "passage").filter(F.col("offset") > 0)
 
 
 def passage_matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Documents that contain a passage verbatim (``doc_id, item_id, offset``),
     whatever its length and white space: an equi-join on keys (see
-    :func:`_passage_keys`), then ``instr`` on the whole texts."""
+    :func:`passage_keys`), then ``instr`` on the whole texts."""
     return _matches(documents, passages).select("doc_id", "item_id", "offset")
 
 

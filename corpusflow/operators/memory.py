@@ -22,16 +22,20 @@ from pyspark.sql import types as T
 HASH_DIM = 16
 
 
+def hashed_dims(token: Column) -> list[Column]:
+    """The numbers of :func:`hashed_vector`, one column each."""
+    h = F.md5(token)
+    words = [F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("bigint") for j in range(HASH_DIM // 4)]
+    return [((F.shiftright(words[d // 4], 8 * (3 - d % 4)).bitwiseAND(255)).cast("double") - 127.5) / 127.5 for d in range(HASH_DIM)]
+
+
 def hashed_vector(token: Column) -> Column:
     """Default token encoder: byte i of md5(token) -> (b - 127.5) / 127.5.
 
     Plain expressions (no lambda) so it stays inside whole-stage codegen:
     four 32-bit words are parsed from the hex digest and the bytes taken
     with shifts and masks."""
-    h = F.md5(token)
-    words = [F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("bigint") for j in range(HASH_DIM // 4)]
-    return F.array(*[((F.shiftright(words[d // 4], 8 * (3 - d % 4)).bitwiseAND(255)).cast("double") - 127.5) / 127.5
-                     for d in range(HASH_DIM)])
+    return F.array(*hashed_dims(token))
 
 
 # --- MEM6/MEM7/MEM10: tokens and chunks -----------------------------------------
@@ -161,12 +165,14 @@ def refresh_plan(current_docs: DataFrame, store: DataFrame, key: str = "doc_id",
     Returns ``(to_encode, kept, dropped)``: documents whose ``sha2`` content
     hash is new or changed, stored entries still valid, and stored entries
     whose document disappeared.  Only ``to_encode`` goes to the encoder.
+    Ids and hashes alone are compared; a text moves only if it is to be encoded.
     """
-    cur = current_docs.select(key, text, F.sha2(F.col(text), 256).alias("content_hash"))
+    cur = current_docs.select(key, F.sha2(F.col(text), 256).alias("content_hash"))
     old = store.select(key, F.col("content_hash").alias("_old_hash"))
-    j = cur.join(old, key, "left")
-    to_encode = j.filter(F.col("_old_hash").isNull() | (F.col("_old_hash") != F.col("content_hash"))) \
-                 .select(key, text, "content_hash")
+    changed = cur.join(old, key, "left").filter(F.col("_old_hash").isNull() | (F.col("_old_hash") != F.col("content_hash")))
+    mine = F.sha2(F.col(text), 256)
+    to_encode = current_docs.select(key, text, mine.alias("content_hash")).join(
+        changed.select(key, "content_hash").distinct(), [key, "content_hash"], "left_semi").select(key, text, "content_hash")
     kept = store.join(cur.select(key, F.col("content_hash").alias("_h")), key, "inner") \
                 .filter(F.col("_h") == F.col("content_hash")).drop("_h")
     dropped = store.join(cur.select(key), key, "left_anti")
@@ -191,3 +197,40 @@ def quantization_error(vec: Column, deq: Column) -> tuple[Column, Column]:
     mx = F.aggregate(diffs, F.lit(0.0), lambda acc, d: F.greatest(acc, F.abs(d)))
     mse = F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d * d) / F.size(vec)
     return mx, mse
+
+
+# 4-bit codes, packed: two codes a byte, low half first, each code plus 8
+
+def pack4(codes: Column, dim: int) -> Column:
+    """Codes of ``quantize(..., bits=4)`` as ``(dim + 1) / 2`` bytes."""
+    def half(i: int) -> Column:
+        return F.coalesce(F.get(codes, F.lit(i)), F.lit(0)) + 8
+
+    pieces = [F.lpad(F.hex((half(i) + half(i + 1) * 16).cast("bigint")), 2, "0") for i in range(0, dim, 2)]
+    return F.unhex(F.concat(*pieces))
+
+
+def packed_dot(packed: Column, query_codes: Column, dim: int) -> Column:
+    """Whole-number product of a packed vector and integer query codes.
+
+    Eight codes are cut from a 32-bit word by shifts and masks: neither an array nor a
+    double is made of them, and the sum is one expression of generated code."""
+    total: Column = F.lit(0).cast("bigint")
+    for at in range(0, dim, 8):
+        n = min(8, dim - at)
+        word = F.conv(F.hex(F.substring(packed, at // 2 + 1, (n + 1) // 2)), 16, 10).cast("bigint")
+        size = (n + 1) // 2
+        for k in range(n):  # bytes come highest first
+            shift = 8 * (size - 1 - k // 2) + 4 * (k % 2)
+            total = total + (F.shiftright(word, shift).bitwiseAND(15) - 8) * F.get(query_codes, F.lit(at + k))
+    return total
+
+
+def packed_scores(store: DataFrame, queries: DataFrame, dim: int, group: str = "group_id") -> DataFrame:
+    """MEM11: scores of packed keys (``packed, scale, l1``) against 8-bit queries (``codes, qscale, q1``) of their group,
+    with a bound of the error: half a step of the key times the query's size, and half a step of the query
+    times the decoded key's."""
+    j = store.join(queries, group)
+    score = packed_dot(F.col("packed"), F.col("codes"), dim) * F.col("scale") * F.col("qscale")
+    bound = F.col("scale") / 2 * F.col("q1") + F.col("qscale") / 2 * F.col("l1")
+    return j.select(group, "query_id", "doc_id", score.alias("score"), bound.alias("bound"))

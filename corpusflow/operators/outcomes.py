@@ -116,3 +116,15 @@ def crawl_summary(log: DataFrame, run_key: Column) -> DataFrame:
         F.count_if(F.col("success")).alias("downloaded"),
         F.count_if(~F.col("success") & ~skipped).alias("failed"),
         F.count_if(skipped).alias("skipped"))
+
+
+def crawl_report(events: DataFrame, log: DataFrame, run_key: Column) -> DataFrame:
+    """RPT7 with all counters: per run the names discovered, the names queued for download
+    (their first ``downloading`` event of the run), and the outcomes of the attempt log."""
+    names = events.groupBy(run_key.alias("run_id")).agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
+        F.countDistinct(F.when(F.col("action") == "discovered", F.col("full_name"))).alias("discovered"),
+        F.countDistinct(F.when(F.col("action") == "downloading", F.col("full_name"))).alias("queued"))
+    done = crawl_summary(log, run_key).select("run_id", "downloaded", "failed", "skipped")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("discovered", "queued", "downloaded", "failed", "skipped")]
+    return names.join(done, "run_id", "full_outer").select("run_id", "started_at", "ended_at", *zero)

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import checkpoint_dir
+
 EPS = 1e-6
 
 
@@ -83,17 +85,13 @@ def doc_scores(probs: DataFrame, group: str = "group_id") -> DataFrame:
 def weighted_sum(probs: DataFrame, values: DataFrame, keys: list[str], item: str, head_dim: int,
                  n_heads: int, n_kv_heads: int | None = None, value: str = "value") -> DataFrame:
     """RET5: ``sum_i p_i * v_i`` per ``keys`` (e.g. query, pos, head), the
-    value head chosen like the key head.  Element-wise sums are partial
-    aggregates over exploded elements; the final vector is re-assembled in
-    element order (``head_dim`` entries per group)."""
+    value head chosen like the key head: one partial sum for each of the
+    ``head_dim`` elements, as columns of one aggregate."""
     rep = n_heads // (n_kv_heads or n_heads)
     j = probs.join(values.select(item, value), item)
-    prod = F.transform(head_slice(F.col(value), F.floor(F.col("head") / rep).cast("int"), head_dim),
-                       lambda v: v * F.col("p"))
-    el = j.select(*keys, F.posexplode(prod).alias("_i", "_v"))
-    sums = el.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a")) \
-               .select(*keys, F.transform("_a", lambda x: x["_v"]).alias("context"))
+    first = F.floor(F.col("head") / rep).cast("int") * head_dim
+    sums = [F.sum(F.get(F.col(value), first + i) * F.col("p")).alias(f"_s{i}") for i in range(head_dim)]
+    return j.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"_s{i}") for i in range(head_dim)]).alias("context"))
 
 
 def top_k(scores: DataFrame, k: int, part: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -104,6 +102,56 @@ def top_k(scores: DataFrame, k: int, part: list[str], score: str = "score", tie:
     return top.withColumn("renorm", F.col(score) / F.sum(score).over(Window.partitionBy(*part)))
 
 
+#: leading coordinates whose signs name a document's block
+BLOCK_BITS = 4
+
+
+def pruned_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, group: str = "group_id", bits: int = BLOCK_BITS,
+                 slack: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """RET6 without scoring every pair: ``(top, stats)``.
+
+    Documents of a group lie in blocks by the signs of their first ``bits`` coordinates
+    (less the group's mean).  A block has a centroid and a radius, so no key in it scores above ``q.c + |q| r``.
+    Blocks are taken by falling bound until they hold ``k`` documents; the ``k``-th
+    score there bounds the answer from below, and blocks whose bound is lower are never scored.  The
+    rows are those of scoring everything.  Scores are ``q.k / sqrt(dim)``, ``renorm`` is the softmax over the
+    ``k`` taken.  ``stats``: ``pairs`` of queries and documents, and how many were scored."""
+    key = F.col("key")
+    mean = docs.groupBy(group).agg(*[F.avg(F.get(key, F.lit(i))).alias(f"_m{i}") for i in range(bits)])
+    sign = sum((F.when(F.get(key, F.lit(i)) >= F.col(f"_m{i}"), 1 << i).otherwise(0) for i in range(bits)), F.lit(0))
+    placed = docs.select(group, "doc_id", "key").join(mean, group).select(group, "doc_id", "key", sign.alias("_block"))
+    on = [group, "_block"]
+    centre = placed.groupBy(*on).agg(F.array(*[F.avg(F.get(key, F.lit(i))) for i in range(dim)]).alias("_c"), F.count(F.lit(1)).alias("_n"))
+    gap = F.zip_with("key", "_c", lambda a, b: a - b)
+    radius = placed.join(centre, on).groupBy(*on).agg(F.max(dot(gap, gap)).alias("_r2"), F.first("_c").alias("_c"), F.first("_n").alias("_n"))
+    checkpoint_dir(docs.sparkSession)
+    blocks = radius.checkpoint(eager=True)
+    bound = (dot(F.col("q"), F.col("_c")) + F.sqrt(dot(F.col("q"), F.col("q")) * F.col("_r2"))) / math.sqrt(dim) + slack
+    part = [group, "query_id", "pos"]
+    order = Window.partitionBy(*part).orderBy(F.desc("_bound"), "_block").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** bits rows
+    asked = queries.join(blocks, group).select(*part, "q", "_block", "_n", bound.alias("_bound"))
+    asked = asked.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(placed, on).select(*part, "doc_id", (dot(F.col("q"), F.col("key")) / math.sqrt(dim)).alias("score"))
+
+    best = Window.partitionBy(*part).orderBy(F.desc("score"), "doc_id")
+
+    def first_k(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    seed = first_k(scored(asked.where(F.col("_before") < k))).checkpoint(eager=True)
+    least = seed.groupBy(*part).agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_found"))
+    rest = asked.where(F.col("_before") >= k).join(least, part).where(F.col("_bound") >= F.col("_least"))
+    top = first_k(seed.drop("rank").unionByName(scored(rest.select(*part, "q", "_block"))))
+    whole = Window.partitionBy(*part)
+    top = top.withColumn("_e", F.exp(F.col("score") - F.max("score").over(whole)))
+    top = top.withColumn("renorm", F.col("_e") / F.sum("_e").over(whole)).drop("_e")
+    read = (F.col("_before") < k) | (F.col("_bound") >= F.col("_least"))
+    stats = asked.join(least, part, "left").agg(F.sum("_n").alias("pairs"), F.sum(F.when(read, F.col("_n"))).alias("scored"))
+    return top, stats
+
+
 def fine_logits(queries: DataFrame, tokens: DataFrame, scores: DataFrame, n_heads: int, head_dim: int,
                 n_kv_heads: int | None = None, group: str = "group_id", score: str = "score") -> DataFrame:
     """RET7 (logits): token logits plus ``log(doc score + 1e-6)``.
@@ -143,10 +191,14 @@ def concat_heads(ctx: DataFrame, keys: list[str], n_heads: int) -> DataFrame:
 
 
 def coarse_round(queries: DataFrame, docs: DataFrame, n_heads: int, head_dim: int, n_kv_heads: int | None = None,
-                 group: str = "group_id") -> tuple[DataFrame, DataFrame]:
-    """RET1-RET5 in one call: ``(doc_scores, context per query position)``."""
+                 group: str = "group_id", checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+    """RET1-RET5 in one call: ``(doc_scores, context per query position)``.  Both read the
+    probabilities: with ``checkpoint`` they are kept and computed once."""
     lg = coarse_logits(queries, docs, n_heads, head_dim, n_kv_heads, group)
     pr = softmax(lg, [group, "query_id", "pos", "head"])
+    if checkpoint:
+        checkpoint_dir(pr.sparkSession)
+        pr = pr.checkpoint(eager=True)
     sc = doc_scores(pr, group)
     vals = docs.select(F.struct(group, "doc_id").alias("_item"), "value")
     pr2 = pr.withColumn("_item", F.struct(group, "doc_id"))
@@ -158,11 +210,12 @@ def rounds(queries: DataFrame, docs: DataFrame, n_rounds: int, weight: float, n_
            n_kv_heads: int | None = None, group: str = "group_id", checkpoint: bool = True) -> DataFrame:
     """RET9: round r's context updates the query of round r+1
     (``q' = q + weight * context``); document scores are kept per round.
-    Each round's queries are checkpointed to cut the lineage."""
+    Each round's probabilities and queries are checkpointed: nothing is computed twice
+    and the lineage stays short."""
     out = None
     q = queries
     for r in range(n_rounds):
-        sc, ctx = coarse_round(q, docs, n_heads, head_dim, n_kv_heads, group)
+        sc, ctx = coarse_round(q, docs, n_heads, head_dim, n_kv_heads, group, checkpoint and r + 1 < n_rounds)
         sc = sc.withColumn("round", F.lit(r))
         out = sc if out is None else out.unionByName(sc)
         if r + 1 < n_rounds:
@@ -170,7 +223,5 @@ def rounds(queries: DataFrame, docs: DataFrame, n_rounds: int, weight: float, n_
                 group, "query_id", "pos",
                 F.zip_with("q", "context", lambda a, b: a + F.lit(weight) * b).alias("q"))
             if checkpoint:
-                from corpusflow.session import checkpoint_dir
-                checkpoint_dir(q.sparkSession)
                 q = q.checkpoint(eager=True)
     return out

@@ -59,7 +59,8 @@ def needle_precision(weights: DataFrame, chunks: DataFrame, needles: DataFrame,
     The span starts after the tokens of all earlier chunks: a conditional
     sum per example (an aggregate, so an example with very many chunks is
     still combined map-side); only that one span is joined to the
-    positions (no position x chunk pairs)."""
+    positions (no position x chunk pairs).  Where weights carry their ``chunk_idx``, see
+    :func:`chunk_needle_precision`."""
     nd = needles.select(key, F.col("needle_chunk_idx").alias("_nc"))
     span = (chunks.join(nd, key)
             .groupBy(key).agg(
@@ -72,6 +73,15 @@ def needle_precision(weights: DataFrame, chunks: DataFrame, needles: DataFrame,
                .otherwise(0.0)) / F.sum("weight")).alias("needle_precision"))
 
 
+def chunk_needle_precision(weights: DataFrame, needles: DataFrame, key: str = "example_id") -> DataFrame:
+    """TEL4 from weights with their chunk: mass is summed per (example, chunk) before
+    anything is joined, so a row per chunk meets the needle, not a row per token."""
+    mass = weights.groupBy(key, "chunk_idx").agg(F.sum("weight").alias("_w"))
+    j = mass.join(needles.select(key, F.col("needle_chunk_idx").alias("_nc")), key)
+    inside = F.sum(F.when(F.col("chunk_idx") == F.col("_nc"), F.col("_w")).otherwise(0.0))
+    return j.groupBy(key).agg((inside / F.sum("_w")).alias("needle_precision"))
+
+
 def top_concentration(weights: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """TEL5: share of attention mass on the ``k`` largest weights."""
     total = weights.groupBy(*keys).agg(F.sum("weight").alias("_t"))
@@ -116,6 +126,22 @@ def run_sanity(steps: DataFrame, loss: str = "loss", gate: str = "gate_value", g
             .withColumn("passed", F.col("loss_decreased") & F.col("grads_flow") & ~F.coalesce("any_nan", F.lit(False)))
 
 
+def run_checks(steps: DataFrame) -> DataFrame:
+    """TEL7, all ten values: first and last loss and gate, mean encoder gradient norm, and the
+    four checks with their conjunction.  A step that does not log the gate or the encoder's
+    norm counts as 0 there; steps without a loss are no steps."""
+    s = steps.where(F.col("loss").isNotNull()).select(
+        "step", "loss", F.coalesce("gate_value", F.lit(0.0)).alias("g"), F.coalesce("encoder_grad_norm", F.lit(0.0)).alias("e"))
+    a = s.agg(F.min_by("loss", "step").alias("loss_start"), F.max_by("loss", "step").alias("loss_end"),
+              F.min_by("g", "step").alias("gate_start"), F.max_by("g", "step").alias("gate_end"),
+              F.avg("e").alias("encoder_grad_mean"), F.max_by("e", "step").alias("_last"),
+              (~F.coalesce(F.bool_or(F.isnan("loss")), F.lit(False))).alias("no_nan"))
+    flags = {"loss_decreased": F.col("loss_end") < F.col("loss_start"), "gate_increased": F.col("gate_end") > F.col("gate_start"),
+             "encoder_receiving_gradients": F.col("_last") > 0}
+    a = a.withColumns(flags)
+    return a.withColumn("passed", F.col("loss_decreased") & F.col("gate_increased") & F.col("encoder_receiving_gradients") & F.col("no_nan")).drop("_last")
+
+
 def l2_rollup(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """TEL8: sqrt of summed squares per group."""
     return values.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("l2_norm"))

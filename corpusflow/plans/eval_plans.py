@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from functools import reduce
+
 from corpusflow.operators import memory as mem
 from corpusflow.operators import routing as ret
 from corpusflow.operators import scoring as sc
 from corpusflow.operators import telemetry as tel
 from corpusflow.operators.corpora import passage_matches
 from corpusflow.functions.ordering import seq_number
+from corpusflow.operators import retention as rtn
 from corpusflow.plans.registry import register
 from corpusflow.plans.routing_plans import D, FX, H, _duck_round, _duck_next
+from corpusflow.session import checkpoint_dir
 
 METRICS = ["loss", "gate_value", "grad_norm", "learning_rate", "encoder_grad_norm"]
 
@@ -137,16 +141,17 @@ def q_edit_similarity(i):
 
 def _passage_ranks(i, chunk_len: int = 64):
     docs, bench = i["documents"], i["benchmark"]
-    m = passage_matches(docs, bench)
+    # three branches read the matches: kept once
+    checkpoint_dir(i.spark)
+    m = passage_matches(docs, bench).checkpoint(eager=True)
     d = docs.join(m.select("doc_id").distinct(), "doc_id", "left_semi")
-    toks = mem.doc_token_rows(d, chunk_len).withColumn("vec", mem.hashed_vector(F.col("token")))
-    el = toks.select("doc_id", "chunk_idx", F.posexplode("vec").alias("d", "v"))
-    cvec = el.groupBy("doc_id", "chunk_idx", "d").agg(F.avg("v").alias("v"))
+    toks = mem.doc_token_rows(d, chunk_len)
+    dims = mem.hashed_dims(F.col("token"))
+    cvec = toks.groupBy("doc_id", "chunk_idx").agg(*[F.avg(c).alias(f"v{k}") for k, c in enumerate(dims)])
     pw = bench.select("item_id", F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("token"))
-    pel = pw.select("item_id", F.posexplode(mem.hashed_vector(F.col("token"))).alias("d", "v"))
-    qvec = pel.groupBy("item_id", "d").agg(F.avg("v").alias("qv"))
-    pairs = m.select("doc_id", "item_id", "offset").join(cvec, "doc_id").join(qvec, ["item_id", "d"])
-    scores = pairs.groupBy("doc_id", "item_id", "chunk_idx").agg(F.sum(F.col("v") * F.col("qv")).alias("score"))
+    qvec = pw.groupBy("item_id").agg(*[F.avg(c).alias(f"q{k}") for k, c in enumerate(dims)])
+    score = reduce(lambda a, b: a + b, [F.col(f"v{k}") * F.col(f"q{k}") for k in range(len(dims))])
+    scores = m.select("doc_id", "item_id").join(cvec, "doc_id").join(qvec, "item_id").select("doc_id", "item_id", "chunk_idx", score.alias("score"))
     text = docs.select("doc_id", "text")
     needle = m.join(text, "doc_id").select(
         "doc_id", "item_id",
@@ -276,7 +281,7 @@ wt as (select doc_id, pos, (('0x' || substr(md5(token), 1, 4))::INT + 1) / 65536
 
 def _weights(i):
     toks = mem.doc_token_rows(i["documents"], 128)
-    weights = toks.select(F.col("doc_id").alias("example_id"), (F.col("chunk_idx") * 128 + F.col("pos")).alias("pos"),
+    weights = toks.select(F.col("doc_id").alias("example_id"), "chunk_idx", (F.col("chunk_idx") * 128 + F.col("pos")).alias("pos"),
                           ((F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") + 1) / 65536.0).alias("weight"))
     chunks = toks.groupBy(F.col("doc_id").alias("example_id"), "chunk_idx").agg(F.count(F.lit(1)).alias("n_tokens"))
     return weights, chunks
@@ -297,10 +302,34 @@ def q_needle_precision(i):
     nch = chunks.groupBy("example_id").agg(F.count(F.lit(1)).alias("_n"))
     needles = nch.select("example_id", col(X(f"cast({rint(X('_n'), 42, X('example_id'), 'needle')} as int)"))
                          .alias("needle_chunk_idx"))
-    out = tel.needle_precision(w, chunks, needles)
+    out = tel.chunk_needle_precision(w, needles)
     return out.select("example_id", _r6(F.col("needle_precision")).alias("needle_precision"))
 
 
+BUDGETS = [200, 100, 50, 25]
+
+
+@register("evl_token_retention", ["documents"], _WEIGHTS + """
+, nd as (select doc_id, cast(('0x' || substr(md5(concat_ws(':', '42', cast(doc_id as varchar), 'needle')), 1, 8))::BIGINT
+           % cast(ceil(max(n) / 128) as bigint) as int) as nc from wt group by doc_id)
+, tk as (select wt.doc_id, pos // 128 = nc as is_answer, row_number() over (partition by wt.doc_id order by weight desc, pos) as rk
+         from wt join nd using (doc_id))
+select budget, count(distinct doc_id) as queries, count(*) filter (where is_answer) as answer_tokens,
+  count(*) filter (where is_answer and rk <= budget) as kept,
+  round(count(*) filter (where is_answer and rk <= budget) / cast(count(*) filter (where is_answer) as double), 6) as share
+from tk, (select unnest([200, 100, 50, 25]) as budget) b group by budget
+""")
+def q_token_retention(i):
+    """EVL9: share of the answer chunk's tokens among the 200 / 100 / 50 / 25 heaviest of each document."""
+    from corpusflow.functions.hashrand import X, col, rint
+    w, chunks = _weights(i)
+    nch = chunks.groupBy("example_id").agg(F.count(F.lit(1)).alias("_n"))
+    nc = nch.select("example_id", col(X(f"cast({rint(X('_n'), 42, X('example_id'), 'needle')} as int)")).alias("_nc"))
+    tokens = w.join(nc, "example_id").withColumn("is_answer", F.col("chunk_idx") == F.col("_nc"))
+    out = rtn.retention(tokens, BUDGETS, ["example_id"])
+    return out.select(F.col("budget"), "queries", "answer_tokens", "kept", _r6(F.col("share")).alias("share"))
+
+
 @register("tel_top_concentration", ["documents"], _WEIGHTS + """
 select doc_id as example_id, round(sum(weight) filter (where rk <= 5) / sum(weight), 6) as top_concentration from (
   select *, row_number() over (partition by doc_id order by weight desc, pos) as rk from wt) x group by doc_id
@@ -349,6 +378,22 @@ def q_run_sanity(i):
                     _r6(F.col("mean_grad_norm")).alias("mean_grad_norm"), "loss_decreased")
 
 
+@register("tel_run_checks", ["step_metric"], _STEPS + """
+, t as (select step, loss, coalesce(gate_value, 0.0) as g, coalesce(encoder_grad_norm, 0.0) as e from st where loss is not null)
+, a as (select arg_min(loss, step) as loss_start, arg_max(loss, step) as loss_end, arg_min(g, step) as gate_start, arg_max(g, step) as gate_end,
+  avg(e) as encoder_grad_mean, arg_max(e, step) as last, not bool_or(isnan(loss)) as no_nan from t)
+select round(loss_start, 6) as loss_start, round(loss_end, 6) as loss_end, loss_end < loss_start as loss_decreased,
+  round(gate_start, 6) as gate_start, round(gate_end, 6) as gate_end, gate_end > gate_start as gate_increased,
+  round(encoder_grad_mean, 6) as encoder_grad_mean, last > 0 as encoder_receiving_gradients, no_nan,
+  loss_end < loss_start and gate_end > gate_start and last > 0 and no_nan as passed from a
+""")
+def q_run_checks(i):
+    """TEL7: all values and checks of a short run, with the verdict."""
+    c = tel.run_checks(_steps(i))
+    numbers = ("loss_start", "loss_end", "gate_start", "gate_end", "encoder_grad_mean")
+    return c.select(*[_r6(F.col(n)).alias(n) for n in numbers], "loss_decreased", "gate_increased", "encoder_receiving_gradients", "no_nan", "passed")
+
+
 @register("tel_l2_rollup", ["step_metric"], """
 select epoch, name, round(sqrt(sum(value * value)), 6) as l2_norm from step_metric group by epoch, name
 """)

@@ -90,3 +90,19 @@ from download_log group by 1
 def q_crawl_summary(i):
     """RPT7: per-day crawl summary."""
     return out.crawl_summary(i["download_log"], F.date_format("ts", "yyyy-MM-dd"))
+
+
+@register("rpt_crawl_report", ["repo_events", "download_log"], f"""
+, a as (select strftime(ts, '%Y-%m-%d') as run_id, min(ts) as started_at, max(ts) as ended_at,
+    count(distinct full_name) filter (where action = 'discovered') as discovered,
+    count(distinct full_name) filter (where action = 'downloading') as queued from repo_events group by 1)
+, b as (select strftime(ts, '%Y-%m-%d') as run_id, count(*) filter (where success) as downloaded,
+    count(*) filter (where not success and {_CLASSIFY.format(e='error')} <> 'skip') as failed,
+    count(*) filter (where not success and {_CLASSIFY.format(e='error')} = 'skip') as skipped from download_log group by 1)
+select run_id, started_at, ended_at, coalesce(discovered, 0) as discovered, coalesce(queued, 0) as queued,
+  coalesce(downloaded, 0) as downloaded, coalesce(failed, 0) as failed, coalesce(skipped, 0) as skipped
+from a full outer join b using (run_id)
+""")
+def q_crawl_report(i):
+    """RPT7: per-day crawl report with the discovered and queued counters."""
+    return out.crawl_report(i["repo_events"], i["download_log"], F.date_format("ts", "yyyy-MM-dd"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusflow.operators import memory as mem
 from corpusflow.operators import routing as ret
 from corpusflow.plans.registry import register
 
@@ -166,3 +167,60 @@ def q_gated_blend(i):
     j = q.join(ctx, ["group_id", "query_id", "pos"])
     return j.select("group_id", "query_id", "pos", _r6a(ret.gated_blend(F.col("q"), F.col("context"), 0.3))
                     .alias("blended"))
+
+
+@register("ret_top_docs_pruned", FX, """
+, s as (select q.group_id, q.query_id, q.pos, d.doc_id, list_inner_product(q.q, d.key) / 8.0 as score from ret_queries q join ret_docs d using (group_id))
+, t as (select *, row_number() over (partition by group_id, query_id, pos order by score desc, doc_id) as rank from s)
+select group_id, query_id, pos, doc_id, cast(rank as int) as rank, round(score, 6) as score,
+  round(exp(score) / sum(exp(score)) over (partition by group_id, query_id, pos), 6) as renorm
+from t where rank <= 20
+""")
+def q_top_docs_pruned(i):
+    """RET6: top-20 documents by raw score, blocks below the 20-th score left unscored, softmax over the 20."""
+    top, _ = ret.pruned_top_k(i["ret_queries"], i["ret_docs"], 20, H * D)
+    return top.select("group_id", "query_id", "pos", "doc_id", "rank", _r6(F.col("score")).alias("score"), _r6(F.col("renorm")).alias("renorm"))
+
+
+_PACK = """
+, d as (select group_id, doc_id, key, list_max(list_transform(key, lambda x: abs(x))) / 7.0 as scale from ret_docs)
+, k as (select *, list_transform(key, lambda x: cast(round_even(x / case when scale > 0 then scale else 1.0 end, 0) as int)) as code from d)
+, u as (select group_id, query_id, q, list_max(list_transform(q, lambda x: abs(x))) / 127.0 as qscale from ret_queries)
+, v as (select *, list_transform(q, lambda x: cast(round_even(x / case when qscale > 0 then qscale else 1.0 end, 0) as int)) as qcode from u)
+"""
+
+
+def _packed(i):
+    codes, scale, deq = mem.quantize(F.col("key"), bits=4)
+    l1 = F.aggregate(deq, F.lit(0.0), lambda a, x: a + F.abs(x))
+    return i["ret_docs"].select("group_id", "doc_id", "key", codes.alias("codes"), scale.alias("scale"), l1.alias("l1")).select(
+        "group_id", "doc_id", "key", "scale", "l1", mem.pack4(F.col("codes"), H * D).alias("packed"))
+
+
+@register("mem_pack4", FX, _PACK + """
+select doc_id, lower(string_agg(printf('%02x', code[2 * j + 1] + 8 + 16 * (code[2 * j + 2] + 8)), '' order by j)) as packed_hex,
+  cast(32 as int) as n_bytes, round(any_value(scale), 9) as scale
+from k, (select unnest(range(32)) as j) r group by doc_id
+""")
+def q_pack4(i):
+    """MEM11: 4-bit codes of 64 numbers in 32 bytes."""
+    return _packed(i).select("doc_id", F.lower(F.hex("packed")).alias("packed_hex"), F.octet_length("packed").alias("n_bytes"),
+                             F.round("scale", 9).alias("scale"))
+
+
+@register("ret_packed_scores", FX, _PACK + """
+select k.group_id, v.query_id, k.doc_id, round(list_inner_product(cast(code as double[]), cast(qcode as double[])) * scale * qscale, 6) as score,
+  round(list_inner_product(q, key), 6) as exact, true as within_bound
+from k join v using (group_id)
+""")
+def q_packed_scores(i):
+    """MEM11: every document scored from its packed codes, with the exact score and the bound of the error held."""
+    codes, scale, _ = mem.quantize(F.col("q"), bits=8)
+    q1 = F.aggregate("q", F.lit(0.0), lambda a, x: a + F.abs(x))
+    asked = i["ret_queries"].select("group_id", "query_id", "q", codes.alias("codes"), scale.alias("qscale"), q1.alias("q1"))
+    got = mem.packed_scores(_packed(i).select("group_id", "doc_id", "packed", "scale", "l1"), asked.drop("q"), H * D)
+    exact = i["ret_docs"].select("group_id", "doc_id", "key").join(asked.select("group_id", "query_id", "q"), "group_id").select(
+        "group_id", "query_id", "doc_id", ret.dot(F.col("q"), F.col("key")).alias("exact"))
+    j = got.join(exact, ["group_id", "query_id", "doc_id"])
+    return j.select("group_id", "query_id", "doc_id", _r6(F.col("score")).alias("score"), _r6(F.col("exact")).alias("exact"),
+                    (F.abs(F.col("score") - F.col("exact")) <= F.col("bound") + 1e-9).alias("within_bound"))

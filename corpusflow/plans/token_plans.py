@@ -114,6 +114,24 @@ def q_batches(i):
         F.col("question_mask")[0].alias("question_first_mask"))
 
 
+@register("tok_batch_arrays", ["documents"], _EX_SQL + f"""
+, k as (select *, list_transform(range(cast(cmax as bigint)), lambda c: ids[c * {CHUNK} + 1 : c * {CHUNK} + {CHUNK}]) as ch from m)
+select doc_id, batch_id,
+  list_transform(ch, lambda c: list_resize(c, lmax, 0)) as context_input_ids,
+  list_transform(ch, lambda c: list_resize(list_transform(c, lambda x: 1), lmax, 0)) as context_attention_mask,
+  list_concat(q, list_resize(cast([] as int[]), qmax - len(q), 0)) as question_input_ids,
+  list_concat(list_transform(q, lambda x: 1), list_resize(cast([] as int[]), qmax - len(q), 0)) as question_mask,
+  list_resize(a, amax, 0) as answer_input_ids, list_resize(list_transform(a, lambda x: 1), amax, 0) as answer_mask
+from k
+""")
+def q_batch_arrays(i):
+    """TOK3 + TOK4: the whole padded arrays and masks, questions padded on the right."""
+    ex = tok.assign_batches(_examples(i), BATCH, [F.col("doc_id")], key=["doc_id"])
+    col = tok.collate(ex, ["batch_id"], question_side="right")
+    return col.select("doc_id", "batch_id", "context_input_ids", "context_attention_mask", "question_input_ids",
+                      "question_mask", "answer_input_ids", "answer_mask")
+
+
 @register("tok_teacher_forcing", ["documents"], _EX_SQL + """
 select doc_id, cast(len(q) + amax as int) as n_input, cast(len(q) + (amax - len(a)) as int) as n_ignored,
   cast(list_sum(a) as bigint) as label_sum from m

@@ -320,7 +320,42 @@ select cast(day(ts) as int) as epoch, event_id // 5 as step,
 from {events}
 """)
 
+# Two revisions of every document as a repository of its own: the child holds the whole text,
+# the parent an edited form of it (every fifth line missing, some lines changed); some
+# repositories also lose or gain a small file, and every eleventh has no parent.
+_REVISIONS = """
+with l as ({lines}),
+e as (select doc_id, pos, case when (pos + doc_id) % 9 = 0 then concat('edited ', cast(doc_id as string), ':', cast(pos as string)) else line end as line
+      from l where (pos * 7 + doc_id) % 5 <> 0 and doc_id % 11 <> 0),
+p as (select doc_id, concat({joined}, chr(10)) as content from e group by doc_id),
+d as (select doc_id, lang, source, concat('d/', cast(doc_id as string)) as repo, md5(concat('c', cast(doc_id as string))) as child,
+        md5(concat('p', cast(doc_id as string))) as parent, concat(coalesce(text, ''), chr(10)) as text from {{documents}})
+select repo, child as sha, case when doc_id % 11 <> 0 then parent end as parent_sha, 'text.txt' as path, text as content from d
+union all select repo, child, case when doc_id % 11 <> 0 then parent end, 'new.txt', concat(lang, chr(10), source, chr(10)) from d where doc_id % 6 = 0
+union all select repo, parent, null, 'gone.txt', concat(source, chr(10), lang, chr(10)) from d where doc_id % 4 = 0 and doc_id % 11 <> 0
+union all select d.repo, d.parent, null, 'text.txt', coalesce(p.content, '') from d left join p on p.doc_id = d.doc_id where d.doc_id % 11 <> 0
+"""
+REVISIONS = _fx(
+    "revisions", ["documents"],
+    _REVISIONS.format(lines="select doc_id, pos, line from {documents} lateral view posexplode(split(coalesce(text, ''), chr(10))) t as pos, line",
+                      joined="array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), chr(10))"),
+    _REVISIONS.format(lines="select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, "
+                            "generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from {documents}",
+                      joined="string_agg(line, chr(10) order by pos)"),
+)
+
+# A batch of renames over the catalog, by groups of eight neighbouring ids: a chain of three, a
+# swap, a redirect over a name that is no row, and a move onto a row that stays.
+RENAME_BATCH = _fx("rename_batch", ["repo_catalog"], """
+select a.full_name as old_name, b.full_name as new_name from {repo_catalog} a join {repo_catalog} b
+  on b.id = a.id + case when a.id % 8 = 4 then -1 else 1 end where a.id % 8 in (0, 1, 3, 4, 6)
+union all select full_name, concat('moved/x', cast(id as string)) from {repo_catalog} where id % 8 = 2
+union all select full_name, concat('gone/y', cast(id as string)) from {repo_catalog} where id % 8 = 5
+union all select concat('gone/y', cast(id as string)), concat('final/z', cast(id as string)) from {repo_catalog} where id % 8 = 5
+""")
+
 FIXTURES = {f.name: f for f in (
+    REVISIONS, RENAME_BATCH,
     REPO_CATALOG, REPO_EVENTS, TRANSITION_EVENTS, DISCOVERED_BATCH, RAW_REPO_JSON, COMMITS, BLOBS, COMMIT_REPOS, MEMORY_ENTRIES, MEMORY_UPDATES, DOCUMENTS_PREV, RET_DOCS, RET_TOKENS, RET_QUERIES, DOWNLOAD_LOG,
     FILE_INVENTORY, EVAL_PRED, STEP_METRIC,
 )}

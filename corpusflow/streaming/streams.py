@@ -346,17 +346,26 @@ def first_seen_stream(discoveries: DataFrame, catalog: DataFrame, root: str) ->
 
 def memory_refresh_stream(docs: DataFrame, store: DataFrame, root: str) -> DataFrame:
     """STR5: each batch of landed documents is compared with the store by
-    content hash; only changed or new documents are (re-)encoded."""
+    content hash; only changed or new documents are (re-)encoded.  An epoch writes the rows
+    of its own documents, the latest epoch of a document counts."""
+    spark, path = docs.sparkSession, f"{root}/rows"
+
+    def current(before: int | None) -> DataFrame:
+        rows = read_epochs(spark, path)
+        if rows is None:
+            return store.withColumn("origin", F.lit("stored"))
+        rows = rows if before is None else rows.where(F.col("epoch") < before)
+        last = rows.groupBy("doc_id").agg(F.max_by(F.struct("content_hash", "origin"), "epoch").alias("r")).select("doc_id", "r.*")
+        return store.join(last, "doc_id", "left_anti").withColumn("origin", F.lit("stored")).unionByName(last, allowMissingColumns=True)
 
-    def step(state, batch):
-        st = state if state is not None else store
-        enc, kept, _ = mem.refresh_plan(batch, st)
-        untouched = st.join(batch.select("doc_id"), "doc_id", "left_anti")
-        encoded = enc.select("doc_id", "content_hash", F.lit("encoded").alias("origin"))
-        return (untouched.unionByName(kept.withColumn("origin", F.lit("kept")), allowMissingColumns=True)
-                .unionByName(encoded, allowMissingColumns=True))
+    def handle(batch: DataFrame, epoch: int):
+        known = current(epoch).join(batch.select("doc_id").distinct(), "doc_id", "left_semi").drop("origin")
+        enc, kept, _ = mem.refresh_plan(batch, known)
+        write_epoch(kept.select("doc_id", "content_hash", F.lit("kept").alias("origin")).unionByName(
+            enc.select("doc_id", "content_hash", F.lit("encoded").alias("origin"))), path, epoch)
 
-    return run_snapshots(docs, root, step, store.withColumn("origin", F.lit("stored")))
+    _run(docs, root, handle)
+    return current(None)
 
 
 # --- STR6 --------------------------------------------------------------------------

@@ -146,3 +146,90 @@ def test_progress_callback(spark):
     finally:
         spark.streams.removeListener(cb)
     assert sum(r for _, r in seen) == 1000
+
+
+def _catalog_rows(df, cols):
+    return sorted(map(repr, df.select(cols).collect()))
+
+
+def test_fold_in_epochs_reads_only_new_events(spark, inputs):
+    """Seven files in no order, some events twice, a base every second epoch: the one-batch catalog."""
+    ev, c = inputs["transition_events"], inputs["repo_catalog"]
+    want = cat.apply_transitions(c, ev).drop("is_new")
+    folder, root = tempfile.mkdtemp(prefix="land-", dir="/tmp"), st.scratch(spark, "t")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(7))
+    _land(folder, [ev.filter((part == k) | (part == (k + 3) % 7)) for k in range(7)])
+    got = st.status_fold(_stream(spark, folder, ev.schema), c, root, compact_every=2)
+    assert _catalog_rows(got, want.columns) == _catalog_rows(want, want.columns)
+    fold = st.StatusFold(spark, root, c, compact_every=2)
+    base = fold._base()
+    assert base == 5
+    # a replayed epoch replaces its own rows
+    fold.add(ev.filter((part == 6) | (part == 2)), 6)
+    assert _catalog_rows(fold.catalog(), want.columns) == _catalog_rows(want, want.columns)
+    assert st.read_epochs(spark, f"{root}/rows").where("epoch > 5").count() <= ev.select("full_name").distinct().count()
+
+
+def test_fold_with_lateness(spark):
+    state = spark.createDataFrame([("o/a", "pending", 1)], "full_name string, status string, failure_count int")
+    schema = "event_id long, ts string, full_name string, action string"
+
+    def events(*rows):
+        return spark.createDataFrame([(i, f"2024-01-{d:02d} 00:00:00", n, a) for i, d, n, a in rows], schema).withColumn(
+            "ts", F.col("ts").cast("timestamp_ntz"))
+
+    batches = [events((1, 1, "o/a", "failed"), (2, 2, "n/b", "failed"), (3, 3, "n/b", "discovered"), (4, 4, "n/b", "failed")),
+               events((1, 1, "o/a", "failed"), (4, 4, "n/b", "failed"), (5, 8, "o/a", "failed")),  # two repeats
+               events((6, 20, "o/a", "downloaded"), (7, 15, "n/b", "failed")),
+               events((8, 2, "o/a", "failed"), (9, 14, "o/a", "failed"), (7, 15, "n/b", "failed"))]  # the first is too late
+    fold = st.StatusFold(spark, st.scratch(spark, "late"), state, lateness="10 days", compact_every=2)
+    for k, b in enumerate(batches):
+        fold.add(b, k)
+    got = {r["full_name"]: (r["status"], r["failure_count"]) for r in fold.catalog().collect()}
+    assert got == {"o/a": ("downloaded", 4), "n/b": ("failed", 2)}
+    # what is older than the bound is only counted
+    assert fold.parts()[1].count() == 2 and sum(r["failures"] for r in fold.parts()[2].collect()) == 3
+
+
+def test_stored_catalog_keeps_newer_fields(spark):
+    state = spark.createDataFrame([("o/a", "pending", 0)], "full_name string, status string, failure_count int")
+    ev = spark.createDataFrame([(1, "2024-01-05 00:00:00", "o/a", "downloaded"), (2, "2024-01-03 00:00:00", "o/a", "downloading")],
+                               "event_id long, ts string, full_name string, action string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    first = cat.apply_transitions(state, ev.where("event_id = 1")).drop("is_new")
+    both = cat.apply_transitions(first, ev.where("event_id = 2")).first()
+    assert both["status"] == "downloaded" and both["status_updated_at"].day == 5 and both["download_started_at"].day == 3
+
+
+def test_timers_equal_the_batch_rule(spark, inputs):
+    ev, c = inputs["transition_events"], inputs["repo_catalog"]
+    folder, root = tempfile.mkdtemp(prefix="land-", dir="/tmp"), st.scratch(spark, "timers")
+    days = [F.dayofmonth("ts") <= 10, (F.dayofmonth("ts") > 10) & (F.dayofmonth("ts") <= 20), F.dayofmonth("ts") > 20]
+    fired = None
+    for d in days:  # three runs over files in time order, the last of them with an empty file behind it
+        _land(folder, [ev.filter(d)] + [ev.limit(0)] * (d is days[-1]))
+        fired = st.stuck_downloads(_stream(spark, folder, ev.schema), c, root, 120)
+    folded = cat.apply_transitions(c, ev).drop("is_new")
+    got = {r["full_name"]: r["status"] for r in st.reset_stuck(folded, fired).collect()}
+    now = ev.agg(F.max("ts")).first()[0]
+    cutoff = F.lit(now) - F.expr("interval 120 minutes")
+    rule = F.when((F.col("status") == "downloading") & (F.col("download_started_at") < cutoff), "pending").otherwise(F.col("status"))
+    want = {r["full_name"]: r["s"] for r in folded.select("full_name", rule.alias("s")).collect()}
+    assert got == want and any(got[r["full_name"]] != r["status"] for r in folded.collect())
+
+
+def test_sessions_of_a_busy_repository_and_open_ones(spark):
+    rows = [(i, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00", "hot/r", i % 3 == 0) for i in range(0, 200, 1) if i % 20 != 0]
+    rows += [(1000 + i, f"2024-01-{1 + i // 4:02d} {6 * (i % 4):02d}:30:00", f"o/{i % 5}", True) for i in range(30)]
+    log = spark.createDataFrame(rows, "event_id long, ts string, full_name string, success boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    folder = tempfile.mkdtemp(prefix="land-", dir="/tmp")
+    _land(folder, [log.orderBy("ts").limit(100), log.orderBy(F.desc("ts")).limit(len(rows) - 100)])
+    got = st.all_sessions(_stream(spark, folder, log.schema), log, "90 minutes", "1 hour", st.scratch(spark, "sess")).collect()
+    batch = st._sessions(st.event_time(log), "90 minutes").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(map(tuple, batch))
+    last = max(r["ts"] for r in log.collect())
+    end = {(r["full_name"], r["session_start"]): r["session_end"] for r in got}
+    import datetime as dt
+    for r in got:
+        closed = dt.datetime.fromisoformat(end[r["full_name"], r["session_start"]]) <= last - dt.timedelta(hours=1)
+        assert r["open"] == (not closed)
+    assert any(r["open"] for r in got) and sum(r["full_name"] == "hot/r" for r in got) > 5
