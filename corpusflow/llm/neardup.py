@@ -34,7 +34,10 @@ documents alone.  Every step is an equi-join or an aggregate; a hot node is
 joined with few rows, so AQE may split it.  Steps are cut by tables in the shared
 folder.  Nodes still large after ``MAX_DEPTH`` levels are joined on their rarest
 shingles: sets at the threshold share one of the first ``n - ceil(threshold * n) + 1`` in any order, so
-nothing is lost, and what all members share is never joined on.
+nothing is lost, and what all members share is hardly ever joined on.  So are nodes that do not
+shrink by branching (a child keeps more than ``STALL`` of its parent: copies with many
+edits, which choose the same shingles and are yet no links).  Their members get the node as a tag, and pairs
+with one tag are not looked at again in other trees.
 
 Components are found by alternating large and small stars over the links.
 
@@ -67,6 +70,7 @@ GROUP = 2_000
 SHINGLES = 2_000_000
 PIVOTS = 8
 MAX_DEPTH = 16
+STALL = 0.5
 #: trees worked off together: the first, the next two, all others
 ROUNDS = (1, 3)
 RECALL = 0.99999
@@ -194,6 +198,11 @@ def _close(threshold: float, x: str, y: str) -> Column:
     return (100 * F.least(n, m) >= round(100 * threshold) * F.greatest(n, m)) & (_differ(x, y) <= _most_differing(threshold))
 
 
+def _apart(x: str, y: str) -> Column:
+    """Two labels, and not yet compared in one node."""
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & F.coalesce(F.col(f"{x}.tag") != F.col(f"{y}.tag"), F.lit(True))
+
+
 def _most_differing(threshold: float) -> int:
     """Sketch bits in which sets at the threshold may differ: five standard deviations."""
     same = (1 + threshold) / 2
@@ -233,7 +242,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The rows of large nodes in their children."""
+    """The rows of large nodes in their children, with the size of the parent (``held``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -244,13 +253,13 @@ def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> D
             first, second, two = chosen(node, threshold)
             low1 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], first)], np.uint64)
             low2 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], second)], np.uint64)
-            out = b[["id", "n", "b0", "b1", "label"]]
+            out = b[["id", "n", "b0", "b1", "label", "tag", "held"]]
             again = out[two].assign(node=child(node, second, low2).astype(np.int64)[two])
             out = out.assign(node=child(node, first, low1).astype(np.int64))
-            yield pd.concat([out, again])[["node", "id", "n", "b0", "b1", "label"]]
+            yield pd.concat([out, again])[["node", "id", "n", "b0", "b1", "label", "tag", "held"]]
 
-    return rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "text").mapInPandas(
-        run, "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary")
+    return rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "tag", F.col("size").alias("held"), "text").mapInPandas(
+        run, "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string, held bigint")
 
 
 def more_trees(rows: DataFrame, texts: DataFrame, width: int, threshold: float, begin: int, trees: int) -> DataFrame:
@@ -267,9 +276,9 @@ def more_trees(rows: DataFrame, texts: DataFrame, width: int, threshold: float,
                 nodes.append(child(tree, coordinate, np.array([(s * m).min() for m in _MULT[coordinate]], np.uint64)).astype(np.int64))
             yield b.drop(columns="text").assign(nodes=nodes)
 
-    out = rows.join(texts, "id").select("id", "n", "b0", "b1", "label", "text").mapInPandas(
-        run, "id binary, n bigint, b0 bigint, b1 bigint, label binary, nodes array<bigint>")
-    return out.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1", "label")
+    out = rows.join(texts, "id").select("id", "n", "b0", "b1", "label", "tag", "text").mapInPandas(
+        run, "id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string, nodes array<bigint>")
+    return out.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1", "label", "tag")
 
 
 def _small_pairs(rows: DataFrame, threshold: float, labelled: bool) -> DataFrame:
@@ -277,7 +286,7 @@ def _small_pairs(rows: DataFrame, threshold: float, labelled: bool) -> DataFrame
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & _close(threshold, "x", "y")
     if labelled:
-        on = on & (F.col("x.label") != F.col("y.label"))
+        on = on & _apart("x", "y")
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
@@ -287,13 +296,14 @@ def close_members(rows: DataFrame, threshold: float) -> DataFrame:
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         n, bits_ = b["n"].to_numpy(np.int64), b[["b0", "b1"]].to_numpy(np.int64).view(np.uint64)
-        label = pd.factorize(b["label"])[0]
+        label, tag = pd.factorize(b["label"])[0], pd.factorize(b["tag"])[0]  # no tag: -1
         keep_ = np.zeros(len(b), bool)
         for i in range(0, len(b), 256):
             own = slice(i, i + 256)
             differ = sum(np.bitwise_count(bits_[own, None, k] ^ bits_[None, :, k]) for k in (0, 1))
             small, large = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
             near = (differ <= most) & (100 * small >= percent * large) & (label[own, None] != label)
+            near &= (tag[own, None] < 0) | (tag[own, None] != tag)
             keep_[own] = near.any(1)
         return b[keep_]
 
@@ -309,20 +319,24 @@ def _rare_pairs(rows: DataFrame, texts: DataFrame, width: int, threshold: float)
             for row in b.itertuples(index=False):
                 s = shingles(row.text, width).view(np.int64)
                 yield pd.DataFrame({"node": row.node, "id": [row.id] * len(s), "n": row.n, "b0": row.b0, "b1": row.b1,
-                                    "label": [row.label] * len(s), "s": s})
+                                    "label": [row.label] * len(s), "tag": pd.Series([row.tag] * len(s), dtype=object), "s": s})
 
-    fields = "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary"
-    own = keep(rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "text").mapInPandas(run, f"{fields}, s bigint"), "near-left")
+    fields = "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string"
+    own = keep(rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "tag", "text").mapInPandas(run, f"{fields}, s bigint"), "near-left")
     often = own.groupBy("node", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     first = Window.partitionBy("node", "id").orderBy(F.coalesce("often", F.lit(1)), "s")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # shingles of one member count for the order but meet nobody
     ranked = own.join(often, ["node", "s"], "left").withColumn("at", F.row_number().over(first))
-    ranked = keep(ranked.where((F.col("at") <= prefix) & F.col("often").isNotNull()).drop("often", "at"), "near-rare")
-    x, y = ranked.alias("x"), ranked.alias("y")
-    on = ((F.col("x.node") == F.col("y.node")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id"))
-          & (F.col("x.label") != F.col("y.label")) & _close(threshold, "x", "y"))
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    ranked = ranked.where((F.col("at") <= prefix) & F.col("often").isNotNull()).drop("often", "at")
+    # most members of a node may have one label by now: they are met by the others, never by themselves
+    major = (rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("major")))
+    ranked = keep(ranked.join(major, "node").withColumn("most", F.col("label") == F.col("major")).drop("major"), "near-rare")
+    x, y = ranked.where("not most").alias("x"), ranked.alias("y")
+    on = ((F.col("x.node") == F.col("y.node")) & (F.col("x.s") == F.col("y.s")) & (F.col("y.most") | (F.col("x.id") < F.col("y.id")))
+          & _apart("x", "y") & _close(threshold, "x", "y"))
+    return x.join(y, on).select(*_ordered(F.col("x.id"), F.col("y.id"))).distinct()
 
 
 def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -364,10 +378,10 @@ def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def _impure(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that still hold two labels, with the node's size and shingles."""
-    stats = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk"),
-                                      F.min("label").alias("l0"), F.max("label").alias("l1"))
-             .where("size > 1 and l0 <> l1").select("node", "size", "bulk"))
+    """Rows of nodes that still hold two labels not yet compared, with the node's size and shingles."""
+    stats = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk"), F.min("label").alias("l0"),
+                                      F.max("label").alias("l1"), F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.count("tag").alias("tags"))
+             .where("size > 1 and l0 <> l1 and (tags < size or t0 <> t1)").select("node", "size", "bulk"))
     return rows.join(stats, "node")
 
 
@@ -375,7 +389,7 @@ def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Small, middle and large nodes."""
     fits = (F.col("size") <= GROUP) & (F.col("bulk") <= SHINGLES)
     small = F.col("size") <= NODE
-    return tuple(rows.where(c).drop("size", "bulk") for c in (small, ~small & fits, ~small & ~fits))
+    return (*[rows.where(c).drop("size", "bulk", "held") for c in (small, ~small & fits)], rows.where(~small & ~fits))
 
 
 def _moved(near: DataFrame, linked: DataFrame) -> DataFrame:
@@ -392,19 +406,21 @@ def _moved(near: DataFrame, linked: DataFrame) -> DataFrame:
 
 def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int, covered: int):
     """Work off large nodes: confirmed links, candidate pairs of what became small,
-    ids met in nodes deeper than ``covered``, and the greatest depth of a node."""
-    links, pairs, deep, depth = [], [], [], 0
+    ids met in nodes deeper than ``covered``, the greatest depth of a node, and the tags of members
+    of nodes that were joined on rare shingles."""
+    links, pairs, deep, depth, tags = [], [], [], 0, []
     rows = keep(rows, "near-large")
     while rows.take(1):
         if depth >= MAX_DEPTH:
             pairs.append(keep(_rare_pairs(rows, texts, width, threshold), "near-left"))
+            tags.append(rows.select("id", F.col("node").cast("string").alias("tag")))
             break
-        best = [F.min_by(F.struct("id", "n", "b0", "b1", "label"),
+        best = [F.min_by(F.struct("id", "n", "b0", "b1", "label", "tag"),
                          F.struct(F.col("label") != F.col("id"), F.xxhash64(F.lit(k), "id"), "id")) for k in range(PIVOTS)]
         pivot = rows.groupBy("node").agg(F.array_distinct(F.array(*best)).alias("p"))
         pivot = keep(pivot.select("node", F.inline("p")), "near-pivot")
         near = (rows.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node"))
-                                     & (F.col("x.label") != F.col("y.label")) & _close(threshold, "x", "y"))
+                                     & _apart("x", "y") & _close(threshold, "x", "y"))
                 .select("x.node", "x.label", F.col("y.label").alias("other"), _differ("x", "y").alias("differ"),
                         *_ordered(F.col("x.id"), F.col("y.id"))))
         near = keep(near, "near-pivots")
@@ -421,25 +437,34 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
         moved = _moved(near, linked.union(second))
         rest = rows.join(pivot.select("node", "id"), ["node", "id"], "left_anti")
         rest = keep(rest.join(moved, ["node", "label"], "left")
-                    .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label")), "near-rest")
+                    .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label"), "tag"), "near-rest")
         small, middle, large = _by_size(keep(_impure(rest), "near-impure"))
         down = keep(branch(large, texts, width, threshold), "near-down")
         small2, middle2, large = _by_size(keep(_impure(down), "near-impure"))
+        names = ["node", "id", "n", "b0", "b1", "label", "tag"]
+        small, middle, small2, middle2 = (t.select(*names) for t in (small, middle, small2, middle2))
+        stalled, large = (large.where(c).select(*names) for c in (F.col("size") > STALL * F.col("held"), F.col("size") <= STALL * F.col("held")))
+        if stalled.take(1):
+            pairs.append(keep(_rare_pairs(stalled, texts, width, threshold), "near-stalled"))
+            tags.append(stalled.select("id", F.col("node").cast("string").alias("tag")))
         pairs.append(keep(_small_pairs(small.union(small2), threshold, True).distinct(), "near-small"))
         links.append(keep(exact_links(close_members(middle.union(middle2), threshold), texts, width, percent), "near-links"))
         if depth + 2 > covered and down.take(1):  # the first nodes have depth 1
             deep.append((down.select("id").distinct(), depth + 2))
         rows = keep(large, "near-large")
         depth += 1
-    return links, pairs, [ids for ids, _ in deep], max((d for _, d in deep), default=covered)
+    return links, pairs, [ids for ids, _ in deep], max((d for _, d in deep), default=covered), tags
 
 
-def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The rows with their component so far; their own id where nothing is linked."""
+def _labelled(rows: DataFrame, label: DataFrame | None, tags: list[DataFrame]) -> DataFrame:
+    """The rows with their component so far (their own id where nothing is linked) and one tag."""
     if label is None:
-        return rows.withColumn("label", F.col("id"))
-    named = label.withColumnRenamed("root", "label")
-    return rows.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = rows.withColumn("label", F.col("id"))
+    else:
+        rows = rows.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if not tags:
+        return rows.withColumn("tag", F.lit(None).cast("string"))
+    return rows.join(functools.reduce(DataFrame.union, tags).groupBy("id").agg(F.min("tag").alias("tag")), "id", "left")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -480,21 +505,22 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
     size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
     small, middle, large = _by_size(keep(rows.join(size, "node"), "near-nodes"))
     pairs = keep(_small_pairs(small, threshold, False).distinct(), "near-pairs")
-    middle = keep(close_members(middle.withColumn("label", F.col("id")), threshold).drop("label"), "near-middle")
+    large = large.drop("size", "bulk")
+    middle = keep(close_members(_labelled(middle, None, []), threshold).drop("label", "tag"), "near-middle")
 
     wanted = functools.reduce(DataFrame.union, [pairs.select(F.col("a").alias("id")), pairs.select("b"), middle.select("id"),
                                                 large.select("id")]).distinct()
     texts = keep(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts")
 
-    links, deep, covered, reached = [], [], RECALL_DEPTH, RECALL_DEPTH
+    links, deep, tags, covered, reached = [], [], [], RECALL_DEPTH, RECALL_DEPTH
     label = None
     for begin, end in zip((0, *ROUNDS), (*ROUNDS, None)):
         now = F.col("tree") >= begin if end is None else F.col("tree").between(begin, end - 1)
-        some = _labelled(middle.where(now).drop("tree"), label)
+        some = _labelled(middle.where(now).drop("tree"), label, tags)
         links.append(keep(exact_links(close_members(_impure(some).drop("size", "bulk"), threshold), texts, width, percent), "near-links"))
-        heavy = _impure(_labelled(large.where(now).drop("tree"), label)).drop("size", "bulk")
-        found, more, ids, depth = _large_nodes(heavy, texts, width, threshold, percent, covered)
-        links, deep, reached = links + found, deep + ids, max(reached, depth)
+        heavy = _impure(_labelled(large.where(now).drop("tree"), label, tags)).drop("size", "bulk")
+        found, more, ids, depth, told = _large_nodes(heavy, texts, width, threshold, percent, covered)
+        links, deep, tags, reached = links + found, deep + ids, tags + told, max(reached, depth)
         for p in more:
             pairs = pairs.union(p)
         if end is not None:
@@ -505,12 +531,12 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
         begin, trees, covered = trees, trees_for(threshold, recall, reached), reached
         label = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
         members = functools.reduce(DataFrame.union, deep).distinct().join(sets.select("id", "n", "b0", "b1"), "id")
-        rows = keep(more_trees(_labelled(members, label), texts, width, threshold, begin, trees), "near-nodes")
+        rows = keep(more_trees(_labelled(members, label, tags), texts, width, threshold, begin, trees), "near-nodes")
         small, middle, large = _by_size(keep(_impure(rows), "near-impure"))
         pairs = pairs.union(keep(_small_pairs(small, threshold, True).distinct(), "near-small"))
         links.append(keep(exact_links(close_members(middle, threshold), texts, width, percent), "near-links"))
-        found, more, deep, reached = _large_nodes(large, texts, width, threshold, percent, covered)
-        links += found
+        found, more, deep, reached, told = _large_nodes(large.drop("size", "bulk"), texts, width, threshold, percent, covered)
+        links, tags = links + found, tags + told
         for p in more:
             pairs = pairs.union(p)
     pairs = keep(pairs.distinct(), "near-pairs")
