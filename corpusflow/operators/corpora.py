@@ -391,7 +391,7 @@ FILTER_BITS_PER_KEY, MAX_FILTER_BITS = 16, 1 << 22
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def _gram(hashes: Column, i: Column | int, n: int) -> Column:

@@ -163,7 +163,7 @@ class StatusFold:
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
 
     def _base(self) -> int | None:
-        done = read_epochs(self.spark, f"{self.root}/clock-base")
+        done = read_epochs(self.spark, f"{self.root}/rows-base")
         return done.agg(F.max("epoch")).first()[0] if done is not None else None
 
     def clock(self):
@@ -176,19 +176,18 @@ class StatusFold:
 
     def add(self, batch: DataFrame, epoch: int) -> None:
         """One epoch; a replay writes the same rows again."""
-        horizon = self._horizon(self.clock())
-        batch = batch.where(F.col("ts") >= horizon) if horizon is not None else batch
-        batch = batch.persist()
-        write_epoch(cat.partial_states(batch), f"{self.root}/rows", epoch)
+        if self.lateness:
+            horizon = self._horizon(self.clock())
+            batch = batch.where(F.col("ts") >= horizon) if horizon is not None else batch
+            write_epoch(batch.agg(F.max("ts").alias("clock")), f"{self.root}/clock", epoch)
         write_epoch(cat.failed_events(batch), f"{self.root}/failed", epoch)
-        write_epoch(batch.agg(F.max("ts").alias("clock")), f"{self.root}/clock", epoch)
-        batch.unpersist()
+        write_epoch(cat.partial_states(batch), f"{self.root}/rows", epoch)
         if epoch % self.compact_every == self.compact_every - 1:
             self.compact(epoch)
 
     def compact(self, epoch: int) -> None:
         rows, failed, counted = self.parts(epoch)
-        horizon = self._horizon(self.clock())
+        horizon = self._horizon(self.clock()) if self.lateness else None
         old = failed.where(F.col("_ord.ts") < horizon) if horizon is not None else failed.limit(0)
         # old failures count from the birth of a name on, or from ever if the catalog had it
         known = self.initial.select("full_name", F.lit(True).alias("_known"))
@@ -197,9 +196,10 @@ class StatusFold:
         counted = counted.unionByName(done).groupBy("full_name").agg(F.sum("failures").alias("failures"))
         write_epoch(counted, f"{self.root}/counted-base", epoch)
         write_epoch(failed.where(F.col("_ord.ts") >= horizon) if horizon is not None else failed, f"{self.root}/failed-base", epoch)
+        if self.lateness:
+            write_epoch(self._read("clock", epoch, self._base()).agg(F.max("clock").alias("clock")), f"{self.root}/clock-base", epoch)
+        # rows are written last: readers take an epoch for a base only when all its parts are there
         write_epoch(rows, f"{self.root}/rows-base", epoch)
-        # the clock is written last: readers take an epoch for a base only when all its parts are there
-        write_epoch(self._read("clock", epoch, self._base()).agg(F.max("clock").alias("clock")), f"{self.root}/clock-base", epoch)
 
     def parts(self, upto: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Merged rows, remembered failures and counted failures of all epochs."""
