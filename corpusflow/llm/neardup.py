@@ -467,6 +467,15 @@ def _labelled(rows: DataFrame, label: DataFrame | None, tags: list[DataFrame]) -
     return rows.join(functools.reduce(DataFrame.union, tags).groupBy("id").agg(F.min("tag").alias("tag")), "id", "left")
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """``id, root`` of linked ids after two hops to the least neighbour.  Ids with one root are
+    connected; not all connected ids need have one, which only costs comparisons."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root"))
+    ahead = one.select(F.col("id").alias("root"), F.col("root").alias("next"))
+    return one.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, root`` for every id of the links ``(a, b)``: alternating stars."""
     edges, before = keep(links.select("a", "b").distinct(), "stars"), None
@@ -474,7 +483,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour to the least of the neighbourhood
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: the smaller neighbours and the id itself to the least of them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -524,12 +533,12 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
         for p in more:
             pairs = pairs.union(p)
         if end is not None:
-            label = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
+            label = keep(labels(functools.reduce(DataFrame.union, links)), "near-roots")
     trees = trees_for(threshold, recall)
     # nodes deeper than the trees were sized for: their members get the trees that the depth asks for
     while deep and trees_for(threshold, recall, reached) > trees:
         begin, trees, covered = trees, trees_for(threshold, recall, reached), reached
-        label = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
+        label = keep(labels(functools.reduce(DataFrame.union, links)), "near-roots")
         members = functools.reduce(DataFrame.union, deep).distinct().join(sets.select("id", "n", "b0", "b1"), "id")
         rows = keep(more_trees(_labelled(members, label, tags), texts, width, threshold, begin, trees), "near-nodes")
         small, middle, large = _by_size(keep(_impure(rows), "near-impure"))
