@@ -190,3 +190,19 @@ def test_digest_of_a_turn(spark):
     text = "</s>[INST] ok [/INST]"
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["loss_chars"] == len(text)
+
+
+def test_block_sums_in_two_levels(spark, monkeypatch):
+    """The cut of a pass is the same however many blocks a chunk holds."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i * 7 % 40)), "abc"[i % 7 % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+    def mixture():
+        got = mixing.mix(docs, min_entropy=0.95, max_repeats=2.0, block_tokens=50)
+        return sorted((r["doc_id"], r["_pass"], r["_block"]) for r in got.collect())
+
+    want = mixture()
+    assert want
+    for chunk in (1, 3):
+        monkeypatch.setattr(mixing, "CHUNK", chunk)
+        assert mixture() == want
