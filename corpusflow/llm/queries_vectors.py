@@ -27,8 +27,8 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = """
 with v as (
   select distinct vec_id, embedding::double[] e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s as (
   select q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e) score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),

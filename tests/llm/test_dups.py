@@ -262,7 +262,8 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == want
 
 
-@pytest.mark.parametrize("key", ["op2_quality_rules", "op4_source_mixing", "op7_benchmark_decontamination", "op10_chat_format"])
+@pytest.mark.parametrize("key", ["op2_quality_rules", "op4_source_mixing", "op7_benchmark_decontamination", "op10_chat_format",
+                                 "op12_vantage_point_search", "op13_spelling_variants"])
 def test_oracles(spark, key):
     import os
     import sys
