@@ -40,17 +40,19 @@ VERBS = ("admired", "borrowed", "carried", "dropped", "followed", "guarded", "pa
 PLACES = ("old mill", "market square", "north field", "harbor town", "mountain pass", "quiet library",
           "river bend", "stone bridge", "village hall", "forest edge", "train depot", "salt marsh")
 FILLER_TEMPLATES = (
-    "A {adj1} {noun1} {verb} the {adj2} {noun2}.",
-    "Near the {place} stood a {adj1} {noun1}.",
-    "Nobody expected the {noun1} to look so {adj1}.",
-    "The {noun1} beside the {noun2} seemed {adj1} that day.",
-    "In {year} a {adj1} {noun1} was found near the {place}.",
-    "Travelers {verb} every {noun1} on the road to the {place}.",
-    "Each {adj1} {noun1} rested next to a {adj2} {noun2}.",
-    "The {place} was known for its {adj1} {noun1}s.",
-    "Someone {verb} a {noun1} and left it {adj1}.",
-    "By {year} the {noun2} had become {adj2} and {adj1}.",
+    "Whoever {did} that {how} {what} also cared for a {other} {near}.",
+    "Past the {where} one could make out a {what}, rather {how}.",
+    "Nobody expected such a {how} {what} here.",
+    "Between {what} and {near} lay something {how}.",
+    "Letters from {when} mention a {how} {what} by the {where}.",
+    "Travelers {did} their {what} on the road to the {where}.",
+    "Each {how} {what} rested next to a {other} {near}.",
+    "People at the {where} were proud of one {how} {what}.",
+    "Someone {did} a {what} and left it {how}.",
+    "Not before {when} did anyone call a {near} {other} or {how}.",
 )
+# slots of the filler templates, in the order of their draws; {when} is a year
+FILLER_SLOTS = (("how", ADJECTIVES), ("other", ADJECTIVES), ("what", NOUNS), ("near", NOUNS), ("did", VERBS), ("where", PLACES))
 # (category, statement, question, answer, kind of {a}, kind of {b})
 NEEDLE_TEMPLATES = (
     ("simple", "The locker in the hall opens with {a}.", "What opens the locker in the hall?", "{a}", "badge", None),
@@ -177,20 +179,18 @@ def _slots(t: tuple, d: X) -> tuple[X, X | None]:
 def filler_sentence(*key) -> X:
     """GEN2: one filler sentence from the templates and word lists."""
     s = pick(FILLER_TEMPLATES, *key, "t")
-    for tag, opts in (("adj1", ADJECTIVES), ("adj2", ADJECTIVES), ("noun1", NOUNS), ("noun2", NOUNS),
-                      ("verb", VERBS), ("place", PLACES)):
+    for tag, opts in FILLER_SLOTS:
         s = X(f"replace({s}, '{{{tag}}}', {pick(opts, *key, tag)})")
-    return X(f"replace({s}, '{{year}}', cast(1900 + {rint(125, *key, 'year')} as string))")
+    return X(f"replace({s}, '{{when}}', cast(1900 + {rint(125, *key, 'when')} as string))")
 
 
 def filler_from_digest(digest: X) -> X:
     """GEN2 from one precomputed md5 digest column: eight 16-bit draws pick
     the template, the six words and the year (one md5 per sentence)."""
     s = X(f"element_at({arr(FILLER_TEMPLATES)}, {_draw(digest, 0, len(FILLER_TEMPLATES))} + 1)")
-    for i, (tag, opts) in enumerate((("adj1", ADJECTIVES), ("adj2", ADJECTIVES), ("noun1", NOUNS),
-                                     ("noun2", NOUNS), ("verb", VERBS), ("place", PLACES)), start=1):
+    for i, (tag, opts) in enumerate(FILLER_SLOTS, start=1):
         s = X(f"replace({s}, '{{{tag}}}', element_at({arr(opts)}, {_draw(digest, i, len(opts))} + 1))")
-    return X(f"replace({s}, '{{year}}', cast(1900 + {_draw(digest, 7, 125)} as string))")
+    return X(f"replace({s}, '{{when}}', cast(1900 + {_draw(digest, 7, 125)} as string))")
 
 
 def hard_negative(d: X) -> X:

@@ -1,10 +1,8 @@
 """Corpus generation queries (GEN1-GEN14).
 
 Examples are driven by the ``documents`` table (one example per document)
-so the generated volume grows with the input.  Full-text corpora have no
-SQL oracle (rows-only; properties are checked in pytest); their structural
-columns (chunk counts, needle positions, templates, categories) are
-md5-based and do have oracles.
+so the generated volume grows with the input.  The SQL over whole generated
+texts is made by :mod:`corpusflow.plans.corpus_sql`.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.operators import corpora as gen
+from corpusflow.plans.corpus_sql import WORDS, lookup_sql, needle_sql
 from corpusflow.plans.registry import register
 
 SEED = 42
@@ -31,7 +30,7 @@ _CATS = "[" + ", ".join(f"'{c[0]}'" for c in gen.NEEDLE_TEMPLATES) + "]"
 _CATNAMES = "[" + ", ".join(f"'{c}'" for c in gen.CATEGORY_NAMES) + "]"
 
 
-@register("gen_needle_corpus", ["documents"])
+@register("gen_needle_corpus", ["documents"], f"with {WORDS}, {needle_sql(SEED)} select * from needle")
 def q_needle_corpus(i):
     """GEN1-GEN6: needle-in-haystack examples (10 chunks x 5 sentences)."""
     return gen.needle_examples(_ids(i), SEED, num_chunks=10, sentences_per_chunk=5)
@@ -51,7 +50,7 @@ def q_needle_structure(i):
     return ex.select("example_id", "n_chunks", "template_idx", "template_category", "needle_chunk_idx")
 
 
-@register("gen_lookup_corpus", ["documents"])
+@register("gen_lookup_corpus", ["documents"], f"with {WORDS}, {lookup_sql(SEED + 100)} select * from lookup")
 def q_lookup_corpus(i):
     """GEN8: key-value lookup examples (5 chunks x 5 entries, key length 4)."""
     return gen.lookup_examples(_ids(i), SEED + 100, num_chunks=5, entries_per_chunk=5, key_length=4)
@@ -68,7 +67,8 @@ def q_lookup_structure(i):
     return ex.select("example_id", "num_entries", "needle_chunk_idx")
 
 
-@register("gen_mixed_corpus", ["documents"])
+@register("gen_mixed_corpus", ["documents"], f"""with {WORDS}, {needle_sql(SEED)}, {lookup_sql(SEED + 100)}
+select *, 'needle' as task from needle union all select *, 'lookup' as task from lookup""")
 def q_mixed(i):
     """GEN9: needle half (seed 42) and lookup half (seed 142)."""
     return gen.mixed_corpus(_ids(i), SEED)
@@ -108,7 +108,10 @@ def q_category_codes(i):
             .withColumn("category_code", gen.category_code(F.col("template_category"))))
 
 
-@register("gen_prompts", ["documents"])
+@register("gen_prompts", ["documents"], f"""with {WORDS}, {needle_sql(SEED, 4)}, {lookup_sql(SEED + 100, 4)}
+select example_id, task, 'Question: ' || question || chr(10) || 'Answer:' as prompt, ' ' || answer as target from (
+  select example_id, 'needle' as task, question, answer from needle
+  union all select example_id, 'lookup', question, answer from lookup) x""")
 def q_prompts(i):
     """GEN12: prompt / target text of the mixed corpus."""
     mix = gen.mixed_corpus(_ids(i), SEED, needle_kw={"num_chunks": 4}, lookup_kw={"num_chunks": 4})
