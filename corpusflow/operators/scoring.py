@@ -121,18 +121,19 @@ def hit_rates(ranks: DataFrame, ks: list[int], rank_col: str = "needle_rank", by
 
 def report_json(acc: DataFrame, delta: DataFrame) -> DataFrame:
     """SNK2: one-row nested report (overall, per category, deltas) as JSON
-    text; write it with ``df.write.text`` / ``.json``."""
+    text, runs and categories in the order of their names; write it with
+    ``df.write.text`` / ``.json``."""
     overall = acc.filter(F.col("category").isNull())
     per = acc.filter(F.col("category").isNotNull())
     o = overall.groupBy("variant").agg(F.first(F.struct("total", "exact_acc", "substring_acc")).alias("overall"))
     c = per.groupBy("variant").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("category", F.struct("total", "exact_acc", "substring_acc"))))).alias("categories"))
     v = o.join(c, "variant", "left")
-    runs = v.agg(F.map_from_entries(F.collect_list(F.struct("variant", F.struct("overall", "categories"))))
+    by_name = lambda a, b: F.when(a["variant"] < b["variant"], -1).when(a["variant"] > b["variant"], 1).otherwise(0)
+    runs = v.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", F.struct("overall", "categories"))), by_name))
                  .alias("runs"))
-    d = delta.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("category", F.lit("overall")),
-                                                             F.struct("exact_delta", "substring_delta"))))
-                  .alias("delta"))
+    d = delta.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        F.coalesce("category", F.lit("overall")), F.struct("exact_delta", "substring_delta"))))).alias("delta"))
     return runs.unionByName(d, allowMissingColumns=True).agg(
         F.to_json(F.struct(F.first("runs", ignorenulls=True).alias("runs"),
                            F.first("delta", ignorenulls=True).alias("delta"))).alias("report"))

@@ -201,7 +201,19 @@ def q_hit_rate(i):
     return sc.hit_rates(_passage_ranks(i), [1, 3, 5])
 
 
-@register("snk_eval_report", ["eval_pred"])
+@register("snk_eval_report", ["eval_pred"], _ACC + """
+, shown as (select variant, category, '{"total":' || total || ',"exact_acc":' || exact_acc || ',"substring_acc":' || substring_acc || '}' as v from acc),
+runs as (select variant, '"' || variant || '":{"overall":' || max(v) filter (where category is null) || ',"categories":{' ||
+    string_agg('"' || category || '":' || v, ',' order by category) filter (where category is not null) || '}}' as v
+  from shown group by variant),
+delta as (select coalesce(category, 'overall') as k,
+    coalesce(sum(exact_acc) filter (where variant = 'with_memory'), 0.0) - coalesce(sum(exact_acc) filter (where variant = 'without_memory'), 0.0) as e,
+    coalesce(sum(substring_acc) filter (where variant = 'with_memory'), 0.0)
+      - coalesce(sum(substring_acc) filter (where variant = 'without_memory'), 0.0) as s
+  from acc where variant in ('with_memory', 'without_memory') group by category)
+select '{"runs":{' || (select string_agg(v, ',' order by variant) from runs) || '},"delta":{' ||
+  (select string_agg('"' || k || '":{"exact_delta":' || e || ',"substring_delta":' || s || '}', ',' order by k) from delta) || '}}' as report
+""")
 def q_eval_report(i):
     """SNK2: one-row JSON evaluation report (runs, categories, deltas)."""
     a = sc.accuracy(sc.score(i["eval_pred"]), by=["variant"])
