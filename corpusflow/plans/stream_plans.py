@@ -83,8 +83,7 @@ def q_window_counts(i):
     """STR3: daily status-event counts per action with a 1-hour watermark."""
     ev = _stream_fixture(i, "repo_events", "events")
     agg = st.window_counts(ev, "1 day", "1 hour")
-    return st.run_snapshots(agg, st.scratch(i.spark, "win"), st.upsert_step(["window_start", "action"]), None,
-                            output_mode="update")
+    return st.run_latest(agg, st.scratch(i.spark, "win"), ["window_start", "action"])
 
 
 @register("str_first_seen", ["repo_catalog", "transition_events"], """
@@ -134,8 +133,7 @@ def q_failure_share(i):
     """STR6: failure share over 1-day windows sliding by 6 hours."""
     log = _stream_fixture(i, "download_log", "events")
     agg = st.failure_share(log, "1 day", "6 hours", "1 hour")
-    return st.run_snapshots(agg, st.scratch(i.spark, "share"), st.upsert_step(["window_start"]), None,
-                            output_mode="update")
+    return st.run_latest(agg, st.scratch(i.spark, "share"), ["window_start"])
 
 
 @register("str_attempt_sessions", ["download_log"], """

@@ -1,73 +1,51 @@
-"""SNK1: versioned Parquet snapshots of keyed tables.
+"""SNK1: snapshots of keyed tables, as partitions of one Parquet table.
 
-Each write goes to a fresh ``v=<n>`` folder and only then the ``_CURRENT``
-pointer file is replaced by an overwriting rename (one writer at a time), so a reader never sees a half-written table and a
-job never overwrites the path it reads from.  Re-running a failed write just
-writes the same version folder again (``mode=overwrite`` on that folder).
+A snapshot is the partition ``version=<n>`` and is written by Spark's dynamic partition
+overwrite: its files appear when the job commits, so a reader never meets half a
+snapshot, a job never overwrites what it reads, and writing a version again replaces
+that version alone.  One writer at a time.  A snapshot without rows leaves no
+partition: the latest version is the last one with rows.
 """
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-
-_POINTER = "_CURRENT"
+from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
+def read_versions(spark: SparkSession, root: str) -> DataFrame | None:
+    """All snapshots with their ``version``; None before the first one."""
+    try:
+        return spark.read.parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    fs, _, jvm = _fs(spark, root)
-    ptr = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + _POINTER)
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        return int(reader.readLine().strip())
-    finally:
-        stream.close()
+    held = read_versions(spark, root)
+    return None if held is None else held.agg(F.max("version")).first()[0]
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = (),
-                   sort_within: tuple[str, ...] = ()) -> int:
-    spark = df.sparkSession
-    cur = current_version(spark, root)
-    nxt = 0 if cur is None else cur + 1
-    target = f"{root.rstrip('/')}/v={nxt}"
-    out = df.sortWithinPartitions(*sort_within) if sort_within else df
-    w = out.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(target)
-    fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{_POINTER}.tmp")
-    stream = fs.create(tmp, True)
-    stream.write(bytearray(str(nxt).encode()))
-    stream.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{_POINTER}")
-    # one rename that overwrites: a reader finds the old pointer or the new one
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(
-        fs.makeQualified(tmp), fs.makeQualified(ptr), options)
-    return nxt
+def write_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = (),
+                   version: int | None = None) -> int:
+    """Writes the next version, or ``version`` anew; all versions of a table share ``partition_by``."""
+    if version is None:
+        latest = current_version(df.sparkSession, root)
+        version = 0 if latest is None else latest + 1
+    folders = ("version", *partition_by)
+    out = df.withColumn("version", F.lit(version))
+    if sort_within:
+        out = out.sortWithinPartitions(*folders, *sort_within)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(root)
+    return version
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     v = current_version(spark, root) if version is None else version
-    if v is None:
+    held = read_versions(spark, root)
+    if v is None or held is None:
         raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(f"{root.rstrip('/')}/v={v}")
-
-
-def snapshot_path(root: str, version: int) -> str:
-    return os.path.join(root, f"v={version}")
+    return held.where(F.col("version") == v).drop("version")

@@ -1,8 +1,8 @@
 """Structured Streaming operators (STR1-STR6).
 
 Sources are file streams over the landing folder; sinks are exactly-once:
-the append-only parquet file sink, or ``foreachBatch`` writing one folder per
-epoch (named by the epoch id, so a replayed epoch rewrites its own folder).  A
+the append-only parquet file sink, or ``foreachBatch`` writing a table partitioned
+by epoch (a replayed epoch rewrites its own partition).  A
 run that finds no new input returns what earlier runs left in the folder.
 Status events are folded into mergeable rows, one for each name and epoch, so the
 catalog depends on the set of events and not on how files were cut into
@@ -47,25 +47,6 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def _version_path(root: str, v: int) -> str:
-    return f"{root}/v={v}"
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Epochs whose folder was written to the end, in order."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    found = []
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
 def _run(df: DataFrame, root: str, handle, output_mode: str = "append") -> None:
     q = (df.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_ckpt")
          .outputMode(output_mode).trigger(availableNow=True).start())
@@ -81,41 +62,6 @@ def run_append(df: DataFrame, root: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/data")
 
 
-def run_snapshots(df: DataFrame, root: str, step, initial: DataFrame | None, output_mode: str = "append"
-                  ) -> DataFrame:
-    """Run a stream with ``foreachBatch``: ``step(state, batch) -> state``.
-
-    The state of an epoch is the last version before it (or ``initial``), its
-    result is written as the version of that epoch; the last version in the
-    folder is returned, whichever run wrote it.
-    """
-    spark = df.sparkSession
-
-    def handle(batch: DataFrame, epoch: int):
-        before = [v for v in _versions(spark, root) if v < epoch]
-        if epoch > 0 and (not before or before[-1] != epoch - 1):  # never a silent restart
-            raise FileNotFoundError(f"state version {epoch - 1} missing under {root}")
-        state = spark.read.parquet(_version_path(root, before[-1])) if before else initial
-        step(state, batch).write.mode("overwrite").parquet(_version_path(root, epoch))
-
-    _run(df, root, handle, output_mode)
-    done = _versions(spark, root)
-    if done:
-        return spark.read.parquet(_version_path(root, done[-1]))
-    return initial if initial is not None else spark.createDataFrame([], df.schema)
-
-
-def upsert_step(keys: list[str]):
-    """foreachBatch step for update-mode aggregates: keyed replace."""
-
-    def step(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-        if state is None:
-            return batch
-        return state.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-
-    return step
-
-
 # --- STR1 / STR2 -------------------------------------------------------------------
 
 def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
@@ -133,6 +79,18 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def run_latest(df: DataFrame, root: str, keys: list[str]) -> DataFrame:
+    """Run a stream of update-mode aggregates: an epoch appends the rows it changed, and
+    the latest epoch of a key counts.  The rows of all runs so far are returned."""
+    spark, path = df.sparkSession, f"{root}/rows"
+    values = [c for c in df.columns if c not in keys]
+    _run(df, root, lambda batch, epoch: write_epoch(batch, path, epoch), "update")
+    rows = read_epochs(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], df.schema)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_r")).select(*keys, "_r.*")
+
+
 class StatusFold:
     """STR1: status events folded epoch by epoch into mergeable rows.
 
@@ -328,18 +286,18 @@ def window_counts(events: DataFrame, window: str, watermark: str, key: str = "ac
 def first_seen_stream(discoveries: DataFrame, catalog: DataFrame, root: str) -> DataFrame:
     """STR4: names seen for the first time, whenever that was.  Each epoch
     writes the names that neither the catalog nor an earlier epoch has."""
-    spark = discoveries.sparkSession
+    spark, path = discoveries.sparkSession, f"{root}/names"
 
     def handle(batch: DataFrame, epoch: int):
         new = batch.select("full_name").distinct().join(catalog.select("full_name"), "full_name", "left_anti")
-        earlier = [_version_path(root, v) for v in _versions(spark, root) if v < epoch]
-        if earlier:
-            new = new.join(spark.read.parquet(*earlier), "full_name", "left_anti")
-        new.write.mode("overwrite").parquet(_version_path(root, epoch))
+        earlier = read_epochs(spark, path)
+        if earlier is not None:
+            new = new.join(earlier.where(F.col("epoch") < epoch).select("full_name"), "full_name", "left_anti")
+        write_epoch(new, path, epoch)
 
     _run(discoveries, root, handle)
-    done = [_version_path(root, v) for v in _versions(spark, root)]
-    return spark.read.parquet(*done) if done else spark.createDataFrame([], "full_name string")
+    seen = read_epochs(spark, path)
+    return spark.createDataFrame([], "full_name string") if seen is None else seen.select("full_name")
 
 
 # --- STR5 --------------------------------------------------------------------------
