@@ -108,7 +108,7 @@ def verdict(accuracy_col: Column, avg_gate: Column) -> Column:
 def edit_similarity(a: Column, b: Column) -> Column:
     """EVL8: ``1 - levenshtein / max(length)`` (1 for two empty strings)."""
     mx = F.greatest(F.length(a), F.length(b))
-    return F.when(mx == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / mx)
+    return F.when(a == b, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / mx)  # equal texts need no table
 
 
 def hit_rates(ranks: DataFrame, ks: list[int], rank_col: str = "needle_rank", by: list[str] | None = None
