@@ -253,8 +253,8 @@ def reset_for_reprocessing(catalog: DataFrame, names: DataFrame | None = None) -
     """CAT14: processed rows (all, or those in ``names``) back to downloaded."""
     cond = F.col("status") == "processed"
     if names is not None:
-        flagged = catalog.join(names.select("full_name", F.lit(True).alias("_pick")), "full_name", "left")
-        out = set_status_where(flagged, cond & F.col("_pick"), "downloaded", clear=("commit_count", "processed_at"))
+        flagged = catalog.join(names.select("full_name").distinct().withColumn("_pick", F.lit(True)), "full_name", "left")
+        out = set_status_where(flagged, cond & F.col("_pick").isNotNull(), "downloaded", clear=("commit_count", "processed_at"))
         return out.drop("_pick")
     return set_status_where(catalog, cond, "downloaded", clear=("commit_count", "processed_at"))
 

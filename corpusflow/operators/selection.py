@@ -59,6 +59,16 @@ def downloaded_page(catalog: DataFrame, batch_size: int = 100, offset: int = 0)
             .select("full_name", "local_path", "language"))
 
 
+def downloaded_after(catalog: DataFrame, stars: int | None, full_name: str, batch_size: int = 100) -> DataFrame:
+    """SEL3 by key: the page behind the row ``(stars, full_name)``.  Rows before it are
+    filtered in the scan, so a late page costs what the first one does and each task
+    keeps ``batch_size`` rows.  Rows without stars come last, ordered by name."""
+    later = F.col("stars").isNull() & (F.col("full_name") > full_name)
+    if stars is not None:
+        later = (F.col("stars") < stars) | ((F.col("stars") == stars) & (F.col("full_name") > full_name)) | F.col("stars").isNull()
+    return downloaded_page(catalog.filter(later), batch_size).select("full_name", "local_path", "language")
+
+
 def with_local_paths(catalog: DataFrame) -> DataFrame:
     """SEL4: rows that claim a local clone."""
     return (catalog.filter(F.col("status").isin("downloaded", "processed") & F.col("local_path").isNotNull())

@@ -35,11 +35,6 @@ def epoch_means(metrics: DataFrame, digits: int = 6) -> DataFrame:
         _rounded_ratio(F.col("_u"), F.col("_n"), 8, digits).alias("mean_over_logged"))
 
 
-def step_table(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """Pivot of the named metrics per step (names given: no extra pass)."""
-    return metrics.groupBy("epoch", "step").pivot("name", names).agg(F.first("value"))
-
-
 def derived_metrics(steps: DataFrame, loss: str = "loss", enc_grad: str = "encoder_grad_norm",
                     base_grad: str = "grad_norm") -> DataFrame:
     """TEL2: perplexity = exp(min(loss, 20)); gradient ratio with a 1e-8 floor."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators import catalog as cat
@@ -199,6 +201,26 @@ def q_downloaded_page(i):
     return sel.downloaded_page(i["repo_catalog"], batch_size=25, offset=10)
 
 
+@register("sel_downloaded_after", ["repo_catalog"], """
+with d as (select full_name, local_path, language, row_number() over (order by stars desc nulls last, full_name) as n
+           from repo_catalog where status = 'downloaded')
+select full_name, local_path, language, cast((n - 1) // 25 as int) as page from d where n <= 75
+""")
+def q_downloaded_after(i):
+    """SEL3 by key: three pages of 25 rows, each from the last row of the page before."""
+    catalog, pages, last = i["repo_catalog"], [], None
+    stars = catalog.select("full_name", "stars")
+    for k in range(3):
+        page = sel.downloaded_page(catalog, 25) if last is None else sel.downloaded_after(catalog, last["stars"], last["full_name"], 25)
+        pages.append(page.withColumn("page", F.lit(k)))
+        # the row a caller would keep: one row, the last of its page
+        end = page.join(stars, "full_name").orderBy(F.col("stars").asc_nulls_first(), F.col("full_name").desc()).first()
+        if end is None:
+            break
+        last = end
+    return reduce(DataFrame.unionByName, pages)
+
+
 @register("sel_local_paths", ["repo_catalog"], """
 select full_name, local_path, status, size_kb from repo_catalog
 where status in ('downloaded', 'processed') and local_path is not null
@@ -400,6 +422,18 @@ def q_reset_reprocessing(i):
     return cat.reset_for_reprocessing(i["repo_catalog"]).select("full_name", "status", "commit_count", "changed")
 
 
+@register("cat_reset_named", ["repo_catalog", "transition_events"], """
+with w as (select *, status = 'processed' and full_name in (select full_name from transition_events where action = 'processed') as hit
+           from repo_catalog)
+select full_name, case when hit then 'downloaded' else status end as status, case when hit then null else commit_count end as commit_count,
+  hit as changed from w
+""")
+def q_reset_named(i):
+    """CAT14 for given names, which may repeat: those that the events report as processed."""
+    names = i["transition_events"].filter(F.col("action") == "processed")
+    return cat.reset_for_reprocessing(i["repo_catalog"], names).select("full_name", "status", "commit_count", "changed")
+
+
 _FRESH = """
 , fresh as (select cast(json_extract(value, '$.id') as bigint) as id,
                    json_extract_string(value, '$.full_name') as full_name from raw_repo_json)

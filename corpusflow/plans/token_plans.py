@@ -50,6 +50,21 @@ def q_pad_chunks(i):
     return c.select("doc_id", "chunk_idx", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
+@register("tok_truncated", ["documents"], f"""
+with d as (select doc_id, {_DIDS.format(t='text')} as ids from documents)
+select doc_id, len(ids) as n_ids, ids[1 : 256] as cut,
+  list_concat(list_transform(range(256 - len(ids[1 : 256])), lambda x: 0), ids[1 : 256]) as left_ids,
+  list_concat(ids[1 : 256], list_transform(range(256 - len(ids[1 : 256])), lambda x: 0)) as right_ids
+from d
+""")
+def q_truncated(i):
+    """TOK1 + TOK2: a length limit of 256 ids (the feature), padded on either side."""
+    d = i["documents"].select("doc_id", _ids(F.col("text")).alias("_ids"))
+    d = d.select("doc_id", F.size("_ids").cast("bigint").alias("n_ids"), tok.truncate(F.col("_ids"), 256).alias("cut"))
+    return d.select("doc_id", "n_ids", "cut", tok.pad_to(F.col("cut"), 256, left=True)[0].alias("left_ids"),
+                    tok.pad_to(F.col("cut"), 256)[0].alias("right_ids"))
+
+
 @register("tok_vocab", ["documents"], """
 with c as (select w as token, count(*) as n from (select unnest(string_split(text, ' ')) as w from documents) x group by w)
 select token, cast(row_number() over (order by n desc, token) + 1 as int) as id, n from c

@@ -92,3 +92,22 @@ def test_rename_refuses_collision(spark):
     r = spark.createDataFrame([("a/x", "a/y"), ("b/z", "b/zz")], "old_name string, new_name string")
     got = {r.renamed_from: r.full_name for r in cat.rename(c, r).collect() if r.renamed_from}
     assert got == {"b/z": "b/zz"}
+
+
+def test_pages_by_key_meet_every_row_once(spark):
+    rows = [(f"o/{k:02d}", None if k % 4 == 0 else k % 3, "downloaded" if k % 5 else "pending", "en", None) for k in range(40)]
+    c = spark.createDataFrame(rows, "full_name string, stars int, status string, language string, local_path string")
+    stars = {r[0]: r[1] for r in rows}
+    seen, page = [], [r.full_name for r in sel.downloaded_page(c, 7).collect()]
+    while page:
+        seen += page
+        page = [r.full_name for r in sel.downloaded_after(c, stars[page[-1]], page[-1], 7).collect()]
+    assert seen == [r.full_name for r in sel.downloaded_page(c, 100).collect()] and len(seen) == 32
+
+
+def test_named_reset_with_repeated_names(spark):
+    c = spark.createDataFrame([("a", "processed", 3, None), ("b", "processed", 4, None), ("c", "pending", 0, None)],
+                              "full_name string, status string, commit_count int, processed_at timestamp")
+    names = spark.createDataFrame([("a",), ("a",), ("c",), ("z",)], "full_name string")
+    got = {(r.full_name, r.status, r.commit_count) for r in cat.reset_for_reprocessing(c, names).collect()}
+    assert got == {("a", "downloaded", None), ("b", "processed", 4), ("c", "pending", 0)}

@@ -150,3 +150,18 @@ def test_every_kind_has_a_value(spark):
 def test_generation_is_map_only(spark):
     plan = gen.needle_examples(_ids(spark, 10), 1)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_texts_equal_their_sql(spark):
+    """Curricula aside, every generated text is held against SQL over rows, for other sizes than the registered ones."""
+    import duckdb
+
+    from corpusflow.plans.corpus_sql import WORDS, lookup_sql, needle_sql
+
+    con = duckdb.connect()
+    con.execute("create table documents as select range as doc_id from range(30)")
+    for name, sql, df in (("needle", needle_sql(9, 3, 2), gen.needle_examples(_ids(spark, 30), 9, 3, 2)),
+                          ("lookup", lookup_sql(9, 2, 7, 3, 5, 1), gen.lookup_examples(_ids(spark, 30), 9, 2, 7, 3, 5, 1))):
+        cols = ", ".join(sorted(df.columns))
+        want = con.execute(f"with {WORDS}, {sql} select {cols} from {name}").fetchall()
+        assert sorted(map(repr, map(tuple, df.select(*sorted(df.columns)).collect()))) == sorted(map(repr, want))
