@@ -4,7 +4,7 @@ The in-process ``{doc_id -> (K, V)}`` store becomes two long tables:
 ``doc_memory`` (one row per document: summary key/value vectors, metadata,
 content hash, version) and ``token_memory`` (one row per real token).
 Padding never exists as rows.  Updates are keyed overwrites written as new
-snapshots.  The encoder is pluggable (``mapInPandas``); the default is a
+snapshots.  The encoder is pluggable (``mapInArrow``); the default is a
 hashed token vector (one md5 per token, 16 dims from its 16 bytes).
 """
 
@@ -15,6 +15,7 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,13 +54,14 @@ def chunk_tokens(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", tex
     return c.select(key, F.posexplode("_c").alias("chunk_idx", "tokens"))
 
 
-def doc_token_rows(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+def doc_token_rows(docs: DataFrame, chunk_len: int = 512, key: str = "doc_id", text: str = "text", more: tuple = ()) -> DataFrame:
     """MEM7 straight from text: one row per real token with its chunk and
     position in the chunk (the same layout as ``token_rows(chunk_tokens)``),
-    exploding words once instead of building chunk arrays first."""
+    exploding words once instead of building chunk arrays first.  ``more``
+    columns of a document go with each of its tokens."""
     words = F.filter(F.split(F.col(text), " "), lambda w: w != "")
-    t = docs.select(key, F.posexplode(words).alias("_p", "token"))
-    return t.select(key, (F.col("_p") / chunk_len).cast("int").alias("chunk_idx"),
+    t = docs.select(key, *more, F.posexplode(words).alias("_p", "token"))
+    return t.select(key, *more, (F.col("_p") / chunk_len).cast("int").alias("chunk_idx"),
                     (F.col("_p") % chunk_len).cast("int").alias("pos"), "token")
 
 
@@ -79,18 +81,20 @@ def token_table(chunks: DataFrame, keys: list[str], encoder: Column | None = Non
 
 def pandas_encoder(fn: Callable[[pd.Series], np.ndarray], dim: int) -> Callable:
     """UDX3/MEM6 plug-in: ``fn(tokens) -> (n, dim)`` array, applied to Arrow
-    batches with ``mapInPandas`` (e.g. a neural encoder)."""
+    batches with ``mapInArrow`` (e.g. a neural encoder).  Only the tokens become
+    Python objects; the other columns pass as they are and the vectors of a
+    batch are one flat array."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            m = np.asarray(fn(pdf["token"]), dtype=np.float64).reshape(len(pdf), dim)
-            out = pdf.copy()
-            out["vec"] = list(m)
-            yield out
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            m = np.ascontiguousarray(fn(b.column("token").to_pandas()), dtype=np.float64).reshape(b.num_rows, dim)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(dim))
+            vec = pa.ListArray.from_arrays(ends, pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, vec], [*b.schema.names, "vec"])
 
     def apply(df: DataFrame) -> DataFrame:
         schema = T.StructType(list(df.schema.fields) + [T.StructField("vec", T.ArrayType(T.DoubleType()))])
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
 
     return apply
 

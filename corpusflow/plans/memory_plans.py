@@ -152,15 +152,15 @@ def q_quantize(i):
 
 
 def _md5_vectors(tokens):
-    """Python twin of the hashed encoder (one md5 per token)."""
+    """Python twin of the hashed encoder (one md5 per different token of a batch)."""
     import hashlib
 
     import numpy as np
 
-    out = np.empty((len(tokens), mem.HASH_DIM))
-    for r, t in enumerate(tokens):
-        out[r] = (np.frombuffer(hashlib.md5(t.encode("utf-8")).digest(), dtype=np.uint8)[: mem.HASH_DIM] - 127.5) / 127.5
-    return out
+    at: dict = {}
+    which = [at.setdefault(t, len(at)) for t in tokens]
+    digests = b"".join([hashlib.md5(t.encode("utf-8")).digest() for t in at])
+    return ((np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)[:, : mem.HASH_DIM] - 127.5) / 127.5)[which]
 
 
 @register("udx_pandas_encoder", ["documents"], _CHUNKS_SQL + f"""
@@ -171,7 +171,7 @@ from v group by doc_id, chunk_idx
 """)
 def q_pandas_encoder(i):
     """UDX3 / MEM6: token vectors from a plugged-in encoder applied to Arrow
-    batches with mapInPandas (here the Python twin of the hashed encoder, so
+    batches with mapInArrow (here the Python twin of the hashed encoder, so
     it must equal MEM6/MEM7)."""
     enc = mem.pandas_encoder(_md5_vectors, mem.HASH_DIM)
     t = enc(mem.doc_token_rows(i["documents"], CHUNK))

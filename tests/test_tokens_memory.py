@@ -93,3 +93,30 @@ def test_quantize_error_bound(spark):
     mx, _ = mem.quantization_error(F.col("v"), deq)
     r = df.select(codes.alias("c"), scale.alias("s"), mx.alias("m")).first()
     assert r.c[1] == -7 and abs(r.s - 1 / 7) < 1e-12 and r.m <= r.s / 2 + 1e-12
+
+
+def test_plugged_in_encoder_leaves_other_columns_alone(spark):
+    from corpusflow.plans.memory_plans import _md5_vectors
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a"), (None, "b"), (3, "a")], "doc_id long, token string").coalesce(1)
+    got = mem.pandas_encoder(_md5_vectors, mem.HASH_DIM)(df).collect()
+    assert [(r.doc_id, r.token) for r in got] == [(big, "a"), (None, "b"), (3, "a")]
+    want = df.select(mem.hashed_vector(F.col("token"))).collect()
+    assert [r.vec for r in got] == [r[0] for r in want]
+    assert mem.pandas_encoder(_md5_vectors, mem.HASH_DIM)(df.where("token = 'c'")).count() == 0
+
+
+def test_one_digest_for_each_different_token(monkeypatch):
+    import hashlib
+
+    import pandas as pd
+
+    from corpusflow.plans.memory_plans import _md5_vectors
+
+    made, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda b: made.append(b) or md5(b))
+    out = _md5_vectors(pd.Series(["a", "b", "a", "a"]))
+    assert out.shape == (4, mem.HASH_DIM) and (out[0] == out[2]).all() and (out[0] != out[1]).any()
+    assert sorted(made) == [b"a", b"b"]
+    assert _md5_vectors(pd.Series([], dtype=object)).shape == (0, mem.HASH_DIM)
