@@ -1,6 +1,10 @@
 """Token retention at a budget (EVL9): which answer tokens are among the ``M`` heaviest.
 
-The cut of the ``M`` heaviest tokens of a query is found without sorting them: a
+Up to Spark's limit for ranks in a group (``windowGroupLimitThreshold``), a map task
+ranks its own tokens and at most ``M`` of a query leave it, so neither a token's row nor a
+histogram is joined.
+
+For greater budgets the cut of the ``M`` heaviest tokens of a query is found without sorting them: a
 histogram of weights (one row for each query and bin, combined before the shuffle)
 names the bin in which the ``M``-th token lies.  Tokens of heavier bins are kept as they
 are counted; only tokens of the cut bin are ranked, and of those at most ``M`` of a
@@ -19,6 +23,25 @@ def retained(tokens: DataFrame, budgets: list[int], keys: list[str], weight: str
              tie: str = "pos", bins: int = BINS) -> DataFrame:
     """``keys, budget, answer_tokens, kept`` of every query: how many answer tokens are among
     the ``budget`` heaviest tokens (ties: smaller ``tie``)."""
+    limit = int(tokens.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if max(budgets) <= limit:
+        return _ranked(tokens, budgets, keys, weight, answer, tie)
+    return _binned(tokens, budgets, keys, weight, answer, tie, bins)
+
+
+def _ranked(tokens: DataFrame, budgets: list[int], keys: list[str], weight: str, answer: str, tie: str) -> DataFrame:
+    """:func:`retained` by the ranks of each query's ``max(budgets)`` heaviest tokens."""
+    tokens = tokens.dropna(subset=keys)
+    first = Window.partitionBy(*keys).orderBy(F.desc(weight), tie)
+    top = tokens.select(*keys, weight, tie, answer).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= max(budgets))
+    kept = top.groupBy(*keys).agg(*[F.count_if(F.col(answer) & (F.col("_rank") <= m)).alias(f"_k{m}") for m in budgets])
+    total = tokens.groupBy(*keys).agg(F.count_if(answer).alias("answer_tokens"))
+    per = F.inline(F.array(*[F.struct(F.lit(m).alias("budget"), F.col("answer_tokens"), F.col(f"_k{m}").alias("kept")) for m in budgets]))
+    return total.join(kept, keys).select(*keys, per)
+
+
+def _binned(tokens: DataFrame, budgets: list[int], keys: list[str], weight: str, answer: str, tie: str, bins: int) -> DataFrame:
+    """:func:`retained` by a histogram of each query's weights."""
     ends = tokens.groupBy(*keys).agg(F.min(weight).alias("_lo"), F.max(weight).alias("_hi"))
     share = (F.col(weight) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(0).cast("int")

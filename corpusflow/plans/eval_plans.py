@@ -291,10 +291,14 @@ wt as (select doc_id, pos, (('0x' || substr(md5(token), 1, 4))::INT + 1) / 65536
 """
 
 
+def _weighted(toks, more=()):
+    return toks.select(F.col("doc_id").alias("example_id"), *more, "chunk_idx", (F.col("chunk_idx") * 128 + F.col("pos")).alias("pos"),
+                       ((F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") + 1) / 65536.0).alias("weight"))
+
+
 def _weights(i):
     toks = mem.doc_token_rows(i["documents"], 128)
-    weights = toks.select(F.col("doc_id").alias("example_id"), "chunk_idx", (F.col("chunk_idx") * 128 + F.col("pos")).alias("pos"),
-                          ((F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") + 1) / 65536.0).alias("weight"))
+    weights = _weighted(toks)
     chunks = toks.groupBy(F.col("doc_id").alias("example_id"), "chunk_idx").agg(F.count(F.lit(1)).alias("n_tokens"))
     return weights, chunks
 
@@ -332,12 +336,17 @@ select budget, count(distinct doc_id) as queries, count(*) filter (where is_answ
 from tk, (select unnest([200, 100, 50, 25]) as budget) b group by budget
 """)
 def q_token_retention(i):
-    """EVL9: share of the answer chunk's tokens among the 200 / 100 / 50 / 25 heaviest of each document."""
+    """EVL9: share of the answer chunk's tokens among the 200 / 100 / 50 / 25 heaviest of each document.
+
+    The answer chunk joins the document, not its tokens, and texts are dealt by document: their
+    tokens are counted and ranked where they are made."""
     from corpusflow.functions.hashrand import X, col, rint
-    w, chunks = _weights(i)
-    nch = chunks.groupBy("example_id").agg(F.count(F.lit(1)).alias("_n"))
-    nc = nch.select("example_id", col(X(f"cast({rint(X('_n'), 42, X('example_id'), 'needle')} as int)")).alias("_nc"))
-    tokens = w.join(nc, "example_id").withColumn("is_answer", F.col("chunk_idx") == F.col("_nc"))
+    docs = i["documents"].select("doc_id", "text").repartition("doc_id")
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    nch = docs.groupBy("doc_id").agg(F.max(F.ceil(words / 128)).alias("_n")).where("_n > 0")
+    nc = nch.select("doc_id", col(X(f"cast({rint(X('_n'), 42, X('doc_id'), 'needle')} as int)")).alias("_nc"))
+    tokens = _weighted(mem.doc_token_rows(docs.join(nc, "doc_id"), 128, more=("_nc",)), ("_nc",))
+    tokens = tokens.withColumn("is_answer", F.col("chunk_idx") == F.col("_nc"))
     out = rtn.retention(tokens, BUDGETS, ["example_id"])
     return out.select(F.col("budget"), "queries", "answer_tokens", "kept", _r6(F.col("share")).alias("share"))
 
