@@ -7,7 +7,7 @@ worth of lines.  :func:`matches` finds a longest common subsequence by halving (
 space, always minimal), :func:`line_distance` the edit distance in lines.
 
 Spark joins the revisions, and the diffs of a commit's files meet again per
-commit; only one file's two contents are in Python at a time.
+commit.  Where only the distance counts, Python gets digests of the lines.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CONTEXT = 3
+#: characters of a line's digest
+DIGEST = 64
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -175,14 +177,22 @@ def commit_diffs(commits: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def _line_distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([line_distance(lines_of(x), lines_of(y)) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([line_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+
+
+def line_names(text: Column) -> Column:
+    """:func:`lines_of` with long lines named by their SHA-256: names are equal where lines are, and
+    no short line looks like a digest."""
+    t = F.coalesce(text, F.lit(""))
+    parts = F.split(t, "\n")
+    lines = F.when(t == "", F.array().cast("array<string>")).when(t.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(lines, lambda x: F.when(F.octet_length(x) < DIGEST, x).otherwise(F.sha2(x, 256)))
 
 
 def line_similarity(a: Column, b: Column) -> Column:
-    """EVL8: ``1 - line edit distance / lines of the longer text`` (1 for two empty texts)."""
-    def count(c: Column) -> Column:
-        t = F.coalesce(c, F.lit(""))
-        return F.when(t == "", 0).otherwise(F.size(F.split(t, "\n")) - F.when(t.endswith("\n"), 1).otherwise(0))
+    """EVL8: ``1 - line edit distance / lines of the longer text`` (1 for two empty texts).
 
-    longer = F.greatest(count(a), count(b))
+    Python gets the names of the lines, never the texts."""
+    a, b = line_names(a), line_names(b)
+    longer = F.greatest(F.size(a), F.size(b))
     return F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - F.pandas_udf(_line_distances, T.IntegerType())(a, b) / longer)

@@ -1,5 +1,6 @@
 """Line diffs, retention, renames, pruning and packed codes against plain computation."""
 
+import hashlib
 import random
 
 import pytest
@@ -85,6 +86,19 @@ def test_line_similarity_of_nulls_and_empty_texts(spark):
     assert got[:3] == [1.0, 1.0, 1.0] and abs(got[3] - 1 / 3) < 1e-12 and got[4] == 0.0
 
 
+def test_line_names(spark):
+    long = "x" * 10_000
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    texts = [None, "", "\n", "a\n\nb", f"{long}\n{digest}\n", f"{long}y\n{long}", "\u00e4" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(diffs.line_names(F.col("t"))).collect()]
+    assert [len(x) for x in got] == [len(diffs.lines_of(t)) for t in texts]
+    assert got[3] == ["a", "", "b"] and all(len(x) <= diffs.DIGEST for names in got for x in names)
+    own = {x: y for t, names in zip(texts, got) for x, y in zip(diffs.lines_of(t), names)}
+    assert len(set(own.values())) == len(own)  # equal names for equal lines only
+    assert own[long] == digest != own[digest]
+
+
 @pytest.mark.parametrize("bins", [1, 2, 1024])
 def test_retention_equals_sorting(spark, bins):
     rng = random.Random(7)
@@ -100,6 +114,25 @@ def test_retention_equals_sorting(spark, bins):
     assert got == want
 
 
+def test_retention_ranks_without_joining_tokens(spark):
+    df = spark.createDataFrame([(q, p, p / 7, p % 3 == 0) for q in (1, None) for p in range(40)], "q int, pos int, weight double, is_answer boolean")
+    got = retention.retained(df, [5, 2], ["q"])
+    assert {tuple(r) for r in got.collect()} == {(1, 5, 14, 2), (1, 2, 14, 1)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # totals with ranks, a row for each query
+
+
+@pytest.mark.parametrize("bins", [1, 64])
+def test_retention_beyond_ranked_budgets(spark, bins):
+    rng = random.Random(3)
+    rows = [(q, p, rng.choice([0.5, rng.random()]), rng.random() < 0.2) for q, n in enumerate([1, 400, 1500]) for p in range(n)]
+    df = spark.createDataFrame(rows, "q int, pos int, weight double, is_answer boolean").repartition(5)
+    got = {(r["q"], r["budget"]): (r["answer_tokens"], r["kept"]) for r in retention.retained(df, [10, 1200], ["q"], bins=bins).collect()}
+    for q in range(3):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        for m in (10, 1200):
+            assert got[q, m] == (sum(r[3] for r in own), sum(r[3] for r in own[:m]))
+
+
 def test_rename_batches(spark):
     names = ["o/a", "o/b", "o/c", "s/1", "s/2", "k/1", "k/2", "k/3", "p/a", "t/1", "t/2", "stay/x", "b/1", "b/2", "m/1", "self/x", "u/1"]
     catalog = spark.createDataFrame([(n, *n.split("/")) for n in names], "full_name string, owner string, name string")
@@ -137,7 +170,7 @@ def test_swaps_are_not_followed_round_and_round(spark, monkeypatch):
     assert {(r["old_name"], r["new_name"], r["refused"]) for r in got.collect()} == {(a, b, False) for a, b in pairs}
     assert len(made) <= 4  # pointers, moves, states and one join that ends nothing
     for df in made:  # estimates are those of files: no product of products
-        assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 30
+        assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 30
 
 
 def test_names_of_several_rows(spark):
