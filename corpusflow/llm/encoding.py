@@ -29,9 +29,10 @@ from collections import ChainMap
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 
 #: pieces remembered by a worker: half of them new, half of an older generation
-PIECES = 1_000_000
+PIECES = 400_000
 #: characters of the longest piece that is remembered, which bounds the memory in bytes
 LONGEST = 128
 #: texts whose pieces are looked up together
@@ -61,6 +62,12 @@ def latin(word: str) -> str | None:
     return word.encode().decode("latin-1").translate(_BYTES)
 
 
+def sliced(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, a block at a time."""
+    for i in range(0, len(texts), BLOCK):
+        yield texts.slice(i, BLOCK).to_pylist()
+
+
 def pieces(text: str) -> list[str]:
     """Cuts a text at white space; the pieces joined are the text."""
     return _BORDER.split(text) if _DOUBLE.search(text) else _SIMPLE.findall(text)

@@ -24,12 +24,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.encoding import counter
+from corpusflow.llm.encoding import counter, sliced
 
 CACHE = "version string, digest binary, n_tokens bigint"
 
@@ -51,12 +51,14 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 def encode_misses(texts: DataFrame, tokenizer: str) -> DataFrame:
     """``(digest, text)`` to ``(digest, n_tokens)``."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": known.counts(b["text"].tolist())})
+            # a few texts of a batch are Python objects at a time
+            n = [x for part in sliced(b.column("text")) for x in known.counts(part)]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    return texts.mapInPandas(encode, "digest binary, n_tokens bigint")
+    return texts.mapInArrow(encode, "digest binary, n_tokens bigint")
 
 
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str) -> DataFrame:

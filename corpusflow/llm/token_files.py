@@ -40,12 +40,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import keep, shared_path
-from corpusflow.llm.encoding import word_encoder
+from corpusflow.llm.encoding import sliced, word_encoder
 from corpusflow.llm.files import read_file, write_file
 
 SHARD_IDS = 1 << 20
@@ -215,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
     ranged = own.repartitionByRange("doc_id", "_d").sortWithinPartitions("doc_id", "_d").select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_encoder(tokenizer)
         first_rule = max(known.tok.get_vocab_size(), end_id + 1)
         part, seq = TaskContext.get().partitionId(), 0
@@ -223,24 +224,26 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
         held: list[np.ndarray] = []
         size = 0
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             file = f"{path}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.rpg"
             write_file(file, pack(held_ids, held, first_rule))
-            return pd.DataFrame({"part": [part], "seq": [seq], "file": [file], "n_docs": [len(held)], "n_ids": [size]})
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [file], "n_docs": [len(held)], "n_ids": [size]})
 
         for b in batches:
-            for doc_id, has_id, ids in zip(b["doc_id"], b["has_id"], known.ids(b["text"].tolist())):
+            # a few texts of a batch are Python objects at a time
+            encoded = (ids for texts in sliced(b.column("text")) for ids in known.ids(texts))
+            for doc_id, has_id, ids in zip(b.column("doc_id").to_pylist(), b.column("has_id").to_pylist(), encoded):
                 ids = np.append(ids, np.uint32(end_id))
                 if held and size + len(ids) > shard_ids:
                     yield shard()
                     seq, held_ids, held, size = seq + 1, [], [], 0
-                held_ids.append(int(doc_id) if has_id else None)
+                held_ids.append(doc_id if has_id else None)
                 held.append(ids)
                 size += len(ids)
         if held:
             yield shard()
 
-    rows = ranged.mapInPandas(write, "part bigint, seq bigint, file string, n_docs bigint, n_ids bigint")
+    rows = ranged.mapInArrow(write, "part bigint, seq bigint, file string, n_docs bigint, n_ids bigint")
     return keep(rows, "token-manifest")
 
 

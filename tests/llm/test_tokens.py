@@ -173,3 +173,14 @@ def test_no_frequent_pair_is_left(ids, doc, exact):
             left[pair] = left.get(pair, 0) + 1
         at += 1
     assert all(n < token_files.MIN_COUNT for n in left.values())
+
+
+def test_a_few_texts_of_a_batch_are_objects_at_a_time():
+    import pyarrow as pa
+
+    from corpusflow.llm.encoding import BLOCK, sliced
+
+    texts = [f"text {i}" for i in range(3 * BLOCK + 1)]
+    parts = list(sliced(pa.array(texts)))
+    assert [len(p) for p in parts] == [BLOCK] * 3 + [1] and sum(parts, []) == texts
+    assert list(sliced(pa.array([], pa.string()))) == []
