@@ -9,8 +9,8 @@ no token can reach across:
   there, and the look-ahead of a run of white space sees only what follows in
   the piece.  Word BPE drops white space, and neither normal form C nor
   lower-casing reaches across it, so it may be cut at any white space;
-* between a letter and one of ``. , ! ? ; :`` (the patterns keep runs of letters
-  and runs of signs apart).
+* between a letter and a run of ASCII signs at the piece's end (the patterns keep runs of
+  letters and runs of signs apart); not at an apostrophe, nor at the signs of special strings.
 
 Special strings hold no white space, and a piece with one goes to the library
 whole.  New pieces of plain Latin letters, on which normalisers do nothing but
@@ -30,6 +30,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: pieces remembered by a worker: half of them new, half of an older generation
 PIECES = 400_000
@@ -37,13 +38,12 @@ PIECES = 400_000
 LONGEST = 128
 #: texts whose pieces are looked up together
 BLOCK = 64
+#: bytes of texts whose words are told apart together
+BLOCK_BYTES = 1 << 23
 _DOUBLE = re.compile(r"\s[ \t-\r]")
 _SIMPLE = re.compile(r"[ \t-\r]?[^ \t-\r]+|[ \t-\r]")
 _BORDER = re.compile(r"(?<=\S)(?=[ \t-\r])")
-_WORD = re.compile(r"[^ \t-\r]+")
-_SIGNS = ".,!?;:"
-#: white space for Python but not for the tokenizers
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+_SIGNS = ".,!?;:#$%&*+-/=@^_~()[]{}\"\\"
 
 # The byte alphabet of byte-level BPE: printable bytes stand for themselves, the
 # others for the code points from 256 on, in order.
@@ -92,7 +92,10 @@ class _Memory:
     def fresh(self, new: set[str]) -> dict:
         """The new pieces, and the parts that some of them were cut into."""
         known, out = self.known, {}
-        parts = {p: (p[:-1], p[-1]) for p in new if len(p) > 1 and p[-1] in _SIGNS and p[-2].isalpha()}
+        parts = {}
+        for p in new:
+            if p[-1:] in _SIGNS and (a := p.rstrip(_SIGNS))[-1:].isalpha():
+                parts[p] = a, p[len(a):]
         rest = []
         for p in {q for p in new for q in parts.get(p, (p,))}.difference(known):
             plain = self.plain(p)
@@ -155,16 +158,30 @@ class Words(_Memory):
     def take(ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        return _WORD.findall(text) if any(c in text for c in _ODD) else text.split()
-
     def plain(self, piece: str) -> str | None:
         return latin(piece.lower())
 
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for found in self.looked_up(texts):
-            yield np.frombuffer(b"".join(found), "<u4")
+    def ids(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ahead = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        edges = [0, *np.flatnonzero(np.diff(ahead // BLOCK_BYTES)) + 1, len(texts)]
+        for a, z in zip(edges, edges[1:]):
+            yield from self.block(texts.slice(a, z - a))
+
+    def block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each different word of the texts is looked up once, and its ids go to all its places."""
+        words = pc.ascii_split_whitespace(texts)
+        place = words.flatten().dictionary_encode()
+        found = place.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, found))
+        made = self.learn({p for p, x in zip(found, got) if x is None})
+        got = [made[p] if x is None else x for p, x in zip(found, got)]
+        ids = pa.array(got, pa.large_binary()).take(place.indices)
+        edge = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) // 4
+        edge = edge[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        for a, z in zip(edge, edge[1:]):
+            yield flat[a:z]
 
 
 @functools.lru_cache(maxsize=2)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import keep, shared_path
-from corpusflow.llm.encoding import sliced, word_encoder
+from corpusflow.llm.encoding import word_encoder
 from corpusflow.llm.files import read_file, write_file
 
 SHARD_IDS = 1 << 20
@@ -104,17 +104,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         rank[active[often] + 1] = (count[often] << _BUCKET_BITS) | name[often]
         at = active[often]
         mine, before, after = rank[at + 1], rank[at], rank[at + 2]
+        taken = (mine > before) & (mine >= after)
         # in a run of one symbol every other place is taken
         head = mine != before
-        start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        offset = at - at[start]
-        taken = (offset % 2 == 0) & ((offset > 0) | (mine > before)) & (mine >= after)
+        inner = np.flatnonzero(~head)
+        if len(inner):
+            heads = np.flatnonzero(head)
+            offset = at[inner] - at[heads[np.searchsorted(heads, inner) - 1]]
+            taken[inner] = (offset % 2 == 0) & (mine[inner] >= after[inner])
         kind = name[often]
         used = np.bincount(kind[taken], minlength=int(name.max()) + 1)
         taken &= used[kind] >= MIN_COUNT // 2
         place, kind = at[taken], kind[taken]
-        made, first, number = np.unique(kind, return_index=True, return_inverse=True)
-        rule = np.stack([seq[place[first]], seq[place[first] + 1]], 1)
+        first = np.full(len(used), -1)
+        first[kind] = place  # any place of a kind shows its pair
+        made = np.flatnonzero(first >= 0)
+        rule = np.stack([seq[first[made]], seq[first[made] + 1]], 1)
+        number = np.empty(len(used), np.int32)
+        number[made] = np.arange(len(made), dtype=np.int32)
+        number = number[kind]
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]])
         seq[place] = first_rule + n_rules + number
@@ -230,9 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [file], "n_docs": [len(held)], "n_ids": [size]})
 
         for b in batches:
-            # a few texts of a batch are Python objects at a time
-            encoded = (ids for texts in sliced(b.column("text")) for ids in known.ids(texts))
-            for doc_id, has_id, ids in zip(b.column("doc_id").to_pylist(), b.column("has_id").to_pylist(), encoded):
+            for doc_id, has_id, ids in zip(b.column("doc_id").to_pylist(), b.column("has_id").to_pylist(), known.ids(b.column("text"))):
                 ids = np.append(ids, np.uint32(end_id))
                 if held and size + len(ids) > shard_ids:
                     yield shard()

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from awkward import documents, empty, prose, rows
 from hypothesis import given, settings
@@ -55,6 +56,32 @@ def test_pieces_are_bounded(monkeypatch):
         assert len(known.known) <= 200
 
 
+SIGNED = st.text(st.sampled_from(list("abé'sT.,!?;:#$%&*+-/=@^_~()[]{}\"\\<|> \n\xa0")), max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(SIGNED | st.none(), max_size=5))
+def test_runs_of_signs_and_whole_columns(texts):
+    known = encoding.word_encoder(WORDS)
+    whole = [t or "" for t in texts]
+    want = [known.tok.encode(t, add_special_tokens=False).ids for t in whole]
+    column = pa.array(["cut off", *whole], pa.string()).slice(1)
+    assert [x.tolist() for x in known.ids(column)] == want
+    counted = encoding.counter(BYTES)
+    assert counted.counts(whole) == [len(counted.tok.encode(t, add_special_tokens=False).ids) for t in whole]
+
+
+def test_a_word_goes_to_the_model_once_for_all_texts_of_a_block(monkeypatch):
+    monkeypatch.setattr(encoding, "PIECES", 0)  # nothing is remembered from block to block
+    known, asked = encoding.Words(WORDS), []
+    plain = known.plain
+    monkeypatch.setattr(known, "plain", lambda p: asked.append(p) or plain(p))
+    texts = [f"alpha beta.%%% {'gamma' * (i % 3)}" for i in range(300)]
+    want = [known.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in known.ids(texts)] == want
+    assert len(asked) == len(set(asked)) and "beta" in asked
+
+
 def test_token_counts_and_the_cache(spark):
     tok = Tokenizer.from_file(BYTES)
     cache = shared_path(spark, "test-counts")
