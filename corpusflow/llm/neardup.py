@@ -62,7 +62,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusflow.llm.common import keep
+from corpusflow.llm.common import keep, keep_dealt
 
 POOL = 128
 NODE = 64
@@ -519,7 +519,7 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
 
     wanted = functools.reduce(DataFrame.union, [pairs.select(F.col("a").alias("id")), pairs.select("b"), middle.select("id"),
                                                 large.select("id")]).distinct()
-    texts = keep(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts")
+    texts = keep_dealt(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts", "id")
 
     links, deep, tags, covered, reached = [], [], [], RECALL_DEPTH, RECALL_DEPTH
     label = None

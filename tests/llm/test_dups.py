@@ -16,6 +16,7 @@ from test_rules import leaks_of
 from tokenizers import Tokenizer
 
 from corpusflow.llm import neardup, runindex
+from corpusflow.llm.common import keep_dealt
 
 
 # ---- repeated strings ----
@@ -290,3 +291,23 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark):
                 assert frame.columns == columns
         assert frame.columns[:3] == ["doc_id", "start", "n_tokens"]
         assert frame.count() >= 0
+
+
+def test_dealt_texts_stay_where_they_are(spark):
+    """Confirming links moves the pairs, never the whole table of texts."""
+    big = spark.range(3000).selectExpr("cast(cast(id as string) as binary) as id", "repeat(cast(id as string), 9) as text")
+    tables = spark.catalog.listTables()
+    texts = keep_dealt(big, "test-texts", "id")
+    assert spark.catalog.listTables() == tables
+    assert texts.schema.names == ["id", "text"] and texts.count() == 3000
+    pairs = spark.range(0, 3000, 10).selectExpr("cast(cast(id as string) as binary) as a", "cast(cast(id + 1 as string) as binary) as b")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = neardup.confirm(pairs, texts, 3, 85)
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        links.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(moved) == 2, plan  # the pairs, once for each end
