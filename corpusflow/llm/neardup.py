@@ -30,7 +30,10 @@ Candidates pass a one-bit minwise sketch of 128 bits first (five standard
 deviations below the threshold).  Candidate pairs of small nodes are confirmed
 in two turns: each document with its least candidate partner, then only pairs
 that the first turn has not connected.  Texts are fetched once, for candidate
-documents alone.  Every step is an equi-join or an aggregate; a hot node is
+documents alone, and kept as packed sets (the bytes of their sorted shingles), dealt by id into
+buckets of about ``BUCKET`` bytes: later steps take no text apart again, and few tasks ask for a Python worker.
+Workers remember no words: the collector goes over whatever a worker holds after every task.
+Every step is an equi-join or an aggregate; a hot node is
 joined with few rows, so AQE may split it.  Steps are cut by tables in the shared
 folder.  Nodes still large after ``MAX_DEPTH`` levels are joined on their rarest
 shingles: sets at the threshold share one of the first ``n - ceil(threshold * n) + 1`` in any order, so
@@ -52,13 +55,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +73,8 @@ SHINGLES = 2_000_000
 PIVOTS = 8
 MAX_DEPTH = 16
 STALL = 0.5
+#: bytes of packed sets in a bucket
+BUCKET = 16 * 1024 * 1024
 #: trees worked off together: the first, the next two, all others
 ROUNDS = (1, 3)
 RECALL = 0.99999
@@ -88,23 +92,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=400_000)
-def _word(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w)
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; A-Z lower-cased, words between
     ASCII white space; fewer words than ``width`` are one shingle."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(width, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
         total = total * _M1 + h[j:len(h) - k + 1 + j]
-    return np.unique(mix(total))
+    s = np.sort(mix(total))
+    return s[np.append(True, s[1:] != s[:-1])]
+
+
+def unpack(held: str | bytes, width: int) -> np.ndarray:
+    """The set of a text, or of the bytes of its shingles."""
+    return shingles(held, width) if isinstance(held, str) else np.frombuffer(held, np.uint64)
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -213,35 +218,27 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
+def confirm(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets reach the threshold; ``sets`` has an id with its packed set or its text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def get(key, text):
-            if key not in held:
-                held[key] = shingles(text, width)
-                if len(held) > 256:
-                    held.popitem(last=False)
-            return held[key]
-
         for b in batches:
-            ok = []
-            for i, j, ti, tj in zip(b["a"], b["b"], b["ta"], b["tb"]):
-                x, y = get(bytes(i), ti), get(bytes(j), tj)
+            ok = np.zeros(len(b), bool)
+            for k, (i, j) in enumerate(zip(b["sa"], b["sb"])):
+                x, y = unpack(i, width), unpack(j, width)
                 short, long = (x, y) if len(x) < len(y) else (y, x)
                 at = np.minimum(np.searchsorted(long, short), len(long) - 1)
                 both = int((long[at] == short).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
+                ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield b.loc[ok, ["a", "b"]]
 
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
+    held = next(c for c in sets.columns if c != "id")
+    a = sets.select(F.col("id").alias("a"), F.col(held).alias("sa"))
+    b = sets.select(F.col("id").alias("b"), F.col(held).alias("sb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
-def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+def branch(rows: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """The rows of large nodes in their children, with the size of the parent (``held``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,20 +246,20 @@ def branch(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> D
             if not len(b):
                 continue
             node = b["node"].to_numpy(np.int64).astype(np.uint64)
-            own = {i: shingles(t, width) for i, t in dict(zip(b["id"], b["text"])).items()}
+            own = [np.frombuffer(x, np.uint64) for x in b["packed"]]
             first, second, two = chosen(node, threshold)
-            low1 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], first)], np.uint64)
-            low2 = np.array([(own[i] * _MULT[c]).min() for i, c in zip(b["id"], second)], np.uint64)
+            low1 = np.array([(s * _MULT[c]).min() for s, c in zip(own, first)], np.uint64)
+            low2 = np.array([(s * _MULT[c]).min() if t else 0 for s, c, t in zip(own, second, two)], np.uint64)
             out = b[["id", "n", "b0", "b1", "label", "tag", "held"]]
             again = out[two].assign(node=child(node, second, low2).astype(np.int64)[two])
             out = out.assign(node=child(node, first, low1).astype(np.int64))
             yield pd.concat([out, again])[["node", "id", "n", "b0", "b1", "label", "tag", "held"]]
 
-    return rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "tag", F.col("size").alias("held"), "text").mapInPandas(
+    return rows.join(packed, "id").select("node", "id", "n", "b0", "b1", "label", "tag", F.col("size").alias("held"), "packed").mapInPandas(
         run, "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string, held bigint")
 
 
-def more_trees(rows: DataFrame, texts: DataFrame, width: int, threshold: float, begin: int, trees: int) -> DataFrame:
+def more_trees(rows: DataFrame, packed: DataFrame, threshold: float, begin: int, trees: int) -> DataFrame:
     """The rows in the first nodes of the trees from ``begin`` on."""
     first = roots(trees, threshold)
     tree = np.array([t for t, _ in first if t >= begin], np.uint64)
@@ -271,12 +268,12 @@ def more_trees(rows: DataFrame, texts: DataFrame, width: int, threshold: float,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             nodes = []
-            for text in b["text"]:
-                s = shingles(text, width)
+            for x in b["packed"]:
+                s = np.frombuffer(x, np.uint64)
                 nodes.append(child(tree, coordinate, np.array([(s * m).min() for m in _MULT[coordinate]], np.uint64)).astype(np.int64))
-            yield b.drop(columns="text").assign(nodes=nodes)
+            yield b.drop(columns="packed").assign(nodes=nodes)
 
-    out = rows.join(texts, "id").select("id", "n", "b0", "b1", "label", "tag", "text").mapInPandas(
+    out = rows.join(packed, "id").select("id", "n", "b0", "b1", "label", "tag", "packed").mapInPandas(
         run, "id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string, nodes array<bigint>")
     return out.select(F.explode("nodes").alias("node"), "id", "n", "b0", "b1", "label", "tag")
 
@@ -310,19 +307,19 @@ def close_members(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("node").applyInPandas(run, rows.schema)
 
 
-def _rare_pairs(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+def _rare_pairs(rows: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of nodes of any size: an equi-join on the rarest shingles of each set."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                s = shingles(row.text, width).view(np.int64)
-                yield pd.DataFrame({"node": row.node, "id": [row.id] * len(s), "n": row.n, "b0": row.b0, "b1": row.b1,
-                                    "label": [row.label] * len(s), "tag": pd.Series([row.tag] * len(s), dtype=object), "s": s})
+            for i in range(0, len(b), 64):
+                some = b.iloc[i:i + 64]
+                sets = [np.frombuffer(x, np.int64) for x in some["packed"]]
+                yield some.drop(columns="packed").loc[some.index.repeat([len(s) for s in sets])].assign(s=np.concatenate(sets))
 
     fields = "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string"
-    own = keep(rows.join(texts, "id").select("node", "id", "n", "b0", "b1", "label", "tag", "text").mapInPandas(run, f"{fields}, s bigint"), "near-left")
+    own = keep(rows.join(packed, "id").select("node", "id", "n", "b0", "b1", "label", "tag", "packed").mapInPandas(run, f"{fields}, s bigint"), "near-left")
     often = own.groupBy("node", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     first = Window.partitionBy("node", "id").orderBy(F.coalesce("often", F.lit(1)), "s")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -339,13 +336,13 @@ def _rare_pairs(rows: DataFrame, texts: DataFrame, width: int, threshold: float)
     return x.join(y, on).select(*_ordered(F.col("x.id"), F.col("y.id"))).distinct()
 
 
-def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def exact_links(rows: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """Nodes compared by the full sets of all members: every member with the
     root of its component inside the node."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("id")
-        sets = [shingles(t, width) for t in b["text"]]
+        sets = [np.frombuffer(x, np.uint64) for x in b["packed"]]
         n = np.array([len(x) for x in sets])
         _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[which] > 1  # a shingle of one member adds to no intersection
@@ -374,7 +371,7 @@ def exact_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) ->
         at = np.flatnonzero(root != np.arange(len(sets)))
         return pd.DataFrame({"a": ids[at], "b": ids[root[at]]})
 
-    return rows.select("node", "id").join(texts, "id").groupBy("node").applyInPandas(run, "a binary, b binary")
+    return rows.select("node", "id").join(packed, "id").groupBy("node").applyInPandas(run, "a binary, b binary")
 
 
 def _impure(rows: DataFrame) -> DataFrame:
@@ -404,7 +401,7 @@ def _moved(near: DataFrame, linked: DataFrame) -> DataFrame:
     return hop.join(ahead, ["node", "to"], "left").select("node", "label", F.least("to", F.coalesce("next", "to")).alias("to"))
 
 
-def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float, percent: int, covered: int):
+def _large_nodes(rows: DataFrame, packed: DataFrame, width: int, threshold: float, percent: int, covered: int):
     """Work off large nodes: confirmed links, candidate pairs of what became small,
     ids met in nodes deeper than ``covered``, the greatest depth of a node, and the tags of members
     of nodes that were joined on rare shingles."""
@@ -412,7 +409,7 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
     rows = keep(rows, "near-large")
     while rows.take(1):
         if depth >= MAX_DEPTH:
-            pairs.append(keep(_rare_pairs(rows, texts, width, threshold), "near-left"))
+            pairs.append(keep(_rare_pairs(rows, packed, threshold), "near-left"))
             tags.append(rows.select("id", F.col("node").cast("string").alias("tag")))
             break
         best = [F.min_by(F.struct("id", "n", "b0", "b1", "label", "tag"),
@@ -426,29 +423,29 @@ def _large_nodes(rows: DataFrame, texts: DataFrame, width: int, threshold: float
         near = keep(near, "near-pivots")
         # first every label with its closest pivot, then what still has two labels
         turn = near.groupBy("node", "label").agg(F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        linked = keep(confirm(turn, texts, width, percent), "near-links")
+        linked = keep(confirm(turn, packed, width, percent), "near-links")
         moved = _moved(near, linked)
         again = near.join(turn, ["a", "b"], "left_anti")
         for side, to in (("label", "to"), ("other", "to2")):
             again = again.join(moved.select("node", F.col("label").alias(side), F.col("to").alias(to)), ["node", side], "left")
         again = again.where(F.coalesce("to", "label") != F.coalesce("to2", "other")).select("a", "b").distinct()
-        second = keep(confirm(again, texts, width, percent), "near-links")
+        second = keep(confirm(again, packed, width, percent), "near-links")
         links += [linked, second]
         moved = _moved(near, linked.union(second))
         rest = rows.join(pivot.select("node", "id"), ["node", "id"], "left_anti")
         rest = keep(rest.join(moved, ["node", "label"], "left")
                     .select("node", "id", "n", "b0", "b1", F.coalesce("to", "label").alias("label"), "tag"), "near-rest")
         small, middle, large = _by_size(keep(_impure(rest), "near-impure"))
-        down = keep(branch(large, texts, width, threshold), "near-down")
+        down = keep(branch(large, packed, threshold), "near-down")
         small2, middle2, large = _by_size(keep(_impure(down), "near-impure"))
         names = ["node", "id", "n", "b0", "b1", "label", "tag"]
         small, middle, small2, middle2 = (t.select(*names) for t in (small, middle, small2, middle2))
         stalled, large = (large.where(c).select(*names) for c in (F.col("size") > STALL * F.col("held"), F.col("size") <= STALL * F.col("held")))
         if stalled.take(1):
-            pairs.append(keep(_rare_pairs(stalled, texts, width, threshold), "near-stalled"))
+            pairs.append(keep(_rare_pairs(stalled, packed, threshold), "near-stalled"))
             tags.append(stalled.select("id", F.col("node").cast("string").alias("tag")))
         pairs.append(keep(_small_pairs(small.union(small2), threshold, True).distinct(), "near-small"))
-        links.append(keep(exact_links(close_members(middle.union(middle2), threshold), texts, width, percent), "near-links"))
+        links.append(keep(exact_links(close_members(middle.union(middle2), threshold), packed, percent), "near-links"))
         if depth + 2 > covered and down.take(1):  # the first nodes have depth 1
             deep.append((down.select("id").distinct(), depth + 2))
         rows = keep(large, "near-large")
@@ -519,16 +516,18 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
 
     wanted = functools.reduce(DataFrame.union, [pairs.select(F.col("a").alias("id")), pairs.select("b"), middle.select("id"),
                                                 large.select("id")]).distinct()
-    texts = keep_dealt(_texts(docs, wanted.join(sets.select("id", "least"), "id"), width), "near-texts", "id")
+    wanted = keep(wanted.join(sets.select("id", "least", "n"), "id"), "near-wanted")
+    size = 8 * (wanted.agg(F.sum("n")).first()[0] or 0)
+    packed = keep_dealt(_packed(docs, wanted, width), "near-packed", "id", _buckets(docs.sparkSession, size))
 
     links, deep, tags, covered, reached = [], [], [], RECALL_DEPTH, RECALL_DEPTH
     label = None
     for begin, end in zip((0, *ROUNDS), (*ROUNDS, None)):
         now = F.col("tree") >= begin if end is None else F.col("tree").between(begin, end - 1)
         some = _labelled(middle.where(now).drop("tree"), label, tags)
-        links.append(keep(exact_links(close_members(_impure(some).drop("size", "bulk"), threshold), texts, width, percent), "near-links"))
+        links.append(keep(exact_links(close_members(_impure(some).drop("size", "bulk"), threshold), packed, percent), "near-links"))
         heavy = _impure(_labelled(large.where(now).drop("tree"), label, tags)).drop("size", "bulk")
-        found, more, ids, depth, told = _large_nodes(heavy, texts, width, threshold, percent, covered)
+        found, more, ids, depth, told = _large_nodes(heavy, packed, width, threshold, percent, covered)
         links, deep, tags, reached = links + found, deep + ids, tags + told, max(reached, depth)
         for p in more:
             pairs = pairs.union(p)
@@ -540,11 +539,11 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
         begin, trees, covered = trees, trees_for(threshold, recall, reached), reached
         label = keep(labels(functools.reduce(DataFrame.union, links)), "near-roots")
         members = functools.reduce(DataFrame.union, deep).distinct().join(sets.select("id", "n", "b0", "b1"), "id")
-        rows = keep(more_trees(_labelled(members, label, tags), texts, width, threshold, begin, trees), "near-nodes")
+        rows = keep(more_trees(_labelled(members, label, tags), packed, threshold, begin, trees), "near-nodes")
         small, middle, large = _by_size(keep(_impure(rows), "near-impure"))
         pairs = pairs.union(keep(_small_pairs(small, threshold, True).distinct(), "near-small"))
-        links.append(keep(exact_links(close_members(middle, threshold), texts, width, percent), "near-links"))
-        found, more, deep, reached, told = _large_nodes(large.drop("size", "bulk"), texts, width, threshold, percent, covered)
+        links.append(keep(exact_links(close_members(middle, threshold), packed, percent), "near-links"))
+        found, more, deep, reached, told = _large_nodes(large.drop("size", "bulk"), packed, width, threshold, percent, covered)
         links, tags = links + found, tags + told
         for p in more:
             pairs = pairs.union(p)
@@ -552,13 +551,13 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
     # first turn: everyone with the least candidate partner
     ends = pairs.union(pairs.select("b", "a"))
     turn = ends.groupBy("a").agg(F.min("b").alias("b")).select(*_ordered(F.col("a"), F.col("b"))).distinct()
-    links.append(keep(confirm(turn, texts, width, percent), "near-links"))
+    links.append(keep(confirm(turn, packed, width, percent), "near-links"))
     joined = keep(components(functools.reduce(DataFrame.union, links)), "near-roots")
     ra = joined.select(F.col("id").alias("a"), F.col("root").alias("ra"))
     rb = joined.select(F.col("id").alias("b"), F.col("root").alias("rb"))
     open_pairs = (pairs.join(turn, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
                   .where("ra is null or rb is null or ra <> rb").select("a", "b"))
-    last = keep(confirm(open_pairs, texts, width, percent), "near-links")
+    last = keep(confirm(open_pairs, packed, width, percent), "near-links")
     if last.take(1):
         joined = keep(components(joined.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(last)),
                       "near-roots")
@@ -572,8 +571,16 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``id, text, low`` of the wanted sets, from the document with the least id."""
+def _buckets(spark: SparkSession, size: int) -> int:
+    """Buckets for so many bytes, two for a core at least.  The number divides the shuffle's partitions, so each
+    of them writes to one bucket."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(-(-size // BUCKET), 2 * spark.sparkContext.defaultParallelism)
+    return next((n for n in range(least, most) if most % n == 0), most)
+
+
+def _packed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``id, packed`` of the wanted sets, from the document with the least id."""
     w = wanted.select("least", F.col("id").alias("want"))
     rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("least"))).select("want", "text")
 
@@ -584,10 +591,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 s = shingles(text, width)
                 # an id may come with several texts: take the one that is meant
                 if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(want):
-                    out.append((want, text))
-            yield pd.DataFrame(out, columns=["id", "text"])
+                    out.append((want, s.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "packed"])
 
-    return rows.mapInPandas(run, "id binary, text string").dropDuplicates(["id"])
+    return rows.mapInPandas(run, "id binary, packed binary").dropDuplicates(["id"])
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -311,3 +311,43 @@ def test_dealt_texts_stay_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert len(moved) == 2, plan  # the pairs, once for each end
+
+
+def test_workers_keep_no_words():
+    """What a worker holds is gone over by the collector after every task."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(40)]
+    tracemalloc.start()
+    try:
+        neardup.shingles(texts[0], 3)
+        before = tracemalloc.get_traced_memory()[0]
+        assert [len(neardup.shingles(t, 3)) for t in texts] == [998] * 40
+        assert tracemalloc.get_traced_memory()[0] - before < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_candidates_are_packed_once(spark, monkeypatch):
+    """Links are confirmed on sets taken apart once, from buckets by their bytes and not by the shuffle's partitions."""
+    seen, confirm = [], neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda pairs, sets, *a: seen.append(sets) or confirm(pairs, sets, *a))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(8 * cores))
+    try:
+        texts = [t for t in near_texts() if t]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.link_documents(df, 3, 0.85).collect()}
+        assert [got[i] for i in range(len(texts))] == linked(texts, 3, 85)[0]
+        sizes = [neardup._buckets(spark, n * neardup.BUCKET) for n in (0, 3 * cores, 99 * cores)]
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        assert neardup._buckets(spark, 0) == 211  # no other number divides it
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sizes == [2 * cores, 4 * cores, 8 * cores]
+    assert seen and all(s.columns == ["id", "packed"] for s in seen)
+    buckets = {int(re.search(r"_(\d{5})\.c", f)[1]) for f in seen[0].inputFiles()}
+    assert cores < len(buckets) <= 2 * cores and max(buckets) < 2 * cores
+    stored = {bytes(r["id"]): bytes(r["packed"]) for r in seen[0].collect()}
+    assert all(hashlib.blake2b(p, digest_size=16).digest() == i for i, p in stored.items())
