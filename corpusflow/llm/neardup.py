@@ -316,23 +316,25 @@ def _rare_pairs(rows: DataFrame, packed: DataFrame, threshold: float) -> DataFra
             for i in range(0, len(b), 64):
                 some = b.iloc[i:i + 64]
                 sets = [np.frombuffer(x, np.int64) for x in some["packed"]]
-                yield some.drop(columns="packed").loc[some.index.repeat([len(s) for s in sets])].assign(s=np.concatenate(sets))
+                yield some[["node", "id"]].loc[some.index.repeat([len(s) for s in sets])].assign(s=np.concatenate(sets))
 
-    fields = "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string"
-    own = keep(rows.join(packed, "id").select("node", "id", "n", "b0", "b1", "label", "tag", "packed").mapInPandas(run, f"{fields}, s bigint"), "near-left")
+    own = keep(rows.join(packed, "id").select("node", "id", "packed").mapInPandas(run, "node bigint, id binary, s bigint"), "near-left")
     often = own.groupBy("node", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    first = Window.partitionBy("node", "id").orderBy(F.coalesce("often", F.lit(1)), "s")
+    member = Window.partitionBy("node", "id")
+    # shingles of one member come first in the order but meet nobody: only their number counts
+    ranked = own.join(often, ["node", "s"]).select("node", "id", "s", F.row_number().over(member.orderBy("often", "s")).alias("at"),
+                                                   F.count(F.lit(1)).over(member).alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    # shingles of one member count for the order but meet nobody
-    ranked = own.join(often, ["node", "s"], "left").withColumn("at", F.row_number().over(first))
-    ranked = ranked.where((F.col("at") <= prefix) & F.col("often").isNotNull()).drop("often", "at")
+    ranked = ranked.join(rows, ["node", "id"]).withColumn("at", F.col("at") + F.col("n") - F.col("shared")).where(F.col("at") <= prefix).drop("shared")
     # most members of a node may have one label by now: they are met by the others, never by themselves
     major = (rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
              .groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("major")))
     ranked = keep(ranked.join(major, "node").withColumn("most", F.col("label") == F.col("major")).drop("major"), "near-rare")
     x, y = ranked.where("not most").alias("x"), ranked.alias("y")
+    # sets have in common at most what follows the first shingle they share: at later ones most pairs come no more
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
     on = ((F.col("x.node") == F.col("y.node")) & (F.col("x.s") == F.col("y.s")) & (F.col("y.most") | (F.col("x.id") < F.col("y.id")))
-          & _apart("x", "y") & _close(threshold, "x", "y"))
+          & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))) & _apart("x", "y") & _close(threshold, "x", "y"))
     return x.join(y, on).select(*_ordered(F.col("x.id"), F.col("y.id"))).distinct()
 
 
@@ -582,7 +584,8 @@ def _buckets(spark: SparkSession, size: int) -> int:
 def _packed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``id, packed`` of the wanted sets, from the document with the least id."""
     w = wanted.select("least", F.col("id").alias("want"))
-    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("least"))).select("want", "text")
+    # merged at any size: the documents move once, so the run on a small table tells of a large one
+    rows = docs.select("doc_id", "text").join(w.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least"))).select("want", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -351,3 +351,26 @@ def test_candidates_are_packed_once(spark, monkeypatch):
     assert cores < len(buckets) <= 2 * cores and max(buckets) < 2 * cores
     stored = {bytes(r["id"]): bytes(r["packed"]) for r in seen[0].collect()}
     assert all(hashlib.blake2b(p, digest_size=16).digest() == i for i, p in stored.items())
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_find_all_links(spark, percent):
+    """One node of sets with many edits: every link is among the pairs, which are not all there are."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(2, 26)):
+            w[at] = f"e{rng.randrange(40)}x{at}"
+        texts.append(" ".join(w[:rng.randrange(100, 121)]))
+    sets = [neardup.shingles(t, 1) for t in texts]
+    ids = [b"%03d" % i for i in range(60)]
+    rows_ = [(1, i, len(s), *neardup.bits(neardup.minima(s)), i, None) for i, s in zip(ids, sets)]
+    node = spark.createDataFrame(rows_, "node bigint, id binary, n bigint, b0 bigint, b1 bigint, label binary, tag string")
+    packed = spark.createDataFrame([(i, s.tobytes()) for i, s in zip(ids, sets)], "id binary, packed binary")
+    asked = neardup._rare_pairs(node, packed, percent / 100)
+    got = {(bytes(a), bytes(b)) for a, b in asked.collect()}
+    share = {(ids[i], ids[j]): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for j in range(60) for i in range(j)}
+    links = {p for p, x in share.items() if round(x * 10000) >= percent * 100}
+    assert links and links <= got < set(share)
